@@ -15,6 +15,7 @@ row gives one output row in its own right. Very long pieces cost n log n.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from hashlib import sha256
 
@@ -173,10 +174,10 @@ def splitter(pattern: str):
     """text -> the pieces that the pattern finds, as the tiktoken library finds them."""
     find, table = regex.compile(pattern).finditer, _reclassed()
     plain = regex.compile(pattern).findall
-    odd = regex.compile("[" + "".join(map(chr, table)) + "]").search if table else lambda _: None
+    beyond = re.compile(f"[{chr(min(table, default=0x10FFFF))}-\U0010ffff]").search
 
     def split(text: str) -> list[str]:
-        if text.isascii() or not odd(text):
+        if text.isascii() or not beyond(text) or table.keys().isdisjoint(map(ord, text)):
             return plain(text)
         return [text[slice(*m.span())] for m in find(text.translate(table))]
 
