@@ -32,7 +32,7 @@ from .common import cut, map_arrow, texts_of
 
 CAPACITY, END = 4096, 1
 #: Pieces that one bucket of one length holds, about; words that a worker remembers.
-BUCKET, REMEMBERED = 100_000, 500_000
+BUCKET, REMEMBERED = 5_000, 500_000
 #: The vocabulary's own rule for words, on lower-cased text. Texts with other characters than these go to the library whole.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 UNUSUAL = regex.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0132-\\u017e]|<\\|").search

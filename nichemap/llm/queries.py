@@ -6,24 +6,47 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, pii, quality, repeats, secrets, simhash, spans
 from .common import documents, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(documents(table(spark, sf_dir, "documents")), pii.find, pii.KINDS, pii.KINDS)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(table(spark, sf_dir, "documents")), WORD_BPE)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(documents(table(spark, sf_dir, "documents")), ("n_words", "n_removed", "kept_sha256"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(documents(table(spark, sf_dir, "documents")), secrets.find, secrets.KINDS, secrets.BASE)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(documents(table(spark, sf_dir, "documents")), BYTE_BPE, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_personal_data, op2_best_fit_packing, op3_substring_dedup, op6_quality_rules, op7_simhash_components, op9_secrets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,320 @@
+"""Each operator against a plain version of it, on the small tables and on hand-made awkward rows."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from cases import documents
+
+from nichemap.llm import bpe, packing, pii, quality, queries, repeats, secrets, simhash, spans
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TABLES = ("made", "sf", "empty")
+
+
+@pytest.fixture(params=TABLES)
+def docs(request, spark, sf):
+    if request.param == "sf":
+        return spark.read.parquet(f"{sf}/documents.parquet").repartition(4)
+    return documents(spark, [] if request.param == "empty" else None)
+
+
+def rows(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def same(df, wanted):
+    got = Counter(tuple(r) for r in df.collect())
+    assert got == Counter(wanted), list((got - Counter(wanted)).items())[:3] + list((Counter(wanted) - got).items())[:3]
+
+
+def written(found, order):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (x[1], order.index(x[0]))))
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]{1,500}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]{1,500}(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_pii(docs):
+    wanted = []
+    for i, t in rows(docs):
+        own = plain_pii(t or "")
+        n = Counter(k for k, _, _ in own)
+        more = pii.find(t or "")[1]
+        wanted.append((i, *(n[k] for k in pii.KINDS), sha256(written(own, pii.KINDS).encode()).hexdigest(), written(own + more, pii.KINDS)))
+    same(spans.digest(docs, pii.find, pii.KINDS, pii.KINDS), wanted)
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("mail jo.do (at) exa-mple [dot] com now", [("email", "jo.do (at) exa-mple [dot] com")]),
+    ("jo at example dot co dot uk", [("email", "jo at example dot co dot uk")]),
+    ("plus four four seven one two three four five six seven eight nine", [("phone", "plus four four seven one two three four five six seven eight nine")]),
+    ("x＠ｙ．com, 192․168.0.1 аb@сd.org", [("email", "x＠ｙ．com"), ("email", "аb@сd.org"), ("ip", "192․168.0.1")]),
+    ("a​b@c​d.org", [("email", "a​b@c​d.org")]),
+    ("so at the dot of it; one two, three", []),
+])
+def test_pii_disguised(text, found):
+    base, more = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in more if (k, a, b) not in base] == found
+
+
+def test_redact(spark):
+    got = spans.redact(documents(spark, [(1, "a b@c.de f"), (2, None)]), pii.find).select("text", "spans").collect()
+    assert [tuple(x) for x in got] == [("a [EMAIL] f", "clash"), (None, "clash")]
+
+
+def plain_secrets(t):
+    out = [("assign", *m.span()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return out + [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+
+
+def test_secrets(docs):
+    wanted = []
+    for i, t in rows(docs):
+        own = plain_secrets(t or "")
+        n = Counter(k for k, _, _ in own)
+        wanted.append((i, *(n[k] for k in secrets.BASE), sha256(written(own, secrets.BASE).encode()).hexdigest(), written(own + secrets.find(t or "")[1], secrets.KINDS)))
+    same(spans.digest(docs, secrets.find, secrets.KINDS, secrets.BASE), wanted)
+
+
+def test_secret_models_tell_random_from_ordinary():
+    model = secrets.default_model()
+    held = secrets.default_samples(2000, seed=99)
+    assert sum(model.score(s) > model.threshold for s, y in held if y and len(s) >= 20) > 0.95 * sum(y for s, y in held if len(s) >= 20)
+    assert sum(model.score(s) > model.threshold for s, y in held if not y) <= 2
+    base, more = secrets.find("key Zx8Qp2Lm9Rt4Wv7Yb3Nc but not configurationManagerFactory")
+    assert not base and [k for k, *_ in more] == ["random"]
+
+
+def test_packing(docs):
+    import numpy as np
+
+    tokenizer = packing._tokenizer(queries.WORD_BPE)
+    out = packing.pack_documents(docs.select("doc_id", "text"), queries.WORD_BPE)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    wanted = []
+    for i, t in rows(docs):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for p, at in enumerate(range(0, len(ids), 4096)):
+            wanted.append((i, p, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())))
+    same(out.select("doc_id", "piece", "start", "length", "ids_crc32"), wanted)
+    held = defaultdict(list)
+    for r in out.collect():
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    least = -(-sum(x[3] for x in wanted) // 4096)
+    assert len(held) <= 1.05 * least + 1
+
+
+def test_plan_takes_any_counts():
+    import random
+
+    random.seed(5)
+    for _ in range(200):
+        cap = random.choice([10, 20, 50, 4096])
+        counts = {random.randint(1, cap): random.randint(1, 40) for _ in range(random.randint(1, min(cap, 40)))}
+        plan = packing.Plan(counts, cap)
+        held, ranks = Counter(), defaultdict(set)
+        for length, rank, n, per, first, offset in plan.runs:
+            for q in range(n):
+                held[first + q // per] += length
+                ranks[length].add(rank + q)
+                assert offset + (q % per + 1) * length <= cap
+        assert {k: set(range(n)) for k, n in counts.items()} == ranks and max(held.values()) <= cap and len(held) == plan.sequences
+
+
+def test_reduction_fixes_perfect_pairs():
+    plan = packing.Plan({7: 5, 3: 5, 6: 1, 2: 2}, 10)
+    assert plan.sequences == 6 and plan.fixed >= 5
+
+
+def test_bpe(docs):
+    ranks = bpe.ranks(queries.BYTE_BPE)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.rank, special_tokens={})
+    wanted = []
+    for i, t in rows(docs):
+        ids = theirs.encode_ordinary(t or "")
+        wanted.append((i, len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((t or "").encode()).hexdigest()))
+    same(bpe.roundtrip(docs, queries.BYTE_BPE, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256")), wanted)
+    out = bpe.roundtrip(docs, queries.BYTE_BPE, public_tokenizers.PATTERN).collect()
+    assert all(bpe.decode(r["ids"], queries.BYTE_BPE) == bytes(r["decoded"]) for r in out[:50])
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "abc" * 3000, "ჿ0 \U0001fae9 ꟜᲉ x", "ß'll've", "   \n\n  x  "])
+def test_bpe_as_the_library(text):
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(queries.BYTE_BPE).rank, special_tokens={})
+    assert bpe.encode(text, queries.BYTE_BPE, public_tokenizers.PATTERN) == theirs.encode_ordinary(text)
+
+
+def plain_repeats(pairs, window=20):
+    first = {}
+    words = [(-(1 << 63) if i is None else i, i, WORD.findall(t or "")) for i, t in pairs]
+    for key, _, w in words:
+        for s in range(len(w) - window + 1):
+            own = tuple(w[s : s + window])
+            first[own] = min(first.get(own, (key, s)), (key, s))
+    for key, i, w in words:
+        gone = set()
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s : s + window])] < (key, s):
+                gone |= set(range(s, s + window))
+        yield i, w, gone
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats(docs, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(repeats, "CHUNK", 100_000)
+        monkeypatch.setattr(repeats, "BUCKET", 200_000)
+    wanted = [(i, len(w), len(gone), sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()) for i, w, gone in plain_repeats(rows(docs))]
+    same(repeats.dedup(docs, ("n_words", "n_removed", "kept_sha256")), wanted)
+
+
+def test_repeats_keep_columns(spark):
+    df = documents(spark)
+    out = repeats.without_repeats(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    assert {r["spans"] for r in out.collect()} == {"clash"}
+
+
+def plain_quality(t):
+    w = WORD.findall(t)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    seen = set()
+    for i in range(len(w) - 2):
+        if grams[tuple(w[i : i + 3])] > 1:
+            seen |= {i, i + 1, i + 2}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(seen)
+
+
+def test_quality(docs):
+    out = quality.judge(docs)
+    wanted = []
+    for i, t in rows(docs):
+        n, chars, symbols, dup, rep = plain_quality(t or "")
+        wanted.append((i, n, chars, symbols, dup, rep, n < 50 or 100 * rep > 50 * n))
+    same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), wanted)
+    assert not out.filter("base_failed and kept").count()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in quality.keep(docs).select("doc_id", "text").collect()) == sorted((i or 0, t) for i, t in rows(docs.join(out.filter("kept").select("doc_id").distinct(), docs["doc_id"].eqNullSafe(out["doc_id"]), "left_semi")))
+
+
+def test_quality_keeps_what_is_labelled_good(spark, sf):
+    labelled = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed")
+    good, bad = (labelled.filter(f"quality = {q}") for q in (1, 0))
+    assert good.filter("kept").count() >= 0.99 * good.count() and bad.filter("not kept").count() >= 0.95 * bad.count()
+
+
+def plain_fingerprint(t):
+    w = [m.encode() for m in WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))]
+    sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+    hs = [xxhash.xxh64_intdigest(x, 42) for x in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+
+def plain_components(pairs):
+    fps = defaultdict(list)
+    for i, t in pairs:
+        fps[plain_fingerprint(t or "")].append(i)
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    own = list(fps)
+    for k, a in enumerate(own):
+        for b in own[k + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    least = defaultdict(list)
+    for f, ids in fps.items():
+        least[find(f)] += [i for i in ids if i is not None]
+    return [(i, f"{f:016x}", min(least[find(f)], default=None)) for f, ids in fps.items() for i in ids]
+
+
+def digest(df):
+    from pyspark.sql import functions as F
+
+    return simhash.near_duplicates(df).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def test_simhash(docs):
+    same(digest(docs), plain_components(rows(docs)))
+
+
+def test_simhash_large_groups(spark, monkeypatch):
+    """Many near copies in one key, through every way of walking a group."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    start = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    fps = np.unique(np.concatenate([start, *((f ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) for f in start)]))
+
+    def groups(pairs):
+        root = {int(f): int(f) for f in fps}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for a, b in pairs:
+            root[find(int(a))] = find(int(b))
+        return Counter(Counter(find(int(f)) for f in fps).values())
+
+    every = groups((a, b) for k, a in enumerate(fps) for b in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ a) <= 3])
+    assert groups((a, b) for x, y in simhash.forest(fps) for a, b in zip(x, y, strict=True)) == every
+    monkeypatch.setattr(simhash, "WALK", 50)
+    assert groups((a, b) for x, y in simhash.forest(fps) for a, b in zip(x, y, strict=True)) == every
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    linked = simhash.links(df).collect()
+    assert groups((np.int64(a).view(np.uint64), np.int64(b).view(np.uint64)) for a, b in linked) == every
+    roots = Counter(r["root"] for r in simhash.components(simhash.links(df)).collect())
+    assert Counter(roots.values()) + Counter({1: every[1]}) == every
+
+
+def test_golay_keys_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    f = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    g = f.copy()
+    for i in range(len(g)):
+        for b in rng.choice(64, rng.integers(0, 4), replace=False):
+            g[i] ^= np.uint64(1) << np.uint64(b)
+    sets = []
+    for x in (f, g):
+        own = [set() for _ in x]
+        for r, k in zip(*simhash.keys(x), strict=True):
+            own[r].add(int(k))
+        sets.append(own)
+    assert all(a & b for a, b in zip(*sets, strict=True))
+
+
+def test_keep_first(docs):
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    wanted = {(i, c) for i, _, c in plain_components(rows(docs)) if i == c}
+    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect()) == sorted((i is not None, i) for i, _ in wanted)
