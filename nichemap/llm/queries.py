@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, repeats, secrets, simhash, spans
+from . import ann, bpe, html, packing, pii, quality, repeats, secrets, simhash, spans, toxicity
 from .common import documents, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(documents(table(spark, sf_dir, "documents")), ("n_words", "n_removed", "kept_sha256"))
 
 
+def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"))
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,6 +47,10 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(documents(table(spark, sf_dir, "documents")), secrets.find, secrets.KINDS, secrets.BASE)
 
@@ -46,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_best_fit_packing, op3_substring_dedup, op6_quality_rules, op7_simhash_components, op9_secrets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_personal_data, op2_best_fit_packing, op3_substring_dedup, op4_one_bit_neighbours, op5_toxicity, op6_quality_rules, op7_simhash_components, op8_main_text, op9_secrets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -244,5 +244,5 @@ def keep_first(df: DataFrame) -> DataFrame:
     doc_id one stays."""
     kept = near_duplicates(df).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).count()
     kept = cut(kept)
-    stay = df.join(kept.select("_kept").hint("shuffle_hash"), df["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    stay = df.join(kept.hint("shuffle_hash"), df["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     return stay.dropDuplicates(["doc_id"]) if kept.filter("count > 1").limit(1).count() else stay

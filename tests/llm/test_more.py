@@ -1,0 +1,151 @@
+"""Neighbours, toxicity, main text and the pipeline."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import documents
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from nichemap.llm import ann, html, packing, pii, queries, spans, toxicity
+from test_operators import WORD, plain_components, plain_quality, plain_repeats
+
+
+def plain_nearest(rows, k=20, every=20):
+    good = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good[i] = min(good.get(i, v), v)
+    ids = sorted(good)
+    for i in ids:
+        if i % every == 0:
+            own = sorted((-float((np.array(good[i], float) * np.array(good[j], float)).sum()), j) for j in ids if j != i and len(good[j]) == len(good[i]))
+            for rank, (s, j) in enumerate(own[:k], 1):
+                yield i, rank, j, -s
+
+
+def recall(got, wanted):
+    a, b = {(r["query_id"], r["vec_id"]) for r in got}, {(q, v) for q, _, v, _ in wanted}
+    return len(a & b) / max(1, len(b))
+
+
+def test_neighbours(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    wanted = list(plain_nearest([(r["vec_id"], r["embedding"]) for r in df.collect()]))
+    for size in (8192, 100):
+        monkeypatch.setattr(ann, "VECTORS", size)
+        monkeypatch.setattr(ann, "QUERIES", size // 8)
+        got = queries.op4_one_bit_neighbours(spark, sf).collect()
+        assert len(got) == len(wanted) and recall(got, wanted) >= 0.97
+        score = {(q, v): s for q, _, v, s in plain_nearest([(r["vec_id"], r["embedding"]) for r in df.collect()], k=10**6)}
+        assert all(abs(score[r["query_id"], r["vec_id"]] - r["score"]) < 1e-12 for r in got)
+
+
+def test_neighbours_awkward(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, []), (160, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 1.0])]
+    rows += [(k, [1.0, 1.0]) for k in range(1001, 1060)] + [(1, [2.0, 0.5]), (2, [-1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, ids int")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert [tuple(r) for r in sorted(got)] == sorted(plain_nearest(rows))
+    assert not ann.nearest(df.limit(0), F.lit(True)).count()
+
+
+def test_toxicity_holds_out_and_learns(spark, sf):
+    got = queries.op5_toxicity(spark, sf.replace("0.01", "0.1")).collect()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf.replace('0.01', '0.1')}/labels.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    pairs = Counter((labels[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in labels)
+    assert pairs[1, 1] >= 0.85 * (pairs[1, 1] + pairs[1, 0]) and pairs[1, 1] >= 0.95 * (pairs[1, 1] + pairs[0, 1])
+
+
+def test_toxicity_finds_the_sentence(spark):
+    rng = np.random.default_rng(2)
+    plain = lambda: " ".join(rng.choice(["sun", "tree", "river", "stone", "cloud", "grass"], 6)) + "."
+    bad = lambda: "you are a " + rng.choice(["moron", "clown"]) + "."
+    rows = [(k, " ".join([plain() for _ in range(5)] + ([bad()] if k % 2 else []) + [plain()]), k % 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    found = toxicity.sentences(df, model).collect()
+    assert {r["doc_id"] for r in found} == {k for k in range(300) if k % 2} and all(r["words"].startswith("you are a") for r in found)
+
+
+def test_toxicity_awkward(spark):
+    df = documents(spark)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(df, toxicity.train(df, none)).collect()} == {0.0}
+    odd = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (7, None), (9, 0), (11, 0)], "doc_id long, toxic int")
+    assert toxicity.score(df, toxicity.train(df, odd)).count() == df.count()
+
+
+def test_main_text(spark, sf):
+    import re
+
+    got = queries.op8_main_text(spark, sf).collect()
+    page = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in got:
+        own = re.search(r"<article>(.*?)</article>", page[r["page_id"]], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x) if "<br>" in x else re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", own)]
+        assert r["text"] == "\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("", ""),
+    ("plain words only", "plain words only"),
+    ("<div class='with-sidebar'><article><h1>T</h1><p>A &amp; b,\n  c.</p></article></div><footer>no</footer>", "T\nA & b, c."),
+    ("<nav>menu</nav><main><p>One, two.<form>x</form><p>Three<div class=comments><p>great post, really!</div></main>", "One, two.\nThree"),
+    ("<body><div id=menu><a href=x>a</a></div><div class='post-content'><h1>T</h1><p>Hello, world. A long paragraph, with words.<p>Second one, here.</div><div>copyright 2020</div>", "T\nHello, world. A long paragraph, with words.\nSecond one, here."),
+    ("<article><p>a<script>var t='</p>';</script>b<!-- <p>c --></p><p hidden>no<p>d<br>e <b>f</article>", "ab\nd e f"),
+    ("<article><p>unclosed <i>tag<div>x</div><style>p{}", "unclosed tag\nx"),
+])
+def test_main_text_by_hand(page, text):
+    assert html.main_text(page) == text
+
+
+def test_main_text_awkward(spark):
+    df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<p>hi" * 20_000, "x")], "page_id long, url string, html string, text string")
+    assert sorted(r["n_chars"] for r in html.extract(df).collect()) == [0, 0, 3 * 20_000 - 1]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def plain_pipeline(pairs):
+    def passes(t):
+        n, chars, symbols, dup, rep = plain_quality(t or "")
+        t = t or ""
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        upper = sum(c.isupper() for c in t)
+        return not (n < 50 or 100 * rep > 50 * n or 100 * symbols > 10 * n or (100 * dup > 40 * lines and dup >= 2) or 100 * upper > 40 * len(t) or 100 * t.count("!") > 30 * n or chars < 2 * n or chars > 20 * n)
+
+    kept = [(i, t) for i, t in pairs if passes(t)]
+    stay = {i for i, _, c in plain_components(kept) if i == c}
+    kept = list({i: t for i, t in kept if i in stay}.items())
+    out = []
+    for (i, w, gone), (_, t) in zip(plain_repeats(kept), kept, strict=True):
+        t = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t
+        t = spans.masked(t, sum(pii.find(t), []))
+        ids = packing.token_bytes([t], queries.WORD_BPE)[0] + b"\x01\0\0\0"
+        out += [(i, p, len(ids[a : a + 16384]) // 4, zlib.crc32(ids[a : a + 16384])) for p, a in enumerate(range(0, len(ids), 16384))]
+    return out
+
+
+def test_pipeline(spark, sf):
+    pairs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = corpus_pipeline.run(spark, sf)
+    assert Counter(tuple(r) for r in got.select("doc_id", "piece", "length", "ids_crc32").collect()) == Counter(plain_pipeline(pairs))
+    room = Counter()
+    for r in got.collect():
+        room[r["sequence_id"]] += r["length"]
+    assert max(room.values()) <= 4096
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_awkward(spark, empty):
+    docs = documents(spark, [] if empty else None).withColumn("n_chars", F.length("text").cast("long"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() <= docs.count()
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
