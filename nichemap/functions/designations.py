@@ -105,7 +105,11 @@ class Normaliser:
     def parse(self, df: DataFrame, key: list[str], sources: list[Column]) -> DataFrame:
         """A row a designation of each row of df: key, source, pos, token and its parse, the first of each canonical key over
         the sources in order; unusable ones too, but no empty keys."""
-        tokens = F.flatten(F.array(*[F.transform(self.raw_tokens(s), lambda x, i, n=n: F.struct(F.lit(n).alias("source"), i.alias("pos"), x.alias("token"))) for n, s in enumerate(sources)]))
+
+        def numbered(n: int, source: Column) -> Column:
+            return F.transform(self.raw_tokens(source), lambda x, i: F.struct(F.lit(n).alias("source"), i.alias("pos"), x.alias("token")))
+
+        tokens = F.flatten(F.array(*[numbered(n, s) for n, s in enumerate(sources)]))
         rows = self.parse_tokens(df.select(*key, F.explode(tokens).alias("_t")).select(*key, "_t.*")).filter(F.col("canonical") != "")
         best = F.min_by(F.struct("source", "pos", "token", "raw", "kind", "collection"), F.struct("source", "pos")).alias("_b")
         return rows.groupBy(*key, "canonical").agg(best).select(*key, "canonical", "_b.*")

@@ -122,17 +122,17 @@ def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need
 def baselines(s: DataFrame, named: DataFrame, light: DataFrame, normaliser: Normaliser, need_taxon: bool) -> DataFrame:
     """What raw strings alone would find: whole strings, tokens, and tokens without the check. A whole string is judged by the
     best kind among its tokens, a token by its own."""
-    key, raw = "bacdive_id", F.explode(F.array(*SOURCES)).alias("raw")
-    strings = s.select(key, "genus", "_ids", raw).filter(F.trim("raw") != "").withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", ""))
-    tokens = normaliser.parse_tokens(strings.withColumn("token", F.explode(normaliser.raw_tokens(F.col("raw")))))
+    key, raw = "bacdive_id", F.explode(F.array(*SOURCES)).alias("text")
+    strings = s.select(key, "genus", "_ids", raw).filter(F.trim("text") != "").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    tokens = normaliser.parse_tokens(strings.withColumn("token", F.explode(normaliser.raw_tokens(F.col("text")))))
     # a token that folds to nothing has no kind of its own
     kind = F.when(F.col("canonical") == "", "unusable").otherwise(F.col("kind"))
     tokens = tokens.withColumn("kind", kind)
     rank = F.max(F.when(F.col("kind") == "collection", 2).when(F.col("kind") == "bare", 1).otherwise(0))
-    whole = tokens.groupBy(key, "raw").agg(rank.alias("r"), F.first("genus").alias("genus"), F.first("_ids").alias("_ids")).withColumn("kind", F.when(F.col("r") == 2, "collection").when(F.col("r") == 1, "bare").otherwise("unusable"))
+    whole = tokens.groupBy(key, "text").agg(rank.alias("r"), F.first("genus").alias("genus"), F.first("_ids").alias("_ids")).withColumn("kind", F.when(F.col("r") == 2, "collection").when(F.col("r") == 1, "bare").otherwise("unusable"))
     text = F.regexp_replace("ncbi_strain_identifiers", r"^\s+|\s+$", "")
     ok = accepted(F.col("kind"), via(F.col("genus"), F.col("_ids")), need_taxon)
-    full = whole.join(named.select("accession", text.alias("raw")), "raw").join(light, "accession").select(key, ok.alias("raw_full"), F.lit(False).alias("raw_token"), F.lit(False).alias("raw_any"))
+    full = whole.join(named.select("accession", text.alias("text")), "text").join(light, "accession").select(key, ok.alias("raw_full"), F.lit(False).alias("raw_token"), F.lit(False).alias("raw_any"))
     split = tokens.join(named.select("accession", F.explode(normaliser.raw_tokens(F.col("ncbi_strain_identifiers"))).alias("token")), "token").join(light, "accession").select(key, F.lit(False).alias("raw_full"), ok.alias("raw_token"), F.lit(True).alias("raw_any"))
     return full.unionByName(split).groupBy(key).agg(F.max("raw_full").alias("raw_full"), F.max("raw_token").alias("raw_token"), F.max("raw_any").alias("raw_any"))
 

@@ -73,7 +73,7 @@ WITH p AS ({SQL_PARTS}), g AS ({sql_grid(PARTS)}), n AS (SELECT count(*)::DOUBLE
 a AS (SELECT p_type, count(*) AS c FROM p GROUP BY 1), b AS (SELECT p_brand, count(*) AS c FROM p GROUP BY 1), s AS (SELECT size_bin, count(*) AS c FROM p GROUP BY 1),
 o AS (SELECT p_type, p_brand, size_bin, count(*) AS c FROM p GROUP BY ALL)
 SELECT g.cell_id, g.p_type, g.p_brand, g.size_bin, coalesce(o.c, 0) AS observed,
- round(coalesce(n.n * (a.c / n.n) * (b.c / n.n) * (s.c / n.n), 0), 6) AS expected,
+ round(coalesce(n.n * (a.c / n.n) * (b.c / n.n) * (s.c / n.n), 0), 9) AS expected,
  coalesce(n.n * (a.c / n.n) * (b.c / n.n) * (s.c / n.n), 0) >= 3 AS testable
 FROM g CROSS JOIN n LEFT JOIN a USING (p_type) LEFT JOIN b USING (p_brand) LEFT JOIN s USING (size_bin) LEFT JOIN o USING (p_type, p_brand, size_bin)""")
 def occupancy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def occupancy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parts(spark, sf_dir)
     own = occupancy.expected(df.withColumn("stratum", F.lit("all")), PARTS)
     out = occupancy.counts(df, PARTS).join(own, "cell_id", "left").fillna(0.0, ["expected"])
-    return out.select("cell_id", *PARTS, "observed", F.round("expected", 6).alias("expected"), (F.col("expected") >= 3).alias("testable"))
+    return out.select("cell_id", *PARTS, "observed", F.round("expected", 9).alias("expected"), (F.col("expected") >= 3).alias("testable"))
 
 
 SQL_STRATA = f"c AS ({SQL_CUSTOMERS}), k AS (SELECT *, count(*) OVER (PARTITION BY taxon) AS size FROM c), used AS (SELECT * FROM k WHERE size >= {MIN_STRATUM})"
@@ -301,7 +301,7 @@ def attrition_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGS = {"discounted": "l_discount > 0.04", "taxed": "l_tax > 0.03", "large": "l_quantity > 40", "returned": "l_returnflag = 'R'"}
 
 
-@query("WITH " + f"f AS (SELECT {', '.join(f'({v})::INT AS {k}' for k, v in FLAGS.items())} FROM lineitem), n AS (SELECT count(*)::DOUBLE AS n FROM f), " + "p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS row, '{b}' AS col, sum({a} * {b})::BIGINT AS both, sum({a}) AS x, sum({b}) AS y FROM f" for a in FLAGS for b in FLAGS) + ") SELECT row, col, both, round(both / x, 9) AS conditional, CASE WHEN row <> col THEN round(n * both / (x::DOUBLE * y), 9) END AS lift FROM p, n")
+@query("WITH " + f"f AS (SELECT {', '.join(f'({v})::INT AS {k}' for k, v in FLAGS.items())} FROM lineitem), n AS (SELECT count(*)::DOUBLE AS n FROM f), " + "p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS fa, '{b}' AS fb, sum({a} * {b})::BIGINT AS ab, sum({a}) AS x, sum({b}) AS y FROM f" for a in FLAGS for b in FLAGS) + ") SELECT fa AS \"row\", fb AS \"col\", ab AS \"both\", round(ab / x, 9) AS conditional, CASE WHEN fa <> fb THEN round(n * ab / (x::DOUBLE * y), 9) END AS lift FROM p, n")
 def co_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = coverage.co_coverage(table(spark, sf_dir, "lineitem"), {k: F.expr(v) for k, v in FLAGS.items()})
     return out.withColumns({c: F.round(c, 9) for c in ("conditional", "lift")})
@@ -448,14 +448,14 @@ def capacity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("size", "maps", "cells_min", "cells_max", "N_min", "N_max", F.round("expected_median_median", 6).alias("expected_median_median"), F.round("expected_min", 6).alias("expected_min"))
 
 
-@query("""WITH b AS (SELECT (o_custkey // 2) * 2 AS start, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT unnest(range(0, (SELECT max(start) FROM b) + 2, 2)) AS start), f AS (SELECT start, coalesce(n, 0) > 2 AS full FROM s LEFT JOIN b USING (start)),
-i AS (SELECT *, row_number() OVER (ORDER BY start) - row_number() OVER (PARTITION BY full ORDER BY start) AS island FROM f) SELECT min(start) AS first_id, max(start) + 1 AS last_id, count(*) AS batches FROM i WHERE NOT full GROUP BY island""")
+@query("""WITH b AS (SELECT o_custkey AS start, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT unnest(range(0, (SELECT max(start) FROM b) + 1)) AS start), f AS (SELECT start, coalesce(n, 0) > 5 AS filled FROM s LEFT JOIN b USING (start)),
+i AS (SELECT *, row_number() OVER (ORDER BY start) - row_number() OVER (PARTITION BY filled ORDER BY start) AS island FROM f) SELECT min(start) AS first_id, max(start) AS last_id, count(*) AS batches FROM i WHERE NOT filled GROUP BY island""")
 def sweep_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of batches with (nearly) nothing in them, as ranges of ids."""
-    own = table(spark, sf_dir, "orders").groupBy((F.floor(F.col("o_custkey") / 2) * 2).alias("start")).agg(F.count("*").alias("n"))
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("start")).agg(F.count("*").alias("n"))
     most = own.agg(F.max("start")).first()[0]
-    found = batches.all_starts(spark, 0, most, 2).join(own, "start", "left").select("start", F.when(F.col("n") > 2, F.col("n")).otherwise(0).alias("n"))
-    return batches.empty_ranges(found, 2, 1)
+    found = batches.all_starts(spark, 0, most, 1).join(own, "start", "left").select("start", F.when(F.col("n") > 5, F.col("n")).otherwise(0).alias("n"))
+    return batches.empty_ranges(found, 1, 1)
 
 
 @query("WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 15))::BIGINT AS h FROM orders) SELECT count(*) AS n_rows, 4 AS n_columns, bit_xor(h) AS content FROM h")

@@ -32,8 +32,8 @@ def missing(starts: DataFrame, have: DataFrame, limit: int | None = None) -> Dat
 def empty_ranges(found: DataFrame, size: int, least: int = 10) -> DataFrame:
     """first_id, last_id and batches of runs of at least `least` consecutive batches without records. found: start and n."""
     empty = found.filter("n = 0").select("start")
-    # in a run, start / size and the number of the empty batch grow alike
-    island = F.col("start") / size - F.row_number().over(W.orderBy("start"))
+    # in a run, the start and the number of the empty batch grow alike
+    island = F.col("start") - size * F.row_number().over(W.orderBy("start"))
     runs = empty.withColumn("_island", island).groupBy("_island").agg(F.min("start").alias("first_id"), (F.max("start") + size - 1).alias("last_id"), F.count("*").alias("batches"))
     return runs.filter(F.col("batches") >= least).drop("_island")
 
