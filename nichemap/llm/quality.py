@@ -60,15 +60,17 @@ def repeat_words(own: Column) -> Column:
     return let(own, by_window)
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def statistics(text: Column, own: Column | None = None) -> dict[str, Column]:
+    """The statistics of a text; own: its words, where they are at hand."""
     t = F.coalesce(text, F.lit(""))
+    w = words(t) if own is None else own
     long = lambda c: c.cast("long")
     return {
-        "n_words": long(F.size(words(t))),
-        "word_chars": long(F.length(F.array_join(words(t), ""))),
+        "n_words": long(F.size(w)),
+        "word_chars": long(F.length(F.array_join(w, ""))),
         "n_symbols": long(dropped(t, r"[#*$%&|<>]")),
         "n_dup_lines": long(let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x)))),
-        "n_repeat_words": long(repeat_words(words(t))),
+        "n_repeat_words": long(repeat_words(w)),
         "n_lines": long(F.size(lines(t))),
         "n_upper": long(dropped(t, r"\p{Lu}")),
         "n_bangs": long(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))),
@@ -132,4 +134,5 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df, with all their columns, that no rule rejects; what later rules need is not worked out for a text that
     an earlier one rejects."""
-    return df.filter(cascade(ordered(df, rules), statistics(F.col("text"))))
+    order = ordered(df, rules)
+    return df.filter(let(words(F.coalesce(F.col("text"), F.lit(""))), lambda w: cascade(order, statistics(F.col("text"), w))))
