@@ -24,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, texts_of
+from .common import Memory, map_arrow, texts_of
 
 WIDTHS = (8, 16, 32, 64)
-#: Cells of one matrix of trees, and pieces that a worker remembers.
-CELLS, REMEMBERED = 1 << 20, 400_000
+#: Cells of one matrix of trees, and pieces that a worker remembers in each generation.
+CELLS, REMEMBERED = 1 << 20, 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -192,20 +192,17 @@ def decode(ids: list[int], path: str) -> bytes:
     return b"".join(map(ranks(path).token.__getitem__, ids))
 
 
-_memory: dict[str, dict[str, tuple[str, bytes]]] = {}
+_memory: dict[str, Memory] = {}
 
 
 def _known(lists: list[list[str]], path: str) -> dict[str, tuple[str, bytes]]:
     """For every piece its ids, written out, and what these decode to."""
-    seen = _memory.setdefault(path, {})
-    here = set().union(*lists)
-    new = [x for x in here if x not in seen]
-    if len(seen) + len(new) > REMEMBERED:
-        seen = _memory[path] = {x: seen[x] for x in here if x in seen}
     book = ranks(path)
-    for x, ids in zip(new, book.encode_pieces([x.encode() for x in new]), strict=True):
-        seen[x] = ",".join(map(str, ids)), b"".join(map(book.token.__getitem__, ids))
-    return seen
+
+    def work_out(new: list[str]) -> list[tuple[str, bytes]]:
+        return [(",".join(map(str, ids)), b"".join(map(book.token.__getitem__, ids))) for ids in book.encode_pieces([x.encode() for x in new])]
+
+    return _memory.setdefault(path, Memory(REMEMBERED)).fill(set().union(*lists), work_out)
 
 
 def roundtrip(df: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:

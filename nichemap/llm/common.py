@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches between the JVM and Python end at either bound, so that a run of long texts stays small in memory.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 #: The bytes that `[^\x20\x09-\x0D]+` leaves out of words; bytes.split() splits at exactly these.
 SPACES = "\t\n\x0b\x0c\r "
@@ -39,6 +39,28 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     return df.mapInArrow(each, schema)
 
 
+class Memory:
+    """What a worker has worked out by word, in two generations: of the older one only what is asked for again stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def fill(self, words: set[str], work_out: Callable[[list[str]], Iterable]) -> dict:
+        """A dict with all the words."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for x in words:
+            if x not in young:
+                if x in old:
+                    young[x] = old[x]
+                else:
+                    new.append(x)
+        young.update(zip(new, work_out(new), strict=True))
+        return young
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, texts_of
+from .common import Memory, cut, map_arrow, texts_of
 
 CAPACITY, END = 4096, 1
-#: Pieces that one bucket of one length holds, about; words that a worker remembers.
-BUCKET, REMEMBERED = 5_000, 500_000
+#: Pieces that one bucket of one length holds, about; words that a worker remembers in each generation.
+BUCKET, REMEMBERED = 5_000, 150_000
 #: The vocabulary's own rule for words, on lower-cased text. Texts with other characters than these go to the library whole.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 UNUSUAL = regex.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0132-\\u017e]|<\\|").search
@@ -48,20 +48,19 @@ def _tokenizer(path: str):
     return own
 
 
-_memory: dict[str, dict[str, bytes]] = {}
+_memory: dict[str, Memory] = {}
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
-    own, seen = _tokenizer(path), _memory.setdefault(path, {})
+    own = _tokenizer(path)
     lists = [None if UNUSUAL(x) else WORDS(x.lower()) for x in texts]
-    here = set().union(*(x for x in lists if x is not None))
-    new = [x for x in here if x not in seen]
-    if len(seen) + len(new) > REMEMBERED:
-        seen = _memory[path] = {x: seen[x] for x in here if x in seen}
     write = lambda x: np.array(x.ids, "<u4").tobytes()
-    for at in range(0, len(new), 20_000):
-        seen.update(zip(new[at : at + 20_000], map(write, own.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)), strict=True))
+
+    def encode(new: list[str]) -> list[bytes]:
+        return [write(x) for at in range(0, len(new), 20_000) for x in own.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
+
+    seen = _memory.setdefault(path, Memory(REMEMBERED)).fill(set().union(*(x for x in lists if x is not None)), encode)
     get = seen.__getitem__
     return [b"".join(map(get, words)) if words is not None else write(own.encode(text, add_special_tokens=False)) for text, words in zip(texts, lists, strict=True)]
 
