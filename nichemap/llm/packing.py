@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -48,17 +49,28 @@ def _tokenizer(path: str):
     return own
 
 
+@lru_cache(2)
+def _word_tokenizer(path: str):
+    """The same merges for single words that are lower-cased and cut already."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    own = Tokenizer(_tokenizer(path).model)
+    own.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return own
+
+
 _memory: dict[str, Memory] = {}
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
-    own = _tokenizer(path)
+    own, by_word = _tokenizer(path), _word_tokenizer(path)
     lists = [None if UNUSUAL(x) else WORDS(x.lower()) for x in texts]
-    write = lambda x: np.array(x.ids, "<u4").tobytes()
+    write = lambda x: array("I", x.ids).tobytes()
 
     def encode(new: list[str]) -> list[bytes]:
-        return [write(x) for at in range(0, len(new), 20_000) for x in own.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
+        return [write(x) for at in range(0, len(new), 20_000) for x in by_word.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
 
     seen = _memory.setdefault(path, Memory(REMEMBERED)).fill(set().union(*(x for x in lists if x is not None)), encode)
     get = seen.__getitem__
