@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,9 +34,14 @@ from .common import Memory, cut, map_arrow, texts_of
 CAPACITY, END = 4096, 1
 #: Pieces that one bucket of one length holds, about; words that a worker remembers in each generation.
 BUCKET, REMEMBERED = 5_000, 150_000
-#: The vocabulary's own rule for words, on lower-cased text. Texts with other characters than these go to the library whole.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-UNUSUAL = regex.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0132-\\u017e]|<\\|").search
+#: The vocabulary's own rule for words, on lower-cased text, as this module's classes say it for the characters that are
+#: usual: ASCII and Latin letters, marks and signs. Texts with any other character go to the library whole.
+WORDS = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+").findall
+_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u012f\\u0132-\\u017e]").search
+
+
+def unusual(text: str) -> bool:
+    return "<|" in text or _OTHER(text) is not None
 
 
 @lru_cache(2)
@@ -66,7 +71,7 @@ _memory: dict[str, Memory] = {}
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
     own, by_word = _tokenizer(path), _word_tokenizer(path)
-    lists = [None if UNUSUAL(x) else WORDS(x.lower()) for x in texts]
+    lists = [None if unusual(x) else WORDS(x.lower()) for x in texts]
     write = lambda x: array("I", x.ids).tobytes()
 
     def encode(new: list[str]) -> list[bytes]:
