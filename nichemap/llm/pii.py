@@ -44,12 +44,15 @@ AT, DOT, PLUS = "at|arroba|arobase|klammeraffe", "dot|punto|point|punkt", "plus|
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"(?i)(?:\b(?:{PLUS})[ -])?\b(?:{_WORD})\b(?:[ ,.-]{{1,2}}\b(?:{_WORD}|[0-9]+)\b)+")
 _RUN_WORD = re.compile(rf"(?i)\b(?:({PLUS})|({_WORD})|([0-9]+))\b|([.])")
-_BRACKET_AT = re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*")
-_BRACKET_DOT = re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*")
-_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:{AT}) |@| @ )[A-Za-z0-9-]+(?:(?: (?:{DOT}) |\.)[A-Za-z0-9-]+)*(?: (?:{DOT}) (?:{TOP})\b)")
+_BRACKET_AT = re.compile(rf"(?i)(?<!\s)\s*+(?:[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]|&\#64;|&\#x40;|&commat;)\s*")
+_BRACKET_DOT = re.compile(rf"(?i)(?<!\s)\s*+(?:[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]|&\#46;|&\#x2e;|&period;)\s*")
+_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]+ (?:{DOT}) ){{0,4}}[A-Za-z0-9._%+-]+(?: (?:{AT}) |@| @ )[A-Za-z0-9-]+(?:(?: (?:{DOT}) |\.)[A-Za-z0-9-]+)*(?: (?:{DOT}) (?:{TOP})\b)")
+# a name of several parts before a bare at, and a domain with its own full stops after it
+_NAMED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z][A-Za-z0-9]*(?:[._+-][A-Za-z0-9]+)+ at [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{TOP})\b")
+_AT_DOMAIN = re.compile(rf" at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{TOP})\b")
 _BARE_AT, _BARE_DOT = re.compile(rf"(?i) (?:{AT}|@) "), re.compile(rf"(?i) (?:{DOT}) ")
 _FOREIGN = re.compile("[^\\x00-\\x7e\\xa0-\\xb6\\xb8-\\u024f\\u2018-\\u201f\\u2026\\u20ac]|\\xa0|\\xad")
-_BRACKETED = re.compile(rf"(?i)[\[({{<]\s*(?:{AT}|{DOT}|@|\.)\s*[\])}}>]")
+_BRACKETED = re.compile(rf"(?i)[\[({{<]\s*(?:{AT}|{DOT}|@|\.)\s*[\])}}>]|&(?:#64|#x40|commat|#46|#x2e|period);")
 
 
 def luhn(digits: str) -> bool:
@@ -146,6 +149,7 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
 
 def _plain(m: re.Match) -> list[tuple[str, int, int]]:
     """An address with its bare at and dots written as characters."""
+    # the first at is the address's; a dot may stand on either side of it
     marks = sorted([(x.span(), "@") for x in _BARE_AT.finditer(m.string, *m.span())][:1] + [(x.span(), ".") for x in _BARE_DOT.finditer(m.string, *m.span())])
     out, at = [], m.start()
     for (a, b), c in marks:
@@ -160,7 +164,8 @@ def normalise(text: str) -> Tape | None:
     foreign, bracketed = not text.isascii() and _FOREIGN.search(text), _BRACKETED.search(text)
     spelled = not SPELLED.keys().isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split())
     bare = any(f" {x} " in low for x in DOT.split("|"))
-    if not (foreign or bracketed or spelled or bare):
+    named = _AT_DOMAIN.search(low)
+    if not (foreign or bracketed or spelled or bare or named):
         return None
     tape = Tape(text)
     if foreign:
@@ -170,6 +175,8 @@ def normalise(text: str) -> Tape | None:
         tape.rewrite(_BRACKET_DOT, lambda m: [(".", *m.span())])
     if bare or foreign:
         tape.rewrite(_BARE, _plain)
+    if named or foreign:
+        tape.rewrite(_NAMED, _plain)
     if spelled or foreign:
         tape.rewrite(_RUN, _digits)
     return tape if tape.text != text else None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nichemap.llm import ann, html, packing, pii, queries, spans, toxicity
-from test_operators import WORD, plain_components, plain_quality, plain_repeats
+from test_text_operators import WORD, plain_components, plain_quality, plain_repeats
 
 
 def plain_nearest(rows, k=20, every=20):

@@ -65,7 +65,11 @@ def test_pii(docs):
     ("plus four four seven one two three four five six seven eight nine", [("phone", "plus four four seven one two three four five six seven eight nine")]),
     ("x＠ｙ．com, 192․168.0.1 аb@сd.org", [("email", "x＠ｙ．com"), ("email", "аb@сd.org"), ("ip", "192․168.0.1")]),
     ("a​b@c​d.org", [("email", "a​b@c​d.org")]),
+    ("jane dot doe at mail dot example dot com!", [("email", "jane dot doe at mail dot example dot com")]),
+    ("jane.doe at example.com, look at example.com", [("email", "jane.doe at example.com")]),
+    ("a&#64;b&#46;com", [("email", "a&#64;b&#46;com")]),
     ("so at the dot of it; one two, three", []),
+    ("a dot " * 20_000 + " at " + "b dot " * 20_000 + "(" * 20_000 + " " * 20_000 + "[at", []),
 ])
 def test_pii_disguised(text, found):
     base, more = pii.find(text)
