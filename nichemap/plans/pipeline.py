@@ -56,6 +56,7 @@ def report(spark: SparkSession, cfg: Config, n_perm: int | None = None, grid: bo
     interim, folder, final = cfg.path("interim"), cfg.path("reports"), cfg.path("final")
     df = spark.read.parquet(str(interim / "strains.parquet"))
     made = reports.tables(df, cfg, n_perm, grid)
+    made["unmatched_reasons"] = reports.reasons(tables.tsv(spark, str(interim / "unmatched_strains.tsv")))
     text = ["# Occupancy of trait space", f"Settings {cfg.sha256[:12]}, made {sinks.now()}."]
     for name, table in made.items():
         table = made[name] = table.persist()  # tables of a report are small; writing and showing one works it out once

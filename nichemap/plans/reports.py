@@ -74,15 +74,45 @@ def occupancy_of(df: DataFrame, cfg: Config, traits: list[str], view: str = "pri
     return occupancy.occupancy(sub, cfg.panel_levels(traits, binning), "bacdive_id", n_perm or a["n_perm_full"], f"gtdb_{null}" if null else None, a["min_stratum_size"], a["min_expected_for_test"], a["fdr_alpha"], a["seed"] + offset)
 
 
-def occupancy_grid(df: DataFrame, cfg: Config, nulls: tuple[str | None, ...] = NULLS, n_perm: int | None = None, view: str = "primary", sizes: tuple[int, ...] = (4, 5)) -> DataFrame:
-    """A row for each subset of the core panel and null."""
-    out = None
+def occupancy_grid(df: DataFrame, cfg: Config, nulls: tuple[str | None, ...] = NULLS, n_perm: int | None = None, view: str = "primary", sizes: tuple[int, ...] = (4, 5)) -> tuple[DataFrame, DataFrame]:
+    """(a row for each subset of the core panel and null; the cells of any map that survive the order-level shuffle, with
+    their q values there and under the global null)."""
+    out = found = None
     for j, traits in enumerate(subsets(cfg, sizes)):
+        cells = {}
         for i, null in enumerate(nulls):
-            row = occupancy_of(df, cfg, traits, view, null, n_perm or cfg["analysis"]["n_perm_subset"], 100 * i + j)[1].select(F.lit(len(traits)).alias("size"), F.lit(" + ".join(traits)).alias("traits"), F.lit(name_of(null)).alias("null"), F.lit(traits == cfg.morphology).alias("morphology_map"), "*")
+            cells[null], s = occupancy_of(df, cfg, traits, view, null, n_perm or cfg["analysis"]["n_perm_subset"], 100 * i + j)
+            row = s.select(F.lit(len(traits)).alias("size"), F.lit(" + ".join(traits)).alias("traits"), F.lit(name_of(null)).alias("null"), F.lit(traits == cfg.morphology).alias("morphology_map"), "*")
             out = row if out is None else out.unionByName(row)
+        if "order" in cells and None in cells:
+            label = F.concat_ws(", ", *(F.concat(F.lit(f"{t}="), c) for t, c in zip(traits, cfg.panel_levels(traits, VIEWS[view][0]), strict=True)))
+            row = cells["order"].filter("empty_beyond_chance").join(cells[None].select("cell_id", F.col("q_low").alias("q_global")), "cell_id")
+            row = row.select(F.lit(" + ".join(traits)).alias("traits"), label.alias("cell"), "expected", F.col("q_low").alias("q_order"), "q_global")
+            found = row if found is None else found.unionByName(row)
     # the deficits of one null over its maps are tests of one family
-    return occupancy.bh_qvalues(out, "p_fewer_occupied_than_null", ("null",), "q_deficit")
+    return occupancy.bh_qvalues(out, "p_fewer_occupied_than_null", ("null",), "q_deficit"), found
+
+
+def reasons(log: DataFrame) -> DataFrame:
+    return log.groupBy("reason").count().orderBy(F.col("count").desc(), "reason")
+
+
+def marked(merged: DataFrame, cfg: Config, traits: list[str]) -> DataFrame:
+    """The cells of a panel as a grid: counts, and a mark for what the nulls say of the empty ones."""
+    testable = F.col("global_testable") | F.col("phylum_testable") | F.col("class_testable") | F.col("order_testable")
+    mark = F.when(F.col("observed_all") > 0, F.col("observed_all").cast("string")).when(F.col("order_empty"), "**0✗**").when(F.col("category").startswith("phylogenetic"), "0†").when(testable, "0").otherwise("·")
+    across = [t for t in traits if t in ("oxygen", "temperature")] or traits[-1:]
+    return occupancy.crosstab(merged, [t for t in traits if t not in across], across, cfg.panel_levels(traits), mark)
+
+
+def side_by_side(maps: dict[str, DataFrame]) -> DataFrame:
+    """The figures of each panel's maps, a row a figure and null, a column a panel."""
+    figures = ["N", "cells", "occupied", "null_occupied_mean", "testable_cells", "empty_testable_cells", "empty_beyond_chance_cells"]
+    out = None
+    for key, m in maps.items():
+        long = m.select("null", F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.col(f).cast("double").alias(key)) for f in figures])).alias("r")).select("null", "r.*")
+        out = long if out is None else out.join(long, ["null", "figure"], "full_outer")
+    return out
 
 
 def capacity(df: DataFrame, cfg: Config, panel: list[str] | None = None) -> DataFrame:
@@ -160,6 +190,9 @@ def tables(df: DataFrame, cfg: Config, n_perm: int | None = None, grid: bool = T
             row = occupancy_of(df, cfg, cfg.core, view, null, n_perm)[1].withColumns({"view": F.lit(view), "null": F.lit(name_of(null))})
             views = row if views is None else views.unionByName(row)
     out["views_summary"] = views
+    out["panels_side_by_side"] = side_by_side({k: out[f"occupied_vs_expected_{k}"] for k in ("core", "no_spore")})
+    for key in ("core", "no_spore"):
+        out[f"crosstab_{key}"] = marked(out[f"cells_{key}_all_nulls"], cfg, panels[key])
     if grid:
-        out["occupancy_subsets_all_nulls"] = occupancy_grid(df, cfg, n_perm=n_perm)
+        out["occupancy_subsets_all_nulls"], out["order_level_survivors_all_maps"] = occupancy_grid(df, cfg, n_perm=n_perm)
     return out

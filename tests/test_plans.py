@@ -56,7 +56,7 @@ def test_stages(spark, world, monkeypatch):
     att = {r["stage"]: r["n_rows"] for r in made["attrition"].collect()}
     assert att["1. strains retrieved"] == 40 and att["5. core panel complete"] == 40
     assert made["cells_core_primary_global"].count() == 12 and made["occupancy_subsets_all_nulls"].count() == 4
-    assert {"views_summary", "positive_control_core", "phylum_occupancy_core", "strata_core", "power_expected_per_cell_core", "minimum_detectable_constraint_no_spore"} <= set(made)
+    assert {"views_summary", "panels_side_by_side", "crosstab_core", "unmatched_reasons", "order_level_survivors_all_maps", "positive_control_core", "phylum_occupancy_core", "strata_core", "power_expected_per_cell_core", "minimum_detectable_constraint_no_spore"} <= set(made)
     assert made["power_expected_per_cell_core"].count() == 7
     manifest = json.loads((world / "reports/run_manifest.json").read_text())
     assert manifest["strains"]["n_rows"] == 40 and manifest["config_sha256"] == cfg.sha256
