@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ DOI_DATE = r"\.([0-9]{8})\."
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """text without white space at its ends; null if nothing is left."""
     return F.nullif(F.regexp_replace(text.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
@@ -65,16 +71,22 @@ def parse_interval(text: Column) -> Column:
     s = F.trim(F.regexp_replace(s, r"(?i)^ph\s*|\s*(?:°\s*c|°|c|degrees?)\s*$", ""))
     s = F.regexp_replace(s, rf"\(({NUMBER})\)", "$1")
     pattern = rf"^(?:[<>]=?)?\s*({NUMBER})\s*(?:(?:-|to)\s*({NUMBER}))?$"
-    ok = s.rlike(pattern)
-    a = F.when(ok, F.regexp_extract(s, pattern, 1)).cast("double")
-    b = F.coalesce(F.when(ok, F.nullif(F.regexp_extract(s, pattern, 2), F.lit(""))).cast("double"), a)
-    return F.when(ok & ~((b < 0) & (a >= 0)), F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+
+    def ends(s: Column) -> Column:
+        a = F.regexp_extract(s, pattern, 1).try_cast("double")  # null where the pattern doesn't match, as '' is no number
+        return let(F.struct(a.alias("a"), F.coalesce(F.regexp_extract(s, pattern, 2).try_cast("double"), a).alias("b")), span)
+
+    def span(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        return F.when(a.isNotNull() & ~((b < 0) & (a >= 0)), F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+
+    return let(s, ends)
 
 
 def test_result(growth: Column, ability: Column) -> Column:
     """pos, neg, other, or null if neither is given; growth goes before ability."""
-    r = F.lower(F.coalesce(clean(growth), clean(ability)))
-    return F.when(r.isin("positive", "yes", "+"), "pos").when(r.isin("negative", "no", "-"), "neg").when(r.isNotNull(), "other")
+    said = lambda r: F.when(r.isin("positive", "yes", "+"), "pos").when(r.isin("negative", "no", "-"), "neg").when(r.isNotNull(), "other")
+    return let(F.lower(F.coalesce(clean(growth), clean(ability))), said)
 
 
 test_result.__test__ = False

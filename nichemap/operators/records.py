@@ -81,22 +81,34 @@ def categorical(trait: str, obs: Column, settings: dict) -> dict[str, Column]:
     return out
 
 
-def numeric(trait: str, obs: Column, settings: dict) -> dict[str, Column]:
-    """Bins from the optima, else from the span of growth, else from its one value. A conflict of optima stays one, whatever
-    the growth says; growth that a test without growth overlaps is a conflict too."""
-    edges, levels, coarse_map = settings["fine_edges"], settings["fine_levels"], settings["coarse_map"]
+def numeric_parts(obs: Column) -> Column:
+    """struct(optima, positive, negative) of numeric observations: midpoints of optima, ends of spans with growth, and spans
+    without. To be a column of its own, so that it is worked out once for all that `numeric` makes of it."""
     read = F.filter(obs, lambda o: o["span"].isNotNull())
     optima = F.transform(F.filter(read, lambda o: (o["type"] == "optimum") & (o["result"].isNull() | (o["result"] == "pos"))), lambda o: (o["span"]["lo"] + o["span"]["hi"]) / 2)
     grown = F.filter(read, lambda o: o["type"].isin("growth", "minimum", "maximum"))
     spans = lambda r: F.transform(F.filter(grown, lambda o: o["result"] == r), lambda o: o["span"])
     positive = F.flatten(F.transform(spans("pos"), lambda s: F.array(s["lo"], s["hi"])))
+    return F.struct(optima.alias("optima"), positive.alias("positive"), spans("neg").alias("negative"))
+
+
+def contradicted(parts: Column) -> Column:
+    """Whether a span without growth overlaps the span of growth."""
+    return F.exists(parts["negative"], lambda s: (s["lo"] <= F.array_max(parts["positive"])) & (s["hi"] >= F.array_min(parts["positive"])))
+
+
+def numeric(trait: str, obs: Column, parts: Column, settings: dict) -> dict[str, Column]:
+    """Bins from the optima, else from the span of growth, else from its one value. A conflict of optima stays one, whatever
+    the growth says; growth that a test without growth overlaps is a conflict too."""
+    edges, levels, coarse_map = settings["fine_edges"], settings["fine_levels"], settings["coarse_map"]
+    optima, positive = parts["optima"], parts["positive"]
     lo, hi = F.array_min(positive), F.array_max(positive)
     has_optimum, has_growth = F.size(optima) > 0, F.size(positive) > 0
     optimum = F.when(has_optimum, F.aggregate(optima, F.lit(0.0), lambda a, x: a + x) / F.size(optima))
     fine_bins = F.transform(optima, lambda x: V.bin_value(x, edges, levels))
     (f, f_conflict), (c, c_conflict) = V.resolve(fine_bins), V.resolve(F.transform(fine_bins, lambda x: V.mapping(coarse_map)[x]))
-    contradicted = F.exists(spans("neg"), lambda s: (s["lo"] <= hi) & (s["hi"] >= lo))
-    grown_fine = F.when(~contradicted, V.bin_value((lo + hi) / 2, edges, levels))
+    against = contradicted(parts)
+    grown_fine = F.when(~against, V.bin_value((lo + hi) / 2, edges, levels))
     pick = lambda a, b, none: F.when(has_optimum, a).when(has_growth, b).otherwise(none)
     null = F.lit(None)
     source = F.when(F.size(F.array_distinct(positive)) >= 2, "growth_range").otherwise("growth_single_point")
@@ -105,7 +117,7 @@ def numeric(trait: str, obs: Column, settings: dict) -> dict[str, Column]:
         f"{trait}_raw": F.when(F.size(obs) > 0, F.to_json(shown, {"ignoreNullFields": "false"})), f"{trait}_n_obs": F.size(obs).cast("long"), f"{trait}_opt": optimum,
         f"{trait}_growth_min": F.when(has_growth, lo), f"{trait}_growth_max": F.when(has_growth, hi), f"{trait}_point": pick(optimum, (lo + hi) / 2, null), f"{trait}_bin_source": pick(F.lit("optimum"), source, F.lit("none")),
         f"{trait}_fine": pick(f, grown_fine, null), trait: pick(c, V.mapping(coarse_map)[grown_fine], null),
-        f"{trait}_fine_conflict": pick(f_conflict, contradicted, F.lit(False)), f"{trait}_conflict": pick(c_conflict, contradicted, F.lit(False)),
+        f"{trait}_fine_conflict": pick(f_conflict, against, F.lit(False)), f"{trait}_conflict": pick(c_conflict, against, F.lit(False)),
     }
 
 
@@ -136,7 +148,8 @@ def identity(bacdive_id: Column, record: Column, fetched_at: Column) -> dict[str
 def with_observations(records: DataFrame) -> DataFrame:
     """records (bacdive_id, record, fetched_at) with an array of observations for each trait; sections are parsed once."""
     own = {f"obs_{t}": observations(F.col("record"), *spec) for t, spec in CATEGORICAL.items()}
-    return records.withColumns(own | {f"obs_{t}": numeric_observations(F.col("record"), *spec) for t, spec in NUMERIC.items()})
+    read = records.withColumns(own | {f"obs_{t}": numeric_observations(F.col("record"), *spec) for t, spec in NUMERIC.items()})
+    return read.withColumns({f"parts_{t}": numeric_parts(F.col(f"obs_{t}")) for t in NUMERIC})
 
 
 def trait_table(records: DataFrame, cfg: Config) -> DataFrame:
@@ -146,7 +159,7 @@ def trait_table(records: DataFrame, cfg: Config) -> DataFrame:
     for t in CATEGORICAL:
         columns |= categorical(t, F.col(f"obs_{t}"), cfg["traits"][t])
     for t in NUMERIC:
-        columns |= numeric(t, F.col(f"obs_{t}"), cfg["traits"][t])
+        columns |= numeric(t, F.col(f"obs_{t}"), F.col(f"parts_{t}"), cfg["traits"][t])
     return df.select(*(c.alias(n) for n, c in (columns | halophily(F.col("record"))).items()))
 
 

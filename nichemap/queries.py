@@ -153,20 +153,17 @@ SELECT id AS order_id, n_obs, round(list_avg(opt), 6) AS opt, gmin AS growth_min
  CASE WHEN opt IS NOT NULL THEN len(bins) > 1 ELSE gmin IS NOT NULL AND hit END AS fine_conflict FROM d""")
 def trait_numeric_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers with units out of nested records, binned from optima, else from growth, with contradictions found."""
-    df = measured(spark, sf_dir).withColumn("obs", records.numeric_observations(F.col("record"), *records.NUMERIC["temperature"]))
-    made = records.numeric("t", F.col("obs"), NUMERIC)
+    df = measured(spark, sf_dir).withColumn("obs", records.numeric_observations(F.col("record"), *records.NUMERIC["temperature"])).withColumn("parts", records.numeric_parts(F.col("obs")))
+    made = records.numeric("t", F.col("obs"), F.col("parts"), NUMERIC)
     return df.select(F.col("bacdive_id").alias("order_id"), made["t_n_obs"].alias("n_obs"), F.round(made["t_opt"], 6).alias("opt"), made["t_growth_min"].alias("growth_min"), made["t_growth_max"].alias("growth_max"), made["t_bin_source"].alias("bin_source"), made["t_fine"].alias("fine"), made["t"].alias("coarse"), made["t_fine_conflict"].alias("fine_conflict"))
 
 
 @query(f"WITH {SQL_MEASURED} SELECT count(*) AS orders, count(*) FILTER (hit) AS contradicted, count(*) FILTER (hit AND opt IS NULL) AS deciding FROM b WHERE gmin IS NOT NULL")
 def interval_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = measured(spark, sf_dir).withColumn("obs", records.numeric_observations(F.col("record"), *records.NUMERIC["temperature"]))
-    grown = F.filter("obs", lambda o: o["type"].isin("growth", "minimum", "maximum"))
-    span = lambda r: F.transform(F.filter(grown, lambda o: o["result"] == r), lambda o: o["span"])
-    own = df.select(span("pos").alias("pos"), span("neg").alias("neg"), F.exists("obs", lambda o: (o["type"] == "optimum") & (o["result"].isNull() | (o["result"] == "pos"))).alias("opt")).filter(F.size("pos") > 0)
-    lo, hi = F.array_min(F.transform("pos", lambda s: s["lo"])), F.array_max(F.transform("pos", lambda s: s["hi"]))
-    hit = F.exists("neg", lambda s: (s["lo"] <= hi) & (s["hi"] >= lo))
-    return own.agg(F.count("*").alias("orders"), F.count_if(hit).alias("contradicted"), F.count_if(hit & ~F.col("opt")).alias("deciding"))
+    own = df.select(records.numeric_parts(F.col("obs")).alias("p")).filter(F.size("p.positive") > 0)
+    hit = records.contradicted(F.col("p"))
+    return own.agg(F.count("*").alias("orders"), F.count_if(hit).alias("contradicted"), F.count_if(hit & (F.size("p.optima") == 0)).alias("deciding"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n, CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k') END AS k FROM events")
