@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut
 
 K, EPSILON, SEED = 20, 1.9, 11
-#: Rows of a block of vectors and of a block of queries; pairs that are scored at once; how many times k vectors are scored
-#: for the first bound.
-VECTORS, QUERIES, PAIRS, AHEAD = 16_384, 128, 1_000, 5
+#: Rows of a block of vectors and of a block of queries; queries that are compared with a block at once, and pairs that are
+#: scored at once; how many times k vectors are scored for the first bound.
+VECTORS, QUERIES, AT_ONCE, PAIRS, AHEAD = 16_384, 2_048, 128, 1_000, 5
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -127,7 +127,8 @@ def _compare(k: int, epsilon: float):
             ids, sizes = np.frombuffer(held["ids"], "<i8"), np.frombuffer(held["sizes"], "<i8")
             code = np.frombuffer(held["codes"], np.uint8).reshape(len(x), -1), *np.frombuffer(held["scalars"], float).reshape(2, -1)
             for own in right.to_pylist():
-                out.append(search(x, ids, sizes, code, np.frombuffer(own["y"], float).reshape(-1, d), np.frombuffer(own["asked"], "<i8"), k, epsilon))
+                y, asked = np.frombuffer(own["y"], float).reshape(-1, d), np.frombuffer(own["asked"], "<i8")
+                out += [search(x, ids, sizes, code, y[n : n + AT_ONCE], asked[n : n + AT_ONCE], k, epsilon) for n in range(0, len(y), AT_ONCE)]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
