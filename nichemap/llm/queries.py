@@ -63,5 +63,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_personal_data, op2_best_fit_packing, op3_substring_dedup, op4_one_bit_neighbours, op5_toxicity, op6_quality_rules, op7_simhash_components, op8_main_text, op9_secrets, op10_byte_bpe)}
 
 
+#: DuckDB SQL for the rows of queries; WORD is the pattern of words. Other queries have none: hashes, tokenizers, models,
+#: Luhn sums and transducers are beyond SQL, and nearest neighbours are approximate; tests hold them against plain versions.
+WORD = r"[^\x20\x09-\x0D]+"
+SQL = {
+    "op3_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+k AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+l AS (SELECT doc_id, s FROM (SELECT *, min(doc_id * 100000000 + s) OVER (PARTITION BY k) AS first FROM k) WHERE doc_id * 100000000 + s > first),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, s + unnest(range(20)) AS p FROM l)),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+y AS (SELECT x.doc_id, count(*) AS kept, string_agg(x, ' ' ORDER BY p) AS t FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.p = g.p GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN y ON d.doc_id = y.doc_id""",
+    "op6_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),
+k AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, w[s], w[s + 1], w[s + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, s + unnest(range(3)) AS p FROM k WHERE n > 1) GROUP BY 1),
+s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+ len(lines) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs, length(t) AS n_text FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR (100 * n_dup_lines > 40 * n_lines AND n_dup_lines >= 2) OR 100 * n_upper > 40 * n_text OR 100 * n_bangs > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM s""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -149,3 +149,15 @@ def test_pipeline_awkward(spark, empty):
         assert out.columns == docs.columns and out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    wanted = con.execute(queries.SQL[name])
+    df = queries.queries()[name](spark, sf)
+    assert df.columns == [c[0] for c in wanted.description]
+    assert Counter(map(tuple, df.collect())) == Counter(wanted.fetchall())
