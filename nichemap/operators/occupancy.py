@@ -94,32 +94,40 @@ def permuted(df: DataFrame, panel: Panel, n_perm: int, id_column: str, seed: str
     """(perm, cell_id, n) of cells that hold rows, each trait shuffled within strata by an md5 order: the same draws under
     any partitioning, and in any engine. For each trait the row of rank r in its order gives its level to place r; a place's
     cell is the sum of its traits' shares of the cell number, so that one window and two aggregations do it all."""
-    rows = complete(df, panel)
+    return _placed(df, panel, n_perm, id_column, seed).groupBy("perm", "cell_id").agg(F.count("*").alias("n"))
+
+
+def _placed(df: DataFrame, panel: Panel, n_perm: int, id_column: str, seed: str) -> DataFrame:
+    """stratum, perm, place and cell_id of every place in every permutation."""
     parts = F.array(*[F.struct(F.lit(k).alias("k"), (level_code(t, v) * s).alias("part")) for k, ((t, v), s) in enumerate(zip(panel.items(), strides(panel), strict=True))])
-    long = rows.select("stratum", F.col(id_column).alias("_id"), F.explode(parts).alias("_p")).select("stratum", "_id", "_p.*")
+    long = complete(df, panel).select("stratum", F.col(id_column).alias("_id"), F.explode(parts).alias("_p")).select("stratum", "_id", "_p.*")
     drawn = long.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col("k").cast("string"), F.col("_id").cast("string")).cast("binary"))
     placed = drawn.withColumn("place", F.row_number().over(W.partitionBy("stratum", "perm", "k").orderBy(order, "_id")))
-    cells = placed.groupBy("stratum", "perm", "place").agg(F.sum("part").alias("cell_id"))
-    return cells.groupBy("perm", "cell_id").agg(F.count("*").alias("n"))
+    return placed.groupBy("stratum", "perm", "place").agg(F.sum("part").alias("cell_id"))
+
 
+def fits_kernel(rows: int, panel: Panel) -> bool:
+    return rows * 8 * (len(panel) + 1) <= KERNEL_BYTES
 
-def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_task: int = 50) -> DataFrame:
+
+def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_task: int = 50, occupied_by_stratum: bool = False) -> DataFrame:
     """As `permuted`, for thousands of permutations: codes, whose size is checked, go to every worker, and each permutation
-    has a generator of its own seed, so that partitioning changes nothing."""
+    has a generator of its own seed, so that partitioning changes nothing. With occupied_by_stratum, (perm, stratum, n): how
+    many cells each stratum occupies."""
     spark = df.sparkSession
     rows = complete(df, panel).select("stratum", *[level_code(t, v).alias(f"_{k}") for k, (t, v) in enumerate(panel.items())])
     n = rows.count()
-    if n * 8 * (len(panel) + 1) > KERNEL_BYTES:
+    if not fits_kernel(n, panel):
         raise ValueError(f"{n} rows are too many for the kernel; use permuted()")
     held = rows.orderBy("stratum", *[f"_{k}" for k in range(len(panel))]).toPandas()
-    strata_codes = pd.factorize(held["stratum"])[0]
+    strata_codes, names = pd.factorize(held["stratum"])
     codes = held.drop(columns="stratum").to_numpy(np.int64).T
     step, cells = np.array(strides(panel)), n_cells(panel)
-    sent = spark.sparkContext.broadcast((strata_codes, codes))
+    sent = spark.sparkContext.broadcast((strata_codes, codes, list(names)))
 
     def draw(batches):
-        own, levels = sent.value
+        own, levels, labels = sent.value
         for batch in batches:
             out = []
             for perm in batch["id"].tolist():
@@ -128,13 +136,17 @@ def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_
                 for row, s in zip(levels, step, strict=True):
                     # a shuffle inside each stratum: a random order of rows, brought together by stratum
                     total += row[np.lexsort((rng.random(len(own)), own))] * s
+                if occupied_by_stratum:
+                    n = np.bincount(np.unique(own * cells + total) // cells, minlength=len(labels))
+                    out.append(pd.DataFrame({"perm": perm, "stratum": labels, "n": n}))
+                    continue
                 n = np.bincount(total, minlength=cells)
                 at = np.flatnonzero(n)
                 out.append(pd.DataFrame({"perm": perm, "cell_id": at, "n": n[at]}))
             if out:
                 yield pd.concat(out)
 
-    return spark.range(0, n_perm, 1, max(1, n_perm // per_task)).mapInPandas(draw, "perm long, cell_id long, n long")
+    return spark.range(0, n_perm, 1, max(1, n_perm // per_task)).mapInPandas(draw, "perm long, stratum string, n long" if occupied_by_stratum else "perm long, cell_id long, n long")
 
 
 def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
@@ -248,13 +260,23 @@ def group_occupancy(df: DataFrame, panel: Panel, group: str) -> DataFrame:
 def group_null(df: DataFrame, panel: Panel, group: str, n_perm: int, id_column: str, min_size: int = 5, seed: str = "0") -> DataFrame:
     """grp and the mean number of cells it occupies when permuted alone; groups under min_size have none."""
     kept = strata(complete(df, panel), group, min_size)
-    rows = kept.withColumn("_grp", F.col("stratum"))
-    parts = F.array(*[F.struct(F.lit(k).alias("k"), (level_code(t, v) * s).alias("part")) for k, ((t, v), s) in enumerate(zip(panel.items(), strides(panel), strict=True))])
-    long = rows.select("stratum", F.col(id_column).alias("_id"), F.explode(parts).alias("_p")).select("stratum", "_id", "_p.*").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col("k").cast("string"), F.col("_id").cast("string")).cast("binary"))
-    placed = long.withColumn("place", F.row_number().over(W.partitionBy("stratum", "perm", "k").orderBy(order, "_id")))
-    cells = placed.groupBy("stratum", "perm", "place").agg(F.sum("part").alias("cell_id"))
-    return cells.groupBy("stratum", "perm").agg(F.countDistinct("cell_id").alias("n")).groupBy(F.col("stratum").alias("grp")).agg(F.avg("n").alias("null_occupied_mean"))
+    if fits_kernel(kept.count(), panel):
+        drawn = permuted_numpy(kept, panel, n_perm, int(seed), occupied_by_stratum=True)
+    else:
+        drawn = _placed(kept, panel, n_perm, id_column, seed).groupBy("stratum", "perm").agg(F.countDistinct("cell_id").alias("n"))
+    return drawn.groupBy(F.col("stratum").alias("grp")).agg(F.avg("n").alias("null_occupied_mean"))
+
+
+def carriers(df: DataFrame, cell: dict[str, str], taxon: str, child: str) -> DataFrame:
+    """For each stratum of the taxon, which children carry each level of the cell, which carry all, and the level that the
+    fewest rows have."""
+    own = F.coalesce(F.col(child), F.lit(UNASSIGNED))
+    has = {t: F.coalesce(F.col(t) == v, F.lit(False)) for t, v in cell.items()}
+    sets = [F.sort_array(F.collect_set(F.when(h, own))).alias(f"with_{t}") for t, h in has.items()]
+    least = F.array_min(F.array(*[F.struct(F.avg(h.cast("double")).alias("share"), F.lit(f"{t}={cell[t]}").alias("level")) for t, h in has.items()])).alias("_least")
+    out = df.groupBy(F.coalesce(F.col(taxon), F.lit(UNASSIGNED)).alias("stratum")).agg(F.count("*").alias("N"), *sets, least)
+    every = reduce(F.array_intersect, [F.col(f"with_{t}") for t in cell])
+    return out.select("stratum", "N", *[f"with_{t}" for t in cell], every.alias("with_all"), F.col("_least.level").alias("rarest_level"), F.col("_least.share").alias("rarest_share"))
 
 
 def capacity(subsets: dict[str, tuple[DataFrame, Panel]], min_expected: float = 3.0) -> DataFrame:

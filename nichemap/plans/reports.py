@@ -147,7 +147,7 @@ def panel_tables(df: DataFrame, cfg: Config, key: str, traits: list[str], n_perm
         if null in (None, "order"):
             again[name_of(null)] = occupancy_of(df, cfg, traits, "primary", null, n_perm, 777_777 + i)[0]
     out |= {f"cells_{key}_all_nulls": occupancy.merge_nulls(cells, panel, "order", again), f"occupied_vs_expected_{key}": maps, f"minimum_detectable_constraint_{key}": power, f"power_expected_per_cell_{key}": capacity(df, cfg, traits), f"strata_{key}": strata_bookkeeping(df, cfg, traits)}
-    out[f"phylum_occupancy_{key}"] = occupancy.group_occupancy(sub, panel, "gtdb_phylum").join(occupancy.group_null(sub, panel, "gtdb_phylum", min(50, a["n_perm_phylum_occupancy"]), "bacdive_id", a["min_stratum_size"]), "grp", "left")
+    out[f"phylum_occupancy_{key}"] = occupancy.group_occupancy(sub, panel, "gtdb_phylum").join(occupancy.group_null(sub, panel, "gtdb_phylum", n_perm or a["n_perm_phylum_occupancy"], "bacdive_id", a["min_stratum_size"]), "grp", "left")
     order = cells["order"]
     # cells that only excluded small orders fill, with the q that they would have had
     out[f"small_strata_false_positives_{key}"] = order.filter("emptied_by_exclusion and testable")
@@ -169,6 +169,7 @@ def survivors(df: DataFrame, cfg: Config, traits: list[str], order_cells: DataFr
     for r in found:
         cell = r.asDict()
         out["survivor_" + "_".join(cell.values()) + "_order_contributions"] = occupancy.contributions(sub, cell, "gtdb_order", least, "gtdb_phylum")
+        out["survivor_" + "_".join(cell.values()) + "_family_carriers"] = occupancy.carriers(sub, cell, "gtdb_order", "gtdb_family")
     return out
 
 
