@@ -64,7 +64,7 @@ def independence(df: DataFrame, panels: dict[str, list[Column]]) -> DataFrame:
 def rate_by_number(df: DataFrame, number: Column, most: int, outcome: Column) -> DataFrame:
     """k from 0 to most, its rows and the share of them with the outcome; numbers without rows too."""
     own = df.groupBy(number.cast("long").alias("k")).agg(F.count("*").alias("N"), F.avg(F.coalesce(outcome, F.lit(False)).cast("double")).alias("share"))
-    return df.sparkSession.range(most + 1).select(F.col("id").alias("k")).join(F.broadcast(own), "k", "left").fillna(0, ["N"])  # as many rows as there are numbers
+    return df.sparkSession.range(most + 1).select(F.col("id").alias("k")).join(own, "k", "left").fillna(0, ["N"])
 
 
 def with_without(df: DataFrame, flags: dict[str, Column], outcome: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +27,15 @@ def trait_rows(spark: SparkSession, folder: str, cfg) -> DataFrame:
     return records.trait_table(rows.select(F.col("id").cast("long").alias("bacdive_id"), "record", "fetched_at").dropDuplicates(["bacdive_id"]), cfg)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where drivers and executors both write: the folder of spark.checkpoint.dir; a temporary one where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def drain(stream: DataFrame) -> DataFrame:
-    """All that the stream holds now, as a table in memory: for tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """All that the stream holds now, written as Parquet to the shared folder and read from there."""
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
