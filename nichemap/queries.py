@@ -409,7 +409,10 @@ def power_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("testable_cells", *(F.round(c, 6).alias(c) for c in ("guaranteed_poisson", "guaranteed_empirical", "minimum_detectable")), "cells_above", F.round("expected_share_above", 6).alias("expected_share_above"), "cells_detected_alone")
 
 
-@query()
+@query(f"""SELECT s.cell_id, s.observed_all_species AS observed_all, CASE WHEN s.empty_beyond_chance THEN 'SURVIVES nation-level shuffle (both seeds)'
+WHEN g.expected >= 3 AND g.q_low < 0.5 AND g.observed < g.expected AND g.observed = 0 THEN 'phylogenetic structure — fires under global only; ' || CASE WHEN s.emptied_by_exclusion THEN 'occupants only in excluded small nations' WHEN NOT s.testable THEN 'untestable at nation level' ELSE 'tested at nation level, not significant' END
+WHEN s.observed_all_species = 0 AND (s.testable OR g.expected >= 3) THEN 'empty, testable, not significant under any null' WHEN s.observed_all_species = 0 THEN 'empty, untestable under every null' ELSE '' END AS category
+FROM ({SQL['permutation_null']}) s JOIN ({SQL['permutation_null_global']}) g ON s.cell_id = g.cell_id""")
 def null_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"global": null_cells(spark, sf_dir, None)[0], "nation": null_cells(spark, sf_dir)[0]}
     out = occupancy.merge_nulls(tables, CUSTOMERS, "nation", {"nation": tables["nation"]})
