@@ -6,7 +6,8 @@ length and the punctuation are summed over all its blocks and divided by their n
 page with a Gaussian kernel, fused as a geometric mean with the share of text outside links, and the paths whose fused
 ratio reaches a share of its mean over the page's characters are content. The content's container is the article or main element that
 holds most of it, else the deepest element that holds all of it; every block in the container comes out, but for those in
-elements that are never content: by tag (menus, footers, forms, scripts and so on) or by a word of their class, id or role.
+elements that are never content: by tag (menus, footers, forms, scripts and so on) or by a word of their class, id or role
+(where these leave nothing, by tag only).
 
 Null and empty pages, and pages without text, have empty text. Tags that are never closed end with what they stand in.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
@@ -39,22 +40,23 @@ MAIN = frozenset(("article", "main"))
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "html"))
 # Words in a class, id or role of elements that are not the article.
-BOILERPLATE = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond discussion pagination pager toolbar widget tags skip copyright legal disclaimer contentinfo complementary".split())
-BODY_WORDS = frozenset("article content main body post entry story text".split())
+BOILERPLATE = frozenset("nav navbar navigation menu menus navmenu topbar toolbar aside masthead banner ad ads adv adbox adsense notice notices alert popup modal overlay gdpr consent signup login search share sharing social related recommended recommendations disqus reply replies respond discussion pagination pager widget tags skip copyright disclaimer contentinfo complementary".split())
+BOILERPLATE_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+#: A name that begins like this says what a page has, not what the element is.
+ABOUT = frozenset("has with without no is show hide".split())
 #: Width of the smoothing kernel in blocks, and the share of the mean that a path's ratio has to reach.
 SIGMA, SHARE = 1.0, 0.5
 
 
 class Node:
-    """An element. never: it is no content, for its tag or its names; hard: for its tag or that of one that it is in. An
-    article in an element that is out for its names only is content all the same."""
+    """An element. never: it is no content, for its tag or its names or those of one that it is in; hard: for a tag."""
 
     __slots__ = ("tag", "parent", "hard", "never", "depth", "main")
 
     def __init__(self, tag: str, parent: Node | None, never: bool, hard: bool = False):
         self.tag, self.parent = tag, parent
         self.hard = hard or bool(parent and parent.hard)
-        self.never = self.hard or never or bool(parent and parent.never and tag not in MAIN)
+        self.never = self.hard or never or bool(parent and parent.never)
         self.depth = parent.depth + 1 if parent else 0
         self.main: Node | None = self if tag in MAIN else parent.main if parent else None
 
@@ -76,8 +78,8 @@ def _named(attributes: str) -> bool:
             return True
         if name in ("class", "id", "role"):
             for own in value.split():
-                parts = {x.lower() for x in _NAME_PART.findall(own)}
-                if parts & BOILERPLATE and not parts & BODY_WORDS:
+                parts = [x.lower() for x in _NAME_PART.findall(own)]
+                if parts and parts[0] not in ABOUT and any(x in BOILERPLATE or x.startswith(BOILERPLATE_STEMS) for x in parts):
                     return True
     return False
 
@@ -189,7 +191,9 @@ def content_paths(blocks: list[Block]) -> tuple[list[tuple[str, ...]], set[tuple
 
 
 def main_text(page: str) -> str:
-    blocks = [b for b in blocks_of(page) if not b.node.never]
+    every = blocks_of(page)
+    # where names alone leave nothing, they named the page's frame
+    blocks = [b for b in every if not b.node.never] or [b for b in every if not b.node.hard]
     if not blocks:
         return ""
     paths, content = content_paths(blocks)

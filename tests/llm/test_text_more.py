@@ -99,6 +99,9 @@ def test_main_text(spark, sf):
     ("<nav>menu</nav><main><p>One, two.<form>x</form><p>Three<div class=comments><p>great post, really!</div></main>", "One, two.\nThree"),
     ("<body><div id=menu><a href=x>a</a></div><div class='post-content'><h1>T</h1><p>Hello, world. A long paragraph, with words.<p>Second one, here.</div><div>copyright 2020</div>", "T\nHello, world. A long paragraph, with words.\nSecond one, here."),
     ("<article><p>a<script>var t='</p>';</script>b<!-- <p>c --></p><p hidden>no<p>d<br>e <b>f</article>", "ab\nd e f"),
+    ("<article><h1>T</h1><p>Body, here.</p><ol class=commentlist><li>nice one, really nice</ol><div class='article-comments'><article><p>mine, too.</article></div><aside>more</aside></article><section id=comments><article><p>hm, no.</article></section>", "T\nBody, here."),
+    ("<div class='page-sidebar'><p>All of it, here.</p><nav>x</nav></div>", "All of it, here."),
+    ("<header><h1>Site</h1></header><div class='cookie-bar'>We use cookies, yes.</div><div class=layout><div class=adverts>buy, buy</div><div id=text><h2>Head</h2>Loose text, in a div. And more, of it.<ul><li>one, two<li>three</ul></div></div><footer>f</footer>", "Head\nLoose text, in a div. And more, of it.\none, two\nthree"),
     ("<article><p>unclosed <i>tag<div>x</div><style>p{}", "unclosed tag\nx"),
 ])
 def test_main_text_by_hand(page, text):
