@@ -12,13 +12,19 @@ from pyspark.sql import types as T
 
 
 def funnel(df: DataFrame, stages: dict[str, Column], matched: Column, distinct: str) -> DataFrame:
-    """Each stage's rows, share of all, rows with a match and their share, and distinct values among these; nulls not counted."""
+    """Each stage's rows, share of all, rows with a match and their share, and distinct values among these; nulls not counted.
+    Counted by value first, so that distinct values of many stages cost no more rows than those of one."""
+    masks = [F.coalesce(m, F.lit(False)) for m in stages.values()]
     aggs = [F.count("*").alias("_all")]
-    for k, mask in enumerate(stages.values()):
-        m = F.coalesce(mask, F.lit(False))
-        aggs += [F.count_if(m).alias(f"n_{k}"), F.count_if(m & matched).alias(f"m_{k}"), F.countDistinct(F.when(m & matched, F.col(distinct))).alias(f"d_{k}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(n).alias("stage"), F.col(f"n_{k}").alias("n_rows"), (100 * F.try_divide(F.col(f"n_{k}"), F.col("_all"))).alias("pct_of_all"), F.col(f"m_{k}").alias("n_matched"), (100 * F.try_divide(F.col(f"m_{k}"), F.col(f"n_{k}"))).alias("pct_matched"), F.col(f"d_{k}").alias("n_distinct")) for k, n in enumerate(stages)]
+    for k, m in enumerate(masks):
+        aggs += [F.count_if(m).alias(f"n_{k}"), F.count_if(m & matched).alias(f"m_{k}")]
+    by_value = df.groupBy(F.col(distinct).alias("_value")).agg(*aggs)
+    total = [F.sum("_all").alias("_all")]
+    for k in range(len(masks)):
+        total += [F.sum(f"n_{k}").alias(f"n_{k}"), F.sum(f"m_{k}").alias(f"m_{k}"), F.count_if((F.col(f"m_{k}") > 0) & F.col("_value").isNotNull()).alias(f"d_{k}")]
+    row = by_value.agg(*total)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    structs = [F.struct(F.lit(n).alias("stage"), number(f"n_{k}").alias("n_rows"), (100 * F.try_divide(F.col(f"n_{k}"), F.col("_all"))).alias("pct_of_all"), number(f"m_{k}").alias("n_matched"), (100 * F.try_divide(F.col(f"m_{k}"), F.col(f"n_{k}"))).alias("pct_matched"), F.col(f"d_{k}").alias("n_distinct")) for k, n in enumerate(stages)]
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 

@@ -78,15 +78,28 @@ def strata_summary(df: DataFrame, taxon: str | None, min_size: int) -> DataFrame
     return size.agg(F.count_if(kept).alias("strata_used"), F.count_if(~kept).alias("strata_excluded"), F.coalesce(F.sum(F.when(kept, F.col("count"))), F.lit(0)).alias("N_used"), F.coalesce(F.sum(F.when(~kept, F.col("count"))), F.lit(0)).alias("species_excluded"))
 
 
+def cell_statistics(df: DataFrame, panel: Panel, taxon: str | None) -> DataFrame:
+    """stratum, cell_id and weight, the number of rows: all that counts, strata and expectations need, out of one pass over
+    the rows; as many rows as strata have cells."""
+    stratum = F.lit("all") if taxon is None else F.coalesce(F.col(taxon), F.lit(UNASSIGNED))
+    return complete(df, panel).groupBy(stratum.alias("stratum"), cell_id(panel).alias("cell_id")).agg(F.count("*").alias("weight"))
+
+
 def expected(df: DataFrame, panel: Panel, name: str = "expected") -> DataFrame:
-    """cell_id and the sum over strata of n times the product of the stratum's level shares. df has stratum. One pass counts
-    all levels of all traits by stratum; the cells are then spread over the strata's count arrays."""
-    rows = complete(df, panel)
-    level_counts = [F.array(*[F.count_if(F.col(t) == v) for v in levels]).alias(f"_{k}") for k, (t, levels) in enumerate(panel.items())]
-    by_stratum = rows.groupBy("stratum").agg(F.count("*").cast("double").alias("_n"), *level_counts)
+    """cell_id and the sum over strata of n times the product of the stratum's level shares. df has stratum."""
+    own = complete(df, panel).groupBy("stratum", cell_id(panel).alias("cell_id")).agg(F.count("*").alias("weight"))
+    return expected_of(own, panel, name)
+
+
+def expected_of(statistics: DataFrame, panel: Panel, name: str = "expected") -> DataFrame:
+    """The same from stratum, cell_id and weight: level counts of all traits by stratum, then the cells spread over them."""
+    level = lambda n, s: F.floor(F.col("cell_id") / s) % n
+    parts = list(enumerate(zip(sizes(panel), strides(panel), strict=True)))
+    level_counts = [F.array(*[F.coalesce(F.sum(F.when(level(n, s) == v, F.col("weight"))), F.lit(0)) for v in range(n)]).alias(f"_{k}") for k, (n, s) in parts]
+    by_stratum = statistics.groupBy("stratum").agg(F.sum("weight").cast("double").alias("_n"), *level_counts)
     spread = by_stratum.withColumn("cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells(panel) - 1).cast("long"))))
-    share = lambda k, n, s: F.element_at(f"_{k}", ((F.floor(F.col("cell_id") / s) % n) + 1).cast("int")) / F.col("_n")
-    product = reduce(lambda a, b: a * b, [share(k, n, s) for k, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))], F.col("_n"))
+    share = lambda k, n, s: F.element_at(f"_{k}", (level(n, s) + 1).cast("int")) / F.col("_n")
+    product = reduce(lambda a, b: a * b, [share(k, n, s) for k, (n, s) in parts], F.col("_n"))
     return spread.groupBy("cell_id").agg(F.sum(product).alias(name))
 
 
@@ -164,8 +177,13 @@ def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str
 def cell_table(df: DataFrame, panel: Panel, null: DataFrame, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05) -> DataFrame:
     """Every cell: observed (kept strata and all rows), expected, the null's mean and p values, q over testable cells, flags.
     Cells that a permutation leaves empty have no row in `null`; the counts below allow for that."""
-    kept = strata(df, taxon, min_size)
-    base = counts(kept, panel).join(counts(df, panel, "observed_all_species").select("cell_id", "observed_all_species"), "cell_id").join(expected(kept, panel), "cell_id", "left").fillna(0.0, ["expected"])
+    every = cell_statistics(df, panel, taxon)
+    size = every.groupBy("stratum").agg(F.sum("weight").alias("_size"))
+    kept = every.join(size if taxon is None else size.filter(F.col("_size") >= min_size), "stratum").drop("_size")
+    base = grid(df.sparkSession, panel)
+    for rows, name in ((kept, "observed"), (every, "observed_all_species")):
+        base = base.join(rows.groupBy("cell_id").agg(F.sum("weight").alias(name)), "cell_id", "left").fillna(0, [name])
+    base = base.join(expected_of(kept, panel), "cell_id", "left").fillna(0.0, ["expected"])
     seen = null.join(F.broadcast(base.select("cell_id", "observed")), "cell_id").groupBy("cell_id").agg(F.sum("n").alias("_sum"), F.count("*").alias("_present"), F.count_if(F.col("n") > F.col("observed")).alias("_more"), F.count_if(F.col("n") >= F.col("observed")).alias("_reach"))
     own = base.join(seen, "cell_id", "left").fillna(0, ["_sum", "_present", "_more", "_reach"])
     reach = F.when(F.col("observed") == 0, F.lit(n_perm)).otherwise(F.col("_reach"))
