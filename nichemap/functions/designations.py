@@ -96,21 +96,29 @@ class Normaliser:
     def raw_tokens(self, text: Column) -> Column:
         return split(text, self.delimiters)
 
-    def parse_tokens(self, tokens: DataFrame, column: str = "token") -> DataFrame:
-        """tokens with raw, canonical, kind and collection of the column; each distinct token is parsed once."""
+    def dictionary(self, tokens: DataFrame, column: str = "token") -> DataFrame:
+        """Each distinct token with raw, canonical, kind and collection."""
         distinct = fold(tokens.select(column).distinct(), column, "_f")
-        parsed = distinct.select(column, parse_folded(F.col(column), F.col("_f"), self.aliases, self.collections).alias("_d")).select(column, "_d.*")
-        return tokens.join(parsed, column, "left")
+        return distinct.select(column, parse_folded(F.col(column), F.col("_f"), self.aliases, self.collections).alias("_d")).select(column, "_d.*")
 
-    def parse(self, df: DataFrame, key: list[str], sources: list[Column]) -> DataFrame:
-        """A row a designation of each row of df: key, source, pos, token and its parse, the first of each canonical key over
-        the sources in order; unusable ones too, but no empty keys."""
+    def parse_tokens(self, tokens: DataFrame, column: str = "token", parsed: DataFrame | None = None) -> DataFrame:
+        """tokens with raw, canonical, kind and collection of the column; each distinct token is parsed once, or not at all if
+        a dictionary of them is given."""
+        return tokens.join(self.dictionary(tokens, column) if parsed is None else parsed, column, "left")
+
+    def tokens(self, df: DataFrame, key: list[str], sources: list[Column]) -> DataFrame:
+        """key, source, pos and token of every piece of the sources."""
 
         def numbered(n: int, source: Column) -> Column:
             return F.transform(self.raw_tokens(source), lambda x, i: F.struct(F.lit(n).alias("source"), i.alias("pos"), x.alias("token")))
 
-        tokens = F.flatten(F.array(*[numbered(n, s) for n, s in enumerate(sources)]))
-        rows = self.parse_tokens(df.select(*key, F.explode(tokens).alias("_t")).select(*key, "_t.*")).filter(F.col("canonical") != "")
+        every = F.flatten(F.array(*[numbered(n, s) for n, s in enumerate(sources)]))
+        return df.select(*key, F.explode(every).alias("_t")).select(*key, "_t.*")
+
+    def parse(self, df: DataFrame, key: list[str], sources: list[Column], parsed: DataFrame | None = None) -> DataFrame:
+        """A row a designation of each row of df: key, source, pos, token and its parse, the first of each canonical key over
+        the sources in order; unusable ones too, but no empty keys."""
+        rows = self.parse_tokens(self.tokens(df, key, sources), parsed=parsed).filter(F.col("canonical") != "")
         best = F.min_by(F.struct("source", "pos", "token", "raw", "kind", "collection"), F.struct("source", "pos")).alias("_b")
         return rows.groupBy(*key, "canonical").agg(best).select(*key, "canonical", "_b.*")
 

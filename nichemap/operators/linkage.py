@@ -76,8 +76,11 @@ def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need
 
     # designations, first writing of each key; a trailing DSM number comes last
     dsm = F.when(F.coalesce(F.col("dsm_number"), F.lit("")) != "", F.concat(F.lit("DSM "), F.col("dsm_number")))
-    own = normaliser.parse(s, [key], [F.col(SOURCES[0]), F.col(SOURCES[1]), dsm]).filter("kind <> 'unusable'").persist()
-    theirs = normaliser.parse(named, ["accession"], [F.col("ncbi_strain_identifiers")]).filter("kind <> 'unusable'").select("accession", "canonical")
+    ours, ids = [F.col(SOURCES[0]), F.col(SOURCES[1]), dsm], [F.col("ncbi_strain_identifiers")]
+    # every distinct token of either side is parsed once
+    parsed = normaliser.dictionary(normaliser.tokens(s, [], ours).select("token").union(normaliser.tokens(named, [], ids).select("token"))).persist()
+    own = normaliser.parse(s, [key], ours, parsed).filter("kind <> 'unusable'").persist()
+    theirs = normaliser.parse(named, ["accession"], ids, parsed).filter("kind <> 'unusable'").select("accession", "canonical")
     hits = own.join(theirs, "canonical").join(catalogue.select(*light), "accession").join(s.select(key, "genus", "_ids"), key)
     hits = hits.withColumn("via", via(*side)).withColumn("ok", accepted(F.col("kind"), F.col("via"), need_taxon))
     place = F.struct("source", "pos")
@@ -97,7 +100,7 @@ def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need
     best = every.groupBy(key).agg(F.min_by(F.struct("accession", "route", "via", "match_key", "coll", "genus_gtdb", "genus_ncbi"), order).alias("b"), F.count_if(F.col("route") == 0).alias("n0"), F.count_if(F.col("route") == 1).alias("n1"), F.max("coll").alias("coll"), F.max("bare").alias("bare"), species(0).alias("s0"), species(1).alias("s1"), ids(1).alias("a1"))
     keys = own.groupBy(key).agg(F.count("*").alias("n_keys"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "pos", "canonical"))), lambda x: x["canonical"]), ";").alias("keys_tried"))
 
-    m = s.join(best, key, "left").join(rejected, key, "left").join(keys, key, "left").join(baselines(s, named, catalogue.select(*light), normaliser, need_taxon), key, "left")
+    m = s.join(best, key, "left").join(rejected, key, "left").join(keys, key, "left").join(baselines(s, named, catalogue.select(*light), normaliser, need_taxon, parsed), key, "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     n0, n1, lists = F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0)), F.col("bacdive_gca").isNotNull()
     method = F.when(n0 > 0, "accession").when(n1 > 0, "designation").otherwise("none")
@@ -119,12 +122,12 @@ def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need
     return out, log
 
 
-def baselines(s: DataFrame, named: DataFrame, light: DataFrame, normaliser: Normaliser, need_taxon: bool) -> DataFrame:
+def baselines(s: DataFrame, named: DataFrame, light: DataFrame, normaliser: Normaliser, need_taxon: bool, parsed: DataFrame) -> DataFrame:
     """What raw strings alone would find: whole strings, tokens, and tokens without the check. A whole string is judged by the
     best kind among its tokens, a token by its own."""
     key, raw = "bacdive_id", F.explode(F.array(*SOURCES)).alias("text")
     strings = s.select(key, "genus", "_ids", raw).filter(F.trim("text") != "").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    tokens = normaliser.parse_tokens(strings.withColumn("token", F.explode(normaliser.raw_tokens(F.col("text")))))
+    tokens = normaliser.parse_tokens(strings.withColumn("token", F.explode(normaliser.raw_tokens(F.col("text")))), parsed=parsed)
     # a token that folds to nothing has no kind of its own
     kind = F.when(F.col("canonical") == "", "unusable").otherwise(F.col("kind"))
     tokens = tokens.withColumn("kind", kind)
