@@ -33,7 +33,7 @@ from .common import Memory, cut, map_arrow, texts_of
 
 CAPACITY, END = 4096, 1
 #: Pieces that one bucket of one length holds, about; words that a worker remembers in each generation.
-BUCKET, REMEMBERED = 5_000, 150_000
+BUCKET, REMEMBERED = 5_000, 250_000
 #: The vocabulary's own rule for words, on lower-cased text, as this module's classes say it for the characters that are
 #: usual: ASCII and Latin letters, marks and signs. Texts with any other character go to the library whole.
 WORDS = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+").findall
