@@ -35,6 +35,7 @@ SHINGLE, SEED, BITS = 3, 42, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 #: Groups up to SHIFT are compared by shifts, those beyond WALK are split by blocks of bits.
 SHIFT, WALK = 8, 20_000
+SALTS = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -234,8 +235,12 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = components(links(first))
     bounded_batches(df.sparkSession)
-    whole = first.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = whole.join(whole.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    joined = joined.withColumnRenamed("node", "fp")
+    # A large component's members meet its name in SALTS places, by a hash of the member.
+    members = first.join(joined, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    names = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    alone = first.join(joined, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    named = members.join(names.hint("merge"), ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
