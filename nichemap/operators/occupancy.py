@@ -147,8 +147,8 @@ def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_
                 rng = np.random.default_rng([seed, perm])
                 total = np.zeros(levels.shape[1], np.int64)
                 for row, s in zip(levels, step, strict=True):
-                    # a shuffle inside each stratum: a random order of rows, brought together by stratum
-                    total += row[np.lexsort((rng.random(len(own)), own))] * s
+                    # rows lie by stratum, so an order of stratum + [0, 1) shuffles inside each
+                    total += (rng.permutation(row) if len(labels) == 1 else row[np.argsort(own + rng.random(len(own)))]) * s
                 if occupied_by_stratum:
                     n = np.bincount(np.unique(own * cells + total) // cells, minlength=len(labels))
                     out.append(pd.DataFrame({"perm": perm, "stratum": labels, "n": n}))

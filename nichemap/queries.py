@@ -161,9 +161,9 @@ def trait_numeric_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_MEASURED} SELECT count(*) AS orders, count(*) FILTER (hit) AS contradicted, count(*) FILTER (hit AND opt IS NULL) AS deciding FROM b WHERE gmin IS NOT NULL")
 def interval_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = measured(spark, sf_dir).withColumn("obs", records.numeric_observations(F.col("record"), *records.NUMERIC["temperature"]))
-    own = df.select(records.numeric_parts(F.col("obs")).alias("p")).filter(F.size("p.positive") > 0)
-    hit = records.contradicted(F.col("p"))
-    return own.agg(F.count("*").alias("orders"), F.count_if(hit).alias("contradicted"), F.count_if(hit & (F.size("p.optima") == 0)).alias("deciding"))
+    own = df.select(records.numeric_parts(F.col("obs")).alias("p"))
+    grown, hit = F.size("p.positive") > 0, F.coalesce(records.contradicted(F.col("p")), F.lit(False))
+    return own.agg(F.count_if(grown).alias("orders"), F.count_if(grown & hit).alias("contradicted"), F.count_if(grown & hit & (F.size("p.optima") == 0)).alias("deciding"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n, CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k') END AS k FROM events")
