@@ -57,14 +57,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, the extra columns and fp, the fingerprint as a signed long."""
+    kinds = dict(df.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.fromiter(map(fingerprint, texts_of(batch)), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        own = [batch.column(k) for k in range(len(extra) + 1)]
+        return pa.RecordBatch.from_arrays([*own, pa.array(made.view(np.int64))], ["doc_id", *extra, "fp"])
 
-    return map_arrow(df.select("doc_id", "text"), run, f"doc_id {dict(df.dtypes)['doc_id']}, fp long")
+    return map_arrow(df.select("doc_id", *extra, "text"), run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *extra)) + ", fp long")
 
 
 # The polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -245,9 +247,19 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame) -> DataFrame:
-    """Of each component of near-duplicates the row with the least doc_id, with all columns of df. Of rows that repeat that
-    doc_id one stays."""
-    kept = near_duplicates(df).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).count()
-    kept = cut(kept)
-    stay = df.join(kept.hint("shuffle_hash"), df["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"]) if kept.filter("count > 1").limit(1).count() else stay
+    """Of each component of near-duplicates one row, with all columns of df: the one with the least doc_id, null last, then
+    the least fingerprint and hash of the text. A row is known by doc_id and two hashes of its text, so that others with its
+    doc_id stay or go by their own component; of rows that are alike in both, one stays."""
+    hashed = df.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit("second"), "text")})
+    fps = cut(fingerprints(hashed, "_h1", "_h2"))
+    copies = fps.groupBy("fp", "doc_id", "_h1", "_h2").agg(F.count("*").alias("_copies"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "fp", "_h1", "_h2", "_copies")).alias("_best")
+    first = copies.groupBy("fp").agg(best)
+    joined = components(links(first.select("fp"))).withColumnRenamed("node", "fp")
+    bounded_batches(df.sparkSession)
+    # a component's key is its least fingerprint: names may be null, or shared by components
+    named = first.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("_best").alias("_best"))
+    kept = cut(named.select(F.col("_best.doc_id").alias("_kept"), F.col("_best._h1").alias("_k1"), F.col("_best._h2").alias("_k2"), F.col("_best._copies").alias("_copies")))
+    own = hashed["doc_id"].eqNullSafe(kept["_kept"]) & (hashed["_h1"] == kept["_k1"]) & (hashed["_h2"] == kept["_k2"])
+    stay = hashed.join(kept.hint("shuffle_hash"), own, "left_semi")
+    return (stay.dropDuplicates(["doc_id", "_h1", "_h2"]) if kept.filter("_copies > 1").limit(1).count() else stay).drop("_h1", "_h2")

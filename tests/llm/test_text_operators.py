@@ -322,3 +322,13 @@ def test_keep_first(docs):
     assert kept.columns == docs.columns
     wanted = {(i, c) for i, _, c in plain_components(rows(docs)) if i == c}
     assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect()) == sorted((i is not None, i) for i, _ in wanted)
+
+
+def test_keep_first_by_component(spark):
+    """Null ids, and ids that several texts share: one row of each component stays, whatever other rows have its id."""
+    text = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(12)]
+    made = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (1, text[3]), (1, text[4]), (2, text[3]), (None, text[3]), (1, text[5]), (3, text[6]), (3, text[6]), (3, text[7]), (0, text[7]), (4, text[8]), (None, text[8])]
+    assert len({c for _, c, _ in plain_components([(k, t) for k, t in enumerate(text)])}) == len(text)
+    got = simhash.keep_first(documents(spark, made))
+    assert got.columns == documents(spark).columns
+    assert Counter(rows(got)) == Counter([(None, text[0]), (None, text[1]), (None, text[2]), (1, text[3]), (1, text[4]), (1, text[5]), (3, text[6]), (0, text[7]), (4, text[8])])
