@@ -7,6 +7,7 @@ come from the panel alone, so their size is fixed however many rows there are.
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 Panel = dict[str, list[str]]
 UNASSIGNED = "__unassigned__"
-#: Bytes of codes that the numpy kernel sends to each worker at most; larger sets are permuted by windows.
+#: Bytes of codes that the numpy kernel sends to each worker at most; larger sets are permuted by their counts.
 KERNEL_BYTES = 64 << 20
 
 
@@ -125,14 +126,14 @@ def fits_kernel(rows: int, panel: Panel) -> bool:
 
 
 def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_task: int = 50, occupied_by_stratum: bool = False) -> DataFrame:
-    """As `permuted`, for thousands of permutations: codes, whose size is checked, go to every worker, and each permutation
-    has a generator of its own seed, so that partitioning changes nothing. With occupied_by_stratum, (perm, stratum, n): how
-    many cells each stratum occupies."""
+    """As `permuted`, for thousands of permutations: codes go to every worker, and each permutation has a generator of its own
+    seed, so that partitioning changes nothing. Sets beyond KERNEL_BYTES go on by `permuted_counts`. With
+    occupied_by_stratum, (perm, stratum, n): how many cells each stratum occupies."""
     spark = df.sparkSession
     rows = complete(df, panel).select("stratum", *[level_code(t, v).alias(f"_{k}") for k, (t, v) in enumerate(panel.items())])
     n = rows.count()
     if not fits_kernel(n, panel):
-        raise ValueError(f"{n} rows are too many for the kernel; use permuted()")
+        return permuted_counts(df, panel, n_perm, seed, per_task, occupied_by_stratum)
     held = rows.orderBy("stratum", *[f"_{k}" for k in range(len(panel))]).toPandas()
     strata_codes, names = pd.factorize(held["stratum"])
     codes = held.drop(columns="stratum").to_numpy(np.int64).T
@@ -162,6 +163,52 @@ def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_
     return spark.range(0, n_perm, 1, max(1, n_perm // per_task)).mapInPandas(draw, "perm long, stratum string, n long" if occupied_by_stratum else "perm long, cell_id long, n long")
 
 
+def shuffled(rng: np.random.Generator, counts: list[np.ndarray]) -> np.ndarray:
+    """Rows by cell after each trait of one stratum is shuffled, drawn from the level counts of its traits: the cells made so
+    far draw their rows' levels of the next trait from what is left of them, without replacement."""
+    cells = counts[0]
+    for levels in counts[1:]:
+        left, out = levels.copy(), np.zeros((len(cells), len(levels)), np.int64)
+        for i in np.flatnonzero(cells):
+            out[i] = rng.multivariate_hypergeometric(left, cells[i])
+            left -= out[i]
+        cells = out.ravel()
+    return cells
+
+
+def permuted_counts(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_task: int = 50, occupied_by_stratum: bool = False) -> DataFrame:
+    """As `permuted_numpy`, with the same distribution but draws of its own, at a cost that depends on strata and cells and not
+    on rows: only level counts by stratum leave the rows. A permutation of a stratum has a generator of its own seed. A
+    stratum may have a billion rows, which is as far as numpy's hypergeometric draws go."""
+    own = [F.array(*[F.count_if(level_code(t, v) == k) for k in range(len(v))]).alias(f"_{i}") for i, (t, v) in enumerate(panel.items())]
+    blocks = max(1, math.ceil(n_perm / per_task))
+    held = complete(df, panel).groupBy("stratum").agg(*own)
+    dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block", "stratum")
+
+    def draw(batches):
+        for batch in batches:
+            sums: dict[int, np.ndarray] = {}
+            occupied = []
+            for name, *counts, block in batch.itertuples(index=False):
+                counts = [np.array(c, np.int64) for c in counts]
+                for perm in range(block * per_task, min(n_perm, (block + 1) * per_task)):
+                    n = shuffled(np.random.default_rng([seed, perm, zlib.crc32(name.encode())]), counts)
+                    if occupied_by_stratum:
+                        occupied.append((perm, name, np.count_nonzero(n)))
+                    else:
+                        sums[perm] = sums.get(perm, 0) + n
+            if occupied_by_stratum:
+                yield pd.DataFrame(occupied, columns=["perm", "stratum", "n"])
+                continue
+            for perm, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"perm": perm, "cell_id": at, "n": n[at]})
+
+    if occupied_by_stratum:
+        return dealt.mapInPandas(draw, "perm long, stratum string, n long")
+    return dealt.mapInPandas(draw, "perm long, cell_id long, n long").groupBy("perm", "cell_id").agg(F.sum("n").alias("n"))
+
+
 def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
     """df with Benjamini-Hochberg q values of p, apart for each group of `by`; null p stay null. Equal p are counted first:
     permutation p values are few, however many tests there are."""
@@ -278,10 +325,7 @@ def group_occupancy(df: DataFrame, panel: Panel, group: str) -> DataFrame:
 def group_null(df: DataFrame, panel: Panel, group: str, n_perm: int, id_column: str, min_size: int = 5, seed: str = "0") -> DataFrame:
     """grp and the mean number of cells it occupies when permuted alone; groups under min_size have none."""
     kept = strata(complete(df, panel), group, min_size)
-    if fits_kernel(kept.count(), panel):
-        drawn = permuted_numpy(kept, panel, n_perm, int(seed), occupied_by_stratum=True)
-    else:
-        drawn = _placed(kept, panel, n_perm, id_column, seed).groupBy("stratum", "perm").agg(F.countDistinct("cell_id").alias("n"))
+    drawn = permuted_numpy(kept, panel, n_perm, int(seed), occupied_by_stratum=True)
     return drawn.groupBy(F.col("stratum").alias("grp")).agg(F.avg("n").alias("null_occupied_mean"))
 
 
