@@ -372,9 +372,9 @@ qq AS (SELECT cell_id, least(1, min(p_low * m / rk) OVER (ORDER BY p_low RANGE B
 ct AS (SELECT st1.*, q_low, coalesce(testable AND q_low < 0.5 AND observed < expected, false) AS emptier_than_chance FROM st1 LEFT JOIN qq USING (cell_id))"""
 
 
-def null_cells(spark: SparkSession, sf_dir: str, taxon: str | None = "taxon") -> tuple[DataFrame, DataFrame]:
+def null_cells(spark: SparkSession, sf_dir: str, taxon: str | None = "taxon", seed: str = "0") -> tuple[DataFrame, DataFrame]:
     df = customers(spark, sf_dir)
-    null = occupancy.permuted(occupancy.strata(df, taxon, MIN_STRATUM), CUSTOMERS, N_PERM, "c_custkey")
+    null = occupancy.permuted(occupancy.strata(df, taxon, MIN_STRATUM), CUSTOMERS, N_PERM, "c_custkey", seed)
     return occupancy.cell_table(df, CUSTOMERS, null, N_PERM, taxon, MIN_STRATUM, alpha=0.5), null
 
 
@@ -415,7 +415,7 @@ WHEN s.observed_all_species = 0 AND (s.testable OR g.expected >= 3) THEN 'empty,
 FROM ({SQL['permutation_null']}) s JOIN ({SQL['permutation_null_global']}) g ON s.cell_id = g.cell_id""")
 def null_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"global": null_cells(spark, sf_dir, None)[0], "nation": null_cells(spark, sf_dir)[0]}
-    out = occupancy.merge_nulls(tables, CUSTOMERS, "nation", {"nation": tables["nation"]})
+    out = occupancy.merge_nulls(tables, CUSTOMERS, "nation", {"nation": null_cells(spark, sf_dir, seed="777777")[0]})
     return out.select("cell_id", "observed_all", "category")
 
 
