@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import load_config
 from .functions import designations as D
 from .functions import values as V
 from .operators import coverage, linkage, occupancy, records, selection
@@ -503,3 +504,38 @@ def permutation_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = occupancy.strata(customers(spark, sf_dir), "taxon", MIN_STRATUM)
     null = occupancy.permuted_numpy(df, CUSTOMERS, 1000)
     return null.groupBy("cell_id").agg((F.sum("n") / 1000).alias("null_mean"))
+
+
+def full_map(spark: SparkSession, sf_dir: str, taxon: str | None = "taxon", offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(cells, summary) at the settings' number of permutations and alpha, by the kernel. The queries by md5 above have
+    N_PERM, as many as SQL can follow, and can't tell a gap from noise; these can."""
+    a = load_config()["analysis"]
+    return occupancy.occupancy(customers(spark, sf_dir), CUSTOMERS, "c_custkey", a["n_perm_full"], taxon, MIN_STRATUM, a["min_expected_for_test"], a["fdr_alpha"], a["seed"] + offset)
+
+
+@query()
+def permutation_null_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_map(spark, sf_dir)[0]
+
+
+@query()
+def permutation_null_global_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_map(spark, sf_dir, None)[0].select("cell_id", "observed", "expected", "null_mean", "p_low", "q_low", "emptier_than_chance", "empty_beyond_chance")
+
+
+@query()
+def null_interval_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_map(spark, sf_dir)[1]
+
+
+@query()
+def power_threshold_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = load_config()["analysis"]
+    return occupancy.detectable(full_map(spark, sf_dir)[0], a["n_perm_full"], a["fdr_alpha"], a["min_expected_for_test"])
+
+
+@query()
+def null_categories_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories from the nulls of two seeds each."""
+    runs = [{"global": full_map(spark, sf_dir, None, offset)[0], "nation": full_map(spark, sf_dir, offset=offset + 1)[0]} for offset in (0, 777_777)]
+    return occupancy.merge_nulls(runs[0], CUSTOMERS, "nation", runs[1]).select("cell_id", "observed_all", "category")

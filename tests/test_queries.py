@@ -78,3 +78,22 @@ def test_categories_draw_again(spark, sf, monkeypatch):
     monkeypatch.setattr(queries, "null_cells", cells)
     assert {r["category"] for r in queries.null_categories(spark, sf).collect()} == {"SURVIVES nation-level shuffle (seed 1 only: borderline)"}
     assert len(seen) == 2 and seen[0] != seen[1]
+
+
+def test_full_nulls_tell_gaps_from_noise(spark, sf, monkeypatch):
+    """A cell emptied by hand is found at alpha 0.05, and cells left alone are not; 20 permutations find nothing there."""
+    from pyspark.sql import functions as F
+
+    from nichemap.operators import occupancy as O
+
+    real = queries.customers
+    monkeypatch.setattr(queries, "customers", lambda spark, d: real(spark, d).filter("not (segment = 'BUILDING' and balance = 'b1' and parity = 'even')"))
+    few = O.occupancy(queries.customers(spark, sf), queries.CUSTOMERS, "c_custkey", queries.N_PERM, "taxon", queries.MIN_STRATUM)[0]
+    assert few.filter("emptier_than_chance").count() == 0
+    cells = queries.QUERIES["permutation_null_full"](spark, sf)
+    assert [tuple(r) for r in cells.filter("empty_beyond_chance").select("segment", "balance", "parity").collect()] == [("BUILDING", "b1", "even")]
+    assert cells.agg(F.min("p_low")).first()[0] == pytest.approx(1 / 10_001)
+    s = queries.QUERIES["null_interval_full"](spark, sf).first()
+    assert s["n_perm"] == 10_000 and s["empty_beyond_chance_cells"] == 1
+    got = {r["category"] for r in queries.QUERIES["null_categories_full"](spark, sf).collect()}
+    assert "SURVIVES nation-level shuffle (both seeds)" in got
