@@ -159,17 +159,19 @@ def panel_tables(df: DataFrame, cfg: Config, key: str, traits: list[str], n_perm
     return out
 
 
-def survivors(df: DataFrame, cfg: Config, traits: list[str], order_cells: DataFrame, n_perm: int | None = None) -> dict[str, DataFrame]:
-    """For cells that survive the finest shuffle: the orders that are expected to fill them, and the map under families."""
+def survivors(df: DataFrame, cfg: Config, traits: list[str], order_cells: DataFrame, n_perm: int | None = None, key: str = "") -> dict[str, DataFrame]:
+    """For cells that survive the finest shuffle: the orders that are expected to fill them, and the map under families. The
+    names of the tables hold key, the panel's."""
     found = order_cells.filter("empty_beyond_chance").select(*traits).collect()  # at most as many as the panel has cells
     if not found:
         return {}
     sub, least = analysis_set(df, traits), cfg["analysis"]["min_stratum_size"]
-    out = {"cells_primary_family": occupancy_of(df, cfg, traits, "primary", "family", n_perm, 424_242)[0]}
+    key = f"{key}_" if key else ""
+    out = {f"cells_{key}primary_family": occupancy_of(df, cfg, traits, "primary", "family", n_perm, 424_242)[0]}
     for r in found:
         cell = r.asDict()
-        out["survivor_" + "_".join(cell.values()) + "_order_contributions"] = occupancy.contributions(sub, cell, "gtdb_order", least, "gtdb_phylum")
-        out["survivor_" + "_".join(cell.values()) + "_family_carriers"] = occupancy.carriers(sub, cell, "gtdb_order", "gtdb_family")
+        out[f"survivor_{key}" + "_".join(cell.values()) + "_order_contributions"] = occupancy.contributions(sub, cell, "gtdb_order", least, "gtdb_phylum")
+        out[f"survivor_{key}" + "_".join(cell.values()) + "_family_carriers"] = occupancy.carriers(sub, cell, "gtdb_order", "gtdb_family")
     return out
 
 
@@ -181,15 +183,23 @@ def tables(df: DataFrame, cfg: Config, n_perm: int | None = None, grid: bool = T
 
     out = {
         "attrition": attrition(df, cfg), "per_trait_detail": per_trait(df), "match_rate_by_normalisation_step": stage_table(df, {"all": F.lit(True), "core": F.col("core6_complete"), "no_spore": F.col("nospore5_complete")}),
-        "coverage": coverage.co_coverage(df, usable), "coverage_vs_independence": coverage.independence(df, {k: [F.col(f"{t}_usable") for t in v] for k, v in panels.items()}), "genome_attrition_core": genome_attrition(df, F.col("core6_complete")), "type_strains_core": type_strains(analysis_set(df, cfg.core)),
+        "coverage": coverage.co_coverage(df, usable), "coverage_vs_independence": coverage.independence(df, {k: [F.col(f"{t}_usable") for t in v] for k, v in (panels | {"core_ph": [*cfg.core, "ph"], "original_8": [*cfg.core, "ph", "halophily_level"]}).items()}), "genome_attrition_core": genome_attrition(df, F.col("core6_complete")), "type_strains_core": type_strains(analysis_set(df, cfg.core)),
     } | availability(df, cfg)
     for key in ("core", "no_spore"):
         out |= panel_tables(df, cfg, key, panels[key], n_perm)
     views = None
-    for view in VIEWS:
-        for null in (None, "order"):
-            row = occupancy_of(df, cfg, cfg.core, view, null, n_perm)[1].withColumns({"view": F.lit(view), "null": F.lit(name_of(null))})
+    for key in ("core", "no_spore"):
+        rows = [out[f"occupied_vs_expected_{key}"].drop("deficit").withColumn("view", F.lit("primary"))]
+        for view in VIEWS:
+            if view == "primary":
+                continue
+            for null in (None, "order"):
+                out[f"cells_{key}_{view}_{name_of(null)}"], s = occupancy_of(df, cfg, panels[key], view, null, n_perm)
+                rows.append(s.withColumns({"view": F.lit(view), "null": F.lit(name_of(null))}))
+        for row in rows:
+            row = row.withColumn("panel", F.lit(key))
             views = row if views is None else views.unionByName(row)
+        out |= survivors(df, cfg, panels[key], out[f"cells_{key}_primary_order"], n_perm, key)
     out["views_summary"] = views
     out["panels_side_by_side"] = side_by_side({k: out[f"occupied_vs_expected_{k}"] for k in ("core", "no_spore")})
     for key in ("core", "no_spore"):

@@ -130,3 +130,22 @@ def test_sinks(spark, tmp_path):
     assert (sinks.pct(1, 3), sinks.pct(1, 0), sinks.fmt(1234), sinks.fmt(0.5), sinks.fmt(None), sinks.fmt(1e-9), sinks.fmt(True)) == ("33.3%", "–", "1,234", "0.500", "", "1.0e-09", "yes")
     assert sinks.markdown([{"a": 1, "b": "x|y"}], ["a", "b"]).splitlines()[2] == "| 1 | x\\|y |"
     assert sinks.commit_of(tmp_path) is None
+
+
+def test_report_has_every_panel(spark, world, monkeypatch):
+    """Views with their cells, survivors' tables and coverage, for both panels; here the first cell counts as a survivor."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(reports, "VIEWS", {k: reports.VIEWS[k] for k in ("primary", "genus-level")})
+    cfg = load_config(world / "config.toml")
+    pipeline.extract(spark, cfg)
+    pipeline.join(spark, cfg, str(world / "catalogue.tsv.gz"))
+    real = reports.survivors
+    monkeypatch.setattr(reports, "survivors", lambda df, cfg, traits, cells, *rest: real(df, cfg, traits, cells.withColumn("empty_beyond_chance", F.col("cell_id") == 0), *rest))
+    made = reports.tables(spark.read.parquet(str(world / "data/interim/strains.parquet")), cfg, 5, grid=False)
+    for key in ("core", "no_spore"):
+        assert {f"cells_{key}_genus-level_global", f"cells_{key}_genus-level_order", f"cells_{key}_primary_family"} <= set(made)
+        assert any(n.startswith(f"survivor_{key}_") and n.endswith("_order_contributions") for n in made) and any(n.startswith(f"survivor_{key}_") and n.endswith("_family_carriers") for n in made)
+    rows = {(r["panel"], r["view"], r["null"]) for r in made["views_summary"].select("panel", "view", "null").collect()}
+    assert rows == {(p, v, n) for p in ("core", "no_spore") for v, n in [("primary", n) for n in ("global", "phylum", "class", "order")] + [("genus-level", n) for n in ("global", "order")]}
+    assert {r["panel"] for r in made["coverage_vs_independence"].collect()} == {"core", "no_spore", "morphology", "core_ph", "original_8"}
