@@ -2,20 +2,29 @@
 
 A page is read into blocks: runs of text between block-level tags, each with its path of block-level tags from the root.
 Inline tags leave the path alone, so that markup left open does not split one kind of block into many. By path the text
-length and the punctuation are summed over all its blocks and divided by their number; both ratios are smoothed along the
-page with a Gaussian kernel, fused as a geometric mean with the share of text outside links, and the paths whose fused
-ratio reaches a share of its mean over the page's characters are content. The content's container is the article or main element that
-holds most of it, else the deepest element that holds all of it; every block in the container comes out, but for those in
-elements that are never content: by tag (menus, footers, forms, scripts and so on) or by a word of their class, id or role
-(where these leave nothing, by tag only).
-
-Null and empty pages, and pages without text, have empty text. Tags that are never closed end with what they stand in.
-Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
+length, the punctuation and the share of text inside links are summed over all its blocks and divided by their number; the
+ratios are smoothed along the page with a Gaussian kernel and fused. Paths whose fused ratio reaches SHARE of its mean over
+the page's characters are content. The content's container is the element with the largest sum over its blocks, counted as
+their length where their path is content and against it where not; an article or main element that holds the container is
+it. In the container a block comes out if its path's ratio reaches LEAST of that of the content: link lists, teasers and
+what else has little text of its own stay behind whatever its tag. Headings right before the container come with it.
+
+Tags and names are evidence only: a path is told apart by them, and its ratio multiplied, up for article and main, down
+for names of boilerplate; an article or main is not judged by its names, but for those of comments. Only what the contract
+names by itself is left out by tag: menus, headers outside the article, footers, sidebars, forms and their controls, scripts,
+styles, and what browsers don't show (where that leaves nothing, these are read too).
+
+Null and empty pages, and pages without text, have empty text. Tags that are never closed end with what they stand in; a
+tag, comment or script that the page ends in is dropped, as browsers do. Time is in proportion to the page, however
+deep or broken. Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
+feed. Repeated rows each get their own result, an empty table none; other columns of the table play no part.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -24,64 +33,46 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, texts_of
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: A tag up to its end; possessive, so that each character is looked at once or twice.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_ATTRIBUTE = re.compile(r"""(?i)(?<![^\s"'])(class|id|role|style|hidden|aria-hidden)(?![^\s=])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 # Elements of HTML by what they mean for a text.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"))
-INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "source"))
-NEVER = frozenset(("head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "embed", "audio", "video", "map", "button", "select", "option", "textarea", "input", "label", "fieldset", "legend", "datalist", "dialog", "menu", "title", "header"))
+BLOCKS = frozenset(("address", "article", "aside", "audio", "blockquote", "body", "canvas", "caption", "center", "colgroup", "datalist", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "noscript", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "template", "tfoot", "th", "thead", "tr", "ul", "video"))
+LEFT_OUT = frozenset(("head", "nav", "menu", "footer", "aside", "form", "header", "noscript", "template", "audio", "canvas", "datalist", "video"))
+CONTROLS = frozenset(("button", "select"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+LEAVES = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "pre", "figcaption", "caption", "summary"}
 MAIN = frozenset(("article", "main"))
-# What an end of these elements a new one of the second brings.
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
+# What an end of these elements a new one of the second brings. Each kind ends itself, so that few are open.
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}} | dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot"}) | dict.fromkeys(HEADINGS, HEADINGS)
 SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "html"))
-# Words in a class, id or role of elements that are not the article.
-BOILERPLATE = frozenset("nav navbar navigation menu menus navmenu topbar toolbar aside masthead banner ad ads adv adbox adsense notice notices alert popup modal overlay gdpr consent signup login search share sharing social related recommended recommendations disqus reply replies respond discussion pagination pager widget tags skip copyright disclaimer contentinfo complementary".split())
-BOILERPLATE_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+# Words in a class, id or role of elements that are seldom the article; those that begin as in STRONG hardly ever.
+WEAK = frozenset("toolbar popup modal overlay login search share sharing social related recommended recommendations discussion pagination pager widget widgets tags tag skip copyright disclaimer alert alerts notice notices signup teaser teasers more".split())
+STRONG = re.compile(r"nav|menu|topbar|masthead|breadcrumb|sidebar|footer|contentinfo|complementary|advert|ads?\Z|adv\Z|adbox|adsense|banner|sponsor|promo|cookie|consent|gdpr|newsletter|subscri|disqus")
+COMMENTS = re.compile(r"comment|repl(?:y|ies)\Z|respond\Z")
 #: A name that begins like this says what a page has, not what the element is.
 ABOUT = frozenset("has with without no is show hide".split())
-#: Width of the smoothing kernel in blocks, and the share of the mean that a path's ratio has to reach.
-SIGMA, SHARE = 1.0, 0.5
+#: Width of the smoothing kernel in blocks; the share of the mean that the ratio of a content path has to reach, and the
+#: share of the content's that a path in its container has to reach; what evidence multiplies a ratio by.
+SIGMA, SHARE, LEAST = 1.0, 0.5, 0.05
+FACTORS = {"main": 3.0, "weak": 0.3, "strong": 0.02, "": 1.0}
 
 
 class Node:
-    """An element. never: it is no content, for its tag or its names or those of one that it is in; hard: for a tag."""
+    """A block-level element: its place in the order of their starts, its path as a number, the evidence along the path,
+    whether it is left out, whether it is in an article or main, and the nearest open element at or above it that a start
+    tag can end."""
 
-    __slots__ = ("tag", "parent", "hard", "never", "depth", "main")
+    __slots__ = ("tag", "parent", "index", "path", "evidence", "out", "main", "ends")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool, hard: bool = False):
-        self.tag, self.parent = tag, parent
-        self.hard = hard or bool(parent and parent.hard)
-        self.never = self.hard or never or bool(parent and parent.never)
-        self.depth = parent.depth + 1 if parent else 0
-        self.main: Node | None = self if tag in MAIN else parent.main if parent else None
-
-    def path(self) -> tuple[str, ...]:
-        return (*self.parent.path(), self.tag) if self.parent else (self.tag,)
-
-    def within(self, other: Node) -> bool:
-        node: Node | None = self
-        while node is not None and node.depth > other.depth:
-            node = node.parent
-        return node is other
-
-
-def _named(attributes: str) -> bool:
-    """Whether an element with these attributes is hidden, or is named as something other than the article."""
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role"):
-            for own in value.split():
-                parts = [x.lower() for x in _NAME_PART.findall(own)]
-                if parts and parts[0] not in ABOUT and any(x in BOILERPLATE or x.startswith(BOILERPLATE_STEMS) for x in parts):
-                    return True
-    return False
+    def __init__(self, tag: str, parent: Node | None, index: int, path: int, evidence: float, out: bool, main: Node | None):
+        self.tag, self.parent, self.index, self.path, self.evidence, self.out, self.main = tag, parent, index, path, evidence, out, main
+        self.ends: Node | None = self if tag in CLOSED_BY or tag == "p" else parent.ends if parent is not None and tag not in SCOPES else None
 
 
 class Block:
@@ -91,75 +82,157 @@ class Block:
         self.node, self.text, self.linked = node, text, linked
 
 
-def blocks_of(page: str) -> list[Block]:
-    root = Node("", None, False)
-    top, out, parts, linked, links, hidden = root, [], [], 0, 0, 0
-    at, end = 0, len(page)
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            parts.clear()
+@lru_cache(8192)
+def names(attributes: str) -> tuple[bool, str, bool]:
+    """Of an element with these attributes: whether it is hidden, strong or weak if its names are boilerplate's, and whether
+    they are those of comments."""
+    hidden, kind, comments = False, "", False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none", value):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for own in value.split():
+                parts = [x.lower() for x in _NAME_PART.findall(own)]
+                if parts and parts[0] not in ABOUT:
+                    comments |= any(map(COMMENTS.match, parts))
+                    kind = "strong" if kind == "strong" or any(map(STRONG.match, parts)) else "weak" if kind or not WEAK.isdisjoint(parts) else ""
+    return hidden, kind, comments
+
+
+class Reader:
+    """Reads a page into its blocks and elements."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.paths: dict[tuple[int, str, str], int] = {}
+        root = self.top = Node("", None, 0, 0, 1.0, False, None)
+        self.nodes = [root]
+        self.opened: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.linked = self.hidden = 0
+        self.link_in: Node | None = None
+        self.hidden_in = root
+        self.read(page)
+
+    def read(self, page: str) -> None:
+        at, end, more = 0, len(page), {}
+
+        def find(mark: str, start: int) -> int:
+            """Where the mark comes next, the end if nowhere; not looked for again once there is none."""
+            found = page.find(mark, start) if more.get(mark, True) else -1
+            more[mark] = found >= 0
+            return found if found >= 0 else end
+
+        while at < end:
+            opening = find("<", at)
+            if opening > at:
+                self.add(page[at:opening])
+            if opening == end:
+                break
+            at = opening
+            after = page[at + 1 : at + 2]
+            if after == "!" or after == "?":
+                if page.startswith("<!--", at):
+                    at = find("-->", at + 4) + 3
+                elif page.startswith("<![CDATA[", at) and (stop := find("]]>", at + 9)) < end:
+                    self.add(page[at + 9 : stop])
+                    at = stop + 3
+                else:
+                    at = find(">", at) + 1
+                continue
+            if not (after.isalpha() and after.isascii() or after == "/" and page[at + 2 : at + 3].isalpha()):
+                self.add("<")
+                at += 1
+                continue
+            m = _TAG.match(page, at)
+            if m is None:  # the page ends in this tag
+                break
+            at = m.end()
+            tag, closing = m[2].lower(), bool(m[1])
+            if tag in RAW and not closing:
+                stop = re.compile(rf"(?i)</{tag}(?![^\s/>])[^>]*+>").search(page, at)
+                at = stop.end() if stop else end
+            elif tag in BLOCKS:
+                (self.close if closing else self.open)(tag, m[3])
+            else:
+                self.inline(tag, closing, m[3])
+        self.flush()
+
+    def add(self, raw: str) -> None:
+        if not self.hidden:
+            text = unescape(raw) if "&" in raw else raw
+            self.parts.append(text)
+            if self.link_in is not None:
+                self.linked += len(text)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            self.parts.clear()
             if text:
-                out.append(Block(top, text, linked))
-        linked = 0
+                self.blocks.append(Block(self.top, text, min(self.linked, len(text))))
+        self.linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw and not hidden:
-            text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if links:
-                linked += len(text)
-
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            add(m[1])
-        if m[3] is None:
-            continue
-        tag, closing = m[3].lower(), bool(m[2])
-        if tag in RAW and not closing:
-            stop = re.compile(rf"(?i)</{tag}\s*>").search(page, at)
-            at = stop.end() if stop else end
-            continue
+    def inline(self, tag: str, closing: bool, attributes: str) -> None:
         if tag == "br":
-            parts.append(" ")
-        elif tag in INLINE:
+            self.add(" ")
+        elif tag == "hr":
+            self.flush()
+        elif tag not in VOID:
             if tag == "a":
-                links = 0 if closing else 1
-            if hidden:
-                hidden = max(0, hidden + (-1 if closing else tag not in VOID))
-            elif not closing and tag not in VOID and (tag in NEVER or _named(m[4])):
-                hidden = 1
-        elif tag in VOID:
-            if tag == "hr":
-                flush()
-        elif closing:
-            node: Node | None = top
-            while node is not None and node.tag != tag:
-                node = node.parent
-            flush()
-            links = hidden = 0
-            if node is not None and node.parent is not None:
-                top = node.parent
-        else:
-            flush()
-            links = hidden = 0
-            node = top
-            while node.parent is not None and node.tag not in SCOPES:
-                if node.tag == "p" or tag in CLOSED_BY.get(node.tag, ()) or node.tag in HEADINGS and tag in HEADINGS:
-                    top = node.parent
-                node = node.parent
-            top = Node(tag, top, _named(m[4]) and tag not in ("html", "body"), tag in NEVER and not (tag == "header" and top.main is not None))
-    flush()
-    return out
+                self.link_in = None if closing else self.top
+            if self.hidden:
+                self.hidden = max(0, self.hidden + (-1 if closing else 1))
+            elif not closing and (tag in CONTROLS or attributes and names(attributes)[0]):
+                self.hidden, self.hidden_in = 1, self.top
+
+    def leave(self, node: Node) -> None:
+        """The element ends, and with it all that is open inside."""
+        while True:
+            own = self.top
+            self.opened[own.tag] -= 1
+            self.top = own.parent
+            if own is node:
+                break
+        if self.link_in is not None and node.index <= self.link_in.index:
+            self.link_in = None
+        if self.hidden and node.index <= self.hidden_in.index:
+            self.hidden = 0
+
+    def close(self, tag: str, _: str) -> None:
+        self.flush()
+        if self.opened[tag]:
+            node = self.top
+            while node.tag != tag:
+                self.leave(node)
+                node = self.top
+            self.leave(node)
+
+    def open(self, tag: str, attributes: str) -> None:
+        self.flush()
+        node, ended = self.top.ends, None
+        while node is not None:
+            if node.tag == "p" or tag in CLOSED_BY[node.tag]:
+                ended = node
+            node = node.parent.ends if node.tag not in SCOPES else None
+        if ended is not None:
+            self.leave(ended)
+        top = self.top
+        hidden, kind, comments = names(attributes) if attributes and tag not in ("html", "body") else (False, "", False)
+        main = top.main
+        if comments:
+            kind = "strong"
+        elif tag in MAIN:
+            kind = "" if main is not None else "main"
+        path = self.paths.setdefault((top.path, tag, kind), len(self.paths) + 1)
+        out = top.out or hidden or tag in LEFT_OUT and not (tag == "header" and main is not None)
+        node = Node(tag, top, len(self.nodes), path, max(1e-4, top.evidence * FACTORS[kind]), out, main or None)
+        if tag in MAIN and main is None and not comments:
+            node.main = node
+        self.nodes.append(node)
+        self.opened[tag] += 1
+        self.top = node
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -168,51 +241,57 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def content_paths(blocks: list[Block]) -> tuple[list[tuple[str, ...]], set[tuple[str, ...]]]:
-    """Each block's path, and the paths that are content."""
-    paths = [b.node.path() for b in blocks]
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for p, b in zip(paths, blocks, strict=True):
-        own = sums.setdefault(p, [0, 0, 0, 0])
-        own[0] += len(b.text)
-        own[1] += len(_PUNCTUATION.findall(b.text))
-        own[2] += b.linked
-        own[3] += 1
-    chars, marks = (np.array([sums[p][k] / sums[p][3] for p in paths]) for k in (0, 1))
+def ratios(blocks: list[Block]) -> np.ndarray:
+    """For each block the fused ratio of its path."""
+    _, path = np.unique([b.node.path for b in blocks], return_inverse=True)
+    n = np.bincount(path)
+    length, marks, linked = (np.array(x, float) for x in ([len(b.text) for b in blocks], [len(_PUNCTUATION.findall(b.text)) for b in blocks], [b.linked for b in blocks]))
+    total = np.bincount(path, length)
+    chars, marks = (total / n)[path], (np.bincount(path, marks) / n)[path]
+    plain = np.maximum(0, 1 - np.bincount(path, linked) / total)[path]
+    plain *= np.minimum(1, 2 * plain)  # mostly links is worse than half
     chars, marks = np.sqrt(chars * smoothed(chars)), np.sqrt(marks * smoothed(marks))
-    plain = np.array([1 - min(1, sums[p][2] / max(1, sums[p][0])) for p in paths])
-    fused = np.sqrt(chars * (1 + marks)) * plain
-    by_path: dict[tuple[str, ...], float] = {}
-    for p, x, b in zip(paths, fused, blocks, strict=True):
-        by_path[p] = max(by_path.get(p, 0.0), float(x) * (1 + bool(b.node.main)))
-    values, length = np.array([by_path[p] for p in paths]), np.array([len(b.text) for b in blocks])
-    least = SHARE * float((values * length).sum() / length.sum())
-    return paths, {p for p, x in by_path.items() if x >= least}
+    fused = np.log1p(chars) * (1 + np.log1p(marks)) * plain * np.array([b.node.evidence for b in blocks])
+    return (np.bincount(path, fused) / n)[path]
+
+
+def container(nodes: list[Node], blocks: list[Block], worth: np.ndarray) -> Node:
+    """The element whose blocks' worths add up to most, the innermost of equals; not one that holds a single run of text."""
+    total = np.zeros(len(nodes))
+    np.add.at(total, [b.node.index for b in blocks], worth)
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            total[node.parent.index] += total[node.index]
+    node = nodes[len(nodes) - 1 - int(np.argmax(total[::-1]))]
+    while node.tag in LEAVES and node.parent is not None:
+        node = node.parent
+    return node.main or node
+
+
+def selected(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """The content's blocks, in order."""
+    ratio, length = ratios(blocks), np.array([len(b.text) for b in blocks], float)
+    weight = length * np.minimum(1, [b.node.evidence for b in blocks])
+    content = ratio >= SHARE * (ratio * weight).sum() / weight.sum()
+    holder = container(nodes, blocks, np.where(content, length, -np.maximum(length, 10)))
+    last = holder.index
+    for node in nodes[holder.index + 1 :]:  # what is inside follows it without a gap
+        if node.parent.index < holder.index or node.parent.index > last:
+            break
+        last = node.index
+    inside = np.array([holder.index <= b.node.index <= last for b in blocks])
+    here = inside & content
+    chosen = inside & (ratio >= LEAST * np.average(ratio[here], weights=length[here])) if here.any() else inside
+    k = int(np.argmax(inside))
+    while k and blocks[k - 1].node.tag in HEADINGS and not blocks[k - 1].linked and blocks[k - 1].node.evidence >= 1:
+        chosen[k := k - 1] = True
+    return [b for b, x in zip(blocks, chosen, strict=True) if x]
 
 
 def main_text(page: str) -> str:
-    every = blocks_of(page)
-    # where names alone leave nothing, they named the page's frame
-    blocks = [b for b in every if not b.node.never] or [b for b in every if not b.node.hard]
-    if not blocks:
-        return ""
-    paths, content = content_paths(blocks)
-    chosen = [b for p, b in zip(paths, blocks, strict=True) if p in content]
-    weight: dict[int, int] = {}
-    mains: dict[int, Node] = {}
-    for b in chosen:
-        if (m := b.node.main) is not None:
-            weight[id(m)] = weight.get(id(m), 0) + len(b.text)
-            mains[id(m)] = m
-    if mains and 3 * sum(weight.values()) >= sum(len(b.text) for b in chosen):
-        holders = list(mains.values())
-        return "\n".join(b.text for b in blocks if any(b.node.within(h) for h in holders))
-    holder: Node | None = chosen[0].node
-    while not all(b.node.within(holder) for b in chosen):
-        holder = holder.parent
-    if holder.tag in HEADINGS | {"p"} and holder.parent is not None:
-        holder = holder.parent
-    return "\n".join(b.text for p, b in zip(paths, blocks, strict=True) if b.node.within(holder) and (p in content or b.node.tag in HEADINGS | {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}))
+    own = Reader(page)
+    blocks = [b for b in own.blocks if not b.node.out] or own.blocks
+    return "\n".join(b.text for b in selected(own.nodes, blocks)) if blocks else ""
 
 
 def extract(df: DataFrame, key: str = "page_id", keep: tuple[str, ...] = ("url",), html: str = "html") -> DataFrame:

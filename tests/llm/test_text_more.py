@@ -164,3 +164,68 @@ def test_against_sql(spark, sf, name):
     df = queries.queries()[name](spark, sf)
     assert df.columns == [c[0] for c in wanted.description]
     assert Counter(map(tuple, df.collect())) == Counter(wanted.fetchall())
+
+
+def made_page(rng):
+    """A page without article or main, and its content's blocks: menus, teasers, asides and comments lie in plain divs."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b)))
+    sentence = lambda: words(6, 16).capitalize() + rng.choice([".", ".", "?", ", " + words(3, 8) + "."])
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{word()}'>{words(1, 4)}</a></li>" for _ in range(n)) + "</ul>"
+    blocks, out = [], []
+    for k in range(rng.integers(3, 12)):
+        if k and rng.random() < 0.2:
+            blocks.append(words(2, 6))
+            out.append(f"<h2>{blocks[-1]}</h2>")
+        if rng.random() < 0.12:
+            own = [words(3, 9) + "." for _ in range(rng.integers(2, 6))]
+            blocks += own
+            out.append("<ul>" + "".join(f"<li>{x}" for x in own) + "</ul>")
+        own = " ".join(sentence() for _ in range(rng.integers(1, 6)))
+        blocks.append(own)
+        head, _, tail = own.partition(" ")
+        out.append(f"<p>{head} <a href=x>{tail.split(' ')[0]}</a>{tail[len(tail.split(' ')[0]):]}</p>" if rng.random() < 0.3 else f"<p>{own}")
+        if rng.random() < 0.15:
+            out.append(f"<div class=box>{links(rng.integers(3, 7))}</div>")
+    title = words(3, 9)
+    side = "".join(f"<div><b>{words(1, 3)}</b>{links(rng.integers(3, 9))}</div>" for _ in range(rng.integers(1, 4)))
+    comments = "".join(f"<div class=c><p>{sentence()}</p></div>" for _ in range(rng.integers(0, 6)))
+    frame = [f"<div id=top>{links(6)}</div>", f"<div class=l1>{side}</div>", f"<div class=text><h1>{title}</h1>{''.join(out)}</div>", f"<div id=comments>{comments}</div>", f"<div class=end>{words(2, 6)} <a href=/>{words(1, 3)}</a></div>"]
+    return "<html><body><div class=page>" + "".join(frame) + "</div></body></html>", [title, *blocks]
+
+
+def test_main_text_of_made_pages():
+    """Blocks found and blocks right, on pages that no tag marks the article of."""
+    rng = np.random.default_rng(8)
+    hit = found = wanted = 0
+    for _ in range(300):
+        page, blocks = made_page(rng)
+        got = html.main_text(page).split("\n")
+        hit += sum((Counter(got) & Counter(blocks)).values())
+        found, wanted = found + len(got), wanted + len(blocks)
+    assert hit >= 0.97 * found and hit >= 0.97 * wanted
+
+
+def test_main_text_needs_the_ratios(monkeypatch):
+    rng = np.random.default_rng(9)
+    pages = [made_page(rng)[0] for _ in range(50)]
+    pages += [f"<article><p>One sentence, and another, of the text.</p><ul>{'<li><a href=x>see this</a>' * 5}</ul></article>" * 2]
+    with_ratios = [html.main_text(p) for p in pages]
+    monkeypatch.setattr(html, "ratios", lambda blocks: np.ones(len(blocks)))
+    assert all(a != html.main_text(p) for a, p in zip(with_ratios, pages, strict=True))
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<center>" * 100_000, "<div>" * 60_000 + "</section>" * 60_000, "<a " * 350_000, "<![CDATA[ x " * 90_000, "<a b=\"" * 150_000, "<!-- " * 200_000, "<ul><li>" * 100_000, "<table><tr><td>" * 70_000, "<thead>" * 100_000, "<script>" * 120_000, "< " * 500_000, "<div><p>x " * 60_000 + "</div>" * 60_000, "&" * 1_000_000])
+def test_main_text_of_broken_pages(page):
+    """A megabyte of any one kind of broken markup takes about a second."""
+    import time
+
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_main_text_keeps_words_and_articles():
+    assert html.main_text("<article class='article-share post'><p>Body, text one.</p></article><div><p>Other stuff.</p></div>") == "Body, text one."
+    assert html.main_text("<p>See <label>this</label>, <math>x</math>. <my-tag>Yes</my-tag>.</p>") == "See this, x. Yes."
+    assert html.main_text("<div><p>First, a long text of the page.</p><section class='related-work'><p>Long text, of related work. It goes on, and on.</p></section></div>").count("\n") == 1
