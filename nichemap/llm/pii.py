@@ -3,10 +3,12 @@
 Base patterns run over the text as it is. Then transducers rewrite the text, each keeping for every character that it puts
 out the source characters it came from: look-alike characters become plain ones and invisible ones go; digits spelled out
 in a run become digits; written-out at and dot become @ and a full stop. The same patterns run over the result, and each
-find is mapped back through the transducers to the source. A find is added where no base span of its kind overlaps it.
+find is mapped back through the transducers to the source. A find is added where no base span of its kind overlaps it, or
+where it holds those that do and goes on beyond them.
 
-Null and empty texts have no spans. All patterns take time in proportion to the text. A text that no transducer would change
-is not rewritten.
+Null and empty texts have no spans. Time is in proportion to the text, but for a sorted look-up of each find among the base
+spans. A text that no transducer would change is not rewritten. Repeated rows, empty tables and clashing names are as said
+in `spans`.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from .spans import Span
+from .spans import Cover, Span
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -40,15 +42,19 @@ SPELLED = {
 # Last parts of a domain that a bare "dot" may stand before.
 TOP = "com|org|net|edu|gov|info|biz|io|co|eu|uk|us|ca|au|de|at|ch|fr|be|es|it|nl|pl|mx|ar|br|in|jp|ru"
 AT, DOT, PLUS = "at|arroba|arobase|klammeraffe", "dot|punto|point|punkt", "plus|más|mas"
+#: Of the words for at, those that mean nothing else.
+PLAIN_AT = "arroba|arobase|klammeraffe|@"
 
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"(?i)(?:\b(?:{PLUS})[ -])?\b(?:{_WORD})\b(?:[ ,.-]{{1,2}}\b(?:{_WORD}|[0-9]+)\b)+")
 _RUN_WORD = re.compile(rf"(?i)\b(?:({PLUS})|({_WORD})|([0-9]+))\b|([.])")
 _BRACKET_AT = re.compile(rf"(?i)(?<!\s)\s*+(?:[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]|&\#64;|&\#x40;|&commat;)\s*")
 _BRACKET_DOT = re.compile(rf"(?i)(?<!\s)\s*+(?:[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]|&\#46;|&\#x2e;|&period;)\s*")
-_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]+ (?:{DOT}) ){{0,4}}[A-Za-z0-9._%+-]+(?: (?:{AT}) |@| @ )[A-Za-z0-9-]+(?:(?: (?:{DOT}) |\.)[A-Za-z0-9-]+)*(?: (?:{DOT}) (?:{TOP})\b)")
+_NAME, _DOMAIN_PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+# spelled dots on either side of the at; after an at that means nothing else, any last part of letters will do
+_BARE = re.compile(rf"(?i)(?<!{_NAME})(?:{_NAME}+ (?:{DOT}) ){{0,4}}{_NAME}+(?:(?: (?:{AT}) |@| @ ){_DOMAIN_PART}+(?:(?: (?:{DOT}) |\.){_DOMAIN_PART}+)*(?: (?:{DOT}) (?:{TOP})\b)| (?:{PLAIN_AT}) {_DOMAIN_PART}+(?:(?: (?:{DOT}) |\.){_DOMAIN_PART}+)*(?: (?:{DOT}) |\.)[A-Za-z]{{2,}}\b)")
 # a name of several parts before a bare at, and a domain with its own full stops after it
-_NAMED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z][A-Za-z0-9]*(?:[._+-][A-Za-z0-9]+)+ at [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{TOP})\b")
+_NAMED = re.compile(rf"(?i)(?<!{_NAME})[A-Za-z][A-Za-z0-9]*(?:[._+-][A-Za-z0-9]+)+ at {_DOMAIN_PART}+(?:\.{_DOMAIN_PART}+)*\.(?:{TOP})\b")
 _AT_DOMAIN = re.compile(rf" at [a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{TOP})\b")
 _BARE_AT, _BARE_DOT = re.compile(rf"(?i) (?:{AT}|@) "), re.compile(rf"(?i) (?:{DOT}) ")
 _FOREIGN = re.compile("[^\\x00-\\x7e\\xa0-\\xb6\\xb8-\\u024f\\u2018-\\u201f\\u2026\\u20ac]|\\xa0|\\xad")
@@ -163,7 +169,7 @@ def normalise(text: str) -> Tape | None:
     low = text.lower()
     foreign, bracketed = not text.isascii() and _FOREIGN.search(text), _BRACKETED.search(text)
     spelled = not SPELLED.keys().isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split())
-    bare = any(f" {x} " in low for x in DOT.split("|"))
+    bare = any(f" {x} " in low for x in (*DOT.split("|"), *PLAIN_AT.split("|")))
     named = _AT_DOMAIN.search(low)
     if not (foreign or bracketed or spelled or bare or named):
         return None
@@ -188,9 +194,10 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     tape = normalise(text)
     if tape is None:
         return base, []
+    known = {kind: Cover((a, b) for k, a, b in base if k == kind) for kind in KINDS}
     more: list[Span] = []
     for kind, a, b in detect(tape.text):
         s, e = tape.source(a, b)
-        if not any(k == kind and s < y and x < e for k, x, y in base):
+        if not known[kind].touches(s, e) or not (known[kind].holds(s, e) or known[kind].edges(s, e)):
             more.append((kind, s, e))
     return base, more

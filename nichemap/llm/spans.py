@@ -1,8 +1,13 @@
-"""Spans of a text, (kind, start, end) in code points with the end exclusive: written down, hashed and put into columns."""
+"""Spans of a text, (kind, start, end) in code points with the end exclusive: written down, hashed and put into columns.
+
+Null and empty texts have no spans. Repeated rows each get their own result, an empty table gives no rows, and columns of the
+table with the names of results don't clash with them, as only doc_id and the text are read.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable
 from hashlib import sha256
 
 import pyarrow as pa
@@ -13,6 +18,35 @@ from .common import map_arrow, texts_of
 Span = tuple[str, int, int]
 
 
+class Cover:
+    """What a set of spans covers, asked in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for a, b in sorted(spans):
+            if self.end and a <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        """Whether any of a to b is covered."""
+        k = bisect_right(self.end, a)
+        return k < len(self.start) and self.start[k] < b
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether all of a to b is covered, by spans that follow each other without a gap."""
+        k = bisect_right(self.start, a) - 1
+        return k >= 0 and b <= self.end[k]
+
+    def edges(self, a: int, b: int) -> bool:
+        """Whether a covered stretch is cut by an end of a to b."""
+        i, j = bisect_right(self.end, a), bisect_left(self.start, b) - 1
+        return i < len(self.start) and self.start[i] < a or j >= 0 and self.end[j] > b
+
+
 def written(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], kinds.index(x[0]), x[2])))
 
