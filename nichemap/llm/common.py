@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,14 +40,22 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     return df.mapInArrow(each, schema)
 
 
+#: A word with more characters than this is forgotten with the batch that it came in.
+LONGEST = 256
+
+
 class Memory:
-    """What a worker has worked out by word, in two generations: of the older one only what is asked for again stays."""
+    """What a worker has worked out by word, in two generations: of the older one only what is asked for again stays. Long
+    words don't stay at all, so that a number of words is a bound on bytes."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.long = most, {}, {}, []
 
-    def fill(self, words: set[str], work_out: Callable[[list[str]], Iterable]) -> dict:
-        """A dict with all the words."""
+    def fill(self, words: Iterable[str], work_out: Callable[[list[str]], Iterable]) -> dict:
+        """A dict with all the words, each of which comes once."""
+        for x in self.long:
+            self.young.pop(x, None)
+        self.long = []
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -58,6 +67,7 @@ class Memory:
                 else:
                     new.append(x)
         young.update(zip(new, work_out(new), strict=True))
+        self.long = [x for x in new if len(x) > LONGEST]
         return young
 
 
@@ -67,11 +77,16 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder that the cluster names in spark.checkpoint.dir."""
+    """df with its lineage cut by a checkpoint in the shared folder that the cluster names in spark.checkpoint.dir. Where
+    that is unset, a local session writes to this machine's folder for temporary files; a cluster is refused, as its
+    executors would each write to a disk of their own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|\Z)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
 
 

@@ -32,16 +32,47 @@ def recall(got, wanted):
     return len(a & b) / max(1, len(b))
 
 
-def test_neighbours(spark, sf, monkeypatch):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
-    wanted = list(plain_nearest([(r["vec_id"], r["embedding"]) for r in df.collect()]))
-    for size in (8192, 100):
-        monkeypatch.setattr(ann, "VECTORS", size)
-        monkeypatch.setattr(ann, "QUERIES", size // 8)
-        got = queries.op4_one_bit_neighbours(spark, sf).collect()
-        assert len(got) == len(wanted) and recall(got, wanted) >= 0.97
-        score = {(q, v): s for q, _, v, s in plain_nearest([(r["vec_id"], r["embedding"]) for r in df.collect()], k=10**6)}
-        assert all(abs(score[r["query_id"], r["vec_id"]] - r["score"]) < 1e-12 for r in got)
+@pytest.mark.parametrize(("cell", "block", "queries_"), [(16_384, 65_536, 32_768), (100, 65_536, 32_768), (700, 60, 9)])
+def test_neighbours(spark, sf, monkeypatch, cell, block, queries_):
+    big = sf.replace("0.01", "0.1")
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{big}/embeddings.parquet").collect()]
+    wanted = list(plain_nearest(rows))
+    monkeypatch.setattr(ann, "CELL", cell)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERIES", queries_)
+    got = queries.op4_one_bit_neighbours(spark, big).collect()
+    assert len(got) == len(wanted) and recall(got, wanted) >= 0.95
+    own = {i: np.array(v, float) for i, v in rows}
+    assert all(abs((own[r["query_id"]] * own[r["vec_id"]]).sum() - r["score"]) < 1e-12 for r in got)
+    assert len({(r["query_id"], r["rank"]) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_neighbours_in_clusters(spark, monkeypatch, norms):
+    """Clustered vectors go to few cells each and keep their recall; one vector has many copies."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 32))[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 32))
+    x *= rng.uniform(0.3, 3, (3000, 1)) if norms else 1
+    x[1000:1400] = x[7]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "CELL", 100)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    wanted = list(plain_nearest(list(enumerate(x.tolist()))))
+    assert len(got) == len(wanted)
+    # with so many copies ties stand at the rank of the last; they go to the least ids
+    assert recall(got, wanted) >= 0.95
+    centres, probes = ann.fitted(x, 30)
+    assert probes <= 10 and len(centres) == 30
+
+
+def test_codes_bound_what_they_estimate():
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((4000, 100)), rng.standard_normal(100)
+    codes = ann.Codes(x)
+    assert codes.words.shape == (2, 4000) and codes.words.dtype == np.uint64
+    estimate, high = codes.estimates(q @ ann.rotation(100))
+    exact = x @ q
+    assert abs((estimate - exact).mean()) < 0.3 and np.corrcoef(estimate, exact)[0, 1] > 0.7 and (high >= exact).mean() > 0.97
 
 
 def test_neighbours_awkward(spark):

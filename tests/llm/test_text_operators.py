@@ -219,7 +219,7 @@ def test_quality(docs):
         n, chars, symbols, dup, rep = plain_quality(t or "")
         wanted.append((i, n, chars, symbols, dup, rep, n < 50 or 100 * rep > 50 * n))
     same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), wanted)
-    assert not out.filter("base_failed and kept").count()
+    assert not out.filter("base_failed and kept").count() and out.columns == ["doc_id", *quality.REPORTED, "base_failed", "kept"]
     assert sorted((r["doc_id"] or 0, r["text"]) for r in quality.keep(docs).select("doc_id", "text").collect()) == sorted((i or 0, t) for i, t in rows(docs.join(out.filter("kept").select("doc_id").distinct(), docs["doc_id"].eqNullSafe(out["doc_id"]), "left_semi")))
 
 
@@ -332,3 +332,61 @@ def test_keep_first_by_component(spark):
     got = simhash.keep_first(documents(spark, made))
     assert got.columns == documents(spark).columns
     assert Counter(rows(got)) == Counter([(None, text[0]), (None, text[1]), (None, text[2]), (1, text[3]), (1, text[4]), (1, text[5]), (3, text[6]), (0, text[7]), (4, text[8])])
+
+
+def test_repeats_send_a_window_once(monkeypatch):
+    """A text with 10,000 copies in each of many chunks is one entry of a chunk for each of its windows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "CHUNK", 1)
+    words = [f"w{k}" for k in range(25)]
+    text = " ".join(words).encode()
+    chunks = [pa.table({"_id": pa.array(range(n * 10_000, (n + 1) * 10_000), pa.int64()), "_text": pa.array([text] * 10_000, pa.binary()), "_chunk": pa.array([n] * 10_000, pa.int64())}) for n in range(10)]
+    probes = [repeats._probe(40, 0, 20, 10)(c) for c in chunks]
+    assert all(len(repeats.unpacked(x, "u1")[0]) == 16 for t in probes for x in t.column("_blob").to_pylist())
+    anchors = repeats._anchors(pa.concat_tables(probes))
+    reply = lambda t, n: t.filter(pa.compute.equal(t.column("_chunk"), n))
+    windows = [repeats._extend(40, 0, 20, 10)(c, reply(anchors, n)) for n, c in enumerate(chunks)]
+    assert all(len(repeats.unpacked(x, "<u4", "<u4")[0]) == 6 for t in windows for x in t.column("_blob").to_pylist())
+    later = repeats._first(pa.concat_tables(windows))
+    out = [repeats._remove(("n_removed",), ["_id"], 20)(c, reply(later, n)).to_pylist() for n, c in enumerate(chunks)]
+    assert [r["n_removed"] for t in out for r in t] == [0] + [25] * 99_999
+
+
+def test_repeats_take_any_names(spark):
+    from pyspark.sql import functions as F
+
+    df = documents(spark).select("doc_id", "text", *(F.lit(k).alias(n) for k, n in enumerate(("_gone", "_left", "gone", "c0", "_id", "_text", "_chunk", "a.b", "n_chars"))))
+    out = repeats.without_repeats(df)
+    assert out.columns == df.columns
+    left = {r["doc_id"]: (r["text"], r["n_chars"], r["_gone"], r["a.b"]) for r in out.collect()}
+    assert left[5] == ("", 0, 0, 7) and left[1] == (None, 8, 0, 7) and left[3][0] == " \n\t "
+
+
+def test_cascade_order_follows_costs_and_rejections(spark):
+    """Planted costs: of rules that reject alike the cheap one goes first, one that rejects nothing and costs much last; and
+    one whose rejections another has taken already falls behind one that adds some."""
+    from pyspark.sql import functions as F
+
+    work = lambda s, n: F.aggregate(F.sequence(F.lit(0), s["n_words"] * 0 + n), F.lit(0).cast("long"), lambda a, x: a + x % 7)
+    dear = quality.Rule("dear", lambda s: (work(s, 4000) >= 0) & (s["n_words"] < 500))
+    cheap = quality.Rule("cheap", lambda s: s["n_words"] < 500)
+    useless = quality.Rule("useless", lambda s: work(s, 4000) < 0)
+    other = quality.Rule("other", lambda s: (work(s, 400) >= 0) & (s["n_words"] > 900))
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 1000 + 1).cast("int")).alias("text"))
+    df = df.union(df.select(F.col("doc_id") + 1000, F.repeat(F.lit("x "), 950)))
+    for rules in ((dear, useless, other, cheap), (cheap, dear, other, useless)):
+        names = [r.name for r in quality.ordered(df, rules)]
+        assert names[:2] == ["cheap", "other"] and names.index("dear") >= 2
+
+
+def test_cascade_skips_what_a_rule_has_rejected(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(1, "good text"), (2, "bad text")])
+    first = quality.Rule("first", lambda s: s["n_words"] < 3)
+    fails = quality.Rule("fails", lambda s: F.raise_error("looked at").cast("boolean"))
+    stats = quality.statistics(F.col("text"))
+    assert [r[0] for r in docs.select(quality.cascade([first, fails], stats)).collect()] == [False, False]
+    with pytest.raises(Exception, match="looked at"):
+        docs.select(quality.cascade([fails, first], stats)).collect()
