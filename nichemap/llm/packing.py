@@ -11,7 +11,9 @@ holds fewer than 2 * sqrt(capacity) different lengths, so the number of runs too
 Pieces learn their rank among those of their length from counts by (length, bucket), summed over the buckets, plus a row
 number inside the bucket; buckets have a bounded expected size, so that a length held by a third of all pieces is spread.
 
-Null and empty texts are one piece: the end id alone. Repeated rows are packed each in its own right.
+Null and empty texts are one piece: the end id alone. Very long texts are many pieces, in order. Repeated rows, and rows
+with a null or shared doc_id, are packed each in its own right; an empty table gives no rows. Other columns of the documents
+play no part; those of pieces handed to `pack` are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import math
 import os
 import re
 import zlib
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,12 +35,13 @@ from pyspark.sql import functions as F
 from .common import Memory, cut, map_arrow, texts_of
 
 CAPACITY, END = 4096, 1
-#: Pieces that one bucket of one length holds, about; words that a worker remembers in each generation.
+#: Pieces that one bucket of one length holds, about; tokens that a worker remembers in each generation.
 BUCKET, REMEMBERED = 5_000, 250_000
 #: The vocabulary's own rule for words, on lower-cased text, as this module's classes say it for the characters that are
-#: usual: ASCII and Latin letters, marks and signs. Texts with any other character go to the library whole.
+#: usual: ASCII and Latin letters, marks and signs. Texts with any other character go to the library whole, and so do those
+#: that may hold one of its special tokens.
 WORDS = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+").findall
-_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u012f\\u0132-\\u017e]").search
+_OTHER = re.compile("[^\\t\\n\\x20-\\x7e\\xa1-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u012f\\u0132-\\u017e]").search
 
 
 def unusual(text: str) -> bool:
@@ -49,37 +53,66 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
 
 
-@lru_cache(2)
-def _word_tokenizer(path: str):
-    """The same merges for single words that are lower-cased and cut already."""
-    from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
+class Words:
+    """The vocabulary's merges for words that are lower-cased and cut already, many in one call: its last tokens of words say
+    where each ends."""
 
-    own = Tokenizer(_tokenizer(path).model)
-    own.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    return own
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        model = Tokenizer.from_file(path).model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # words come once each; the library's own memory only costs time here
+        self.own = Tokenizer(model)
+        self.own.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        book = self.own.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(book.values()) + 1, bool)
+        self.last[[i for token, i in book.items() if token.endswith(model.end_of_word_suffix)]] = True
 
-_memory: dict[str, Memory] = {}
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit numbers."""
+        if not words:
+            return []
+        ids = np.array(self.own.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        held, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        return [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers."""
-    own, by_word = _tokenizer(path), _word_tokenizer(path)
-    lists = [None if unusual(x) else WORDS(x.lower()) for x in texts]
-    write = lambda x: array("I", x.ids).tobytes()
+@lru_cache(2)
+def _words(path: str) -> Words:
+    _tokenizer(path)
+    return Words(path)
 
-    def encode(new: list[str]) -> list[bytes]:
-        return [write(x) for at in range(0, len(new), 20_000) for x in by_word.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
 
-    seen = _memory.setdefault(path, Memory(REMEMBERED)).fill(set().union(*(x for x in lists if x is not None)), encode)
-    get = seen.__getitem__
-    return [b"".join(map(get, words)) if words is not None else write(own.encode(text, add_special_tokens=False)) for text, words in zip(texts, lists, strict=True)]
+_memory: dict[str, Memory] = {}
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers. Usual texts are cut at white space, which no word of the
+    vocabulary's rule spans; each distinct token is worked out once and the rest is arithmetic on arrays."""
+    own, encode = _tokenizer(path), _words(path)
+    whole = {k: np.array(own.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for k, x in enumerate(texts) if unusual(x)}
+    tokens = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(["" if k in whole else x for k, x in enumerate(texts)], pa.string())))
+    named = tokens.flatten().dictionary_encode()
+    distinct, place = named.dictionary.to_pylist(), named.indices.to_numpy()
+
+    def work_out(new: list[str]) -> list[bytes]:
+        cut_up = [WORDS(x) for x in new]
+        made = iter(encode(list(chain.from_iterable(cut_up))))
+        return [b"".join(next(made) for _ in own) for own in cut_up]
+
+    seen = _memory.setdefault(path, Memory(REMEMBERED)).fill(distinct, work_out)
+    parts = [seen[x] for x in distinct]
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    ids, start, n = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size, size[place]
+    ends = np.cumsum(n)
+    every = ids[np.repeat(start[place] - (ends - n), n) + np.arange(n.sum())]
+    edges = np.append(0, ends)[tokens.offsets.to_numpy()].tolist()
+    return [whole[k] if k in whole else every[edges[k] : edges[k + 1]].tobytes() for k in range(len(texts))]
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -199,18 +232,22 @@ class Plan:
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """df (pieces, with doc_id, piece and length) with sequence_id and offset added."""
+    """df (pieces, with doc_id, piece and length) with sequence_id and offset added. The pieces, a few numbers each, are
+    written to the shared checkpoint folder with a number of their row, from where both passes read them: a row keeps its
+    bucket, and rows that are alike, or have no id, are spread like any others."""
     spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy("length").count().collect()}  # as many rows as there are lengths
+    names = df.columns
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # as many rows as there are lengths
     plan = Plan(counts, capacity)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
     key, width = runs[:, 0] * (1 << 48) + runs[:, 1], 1 << 48
     sent = spark.sparkContext.broadcast((runs, key))
     buckets = max(1, sum(counts.values()) // BUCKET)
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     before = spread.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    ranked = spread.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy("doc_id", "piece"))).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    names = df.columns
+    ranked = spread.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy("_row"))).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held, keys = sent.value
@@ -221,11 +258,9 @@ def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         cols = [*(get(k) for k in names), pa.array(own[:, 4] + q // own[:, 3]), pa.array(own[:, 5] + q % own[:, 3] * length)]
         return pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", sequence_id long, offset long"
-    return map_arrow(ranked.select(*names, "_rank"), run, schema)
+    return map_arrow(ranked.select(*names, "_rank"), run, ", ".join(kinds) + ", sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """df's documents cut into pieces and packed: a row a piece, with its sequence and place. Texts are tokenised once: the
-    pieces, a few numbers each, are written to the shared checkpoint folder, from where both passes read them."""
-    return pack(cut(pieces(df, path, capacity, end)), capacity)
+    """df's documents cut into pieces and packed: a row a piece, with its sequence and place. Texts are tokenised once."""
+    return pack(pieces(df, path, capacity, end), capacity)
