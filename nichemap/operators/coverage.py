@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def funnel(df: DataFrame, stages: dict[str, Column], matched: Column, distinct: str) -> DataFrame:
     """Each stage's rows, share of all, rows with a match and their share, and distinct values among these; nulls not counted.
     Counted by value first, so that distinct values of many stages cost no more rows than those of one."""
@@ -82,15 +81,37 @@ def with_without(df: DataFrame, flags: dict[str, Column], outcome: Column) -> Da
 
 
 def fisher(a: int, b: int, c: int, d: int) -> tuple[float, float]:
-    """Sample odds ratio and two-sided p of the table [[a, b], [c, d]]."""
+    """Sample odds ratio and two-sided p of the table [[a, b], [c, d]]. Chances are summed outward, by the ratio of neighbours,
+    from the mode, from a, and from the first count beyond the mode that is no likelier than a, until they add nothing: a
+    few standard deviations' worth of steps, and no list."""
     r, s, col = a + b, c + d, a + c
-    log = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
     lo, hi = max(0, col - s), min(r, col)
-    whole = log(r + s, col)
-    p = [exp(log(r, x) + log(s, col - x) - whole) for x in range(lo, hi + 1)]
-    own = p[a - lo] * (1 + 1e-7)
+    mode = min(hi, max(lo, (r + 1) * (col + 1) // (r + s + 2)))
+
+    def log(x: int) -> float:
+        return sum(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) for n, k in ((r, x), (s, col - x)))
+
+    def outward(x: int, way: int) -> float:
+        """The sum from x on, in units of the mode's chance."""
+        total, own = 0.0, exp(log(x) - log(mode)) if lo <= x <= hi else 0.0
+        while own > total * 1e-18:
+            total += own
+            up = x if way > 0 else x - 1
+            ratio = (r - up) * (col - up) / ((up + 1) * (s - col + up + 1)) if lo <= up < hi else 0.0
+            own *= ratio if way > 0 else 1 / ratio if ratio else 0.0
+            x += way
+        return total
+
+    whole = outward(mode, 1) + outward(mode - 1, -1)
+    way = 1 if a >= mode else -1
+    near, far = mode, hi + 1 if way < 0 else lo - 1  # the other side: chances fall from near to far
+    least = log(a) + 1e-7
+    while abs(far - near) > 1:
+        middle = (near + far) // 2
+        near, far = (near, middle) if log(middle) <= least else (middle, far)
+    tails = outward(a, way) + outward(far, -way)
     odds = a * d / (b * c) if b * c else float("inf") if a * d else float("nan")
-    return odds, min(1.0, sum(x for x in p if x <= own))
+    return odds, 1.0 if log(mode) <= least else min(1.0, tails / whole)
 
 
 @F.pandas_udf(T.StructType([T.StructField("odds_ratio", T.DoubleType()), T.StructField("p_value", T.DoubleType())]))

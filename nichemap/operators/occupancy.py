@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 Panel = dict[str, list[str]]
 UNASSIGNED = "__unassigned__"
-#: Bytes of codes that the numpy kernel sends to each worker at most; larger sets are permuted by their counts.
-KERNEL_BYTES = 64 << 20
+#: Permutations that are drawn together at most, and numbers of their tables of cells.
+TOGETHER, NUMBERS = 250, 1 << 21
+#: Populations from which numpy draws no further; beyond, sums of ratios do it.
+POPULATION = 10**9
 
 
 def sizes(panel: Panel) -> list[int]:
@@ -105,8 +107,8 @@ def expected_of(statistics: DataFrame, panel: Panel, name: str = "expected") ->
 
 
 def permuted(df: DataFrame, panel: Panel, n_perm: int, id_column: str, seed: str = "0") -> DataFrame:
-    """(perm, cell_id, n) of cells that hold rows, each trait shuffled within strata by an md5 order: the same draws under
-    any partitioning, and in any engine. For each trait the row of rank r in its order gives its level to place r; a place's
+    """The same by an md5 order of the rows, for small sets and few permutations, as rows times traits times permutations are
+    sorted: the same draws under any partitioning and in any engine, to hold what is made of them against SQL. For each trait the row of rank r in its order gives its level to place r; a place's
     cell is the sum of its traits' shares of the cell number, so that one window and two aggregations do it all."""
     return _placed(df, panel, n_perm, id_column, seed).groupBy("perm", "cell_id").agg(F.count("*").alias("n"))
 
@@ -121,92 +123,89 @@ def _placed(df: DataFrame, panel: Panel, n_perm: int, id_column: str, seed: str)
     return placed.groupBy("stratum", "perm", "place").agg(F.sum("part").alias("cell_id"))
 
 
-def fits_kernel(rows: int, panel: Panel) -> bool:
-    return rows * 8 * (len(panel) + 1) <= KERNEL_BYTES
-
-
-def permuted_numpy(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_task: int = 50, occupied_by_stratum: bool = False) -> DataFrame:
-    """As `permuted`, for thousands of permutations: codes go to every worker, and each permutation has a generator of its own
-    seed, so that partitioning changes nothing. Sets beyond KERNEL_BYTES go on by `permuted_counts`. With
-    occupied_by_stratum, (perm, stratum, n): how many cells each stratum occupies."""
-    spark = df.sparkSession
-    rows = complete(df, panel).select("stratum", *[level_code(t, v).alias(f"_{k}") for k, (t, v) in enumerate(panel.items())])
-    n = rows.count()
-    if not fits_kernel(n, panel):
-        return permuted_counts(df, panel, n_perm, seed, per_task, occupied_by_stratum)
-    held = rows.orderBy("stratum", *[f"_{k}" for k in range(len(panel))]).toPandas()
-    strata_codes, names = pd.factorize(held["stratum"])
-    codes = held.drop(columns="stratum").to_numpy(np.int64).T
-    step, cells = np.array(strides(panel)), n_cells(panel)
-    sent = spark.sparkContext.broadcast((strata_codes, codes, list(names)))
-
-    def draw(batches):
-        own, levels, labels = sent.value
-        for batch in batches:
-            out = []
-            for perm in batch["id"].tolist():
-                rng = np.random.default_rng([seed, perm])
-                total = np.zeros(levels.shape[1], np.int64)
-                for row, s in zip(levels, step, strict=True):
-                    # rows lie by stratum, so an order of stratum + [0, 1) shuffles inside each
-                    total += (rng.permutation(row) if len(labels) == 1 else row[np.argsort(own + rng.random(len(own)))]) * s
-                if occupied_by_stratum:
-                    n = np.bincount(np.unique(own * cells + total) // cells, minlength=len(labels))
-                    out.append(pd.DataFrame({"perm": perm, "stratum": labels, "n": n}))
-                    continue
-                n = np.bincount(total, minlength=cells)
-                at = np.flatnonzero(n)
-                out.append(pd.DataFrame({"perm": perm, "cell_id": at, "n": n[at]}))
-            if out:
-                yield pd.concat(out)
-
-    return spark.range(0, n_perm, 1, max(1, n_perm // per_task)).mapInPandas(draw, "perm long, stratum string, n long" if occupied_by_stratum else "perm long, cell_id long, n long")
-
-
-def shuffled(rng: np.random.Generator, counts: list[np.ndarray]) -> np.ndarray:
-    """Rows by cell after each trait of one stratum is shuffled, drawn from the level counts of its traits: the cells made so
-    far draw their rows' levels of the next trait from what is left of them, without replacement."""
-    cells = counts[0]
-    for levels in counts[1:]:
-        left, out = levels.copy(), np.zeros((len(cells), len(levels)), np.int64)
-        for i in np.flatnonzero(cells):
-            out[i] = rng.multivariate_hypergeometric(left, cells[i])
-            left -= out[i]
-        cells = out.ravel()
-    return cells
-
-
-def permuted_counts(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, per_task: int = 50, occupied_by_stratum: bool = False) -> DataFrame:
-    """As `permuted_numpy`, with the same distribution but draws of its own, at a cost that depends on strata and cells and not
-    on rows: only level counts by stratum leave the rows. A permutation of a stratum has a generator of its own seed. A
-    stratum may have a billion rows, which is as far as numpy's hypergeometric draws go."""
+def hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of n rows drawn without replacement are good, element by element, for populations of any size."""
+    small = good + bad < POPULATION
+    if small.all():
+        return rng.hypergeometric(good, bad, n)
+    out = np.empty(len(n), np.int64)
+    out[small] = rng.hypergeometric(good[small], bad[small], n[small])
+    for i in np.flatnonzero(~small):
+        out[i] = _large(rng.random(), int(good[i]), int(bad[i]), int(n[i]))
+    return out
+
+
+def _large(u: float, good: int, bad: int, n: int) -> int:
+    """The count at which the distribution's sum reaches u: ratios of neighbouring chances, summed as logarithms over all
+    counts within 12 standard deviations of the mode, outside of which lie less than 1e-30."""
+    whole = good + bad
+    lo, hi = max(0, n - bad), min(good, n)
+    mode = (n + 1) * (good + 1) // (whole + 2)
+    wide = 12 * math.sqrt(n / whole * good * (bad / whole) * ((whole - n) / max(1, whole - 1))) + 12
+    lo, hi = max(lo, int(mode - wide)), min(hi, int(mode + wide))
+    x = np.arange(lo, hi, dtype=float)
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
+    chance = np.concatenate([[0.0], np.cumsum(steps)])
+    total = np.cumsum(np.exp(chance - chance.max()))
+    return lo + int(np.searchsorted(total, u * total[-1]))
+
+
+def shuffled(rng: np.random.Generator, counts: list[np.ndarray], perms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(combination of levels, rows by permutation and combination) after each trait of one stratum is shuffled perms times,
+    drawn from the traits' level counts: the combinations made so far draw their rows' levels of the next trait from what
+    is left of them, without replacement. Combinations that no permutation has are left out; they are numbered as cells are."""
+    levels = np.flatnonzero(counts[0])
+    cells, rows = levels, np.tile(counts[0][levels], (perms, 1))
+    for own in counts[1:]:
+        levels = np.flatnonzero(own)
+        left = np.tile(own[levels], (perms, 1))
+        made = np.zeros((perms, len(cells), len(levels)), np.int64)
+        for i in range(len(cells)):
+            need = rows[:, i].copy()
+            rest = left.sum(axis=1)
+            for k in range(len(levels) - 1):
+                rest -= left[:, k]
+                made[:, i, k] = hypergeometric(rng, left[:, k], rest, need)
+                need -= made[:, i, k]
+            made[:, i, -1] = need
+            left -= made[:, i]
+        cells = (cells[:, None] * len(own) + levels[None, :]).ravel()
+        rows = made.reshape(perms, -1)
+        some = rows.any(axis=0)
+        cells, rows = cells[some], rows[:, some]
+    return cells, rows
+
+
+def permuted_counts(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, occupied_by_stratum: bool = False) -> DataFrame:
+    """(perm, cell_id, n) of cells that hold rows, each trait shuffled within strata. What a shuffle does to the counts depends
+    on the level counts of each stratum only, so these are all that leaves the rows, and the work is strata times cells
+    times permutations however many rows there are. A stratum's draws of a run of permutations have a generator of their
+    own seed, so that partitioning changes nothing. With occupied_by_stratum, (perm, stratum, n): how many cells each
+    stratum occupies."""
     own = [F.array(*[F.count_if(level_code(t, v) == k) for k in range(len(v))]).alias(f"_{i}") for i, (t, v) in enumerate(panel.items())]
-    blocks = max(1, math.ceil(n_perm / per_task))
+    cells = n_cells(panel)
+    together = max(1, min(TOGETHER, NUMBERS // cells))
+    blocks = math.ceil(n_perm / together)
     held = complete(df, panel).groupBy("stratum").agg(*own)
-    dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block", "stratum")
-
-    def draw(batches):
-        for batch in batches:
-            sums: dict[int, np.ndarray] = {}
-            occupied = []
-            for name, *counts, block in batch.itertuples(index=False):
-                counts = [np.array(c, np.int64) for c in counts]
-                for perm in range(block * per_task, min(n_perm, (block + 1) * per_task)):
-                    n = shuffled(np.random.default_rng([seed, perm, zlib.crc32(name.encode())]), counts)
-                    if occupied_by_stratum:
-                        occupied.append((perm, name, np.count_nonzero(n)))
-                    else:
-                        sums[perm] = sums.get(perm, 0) + n
+    dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group["block"].iloc[0])
+        perms = np.arange(block * together, min(n_perm, (block + 1) * together))
+        total = np.zeros((len(perms), cells), np.int64)
+        occupied = []
+        for name, *counts, _ in group.itertuples(index=False):
+            at, n = shuffled(np.random.default_rng([seed, block, zlib.crc32(name.encode())]), [np.array(c, np.int64) for c in counts], len(perms))
             if occupied_by_stratum:
-                yield pd.DataFrame(occupied, columns=["perm", "stratum", "n"])
-                continue
-            for perm, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pd.DataFrame({"perm": perm, "cell_id": at, "n": n[at]})
+                occupied.append(pd.DataFrame({"perm": perms, "stratum": name, "n": np.count_nonzero(n, axis=1)}))
+            else:
+                total[:, at] += n
+        if occupied_by_stratum:
+            return pd.concat(occupied)
+        perm, cell = np.nonzero(total)
+        return pd.DataFrame({"perm": perms[perm], "cell_id": cell, "n": total[perm, cell]})
 
-    if occupied_by_stratum:
-        return dealt.mapInPandas(draw, "perm long, stratum string, n long")
-    return dealt.mapInPandas(draw, "perm long, cell_id long, n long").groupBy("perm", "cell_id").agg(F.sum("n").alias("n"))
+    return dealt.groupBy("block").applyInPandas(draw, "perm long, stratum string, n long" if occupied_by_stratum else "perm long, cell_id long, n long")
 
 
 def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
@@ -273,7 +272,7 @@ def summary(cells: DataFrame, null: DataFrame, n_perm: int, n: Column | int | No
 def occupancy(df: DataFrame, panel: Panel, id_column: str, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05, seed: int = 0, exact_draws: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cell table, summary) of one map. An empty set gives a grid of zeros and a summary of zeros."""
     kept = strata(complete(df, panel), taxon, min_size)
-    null = permuted(kept, panel, n_perm, id_column, str(seed)) if exact_draws else permuted_numpy(kept, panel, n_perm, seed)
+    null = permuted(kept, panel, n_perm, id_column, str(seed)) if exact_draws else permuted_counts(kept, panel, n_perm, seed)
     null = null.persist()
     cells = cell_table(complete(df, panel), panel, null, n_perm, taxon, min_size, min_expected, alpha)
     return cells, summary(cells, null, n_perm)
@@ -325,7 +324,7 @@ def group_occupancy(df: DataFrame, panel: Panel, group: str) -> DataFrame:
 def group_null(df: DataFrame, panel: Panel, group: str, n_perm: int, id_column: str, min_size: int = 5, seed: str = "0") -> DataFrame:
     """grp and the mean number of cells it occupies when permuted alone; groups under min_size have none."""
     kept = strata(complete(df, panel), group, min_size)
-    drawn = permuted_numpy(kept, panel, n_perm, int(seed), occupied_by_stratum=True)
+    drawn = permuted_counts(kept, panel, n_perm, int(seed), occupied_by_stratum=True)
     return drawn.groupBy(F.col("stratum").alias("grp")).agg(F.avg("n").alias("null_occupied_mean"))
 
 
@@ -394,7 +393,8 @@ def crosstab(cells: DataFrame, rows: list[str], columns: list[str], panel: Panel
     return ordered.join(wide, "row", "left").orderBy("_order").drop("_order")
 
 
-def trend(values: list[float]) -> tuple[bool, bool]:
-    """Whether a series never rises, and whether it falls at every step."""
-    steps = list(zip(values, values[1:], strict=False))
-    return all(a >= b for a, b in steps), all(a > b for a, b in steps)
+def trend(values: Column) -> tuple[Column, Column]:
+    """Whether an array of numbers never rises, and whether it falls at every step."""
+    step = lambda x, k: x - F.get(values, k + 1)
+    steps = F.slice(F.transform(values, step), F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.forall(steps, lambda x: x >= -1e-9), F.forall(steps, lambda x: x > 1e-9)

@@ -30,14 +30,14 @@ def add_panel_flags(df: DataFrame, cfg: Config, traits: tuple[str, ...] = ALL_TR
     flags |= {
         "nacl_tests_populated": salt,
         "any_trait_populated": any_of([flags[f"{t}_populated"] for t in traits] + [salt]),
-        "n_core_usable": reduce(lambda a, b: a + b, [F.col(t).isNotNull().cast("int") for t in cfg.core]),
-        "morph4_complete": has(cfg.morphology),
-        "core6_complete": has(cfg.core),
-        "nospore5_complete": has(cfg.no_spore),
-        "morph4_fine_complete": has(cfg.morphology, "fine"),
-        "core6_fine_complete": has(cfg.core, "fine"),
-        "core6_complete_optimum_temp": has(cfg.core) & F.coalesce(F.col("temperature_bin_source") == "optimum", F.lit(False)),
-        "all8_reference_complete": has(cfg.core) & F.col("ph").isNotNull() & F.col("halophily_level").isNotNull(),
+        "n_core_usable": reduce(lambda a, b: a + b, [F.col(t).isNotNull().cast("int") for t in cfg.panel("core")]),
+        "morph4_complete": has(cfg.panel("morphology")),
+        "core6_complete": has(cfg.panel("core")),
+        "nospore5_complete": has(cfg.panel("no_spore")),
+        "morph4_fine_complete": has(cfg.panel("morphology"), "fine"),
+        "core6_fine_complete": has(cfg.panel("core"), "fine"),
+        "core6_complete_optimum_temp": has(cfg.panel("core")) & F.coalesce(F.col("temperature_bin_source") == "optimum", F.lit(False)),
+        "all8_reference_complete": has(cfg.panel("core")) & F.col("ph").isNotNull() & F.col("halophily_level").isNotNull(),
     }
     return df.withColumns(flags)
 
