@@ -132,3 +132,14 @@ def canonical_keys(df: DataFrame, column: str, key: list[str], normaliser: Norma
     rows = parse_designations(df, column, key, normaliser).filter("kind <> 'unusable'")
     keys = rows.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "canonical"))), lambda x: x["canonical"]).alias("keys"))
     return df.select(*key).join(keys, key, "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+
+
+def parse_text(spark, text: str, normaliser: Normaliser | None = None) -> list[dict]:
+    """The designations of one string, in order: raw, canonical, kind and collection."""
+    df = parse_designations(spark.createDataFrame([(0, text)], "id int, text string"), "text", ["id"], normaliser)
+    return [r.asDict() for r in df.orderBy("pos").select("raw", "canonical", "kind", "collection").collect()]
+
+
+def keys_of(spark, text: str, normaliser: Normaliser | None = None) -> list[str]:
+    """The matchable keys of one string."""
+    return [x["canonical"] for x in parse_text(spark, text, normaliser) if x["kind"] != "unusable"]

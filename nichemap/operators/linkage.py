@@ -65,79 +65,141 @@ def accepted(kind: Column, agrees: Column, need_taxon: bool) -> Column:
     return (kind == "collection") | ((kind == "bare") & (agrees.isNotNull() | F.lit(not need_taxon)))
 
 
+KEY = "bacdive_id"
+#: What the catalogue's side of a key carries through the join, so that nothing has to be looked up after it.
+LIGHT = ("accession", "gca_base", "genus_gtdb", "genus_ncbi", "ncbi_taxid", "ncbi_species_taxid", "gtdb_species", "preference")
+
+
+def designation_hits(own: DataFrame, theirs: DataFrame, need_taxon: bool) -> DataFrame:
+    """A row a pair of record and genome that share a designation: how they agree on the taxon, whether a collection's number
+    or a bare one is accepted, the first accepted key, and how many keys were rejected. own: the records' keys with genus
+    and _ids; theirs: the genomes' with LIGHT."""
+    hits = own.join(theirs, "canonical").withColumn("via", via(F.col("genus"), F.col("_ids")))
+    hits = hits.withColumn("ok", accepted(F.col("kind"), F.col("via"), need_taxon))
+    collection, place = F.col("kind") == "collection", F.struct((F.col("kind") != "collection").alias("k"), F.struct("source", "pos").alias("p"))
+    return hits.groupBy(KEY, "accession").agg(
+        *[F.first(c).alias(c) for c in ("gtdb_species", "preference", "via", "genus_gtdb", "genus_ncbi")],
+        F.max(collection).alias("coll"),
+        F.max(F.col("ok") & (F.col("kind") == "bare")).alias("bare"),
+        F.min_by(F.when(F.col("ok"), F.col("canonical")), F.when(F.col("ok"), place)).alias("match_key"),
+        F.sum((~F.col("ok")).cast("long")).alias("rejected"),
+    )
+
+
+def accession_hits(s: DataFrame, genomes: DataFrame) -> DataFrame:
+    """The same by listed accessions."""
+    listed = s.select(KEY, "genus", "_ids", F.explode(F.array_distinct(F.split("bacdive_gca", r"\|"))).alias("gca_base"))
+    found = listed.join(genomes, "gca_base").withColumn("via", via(F.col("genus"), F.col("_ids"))).dropDuplicates([KEY, "accession"])
+    none = {"coll": F.lit(False), "bare": F.lit(False), "match_key": F.lit(None).cast("string"), "rejected": F.lit(0).cast("long")}
+    return found.select(KEY, "accession", "gtdb_species", "preference", "via", "genus_gtdb", "genus_ncbi", *(c.alias(k) for k, c in none.items()))
+
+
+def best_of(by_accession: DataFrame, by_name: DataFrame) -> DataFrame:
+    """A row a record: its best genome (accessions first, then agreement on the taxon, then the catalogue's preference), and
+    how many genomes and which species each route found."""
+    every = by_accession.withColumn("route", F.lit(0)).unionByName(by_name.filter("coll or bare").withColumn("route", F.lit(1)))
+    order = F.struct(F.col("route"), F.col("via").isNull().alias("no_taxon"), F.col("preference"))
+    on = lambda route, c: F.when(F.col("route") == route, F.col(c))
+    return every.groupBy(KEY).agg(
+        F.min_by(F.struct("accession", "route", "via", "match_key", "coll", "genus_gtdb", "genus_ncbi"), order).alias("b"),
+        F.count_if(F.col("route") == 0).alias("n0"), F.count_if(F.col("route") == 1).alias("n1"), F.max("coll").alias("coll"), F.max("bare").alias("bare"),
+        F.collect_set(on(0, "gtdb_species")).alias("s0"), F.collect_set(on(1, "gtdb_species")).alias("s1"), F.collect_set(on(1, "accession")).alias("a1"),
+    )
+
+
 def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need_taxon: bool = True) -> tuple[DataFrame, DataFrame]:
     """(a row a record with its match, the log of records without). strains: bacdive_id, genus, species, the two raw
-    designations, dsm_number, bacdive_gca and ncbi_tax_ids_raw; the catalogue comes from `prepare_catalogue`."""
-    key = "bacdive_id"
-    s = strains.select(key, "genus", "species", *SOURCES, "dsm_number", "bacdive_gca", "ncbi_tax_ids_raw").withColumn("_ids", V.tax_ids(F.col("ncbi_tax_ids_raw"))).persist()
-    light = ["accession", "gca_base", "genus_gtdb", "genus_ncbi", "ncbi_taxid", "ncbi_species_taxid", "gtdb_species", "preference"]
+    designations, dsm_number, bacdive_gca and ncbi_tax_ids_raw; the catalogue comes from `prepare_catalogue`. What both
+    results need more than once is cached; whoever writes them clears the cache."""
+    s = strains.select(KEY, "genus", "species", *SOURCES, "dsm_number", "bacdive_gca", "ncbi_tax_ids_raw").withColumn("_ids", V.tax_ids(F.col("ncbi_tax_ids_raw"))).persist()
+    genomes = catalogue.select(*LIGHT)
     named = catalogue.filter(F.col("ncbi_strain_identifiers").isNotNull() & (F.trim("ncbi_strain_identifiers") != ""))
-    side = F.col("genus"), F.col("_ids")
 
-    # designations, first writing of each key; a trailing DSM number comes last
+    # designations, first writing of each key; a trailing DSM number comes last. Every distinct token of either side is parsed once.
     dsm = F.when(F.coalesce(F.col("dsm_number"), F.lit("")) != "", F.concat(F.lit("DSM "), F.col("dsm_number")))
     ours, ids = [F.col(SOURCES[0]), F.col(SOURCES[1]), dsm], [F.col("ncbi_strain_identifiers")]
-    # every distinct token of either side is parsed once
     parsed = normaliser.dictionary(normaliser.tokens(s, [], ours).select("token").union(normaliser.tokens(named, [], ids).select("token"))).persist()
-    own = normaliser.parse(s, [key], ours, parsed).filter("kind <> 'unusable'").persist()
-    theirs = normaliser.parse(named, ["accession"], ids, parsed).filter("kind <> 'unusable'").select("accession", "canonical")
-    hits = own.join(theirs, "canonical").join(catalogue.select(*light), "accession").join(s.select(key, "genus", "_ids"), key)
-    hits = hits.withColumn("via", via(*side)).withColumn("ok", accepted(F.col("kind"), F.col("via"), need_taxon))
-    place = F.struct("source", "pos")
-    first = hits.groupBy(key, "accession").agg(
-        F.first("gtdb_species").alias("gtdb_species"), F.first("preference").alias("preference"), F.first("via").alias("via"), F.first("genus_gtdb").alias("genus_gtdb"), F.first("genus_ncbi").alias("genus_ncbi"),
-        F.max(F.col("kind") == "collection").alias("coll"), F.max(F.col("ok") & (F.col("kind") == "bare")).alias("bare"), F.min_by(F.when(F.col("ok"), F.col("canonical")), F.when(F.col("ok"), F.struct((F.col("kind") != "collection").alias("k"), place.alias("p")))).alias("match_key"), F.sum((~F.col("ok")).cast("long")).alias("rejected"),
-    )
-    by_name = first.select("*", F.lit(1).alias("route"))
-    rejected = first.groupBy(key).agg(F.sum("rejected").alias("rejected"))
-    listed = s.select(key, "genus", "_ids", F.explode(F.array_distinct(F.split("bacdive_gca", r"\|"))).alias("gca_base"))
-    by_accession = listed.join(catalogue.select(*light), "gca_base").withColumn("via", via(*side)).dropDuplicates([key, "accession"])
-    by_accession = by_accession.select(key, "accession", "gtdb_species", "preference", "via", "genus_gtdb", "genus_ncbi", F.lit(False).alias("coll"), F.lit(False).alias("bare"), F.lit(None).cast("string").alias("match_key"), F.lit(0).cast("long").alias("rejected"), F.lit(0).alias("route"))
-    every = by_accession.unionByName(by_name.filter("coll or bare"))
-    order = F.struct(F.col("route"), F.col("via").isNull().alias("no_taxon"), F.col("preference"))
-    species = lambda r: F.collect_set(F.when(F.col("route") == r, F.col("gtdb_species")))
-    ids = lambda r: F.collect_set(F.when(F.col("route") == r, F.col("accession")))
-    best = every.groupBy(key).agg(F.min_by(F.struct("accession", "route", "via", "match_key", "coll", "genus_gtdb", "genus_ncbi"), order).alias("b"), F.count_if(F.col("route") == 0).alias("n0"), F.count_if(F.col("route") == 1).alias("n1"), F.max("coll").alias("coll"), F.max("bare").alias("bare"), species(0).alias("s0"), species(1).alias("s1"), ids(1).alias("a1"))
-    keys = own.groupBy(key).agg(F.count("*").alias("n_keys"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "pos", "canonical"))), lambda x: x["canonical"]), ";").alias("keys_tried"))
-
-    m = s.join(best, key, "left").join(rejected, key, "left").join(keys, key, "left").join(baselines(s, named, catalogue.select(*light), normaliser, need_taxon, parsed), key, "left")
+    own = normaliser.parse(s, [KEY, "genus", "_ids"], ours, parsed).filter("kind <> 'unusable'").persist()
+    theirs = normaliser.parse(named, list(LIGHT), ids, parsed).filter("kind <> 'unusable'").select("canonical", *LIGHT)
+    by_name = designation_hits(own, theirs, need_taxon)
+    rejected = by_name.groupBy(KEY).agg(F.sum("rejected").alias("rejected"))
+    keys = own.groupBy(KEY).agg(F.count("*").alias("n_keys"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "pos", "canonical"))), lambda x: x["canonical"]), ";").alias("keys_tried"))
+    m = s
+    for part in (best_of(accession_hits(s, genomes), by_name), rejected, keys, baselines(s, named, normaliser, need_taxon, parsed)):
+        m = m.join(part, KEY, "left")
+    return described(m, catalogue), unmatched(m)
+
+
+def described(m: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """A row a record: how it was matched, by which routes and baselines, and its genome's columns."""
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     n0, n1, lists = F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0)), F.col("bacdive_gca").isNotNull()
-    method = F.when(n0 > 0, "accession").when(n1 > 0, "designation").otherwise("none")
     low = F.lower("genus")
-    rows = m.select(
-        key, method.alias("match_method"), F.when((n0 == 0) & (n1 > 0), F.col("b.match_key")).alias("match_key"), F.when(n0 > 0, "accession").when(n1 > 0, F.when(F.col("b.coll"), "collection").otherwise("bare")).alias("match_token_kind"),
-        F.when(n0 > 0, n0).otherwise(n1).alias("n_gtdb_candidates"), F.coalesce(F.size(F.when(n0 > 0, F.col("s0")).otherwise(F.col("s1"))) > 1, F.lit(False)).alias("match_ambiguous_species"),
-        F.coalesce((low == F.col("b.genus_gtdb")) | (low == F.col("b.genus_ncbi")), F.lit(False)).alias("genus_agree"), F.col("b.via").isNotNull().alias("taxon_agree"), F.col("b.via").alias("taxon_agree_via"),
-        lists.alias("bacdive_lists_assembly"), (n0 > 0).alias("bacdive_assembly_in_gtdb"), F.coalesce("n_keys", F.lit(0)).alias("n_designation_keys"), (n1 > 0).alias("designation_route_hit"), no("coll").alias("designation_collection_hit"), no("bare").alias("designation_bare_hit"),
-        (F.coalesce(F.col("rejected") > 0, F.lit(False)) & ~no("bare")).alias("designation_bare_hit_rejected"),
-        F.when((n0 > 0) & (n1 > 0), F.array_contains("a1", F.col("b.accession")) | F.coalesce(F.arrays_overlap("s0", "s1"), F.lit(False))).alias("designation_agrees_with_accession"),
-        no("raw_full").alias("baseline_raw_full_hit"), no("raw_token").alias("baseline_raw_token_hit"), no("raw_any").alias("baseline_raw_token_hit_unchecked"), F.col("b.accession").alias("_chosen"),
-    )
+    made = {
+        "match_method": F.when(n0 > 0, "accession").when(n1 > 0, "designation").otherwise("none"),
+        "match_key": F.when((n0 == 0) & (n1 > 0), F.col("b.match_key")),
+        "match_token_kind": F.when(n0 > 0, "accession").when(n1 > 0, F.when(F.col("b.coll"), "collection").otherwise("bare")),
+        "n_gtdb_candidates": F.when(n0 > 0, n0).otherwise(n1),
+        "match_ambiguous_species": F.coalesce(F.size(F.when(n0 > 0, F.col("s0")).otherwise(F.col("s1"))) > 1, F.lit(False)),
+        "genus_agree": F.coalesce((low == F.col("b.genus_gtdb")) | (low == F.col("b.genus_ncbi")), F.lit(False)),
+        "taxon_agree": F.col("b.via").isNotNull(),
+        "taxon_agree_via": F.col("b.via"),
+        "bacdive_lists_assembly": lists,
+        "bacdive_assembly_in_gtdb": n0 > 0,
+        "n_designation_keys": F.coalesce("n_keys", F.lit(0)),
+        "designation_route_hit": n1 > 0,
+        "designation_collection_hit": no("coll"),
+        "designation_bare_hit": no("bare"),
+        "designation_bare_hit_rejected": F.coalesce(F.col("rejected") > 0, F.lit(False)) & ~no("bare"),
+        "designation_agrees_with_accession": F.when((n0 > 0) & (n1 > 0), F.array_contains("a1", F.col("b.accession")) | F.coalesce(F.arrays_overlap("s0", "s1"), F.lit(False))),
+        "baseline_raw_full_hit": no("raw_full"),
+        "baseline_raw_token_hit": no("raw_token"),
+        "baseline_raw_token_hit_unchecked": no("raw_any"),
+        "_chosen": F.col("b.accession"),
+    }
+    rows = m.select(KEY, *(c.alias(k) for k, c in made.items()))
     taken = catalogue.select(*[F.col(c).alias("gtdb_accession" if c == "accession" else c) for c in TAKEN if c in catalogue.columns])
     out = rows.join(taken, rows["_chosen"] == taken["gtdb_accession"], "left").drop("_chosen")
-    out = out.withColumns({"genome_matched": F.col("gtdb_accession").isNotNull(), "ncbi_assembly_accession": F.coalesce("assembly_refseq", "assembly_genbank"), "gtdb_is_representative": no("gtdb_is_representative"), "gtdb_is_type_strain_of_species": no("gtdb_is_type_strain_of_species")})
-    reason = F.concat(F.when(lists, "bacdive_assembly_not_in_gtdb").otherwise("no_bacdive_assembly"), F.lit(";"), F.when(F.col("n_keys").isNull(), "no_usable_designation").when(F.col("rejected") > 0, "bare_designation_taxon_mismatch").otherwise("designations_not_in_gtdb"))
-    log = m.filter(F.col("b").isNull()).select(key, "species", "genus", *SOURCES, "dsm_number", "bacdive_gca", F.coalesce("keys_tried", F.lit("")).alias("keys_tried"), reason.alias("reason"))
-    return out, log
+    return out.withColumns({"genome_matched": F.col("gtdb_accession").isNotNull(), "ncbi_assembly_accession": F.coalesce("assembly_refseq", "assembly_genbank"), "gtdb_is_representative": no("gtdb_is_representative"), "gtdb_is_type_strain_of_species": no("gtdb_is_type_strain_of_species")})
+
+
+def unmatched(m: DataFrame) -> DataFrame:
+    """The log of records without a genome, with the keys that were tried and the reason."""
+    by_accession = F.when(F.col("bacdive_gca").isNotNull(), "bacdive_assembly_not_in_gtdb").otherwise("no_bacdive_assembly")
+    by_name = F.when(F.col("n_keys").isNull(), "no_usable_designation").when(F.col("rejected") > 0, "bare_designation_taxon_mismatch").otherwise("designations_not_in_gtdb")
+    return m.filter(F.col("b").isNull()).select(KEY, "species", "genus", *SOURCES, "dsm_number", "bacdive_gca", F.coalesce("keys_tried", F.lit("")).alias("keys_tried"), F.concat(by_accession, F.lit(";"), by_name).alias("reason"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
+    """left with right's columns by key; refuses a key that either side has twice."""
+    for name, side in (("left", left), ("right", right)):
+        twice = side.groupBy(key).count().filter("count > 1").limit(5).collect()
+        if twice:
+            raise ValueError(f"{key} is not unique on the {name}: {[r[0] for r in twice]}")
+    return left.join(right, key, "left")
+
+
+def catalogue_summary(catalogue: DataFrame, normaliser: Normaliser) -> DataFrame:
+    """One row: genomes, those with designations, their distinct keys, phyla and species."""
+    keys = normaliser.parse(catalogue, ["accession"], [F.col("ncbi_strain_identifiers")]).filter("kind <> 'unusable'").agg(F.countDistinct("canonical").alias("n_designation_keys"))
+    own = catalogue.agg(F.count("*").alias("n_genomes"), F.count("ncbi_strain_identifiers").alias("n_genomes_with_strain_ids"), F.countDistinct("gtdb_phylum").alias("n_phyla"), F.countDistinct("gtdb_species").alias("n_species"))
+    return own.join(keys, how="cross")  # one row and one row
 
 
-def baselines(s: DataFrame, named: DataFrame, light: DataFrame, normaliser: Normaliser, need_taxon: bool, parsed: DataFrame) -> DataFrame:
+def baselines(s: DataFrame, named: DataFrame, normaliser: Normaliser, need_taxon: bool, parsed: DataFrame) -> DataFrame:
     """What raw strings alone would find: whole strings, tokens, and tokens without the check. A whole string is judged by the
     best kind among its tokens, a token by its own."""
-    key, raw = "bacdive_id", F.explode(F.array(*SOURCES)).alias("text")
-    strings = s.select(key, "genus", "_ids", raw).filter(F.trim("text") != "").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    strings = s.select(KEY, "genus", "_ids", F.explode(F.array(*SOURCES)).alias("text")).filter(F.trim("text") != "").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
     tokens = normaliser.parse_tokens(strings.withColumn("token", F.explode(normaliser.raw_tokens(F.col("text")))), parsed=parsed)
     # a token that folds to nothing has no kind of its own
-    kind = F.when(F.col("canonical") == "", "unusable").otherwise(F.col("kind"))
-    tokens = tokens.withColumn("kind", kind)
+    tokens = tokens.withColumn("kind", F.when(F.col("canonical") == "", "unusable").otherwise(F.col("kind")))
     rank = F.max(F.when(F.col("kind") == "collection", 2).when(F.col("kind") == "bare", 1).otherwise(0))
-    whole = tokens.groupBy(key, "text").agg(rank.alias("r"), F.first("genus").alias("genus"), F.first("_ids").alias("_ids")).withColumn("kind", F.when(F.col("r") == 2, "collection").when(F.col("r") == 1, "bare").otherwise("unusable"))
+    whole = tokens.groupBy(KEY, "text").agg(rank.alias("r"), F.first("genus").alias("genus"), F.first("_ids").alias("_ids")).withColumn("kind", F.when(F.col("r") == 2, "collection").when(F.col("r") == 1, "bare").otherwise("unusable"))
     text = F.regexp_replace("ncbi_strain_identifiers", r"^\s+|\s+$", "")
-    ok = accepted(F.col("kind"), via(F.col("genus"), F.col("_ids")), need_taxon)
-    full = whole.join(named.select("accession", text.alias("text")), "text").join(light, "accession").select(key, ok.alias("raw_full"), F.lit(False).alias("raw_token"), F.lit(False).alias("raw_any"))
-    split = tokens.join(named.select("accession", F.explode(normaliser.raw_tokens(F.col("ncbi_strain_identifiers"))).alias("token")), "token").join(light, "accession").select(key, F.lit(False).alias("raw_full"), ok.alias("raw_token"), F.lit(True).alias("raw_any"))
-    return full.unionByName(split).groupBy(key).agg(F.max("raw_full").alias("raw_full"), F.max("raw_token").alias("raw_token"), F.max("raw_any").alias("raw_any"))
+    ok, no = accepted(F.col("kind"), via(F.col("genus"), F.col("_ids")), need_taxon), F.lit(False)
+    full = whole.join(named.select(*LIGHT, text.alias("text")), "text").select(KEY, ok.alias("raw_full"), no.alias("raw_token"), no.alias("raw_any"))
+    split = tokens.join(named.select(*LIGHT, F.explode(normaliser.raw_tokens(F.col("ncbi_strain_identifiers"))).alias("token")), "token").select(KEY, no.alias("raw_full"), ok.alias("raw_token"), F.lit(True).alias("raw_any"))
+    return full.unionByName(split).groupBy(KEY).agg(*[F.max(c).alias(c) for c in ("raw_full", "raw_token", "raw_any")])
 
 
 def stage_table(df: DataFrame, subsets: dict[str, Column]) -> DataFrame:

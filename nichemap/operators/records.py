@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import values as V
@@ -50,19 +51,26 @@ def field(entry: Column, key: str) -> Column:
     return V.clean(F.get_json_object(entry, json_path(key)))
 
 
+def fields(entry: Column, *keys: str) -> Column:
+    """The named fields of an object, as texts, out of one reading of it."""
+    return F.from_json(entry, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+
+
 def observations(record: Column, path: tuple[str, ...], key: str) -> Column:
     """array of (ref, value) with a value."""
-    rows = F.transform(entries(record, *path), lambda e: F.struct(F.get_json_object(e, json_path("@ref")).alias("ref"), field(e, key).alias("value")))
+    read = F.transform(entries(record, *path), lambda e: fields(e, "@ref", key))
+    rows = F.transform(read, lambda o: F.struct(o["@ref"].alias("ref"), V.clean(o[key]).alias("value")))
     return F.filter(rows, lambda o: o["value"].isNotNull())
 
 
 def numeric_observations(record: Column, path: tuple[str, ...], key: str) -> Column:
     """array of (ref, type, result, value, span); span is the parsed interval."""
-    get = lambda e, k: F.get_json_object(e, json_path(k))
-    return F.transform(
-        entries(record, *path),
-        lambda e: F.struct(get(e, "@ref").alias("ref"), F.lower(field(e, "type")).alias("type"), V.test_result(get(e, "growth"), get(e, "ability")).alias("result"), field(e, key).alias("value"), V.parse_interval(field(e, key)).alias("span")),
-    )
+    read = F.transform(entries(record, *path), lambda e: fields(e, "@ref", "type", "growth", "ability", key))
+
+    def observed(o: Column) -> Column:
+        return F.struct(o["@ref"].alias("ref"), F.lower(V.clean(o["type"])).alias("type"), V.test_result(o["growth"], o["ability"]).alias("result"), V.clean(o[key]).alias("value"), V.parse_interval(o[key]).alias("span"))
+
+    return F.transform(read, observed)
 
 
 def fine_value(value: Column, settings: dict) -> Column:
@@ -122,10 +130,10 @@ def numeric(trait: str, obs: Column, parts: Column, settings: dict) -> dict[str,
 
 
 def halophily(record: Column) -> dict[str, Column]:
-    own = entries(record, *HALOPHILY)
-    ref = lambda e: F.get_json_object(e, json_path("@ref")).alias("ref")
-    levels = F.filter(F.transform(own, lambda e: F.struct(ref(e), field(e, "halophily level").alias("value"))), lambda o: o["value"].isNotNull())
-    tests = F.filter(F.transform(own, lambda e: F.struct(ref(e), *(field(e, k).alias(k.replace(" ", "_")) for k in ("salt", "growth", "tested relation", "concentration")))), lambda t: t["salt"].isNotNull() | t["concentration"].isNotNull())
+    said = ("salt", "growth", "tested relation", "concentration")
+    own = F.transform(entries(record, *HALOPHILY), lambda e: fields(e, "@ref", "halophily level", *said))
+    levels = F.filter(F.transform(own, lambda o: F.struct(o["@ref"].alias("ref"), V.clean(o["halophily level"]).alias("value"))), lambda o: o["value"].isNotNull())
+    tests = F.filter(F.transform(own, lambda o: F.struct(o["@ref"].alias("ref"), *(V.clean(o[k]).alias(k.replace(" ", "_")) for k in said))), lambda t: t["salt"].isNotNull() | t["concentration"].isNotNull())
     value, conflict = V.resolve(F.transform(levels, lambda o: F.lower(o["value"])))
     return {"halophily_level_raw": F.when(F.size(levels) > 0, F.to_json(levels)), "halophily_level_n_obs": F.size(levels).cast("long"), "halophily_level": value, "halophily_level_conflict": conflict, "nacl_tests_raw": F.when(F.size(tests) > 0, F.to_json(tests, {"ignoreNullFields": "false"})), "nacl_tests_n": F.size(tests).cast("long")}
 
@@ -163,14 +171,21 @@ def trait_table(records: DataFrame, cfg: Config) -> DataFrame:
     return df.select(*(c.alias(n) for n, c in (columns | halophily(F.col("record"))).items()))
 
 
-def check(records: DataFrame) -> None:
-    """Raises if an id occurs twice or a record has a non-empty section of predictions."""
+def violations(records: DataFrame) -> DataFrame:
+    """bacdive_id and problem: ids that occur twice (duplicate), and records with a non-empty section of predictions."""
     found = at(F.col("record"), PREDICTIONS)
-    odd = records.filter(found.isNotNull() & ~found.isin("", "{}", "[]", "0", "false")).select("bacdive_id").limit(5).collect()
-    if odd:
-        raise ValueError(f"records hold predictions, which must not enter the trait table; first ids: {[r[0] for r in odd]}")
-    if not records.groupBy("bacdive_id").count().filter("count > 1").isEmpty():
-        raise ValueError("duplicate ids across batches")
+    odd = records.filter(found.isNotNull() & ~found.isin("", "{}", "[]", "0", "false")).select("bacdive_id", F.lit("predictions").alias("problem"))
+    twice = records.groupBy("bacdive_id").count().filter("count > 1").select("bacdive_id", F.lit("duplicate").alias("problem"))
+    return odd.distinct().unionByName(twice)
+
+
+def check(records: DataFrame) -> None:
+    """Raises if there are violations."""
+    few = violations(records).limit(5).collect()
+    if any(r["problem"] == "predictions" for r in few):
+        raise ValueError(f"records hold predictions, which must not enter the trait table; first ids: {[r[0] for r in few]}")
+    if few:
+        raise ValueError(f"duplicate ids across batches; first ids: {[r[0] for r in few]}")
 
 
 def unbinned(records: DataFrame, cfg: Config) -> DataFrame:
