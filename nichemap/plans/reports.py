@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ def name_of(null: str | None) -> str:
 
 def subsets(cfg: Config, sizes: tuple[int, ...] = (4, 5)) -> list[list[str]]:
     """Every subset of the core panel of these sizes, then the panel."""
-    return [list(c) for k in sizes for c in combinations(cfg.core, k)] + [cfg.core]
+    return [list(c) for k in sizes for c in combinations(cfg.panel("core"), k)] + [cfg.panel("core")]
 
 
 def attrition(df: DataFrame, cfg: Config) -> DataFrame:
@@ -54,7 +55,7 @@ def type_strains(df: DataFrame) -> DataFrame:
 
 def availability(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     sets = {"all": F.lit(True), "morphology": F.col("morph4_complete"), "core": F.col("core6_complete"), "core, optimum temperature": F.col("core6_complete_optimum_temp")}
-    usable = {LABELS[t]: F.col(f"{t}_usable") for t in [*cfg.core, "ph", "halophily_level"]}
+    usable = {LABELS[t]: F.col(f"{t}_usable") for t in [*cfg.panel("core"), "ph", "halophily_level"]}
     out: dict[str, DataFrame] = {}
     for name, column in OUTCOMES.items():
         y = F.col(column)
@@ -62,7 +63,7 @@ def availability(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
         for label, mask in sets.items():
             one = coverage.fisher_of(df, mask, y).withColumn("set", F.lit(label))
             rows = one if rows is None else rows.unionByName(one)
-        out |= {f"genome_availability_sets_{name}": rows, f"genome_availability_by_n_traits_{name}": coverage.rate_by_number(df, F.col("n_core_usable"), len(cfg.core), y), f"genome_availability_per_trait_{name}": coverage.with_without(df, usable, y)}
+        out |= {f"genome_availability_sets_{name}": rows, f"genome_availability_by_n_traits_{name}": coverage.rate_by_number(df, F.col("n_core_usable"), len(cfg.panel("core")), y), f"genome_availability_per_trait_{name}": coverage.with_without(df, usable, y)}
     return out
 
 
@@ -82,7 +83,7 @@ def occupancy_grid(df: DataFrame, cfg: Config, nulls: tuple[str | None, ...] = N
         cells = {}
         for i, null in enumerate(nulls):
             cells[null], s = occupancy_of(df, cfg, traits, view, null, n_perm or cfg["analysis"]["n_perm_subset"], 100 * i + j)
-            row = s.select(F.lit(len(traits)).alias("size"), F.lit(" + ".join(traits)).alias("traits"), F.lit(name_of(null)).alias("null"), F.lit(traits == cfg.morphology).alias("morphology_map"), "*")
+            row = s.select(F.lit(len(traits)).alias("size"), F.lit(" + ".join(traits)).alias("traits"), F.lit(name_of(null)).alias("null"), F.lit(traits == cfg.panel("morphology")).alias("morphology_map"), "*")
             out = row if out is None else out.unionByName(row)
         if "order" in cells and None in cells:
             label = F.concat_ws(", ", *(F.concat(F.lit(f"{t}="), c) for t, c in zip(traits, cfg.panel_levels(traits, VIEWS[view][0]), strict=True)))
@@ -117,7 +118,7 @@ def side_by_side(maps: dict[str, DataFrame]) -> DataFrame:
 
 def capacity(df: DataFrame, cfg: Config, panel: list[str] | None = None) -> DataFrame:
     """Expected counts of every non-empty subset of the panel; each subset has an analysis set of its own."""
-    panel = panel or cfg.core
+    panel = panel or cfg.panel("core")
     own = [list(c) for k in range(1, len(panel) + 1) for c in combinations(panel, k)]
     return occupancy.capacity({" + ".join(t): (analysis_set(df, t), cfg.panel_levels(t)) for t in own}, cfg["analysis"]["min_expected_for_test"])
 
@@ -131,79 +132,131 @@ def strata_bookkeeping(df: DataFrame, cfg: Config, traits: list[str], sizes: tup
     return out
 
 
+def doi_dates(df: DataFrame) -> DataFrame:
+    """How many records carry each release date, most first."""
+    return df.filter(F.col("doi_date").isNotNull()).groupBy("doi_date").count().orderBy(F.col("count").desc(), "doi_date")
+
+
+def small_strata(sub: DataFrame, cells: DataFrame, traits: list[str], alpha: float, rank: str = "gtdb_order") -> DataFrame:
+    """Testable cells that only strata left out as too small fill: the q that they have as empty ones, whether that would have
+    flagged them, and the sizes of the strata of their species."""
+    hit = cells.filter("emptied_by_exclusion and testable")
+    stratum = F.coalesce(F.col(rank), F.lit(occupancy.UNASSIGNED))
+    size = sub.groupBy(stratum.alias("_stratum")).agg(F.count("*").alias("_size"))
+    held = sub.withColumn("_stratum", stratum).join(F.broadcast(hit.select(*traits, "cell_id")), traits).join(size, "_stratum")  # a panel's cells
+    sizes = held.groupBy("cell_id").agg(F.array_join(F.sort_array(F.collect_list("_size")), ", ").alias("stratum_sizes"))  # fewer a cell than a stratum needs to count
+    flagged = F.coalesce(F.col("q_low") < alpha, F.lit(False)).alias("would_be_flagged")
+    return hit.join(sizes, "cell_id").select("cell_id", *traits, "observed_all_species", "observed", "expected", "q_low", flagged, "stratum_sizes")
+
+
+def deficit_trend(maps: DataFrame, key: str) -> DataFrame:
+    """One row: the deficits of a panel's maps from the global null to the finest, whether they never rise, and whether they
+    fall at every step."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(NULLS) for x in (name_of(n), k)]), F.col("null"))
+    own = maps.agg(F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "deficit"))), lambda x: x["deficit"]).alias("deficits"))
+    falls, strictly = occupancy.trend(F.col("deficits"))
+    return own.select(F.lit(key).alias("panel"), "deficits", falls.alias("nonincreasing"), strictly.alias("strict"))
+
+
+def positive_control(cells: dict[str, DataFrame], control: dict) -> DataFrame:
+    """One row: what a known gap does under the global null and within orders; it passes if it fires under the first only."""
+    here = " and ".join(f"{k} = '{v}'" for k, v in control["cell"].items())
+    fires = [cells[n].filter(here).select(F.col("empty_beyond_chance").alias(f"fires_{n}")) for n in ("global", "order")]
+    both = fires[0].join(fires[1], how="cross")  # one cell and one cell
+    return both.select(F.lit(control["name"]).alias("control"), "*", (F.col("fires_global") & ~F.col("fires_order")).alias("passes"))
+
+
 def panel_tables(df: DataFrame, cfg: Config, key: str, traits: list[str], n_perm: int | None = None) -> dict[str, DataFrame]:
-    """The tables of one panel: cells under each null, all nulls together, power, phyla, controls and survivors."""
+    """The tables of one panel: cells under each null, all nulls together, power, phyla, small strata and controls."""
     a, out, cells, again = cfg["analysis"], {}, {}, {}
-    panel = cfg.panel_levels(traits)
-    sub = analysis_set(df, traits)
-    maps, power = None, None
+    panel, sub = cfg.panel_levels(traits), analysis_set(df, traits)
+    maps, power = [], []
     for i, null in enumerate(NULLS):
-        c, s = occupancy_of(df, cfg, traits, "primary", null, n_perm, i)
-        cells[name_of(null)] = out[f"cells_{key}_primary_{name_of(null)}"] = c
-        row = s.withColumn("null", F.lit(name_of(null))).withColumn("deficit", F.col("null_occupied_mean") - F.col("occupied"))
-        maps = row if maps is None else maps.unionByName(row)
-        p = occupancy.detectable(c, n_perm or a["n_perm_full"], a["fdr_alpha"], a["min_expected_for_test"]).withColumn("null", F.lit(name_of(null)))
-        power = p if power is None else power.unionByName(p)
+        name = name_of(null)
+        cells[name], s = occupancy_of(df, cfg, traits, "primary", null, n_perm, i)
+        out[f"cells_{key}_primary_{name}"] = cells[name]
+        maps.append(s.withColumns({"null": F.lit(name), "deficit": F.col("null_occupied_mean") - F.col("occupied")}))
+        least = occupancy.detectable(cells[name], n_perm or a["n_perm_full"], a["fdr_alpha"], a["min_expected_for_test"])
+        power.append(least.withColumn("null", F.lit(name)))
         if null in (None, "order"):
-            again[name_of(null)] = occupancy_of(df, cfg, traits, "primary", null, n_perm, 777_777 + i)[0]
-    out |= {f"cells_{key}_all_nulls": occupancy.merge_nulls(cells, panel, "order", again), f"occupied_vs_expected_{key}": maps, f"minimum_detectable_constraint_{key}": power, f"power_expected_per_cell_{key}": capacity(df, cfg, traits), f"strata_{key}": strata_bookkeeping(df, cfg, traits)}
-    out[f"phylum_occupancy_{key}"] = occupancy.group_occupancy(sub, panel, "gtdb_phylum").join(occupancy.group_null(sub, panel, "gtdb_phylum", n_perm or a["n_perm_phylum_occupancy"], "bacdive_id", a["min_stratum_size"]), "grp", "left")
-    order = cells["order"]
-    # cells that only excluded small orders fill, with the q that they would have had
-    out[f"small_strata_false_positives_{key}"] = order.filter("emptied_by_exclusion and testable")
-    for control in a.get("positive_controls", []):
-        if control["panel"] == key:
-            at = lambda t: t.filter(" and ".join(f"{k} = '{v}'" for k, v in control["cell"].items()))  # noqa: B023, E731
-            hit = [at(cells[n]).select(F.col("empty_beyond_chance").alias(f"fires_{n}")) for n in ("global", "order")]
-            out[f"positive_control_{key}"] = hit[0].join(hit[1], how="cross").select(F.lit(control["name"]).alias("control"), "*", (F.col("fires_global") & ~F.col("fires_order")).alias("passes"))
+            again[name] = occupancy_of(df, cfg, traits, "primary", null, n_perm, 777_777 + i)[0]
+    phyla = occupancy.group_null(sub, panel, "gtdb_phylum", n_perm or a["n_perm_phylum_occupancy"], "bacdive_id", a["min_stratum_size"])
+    out |= {
+        f"cells_{key}_all_nulls": occupancy.merge_nulls(cells, panel, "order", again),
+        f"occupied_vs_expected_{key}": stacked(maps),
+        f"minimum_detectable_constraint_{key}": stacked(power),
+        f"power_expected_per_cell_{key}": capacity(df, cfg, traits),
+        f"strata_{key}": strata_bookkeeping(df, cfg, traits),
+        f"phylum_occupancy_{key}": occupancy.group_occupancy(sub, panel, "gtdb_phylum").join(phyla, "grp", "left"),
+        f"small_strata_false_positives_{key}": small_strata(sub, cells["order"], traits, a["fdr_alpha"]),
+    }
+    for n, control in enumerate(c for c in a.get("positive_controls", []) if c["panel"] == key):
+        out[f"positive_control_{key}" + f"_{n + 1}" * bool(n)] = positive_control(cells, control)
     return out
 
 
-def survivors(df: DataFrame, cfg: Config, traits: list[str], order_cells: DataFrame, n_perm: int | None = None, key: str = "") -> dict[str, DataFrame]:
-    """For cells that survive the finest shuffle: the orders that are expected to fill them, and the map under families. The
-    names of the tables hold key, the panel's."""
+def stacked(rows: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def survivors(df: DataFrame, cfg: Config, traits: list[str], order_cells: DataFrame, n_perm: int | None = None, key: str = "", views: dict[tuple[str, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """For cells that survive the finest shuffle: the orders that are expected to fill them, which of their families carry
+    which levels, the map under families, and the cell in each of the views (cells by view and null). The names of the tables
+    hold key, the panel's."""
     found = order_cells.filter("empty_beyond_chance").select(*traits).collect()  # at most as many as the panel has cells
     if not found:
         return {}
     sub, least = analysis_set(df, traits), cfg["analysis"]["min_stratum_size"]
     key = f"{key}_" if key else ""
-    out = {f"cells_{key}primary_family": occupancy_of(df, cfg, traits, "primary", "family", n_perm, 424_242)[0]}
+    family = occupancy_of(df, cfg, traits, "primary", "family", n_perm, 424_242)[0]
+    out = {f"cells_{key}primary_family": family}
+    every = (views or {}) | {("primary", "order"): order_cells, ("primary", "family"): family}
     for r in found:
         cell = r.asDict()
-        out[f"survivor_{key}" + "_".join(cell.values()) + "_order_contributions"] = occupancy.contributions(sub, cell, "gtdb_order", least, "gtdb_phylum")
-        out[f"survivor_{key}" + "_".join(cell.values()) + "_family_carriers"] = occupancy.carriers(sub, cell, "gtdb_order", "gtdb_family")
+        name = f"survivor_{key}" + "_".join(cell.values())
+        here = " and ".join(f"{k} = '{v}'" for k, v in cell.items())
+        out[name + "_order_contributions"] = occupancy.contributions(sub, cell, "gtdb_order", least, "gtdb_phylum")
+        out[name + "_family_carriers"] = occupancy.carriers(sub, cell, "gtdb_order", "gtdb_family")
+        seen = [t.filter(here).select(F.lit(view).alias("view"), F.lit(null).alias("null"), "observed_all_species", "expected", "testable", "q_low", "empty_beyond_chance") for (view, null), t in every.items() if not view.startswith("fine")]
+        out[name + "_views"] = stacked(seen)
     return out
 
 
 def tables(df: DataFrame, cfg: Config, n_perm: int | None = None, grid: bool = True) -> dict[str, DataFrame]:
     """Every table of the report."""
-    usable = {LABELS[t]: F.col(f"{t}_usable") for t in ALL_TRAITS}
-    panels = {"core": cfg.core, "no_spore": cfg.no_spore, "morphology": cfg.morphology}
     from ..operators.linkage import stage_table
 
+    usable = {LABELS[t]: F.col(f"{t}_usable") for t in ALL_TRAITS}
+    panels = {k: cfg.panel(k) for k in ("core", "no_spore", "morphology")}
+    wider = panels | {"core_ph": [*cfg.panel("core"), "ph"], "original_8": [*cfg.panel("core"), "ph", "halophily_level"]}
     out = {
-        "attrition": attrition(df, cfg), "per_trait_detail": per_trait(df), "match_rate_by_normalisation_step": stage_table(df, {"all": F.lit(True), "core": F.col("core6_complete"), "no_spore": F.col("nospore5_complete")}),
-        "coverage": coverage.co_coverage(df, usable), "coverage_vs_independence": coverage.independence(df, {k: [F.col(f"{t}_usable") for t in v] for k, v in (panels | {"core_ph": [*cfg.core, "ph"], "original_8": [*cfg.core, "ph", "halophily_level"]}).items()}), "genome_attrition_core": genome_attrition(df, F.col("core6_complete")), "type_strains_core": type_strains(analysis_set(df, cfg.core)),
-    } | availability(df, cfg)
+        "attrition": attrition(df, cfg),
+        "per_trait_detail": per_trait(df),
+        "match_rate_by_normalisation_step": stage_table(df, {"all": F.lit(True), "core": F.col("core6_complete"), "no_spore": F.col("nospore5_complete")}),
+        "coverage": coverage.co_coverage(df, usable),
+        "coverage_vs_independence": coverage.independence(df, {k: [F.col(f"{t}_usable") for t in v] for k, v in wider.items()}),
+        "genome_attrition_core": genome_attrition(df, F.col("core6_complete")),
+        "type_strains_core": type_strains(analysis_set(df, cfg.panel("core"))),
+        "doi_dates": doi_dates(df),
+    } | availability(df, cfg)
+    rows, trends = [], []
     for key in ("core", "no_spore"):
         out |= panel_tables(df, cfg, key, panels[key], n_perm)
-    views = None
-    for key in ("core", "no_spore"):
-        rows = [out[f"occupied_vs_expected_{key}"].drop("deficit").withColumn("view", F.lit("primary"))]
-        for view in VIEWS:
-            if view == "primary":
-                continue
+        maps = out[f"occupied_vs_expected_{key}"]
+        trends.append(deficit_trend(maps, key))
+        rows.append(maps.drop("deficit").withColumns({"view": F.lit("primary"), "panel": F.lit(key)}))
+        views = {("primary", "global"): out[f"cells_{key}_primary_global"]}
+        for view in [v for v in VIEWS if v != "primary"]:
             for null in (None, "order"):
-                out[f"cells_{key}_{view}_{name_of(null)}"], s = occupancy_of(df, cfg, panels[key], view, null, n_perm)
-                rows.append(s.withColumns({"view": F.lit(view), "null": F.lit(name_of(null))}))
-        for row in rows:
-            row = row.withColumn("panel", F.lit(key))
-            views = row if views is None else views.unionByName(row)
-        out |= survivors(df, cfg, panels[key], out[f"cells_{key}_primary_order"], n_perm, key)
-    out["views_summary"] = views
-    out["panels_side_by_side"] = side_by_side({k: out[f"occupied_vs_expected_{k}"] for k in ("core", "no_spore")})
-    for key in ("core", "no_spore"):
+                cells, s = occupancy_of(df, cfg, panels[key], view, null, n_perm)
+                out[f"cells_{key}_{view}_{name_of(null)}"] = views[view, name_of(null)] = cells
+                rows.append(s.withColumns({"view": F.lit(view), "null": F.lit(name_of(null)), "panel": F.lit(key)}))
+        out |= survivors(df, cfg, panels[key], out[f"cells_{key}_primary_order"], n_perm, key, views)
         out[f"crosstab_{key}"] = marked(out[f"cells_{key}_all_nulls"], cfg, panels[key])
+    out["views_summary"], out["deficit_trend"] = stacked(rows), stacked(trends)
+    out["panels_side_by_side"] = side_by_side({k: out[f"occupied_vs_expected_{k}"] for k in ("core", "no_spore")})
     if grid:
         out["occupancy_subsets_all_nulls"], out["order_level_survivors_all_maps"] = occupancy_grid(df, cfg, n_perm=n_perm)
+        order = out["occupancy_subsets_all_nulls"].filter(F.col("null") == "order")
+        out["order_level_deficit_across_maps"] = order.select("traits", "occupied", "null_occupied_mean", "p_fewer_occupied_than_null", "q_deficit")
     return out

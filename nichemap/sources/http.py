@@ -1,7 +1,8 @@
-"""Records from a paged HTTP interface as a Spark data source, one partition a batch; and files to download.
+"""Records from a paged HTTP interface as a Spark data source, as many partitions as the service takes callers; and files to
+download.
 
     spark.dataSource.register(RecordSource)
-    spark.read.format("trait_records").option("base_url", ...).option("starts", "1,101").load()
+    spark.read.format("trait_records").option("base_url", ...).option("starts", "1,101").option("workers", 3).load()
 
 Nothing here runs without a network; the parts that do the deciding (retry, checks of an answer) are plain functions.
 """
@@ -54,13 +55,34 @@ def checked(answer: object, start: int, size: int) -> dict[str, object]:
     return results
 
 
+def user_agent() -> str:
+    """What requests say of their sender: $BACDIVE_USER_AGENT, or a name with $BACDIVE_CONTACT_EMAIL."""
+    contact = os.environ.get("BACDIVE_CONTACT_EMAIL", "").strip()
+    return os.environ.get("BACDIVE_USER_AGENT") or "nichemap/1.0 (research crawl)" + f" contact:{contact}" * bool(contact)
+
+
+def opened(url: str, timeout: float = 300):
+    return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": user_agent(), "Accept": "*/*"}), timeout=timeout)
+
+
 def fetch(url: str, timeout: float) -> object:
-    with urllib.request.urlopen(url, timeout=timeout) as answer:
+    with opened(url, timeout) as answer:
         return json.load(answer)
 
 
+def batch_of(options: dict[str, str], start: int, get: Callable[[str, float], object]) -> tuple[dict[str, object], str]:
+    """The records of the batch from start on, and when they were fetched; then the pause that the service asks for."""
+    o, size = options, int(options.get("batch_size", 100))
+    url = f"{o['base_url']}/fetch/{';'.join(map(str, range(start, start + size)))}"
+    answer = retry(lambda: get(url, float(o.get("timeout", 180))), int(o.get("retries", 8)), float(o.get("backoff", 5)))
+    found = checked(answer, start, size)
+    time.sleep(float(o.get("delay", 0)))
+    return found, datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
 class RecordSource(DataSource):
-    """bacdive_id, record and fetched_at; options base_url, starts (comma-separated), batch_size, timeout, retries, backoff."""
+    """bacdive_id, record and fetched_at; options base_url, starts (comma-separated), batch_size, timeout, retries, backoff,
+    workers (partitions at most) and delay (seconds after each batch)."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,19 +100,18 @@ class RecordReader(DataSourceReader):
         self.options, self.get = options, get
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(int(x)) for x in self.options["starts"].split(",") if x]
+        starts = [int(x) for x in self.options["starts"].split(",") if x]
+        workers = int(self.options.get("workers", 3))
+        return [InputPartition(starts[k::workers]) for k in range(min(workers, len(starts)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        o = self.options
-        start, size = partition.value, int(o.get("batch_size", 100))
-        url = f"{o['base_url']}/fetch/{';'.join(map(str, range(start, start + size)))}"
-        answer = retry(lambda: self.get(url, float(o.get("timeout", 180))), int(o.get("retries", 8)), float(o.get("backoff", 5)))
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        for key, record in checked(answer, start, size).items():
-            yield int(key), json.dumps(record), now
+        for start in partition.value:
+            found, now = batch_of(self.options, start, self.get)
+            for key, record in found.items():
+                yield int(key), json.dumps(record), now
 
 
-def download(url: str, path: str | Path, open_url=urllib.request.urlopen) -> str:
+def download(url: str, path: str | Path, open_url=opened) -> str | None:
     """The file at url, written beside and then renamed; its last-modified date, if there is one."""
     beside = Path(f"{path}.part")
     beside.parent.mkdir(parents=True, exist_ok=True)
@@ -102,7 +123,9 @@ def download(url: str, path: str | Path, open_url=urllib.request.urlopen) -> str
     return modified
 
 
-def release(text: str) -> str | None:
-    """The release number in the first line of a version file."""
-    m = re.search(r"v?(\d+(?:\.\d+)?)", text.splitlines()[0] if text else "")
-    return m[1] if m else None
+def release(text: str) -> tuple[str, str]:
+    """(release, date) from the first two lines of a version file."""
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    if not lines or not re.fullmatch(r"v?\d+(\.\d+)?", lines[0]):
+        raise ValueError(f"no release in the version file: {lines[:2]}")
+    return lines[0], lines[1] if len(lines) > 1 else ""

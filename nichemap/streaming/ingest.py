@@ -28,14 +28,21 @@ def trait_rows(spark: SparkSession, folder: str, cfg) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where drivers and executors both write: the folder of spark.checkpoint.dir; a temporary one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """Where drivers and executors both write: the folder of spark.checkpoint.dir. Where that is unset, a local session writes
+    to this machine's folder for temporary files, and a cluster is refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def drain(stream: DataFrame) -> DataFrame:
-    """All that the stream holds now, written as Parquet to the shared folder and read from there."""
+    """All that the stream holds now, written as Parquet to the shared folder and read from there. The stream's own state goes
+    when it has ended; the rows stay for who reads them."""
     spark = stream.sparkSession
     place = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/state")
+    state.getFileSystem(spark._jsc.hadoopConfiguration()).delete(state, True)
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
