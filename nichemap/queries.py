@@ -459,11 +459,12 @@ def sweep_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.empty_ranges(found, 1, 1)
 
 
-@query("WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 15))::BIGINT AS h FROM orders) SELECT count(*) AS n_rows, 4 AS n_columns, bit_xor(h) AS content FROM h")
+@query("WITH p AS (SELECT unnest([1, 2]) AS copy), t AS (SELECT concat(" + ", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END", "o_orderpriority")) + ") AS r FROM orders, p WHERE copy = 1 OR o_orderkey % 5 = 0) SELECT count(*) AS n_rows, 4 AS n_columns, sum(('0x' || substr(md5(r), 1, 15))::BIGINT)::VARCHAR AS content FROM t")
 def row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sinks import fingerprint
 
-    return fingerprint(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
+    return fingerprint(df.union(df.filter("o_orderkey % 5 = 0")))  # rows that come twice count twice
 
 
 @query("SELECT user_id, count(*) AS n, min(ts) AS first_ts, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
@@ -498,16 +499,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.drain(ingest.events(spark, f"{sf_dir}/events.parquet"))
 
 
-@query()
-def permutation_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numpy kernel over a thousand permutations; its mean is held against the expectation by a test."""
-    df = occupancy.strata(customers(spark, sf_dir), "taxon", MIN_STRATUM)
-    null = occupancy.permuted_numpy(df, CUSTOMERS, 1000)
-    return null.groupBy("cell_id").agg((F.sum("n") / 1000).alias("null_mean"))
-
-
 def full_map(spark: SparkSession, sf_dir: str, taxon: str | None = "taxon", offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(cells, summary) at the settings' number of permutations and alpha, by the kernel. The queries by md5 above have
+    """(cells, summary) at the settings' number of permutations and alpha, by the report's own draws. The queries by md5 above have
     N_PERM, as many as SQL can follow, and can't tell a gap from noise; these can."""
     a = load_config()["analysis"]
     return occupancy.occupancy(customers(spark, sf_dir), CUSTOMERS, "c_custkey", a["n_perm_full"], taxon, MIN_STRATUM, a["min_expected_for_test"], a["fdr_alpha"], a["seed"] + offset)
@@ -539,3 +532,6 @@ def null_categories_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories from the nulls of two seeds each."""
     runs = [{"global": full_map(spark, sf_dir, None, offset)[0], "nation": full_map(spark, sf_dir, offset=offset + 1)[0]} for offset in (0, 777_777)]
     return occupancy.merge_nulls(runs[0], CUSTOMERS, "nation", runs[1]).select("cell_id", "observed_all", "category")
+
+
+from . import queries_stages  # noqa: E402, F401 - adds the queries of the stages

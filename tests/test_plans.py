@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 from nichemap import sinks
-from nichemap.config import DEFAULT, column, load_config
+from nichemap.config import DEFAULT, Config, column, load_config
 from nichemap.plans import pipeline, reports
 from nichemap.sources import http
 from nichemap.streaming import ingest
@@ -59,11 +59,15 @@ def test_stages(spark, world, monkeypatch):
     assert {"views_summary", "panels_side_by_side", "crosstab_core", "unmatched_reasons", "order_level_survivors_all_maps", "positive_control_core", "phylum_occupancy_core", "strata_core", "power_expected_per_cell_core", "minimum_detectable_constraint_no_spore"} <= set(made)
     assert made["power_expected_per_cell_core"].count() == 7
     manifest = json.loads((world / "reports/run_manifest.json").read_text())
-    assert manifest["strains"]["n_rows"] == 40 and manifest["config_sha256"] == cfg.sha256
-    assert (world / "reports/report.md").read_text().startswith("# Occupancy")
+    assert manifest["outputs"]["strains"]["n_rows"] == 40 and manifest["outputs"]["unmatched_strains"]["n_rows"] == 5 and manifest["config_sha256"] == cfg.sha256
+    assert manifest["counts"] == {"strains": 40, "matched": 35, "core_species": 35, "no_spore_species": 35, "core_order_level_survivors": 0, "no_spore_order_level_survivors": 0}
+    assert manifest["records"]["complete"] and manifest["records"]["max_id_found"] == 40 and manifest["records"]["fetched_from"] == "t" and manifest["catalogue"]["n_genomes"] == 35 + len(GENOMES) and manifest["analysis"]["seed"]
+    page = (world / "reports/report.md").read_text()
+    assert page.startswith("# Occupancy") and "35 (87.5%) have a genome" in page and "No cell is emptier than chance" in page and "Control x: IT FAILS" in page
+    assert {"deficit_trend", "order_level_deficit_across_maps", "small_strata_false_positives_core", "doi_dates"} <= set(made)
     assert len("".join(p.read_text() for p in Path(world / "data/final/assembly_accessions_all.txt").glob("part-*")).split()) == 35
     cells = made["cells_core_primary_order"].withColumn("empty_beyond_chance", made["cells_core_primary_order"]["observed"] == 0)
-    assert reports.survivors(spark.read.parquet(str(world / "data/interim/strains.parquet")), cfg, cfg.core, cells, 5).keys() >= {"cells_primary_family"}
+    assert reports.survivors(spark.read.parquet(str(world / "data/interim/strains.parquet")), cfg, cfg.panel("core"), cells, 5).keys() >= {"cells_primary_family"}
 
 
 def test_incomplete_sweeps_are_refused(spark, world):
@@ -79,7 +83,7 @@ def test_stream_of_batches(spark, world):
 
 def test_config(world):
     cfg = load_config()
-    assert cfg.panel_levels(["gram", "oxygen"], "fine")["oxygen_fine"][2] == "microaerophile" and len(cfg.core) == 6 and len(cfg.sha256) == 64
+    assert cfg.panel_levels(["gram", "oxygen"], "fine")["oxygen_fine"][2] == "microaerophile" and len(cfg.panel("core")) == 6 and len(cfg.sha256) == 64
     with pytest.raises(ValueError, match="coarse or fine"):
         column("gram", "middling")
 
@@ -106,7 +110,8 @@ def test_retry_and_checks():
 def test_record_source_reads_a_batch():
     reader = http.RecordReader({"base_url": "http://x", "starts": "1,101", "batch_size": "2"}, lambda url, _: {"results": {"1": {"u": url}}} if "1;2" in url else {"results": {}})
     parts = reader.partitions()
-    assert [p.value for p in parts] == [1, 101]
+    assert [p.value for p in parts] == [[1], [101]]
+    assert [p.value for p in http.RecordReader({"starts": "1,2,3,4,5", "workers": "2"}).partitions()] == [[1, 3, 5], [2, 4]]
     (key, rec, _), = reader.read(parts[0])
     assert key == 1 and json.loads(rec) == {"u": "http://x/fetch/1;2"} and http.RecordSource.name() == "trait_records"
 
@@ -116,7 +121,47 @@ def test_download_and_release(tmp_path):
         headers = {"Last-Modified": "today"}
 
     assert http.download("u", tmp_path / "a" / "f", lambda _: Answer(b"abc")) == "today" and (tmp_path / "a/f").read_bytes() == b"abc"
-    assert http.release("v226.1\nx") == "226.1" and http.release("") is None
+    assert http.release("v226.1\n\nApril\nx") == ("v226.1", "April") and http.release("226") == ("226", "")
+    for bad in ("", "latest\nv1"):
+        with pytest.raises(ValueError, match="release"):
+            http.release(bad)
+
+
+def test_crawl_goes_on_where_it_stopped(spark, tmp_path):
+    from nichemap.plans import crawl
+    from nichemap.sources import batches
+
+    def answered(url, timeout):
+        found = {i: {"k": int(i)} for i in url.rsplit("/", 1)[1].split(";") if 10 < int(i) < 60}
+        return {"count": len(found), "results": found or []}
+
+    text = DEFAULT.read_text().replace("max_id = 250000", "max_id = 100").replace("batch_size = 100", "batch_size = 10").replace("delay_seconds = 0.2", "delay_seconds = 0")
+    (tmp_path / "c.toml").write_text(text)
+    cfg = load_config(tmp_path / "c.toml")
+    first = crawl.crawl(spark, cfg, 4, answered)
+    assert (first["fetched"], first["cached"], first["missing"], first["complete"]) == (4, 4, 6, False)
+    rest = crawl.crawl(spark, cfg, None, answered)
+    assert (rest["fetched"], rest["cached"], rest["complete"], rest["records"], rest["max_id_found"]) == (6, 10, True, 49, 59)
+    folder = str(cfg.path("raw") / "bacdive")
+    assert sorted(r["bacdive_id"] for r in batches.records(spark, folder).collect()) == list(range(11, 60))
+    with gzip.open(f"{folder}/fetch_0000011_n10.json.gz") as file:
+        held = json.load(file)
+    assert (held["requested_start"], held["requested_end"], held["api"]) == (11, 20, cfg["bacdive"]["base_url"]) and held["results"]["11"] == {"k": 11}
+    assert crawl.crawl(spark, cfg, None, answered)["fetched"] == 0
+
+
+def test_release_is_downloaded_once(tmp_path):
+    from nichemap.plans import crawl
+
+    class Answer(io.BytesIO):
+        headers = {"Last-Modified": "today"}
+
+    asked = []
+    cfg = Config(DEFAULT.read_text(), tmp_path)
+    open_url = lambda url: asked.append(url) or Answer(b"v226\nApril\n" if "VERSION" in url else b"abc")
+    info = crawl.release(cfg, open_url=open_url)
+    assert (info["release"], info["released"], info["metadata_last_modified"]) == ("v226", "April", "today") and len(info["metadata_sha256"]) == 64
+    assert crawl.release(cfg, open_url=open_url) == info and len(asked) == 2
 
 
 def test_sinks(spark, tmp_path):
@@ -127,11 +172,21 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "x.json").read_text()) == {"a": 1} and not list(tmp_path.glob("*.part"))
     assert len(sinks.file_sha256(tmp_path / "x.json")) == 64
     assert sinks.fingerprint(df.select("k")).first() == sinks.fingerprint(df.select("k").orderBy("k", ascending=False)).first()
+    own = lambda *rows: tuple(sinks.fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first())
+    unlike = [own(("x", "y"), ("x", "y")), own(("p", "q"), ("p", "q")), own(("x", "y")), own(("x", None)), own((None, "x")), own(("a|b", "c")), own(("a", "b|c")), own(("", None)), own((None, "")), own(("1:x", "")), own(("", "1:x"))]
+    assert len(set(unlike)) == len(unlike) and own(("x", "y"), ("p", "q")) == own(("p", "q"), ("x", "y"))
+    assert sinks.fingerprint(df.limit(0)).first()["content"] == "0"
     assert (sinks.pct(1, 3), sinks.pct(1, 0), sinks.fmt(1234), sinks.fmt(0.5), sinks.fmt(None), sinks.fmt(1e-9), sinks.fmt(True)) == ("33.3%", "–", "1,234", "0.500", "", "1.0e-09", "yes")
     assert sinks.markdown([{"a": 1, "b": "x|y"}], ["a", "b"]).splitlines()[2] == "| 1 | x\\|y |"
     assert sinks.commit_of(tmp_path) is None
 
 
+def test_long_tables_say_so(spark):
+    from nichemap.plans import story
+
+    assert "The first 60 of 70 rows; all are in `tables/t.tsv`." in story.shown("t", spark.range(70)) and "first" not in story.shown("t", spark.range(60))
+
+
 def test_report_has_every_panel(spark, world, monkeypatch):
     """Views with their cells, survivors' tables and coverage, for both panels; here the first cell counts as a survivor."""
     from pyspark.sql import functions as F
@@ -146,6 +201,8 @@ def test_report_has_every_panel(spark, world, monkeypatch):
     for key in ("core", "no_spore"):
         assert {f"cells_{key}_genus-level_global", f"cells_{key}_genus-level_order", f"cells_{key}_primary_family"} <= set(made)
         assert any(n.startswith(f"survivor_{key}_") and n.endswith("_order_contributions") for n in made) and any(n.startswith(f"survivor_{key}_") and n.endswith("_family_carriers") for n in made)
+        views, = (made[n] for n in made if n.startswith(f"survivor_{key}_") and n.endswith("_views"))
+        assert {(r["view"], r["null"]) for r in views.collect()} == {("primary", n) for n in ("global", "order", "family")} | {("genus-level", n) for n in ("global", "order")}
     rows = {(r["panel"], r["view"], r["null"]) for r in made["views_summary"].select("panel", "view", "null").collect()}
     assert rows == {(p, v, n) for p in ("core", "no_spore") for v, n in [("primary", n) for n in ("global", "phylum", "class", "order")] + [("genus-level", n) for n in ("global", "order")]}
     assert {r["panel"] for r in made["coverage_vs_independence"].collect()} == {"core", "no_spore", "morphology", "core_ph", "original_8"}

@@ -52,17 +52,6 @@ def test_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
 
 
-def test_kernel_mean_is_the_expectation(spark, sf):
-    from pyspark.sql import functions as F
-
-    from nichemap.operators import occupancy as O
-
-    kept = O.strata(queries.customers(spark, sf), "taxon", queries.MIN_STRATUM)
-    both = O.expected(kept, queries.CUSTOMERS).join(queries.permutation_kernel(spark, sf), "cell_id", "left").fillna(0.0)
-    worst = both.agg(F.max(F.abs(F.col("expected") - F.col("null_mean")))).first()[0]
-    assert worst < 1.0
-
-
 def test_categories_draw_again(spark, sf, monkeypatch):
     """A survivor of the first seed alone is borderline: the second run has draws of its own."""
     from pyspark.sql import functions as F
