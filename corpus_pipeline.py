@@ -1,7 +1,11 @@
 """A corpus from raw documents to packed sequences: five stages, each by an operator of subpackage llm.
 
 A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Every stage but the last returns the
-columns of documents; the last returns a row a piece, with its sequence and place.
+columns of documents, whatever else these are called; the last returns a row a piece, with its sequence and place.
+
+No stage knows a row by its doc_id: rows with a null id, and rows that share one, are each judged, masked and packed in
+their own right, with the exceptions named below. A null text counts as empty. An empty table stays empty. Very long texts
+are worked on whole.
 """
 
 from __future__ import annotations
@@ -17,22 +21,26 @@ from nichemap.llm.queries import WORD_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. Null and empty texts have no words and go; rows that repeat are judged alike."""
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of near-duplicates."""
+    """One row, the one with the least doc_id, of each group of near-duplicates; null ids come last, and of rows alike in id
+    and text one stays. Different texts with one id, or none, are kept or dropped with the groups of their own. Texts without
+    words have one fingerprint and so are near-duplicates."""
     return simhash.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of 20 words that an earlier text, or an earlier place, has."""
+    """Texts without runs of 20 words that an earlier text (by doc_id, null first), or an earlier place, has. Rows that share
+    an id count as one document: equal rows leave each other alone. Null texts stay null."""
     return repeats.without_repeats(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data, disguised or not, masked."""
+    """Texts with personal data, disguised or not, masked; null texts stay null, and n_chars, where there is one, is that of
+    the new text."""
     out = spans.redact(docs, pii.find)
     if "n_chars" not in docs.columns:
         return out
@@ -40,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the texts, packed."""
+    """The pieces of the texts, packed: a row a piece, of which a null or empty text has one, its end id."""
     return packing.pack_documents(docs, WORD_BPE)
 
 
