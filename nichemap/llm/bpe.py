@@ -9,7 +9,8 @@ Pieces are merged many at a time: pieces of one width class form a matrix with o
 merge in every row that still has one. Pieces beyond the widest class, and single calls, use the same tree on lists.
 
 Null text counts as empty; an empty text has no ids. Repeated rows and extra columns are kept apart by row: each input
-row gives one output row in its own right. Very long pieces cost n log n.
+row gives one output row in its own right, and an empty table gives none. Very long texts are encoded whole; very long
+pieces cost n log n, and workers forget them with the batch they came in.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ forest, never as all pairs: small groups by shifted comparison, larger ones by a
 fingerprint leaves the array of those not reached yet. Groups beyond WALK are first split by 16-bit blocks, one of which
 any linked pair has in common. Components come from alternating large-star and small-star steps on the links.
 
-A text without words, null included, has fingerprint zero and links like any other. Null ids take part, but name a
-component only if it has no other id. Repeated rows each get the same result.
+A text without words, null included, has fingerprint zero and links like any other; very long texts are hashed whole, in
+pieces of bounded size. Null ids take part, but name a component only if it has no other id. Repeated rows each get the same
+result. An empty table gives no rows. Other columns play no part in near_duplicates; keep_first keeps them all, whatever they
+are called. A fingerprint that very many rows share is one key of the last join, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 #: Groups up to SHIFT are compared by shifts, those beyond WALK are split by blocks of bits.
 SHIFT, WALK = 8, 20_000
-SALTS = 8
+#: Places that a component's members meet its name in: SALTS, and as many more for every MEMBERS fingerprints there are.
+SALTS, MEMBERS = 8, 1_000_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -238,9 +241,12 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     joined = components(links(first))
     bounded_batches(df.sparkSession)
     joined = joined.withColumnRenamed("node", "fp")
-    # A large component's members meet its name in SALTS places, by a hash of the member.
-    members = first.join(joined, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
-    names = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # A large component's members meet its name in several places, by a hash of the member.
+    salts = SALTS * (1 + joined.count() // MEMBERS)
+    members = first.join(joined, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)))
+    names = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    # a component of a few members has them in a few places only; which ones, their hashes say
+    names = names.join(members.select("root", "salt").distinct(), "root").select("root", "salt", "component_id")
     alone = first.join(joined, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
     named = members.join(names.hint("merge"), ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
