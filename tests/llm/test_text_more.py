@@ -112,6 +112,16 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(df, toxicity.train(df, odd)).count() == df.count()
 
 
+def test_toxicity_takes_one_text_an_id(spark, monkeypatch):
+    """Rows that share an id are one text to learn from, over-long ones none; all of them are scored."""
+    df = documents(spark, [(1, "b"), (1, "a"), (2, "c " * 50), (3, "d"), (3, "d"), (6, "d")])
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 6)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "LONGEST", 20)
+    monkeypatch.setattr(toxicity, "held_out", lambda c: F.lit(False))
+    assert Counter(map(tuple, toxicity.sample_of(df, labels).collect())) == Counter([("a", 1), ("d", 1), ("d", 0)])
+    assert toxicity.score(df, toxicity.train(df, labels)).count() == 6
+
+
 def test_main_text(spark, sf):
     import re
 
@@ -154,8 +164,12 @@ def plain_pipeline(pairs):
         return not (n < 50 or 100 * rep > 50 * n or 100 * symbols > 10 * n or (100 * dup > 40 * lines and dup >= 2) or 100 * upper > 40 * len(t) or 100 * t.count("!") > 30 * n or chars < 2 * n or chars > 20 * n)
 
     kept = [(i, t) for i, t in pairs if passes(t)]
-    stay = {i for i, _, c in plain_components(kept) if i == c}
-    kept = list({i: t for i, t in kept if i in stay}.items())
+    # one row of each component, the one with the least id
+    own = plain_components([(k, t) for k, (_, t) in enumerate(kept)])
+    groups = {}
+    for (k, _, c), (i, t) in zip(sorted(own), kept, strict=True):
+        groups.setdefault(c, []).append((i, t))
+    kept = [min(g) for g in groups.values()]
     out = []
     for (i, w, gone), (_, t) in zip(plain_repeats(kept), kept, strict=True):
         t = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t

@@ -105,10 +105,98 @@ def test_secret_models_tell_random_from_ordinary():
     assert not base and [k for k, *_ in more] == ["random"]
 
 
+FILLER = "the report says that all of it went as it should, in time and as planned; see page 7 of the annex. ".split()
+
+
+def in_text(rng, token):
+    words = [rng.choice(FILLER) for _ in range(rng.randint(5, 40))]
+    at = rng.randrange(len(words) + 1)
+    before = " ".join(words[:at])
+    return before + " " * bool(before) + token + " " + " ".join(words[at:]), len(before) + bool(before)
+
+
+def test_pii_finds_planted_disguises():
+    """Recall and false alarms of the method's own spans, on identifiers disguised in ways that its rules are about."""
+    import random
+
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 8)))
+    spelled = [[w for w, d in pii.SPELLED.items() if d == k] for k in range(10)]
+    hit = exact = 0
+    for k in range(600):
+        kind, address = "email", (f"{name()}.{name()}", f"{name()}", rng.choice(["com", "org", "de", "es"]))
+        form = k % 8
+        if form == 0:
+            token = f"{address[0]} (at) {address[1]}.{address[2]}"
+        elif form == 1:
+            token = f"{address[0]}[at]{address[1]}[dot]{address[2]}"
+        elif form == 2:
+            token = f"{address[0]} at {address[1]} dot {address[2]}"
+        elif form == 3:
+            token = f"{address[0]}@{address[1]}.{address[2]}".replace("a", "а").replace("o", "о").replace("e", "е").replace("@", "＠")
+        elif form == 4:
+            token = f"{address[0]} arroba {address[1]} punto {address[2]}"
+        elif form == 5:
+            token = f"{address[0]}&#64;{address[1]}.{address[2]}"
+        elif form == 6:
+            kind, token = "phone", "plus " + " ".join(rng.choice(spelled[rng.randrange(1, 10)]) for _ in range(11))
+        else:
+            kind, token = "ip", ".".join(str(rng.randrange(1, 256)) for _ in range(4)).replace(".", "․")
+        text, at = in_text(rng, token)
+        found = [x for x in pii.find(text)[1] if x[0] == kind]
+        hit += any(a < at + len(token) and at < b for _, a, b in found)
+        exact += (kind, at, at + len(token)) in found
+    assert hit >= 0.95 * 600 and exact >= 0.9 * 600
+    assert not any(pii.find(in_text(rng, rng.choice(["meet at noon.", "look at example", "one two many", "dot your i", "a plus b", "at 7 (at most)"]))[0])[1] for _ in range(400))
+
+
+def test_pii_finds_nothing_more_in_plain_documents(spark, sf):
+    """False alarms of the method's own spans over documents without disguises."""
+    docs = [t for _, t in rows(spark.read.parquet(f"{sf}/documents.parquet"))]
+    assert sum(bool(pii.find(t or "")[1]) for t in docs) <= 0.002 * len(docs)
+    assert sum(bool(secrets.find(t or "")[1]) for t in docs) <= 0.002 * len(docs)
+
+
+def test_secrets_finds_planted_tokens():
+    """Recall and false alarms of the chains, on random strings and ordinary names in text."""
+    import random
+
+    rng = random.Random(13)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    exact = 0
+    for _ in range(600):
+        token = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(22, 44)))
+        text, at = in_text(rng, token)
+        exact += ("random", at, at + len(token)) in secrets.find(text)[1]
+    assert exact >= 0.95 * 600
+    words = [w for w in secrets.WORDS.split() if w.isascii() and len(w) > 4]
+    forms = (lambda own: "_".join(own), lambda own: "".join(x.title() for x in own), lambda own: "/".join(own), lambda own: "-".join(own) + "-2024", lambda own: "_".join(own).upper())
+    alarms = sum(bool(secrets.find(in_text(rng, rng.choice(forms)(rng.sample(words, rng.randint(3, 6))))[0])[1]) for _ in range(1000))
+    assert alarms <= 10
+
+
+def test_finds_are_looked_up_in_sorted_spans():
+    """Twenty thousand base spans and as many finds of the method take well under a second or two."""
+    import time
+
+    began = time.process_time()
+    base, more = pii.find("a@b.co 10.0.0.1 x (at) y.com " * 20_000)
+    assert len(base) == 40_000 and len(more) == 20_000
+    base, more = secrets.find("password=abcdefgh Zx8Qp2Lm9Rt4Wv7Yb3Nc " * 20_000)
+    assert len(base) == len(more) == 20_000 and time.process_time() - began < 10
+
+
+def test_cover():
+    cover = spans.Cover([(5, 8), (1, 3), (2, 4), (8, 9)])
+    assert [(a, b) for a in range(10) for b in range(a + 1, 11) if cover.touches(a, b) != any(a < y and x < b for x, y in ((1, 4), (5, 9)))] == []
+    assert cover.holds(1, 4) and cover.holds(5, 9) and not cover.holds(3, 6) and cover.edges(2, 6) and not cover.edges(0, 9)
+
+
 def test_packing(docs):
     import numpy as np
+    from tokenizers import Tokenizer
 
-    tokenizer = packing._tokenizer(queries.WORD_BPE)
+    tokenizer = Tokenizer.from_file(queries.WORD_BPE)  # as it is
     out = packing.pack_documents(docs.select("doc_id", "text"), queries.WORD_BPE)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     wanted = []
@@ -147,6 +235,60 @@ def test_plan_takes_any_counts():
         assert {k: set(range(n)) for k, n in counts.items()} == ranks and max(held.values()) <= cap and len(held) == plan.sequences
 
 
+def least_sequences(lengths, cap):
+    """The fewest sequences that hold the lengths, by trying them all."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted({r for r in rooms if r >= lengths[k]}):
+            left = list(rooms)
+            left.remove(r)
+            place(k + 1, [*left, r - lengths[k]])
+        place(k + 1, [*rooms, cap - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_against_the_best_there_is():
+    """The reduction never costs a sequence, and best fit after it seldom does."""
+    import random
+
+    random.seed(11)
+    over = 0
+    for _ in range(250):
+        cap = random.choice([10, 17, 30])
+        lengths = sorted((random.randint(1, cap) for _ in range(random.randint(1, 9))), reverse=True)
+        plan = packing.Plan(Counter(lengths), cap)
+        best = least_sequences(lengths, cap)
+        fixed = Counter()
+        for length, _, n, per, first, _ in plan.runs:
+            for q in range(n):
+                fixed[length] += first + q // per < plan.fixed
+        rest = sorted((Counter(lengths) - fixed).elements(), reverse=True)
+        assert plan.fixed + least_sequences(rest, cap) == best, (lengths, cap)
+        assert plan.sequences <= best + 1
+        over += plan.sequences > best
+    assert over <= 5
+
+
+def test_packing_spreads_rows_that_are_alike(spark):
+    """Rows without an id and with one text have ranks of their own, from many buckets."""
+    packing_bucket = packing.BUCKET
+    try:
+        packing.BUCKET = 50
+        out = packing.pack_documents(documents(spark, [(None, "same words")] * 1000), queries.WORD_BPE).collect()
+    finally:
+        packing.BUCKET = packing_bucket
+    assert len(out) == len({(r["sequence_id"], r["offset"]) for r in out}) == 1000
+
+
 def test_reduction_fixes_perfect_pairs():
     plan = packing.Plan({7: 5, 3: 5, 6: 1, 2: 2}, 10)
     assert plan.sequences == 6 and plan.fixed >= 5
