@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,9 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.digest(documents(table(spark, sf_dir, "documents")), secrets.find, secrets.KINDS, secrets.BASE)
+    docs = documents(table(spark, sf_dir, "documents"))
+    model = secrets.train(more=secrets.labelled(docs))
+    return spans.digest(docs, partial(secrets.find, model=model), secrets.KINDS, secrets.BASE)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ samples with add-one smoothing. A token of the text is scored by the difference
 threshold is the least at which no ordinary sample string held out of the fit is taken for random, plus a margin. Tokens
 over it that overlap no base span are added as kind "random".
 
-The sample of random strings is drawn by a seeded rule, that of ordinary identifiers is built from a list of words by
-rules for identifiers, paths, dates, numbers and plain prose words; `train` takes any other labelled strings instead.
+Samples come from two places. `default_samples` draws random strings by a seeded rule and builds ordinary identifiers from
+a list of words by rules for identifiers, paths, dates, numbers and plain prose words; the threshold is found on these.
+`labelled` takes strings from the texts themselves, at most SAMPLE of either label from about SAMPLE texts by a hash of doc_id:
+what the base patterns hold counts as random, other long words as ordinary. These are added to the fit only, as some of the
+unknown words may be secrets; so the chains know the corpus's own languages and names. `train` takes any labelled strings.
 
 Null and empty texts have no spans. Time is in proportion to the text, but for a sorted look-up of each find among the base
 spans. Repeated rows, empty tables and clashing names are as said in `spans`.
@@ -20,6 +23,12 @@ from collections.abc import Iterable
 from functools import lru_cache
 from math import log
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import map_arrow, texts_of
 from .spans import Cover, Span
 
 BASE = ("assign", "access", "hex")
@@ -29,6 +38,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_WORD = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Strings of each class in the default sample, and what a score must be over the threshold's sample by.
@@ -97,9 +107,9 @@ class Chain:
 
 
 class Model:
-    def __init__(self, samples: Iterable[tuple[str, int]]):
+    def __init__(self, samples: Iterable[tuple[str, int]], more: Iterable[tuple[str, int]] = ()):
         samples = list(samples)
-        fit, held = [x for k, x in enumerate(samples) if k % 4], samples[::4]
+        fit, held = [x for k, x in enumerate(samples) if k % 4] + list(more), samples[::4]
         rand, plain = (Chain(s for s, label in fit if label == y) for y in (1, 0))
         self.ratio = {k: rand.log[k] - plain.log[k] for k in rand.log}
         self.threshold = max([0.0, *(self.score(s) for s, label in held if not label)]) + MARGIN
@@ -110,8 +120,28 @@ class Model:
         return sum(get(x, 0.0) for x in zip("^" + token, token, strict=False))
 
 
-def train(samples: Iterable[tuple[str, int]] | None = None) -> Model:
-    return Model(default_samples() if samples is None else samples)
+def train(samples: Iterable[tuple[str, int]] | None = None, more: Iterable[tuple[str, int]] = ()) -> Model:
+    """A model of labelled strings; of those in more only the chains learn, not the threshold."""
+    return Model(default_samples() if samples is None else samples, more)
+
+
+def labelled(df: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
+    """Strings of df's texts, labelled by the base patterns: (string, 1 if random)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = set()
+        for text in texts_of(batch):
+            base = [("assign", *m.span(1)) for m in _ASSIGN.finditer(text) if len(m[1]) >= 16] + [x for x in detect(text) if x[0] != "assign"]
+            known = Cover((a, b) for _, a, b in detect(text))
+            out |= {(text[a:b], 1) for _, a, b in base} | {(m[0], 0) for m in _WORD.finditer(text) if not known.touches(*m.span())}
+        own = sorted(x for x in out if len(x[0]) <= 256)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array([y for _, y in own], pa.int32())], ["string", "random"])
+
+    share = max(1, df.count() // sample)
+    few = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").limit(2 * sample)
+    found = map_arrow(few, run, "string string, random int").distinct()
+    place = F.row_number().over(W.partitionBy("random").orderBy(F.xxhash64("string"), "string"))  # Spark drops the rest before the shuffle
+    return sorted((r[0], r[1]) for r in found.withColumn("place", place).filter(F.col("place") <= sample).collect())
 
 
 @lru_cache(1)
