@@ -157,21 +157,29 @@ def test_pii_finds_nothing_more_in_plain_documents(spark, sf):
     assert sum(bool(secrets.find(t or "")[1]) for t in docs) <= 0.002 * len(docs)
 
 
-def test_secrets_finds_planted_tokens():
-    """Recall and false alarms of the chains, on random strings and ordinary names in text."""
+@pytest.mark.parametrize("own", [False, True])
+def test_secrets_finds_planted_tokens(spark, sf, own):
+    """Recall and false alarms of the chains, on random strings and ordinary names in text; with the corpus's strings and without."""
     import random
 
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = secrets.labelled(docs, 500) if own else []
+    assert all(sum(y == k for _, y in more) <= 500 for k in (0, 1)) and (not own or {y for _, y in more} == {0, 1})
+    model = secrets.train(more=more)
+    if own:
+        assert sum(bool(secrets.find(t or "", model)[1]) for _, t in rows(docs)) <= 2
+        assert secrets.labelled(docs.limit(0)) == []
     rng = random.Random(13)
     alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
     exact = 0
     for _ in range(600):
         token = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(22, 44)))
         text, at = in_text(rng, token)
-        exact += ("random", at, at + len(token)) in secrets.find(text)[1]
+        exact += ("random", at, at + len(token)) in secrets.find(text, model)[1]
     assert exact >= 0.95 * 600
     words = [w for w in secrets.WORDS.split() if w.isascii() and len(w) > 4]
     forms = (lambda own: "_".join(own), lambda own: "".join(x.title() for x in own), lambda own: "/".join(own), lambda own: "-".join(own) + "-2024", lambda own: "_".join(own).upper())
-    alarms = sum(bool(secrets.find(in_text(rng, rng.choice(forms)(rng.sample(words, rng.randint(3, 6))))[0])[1]) for _ in range(1000))
+    alarms = sum(bool(secrets.find(in_text(rng, rng.choice(forms)(rng.sample(words, rng.randint(3, 6))))[0], model)[1]) for _ in range(1000))
     assert alarms <= 10
 
 
