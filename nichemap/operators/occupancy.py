@@ -269,11 +269,20 @@ def summary(cells: DataFrame, null: DataFrame, n_perm: int, n: Column | int | No
     return out.withColumns({"occupied_frac": F.col("occupied") / F.col("cells"), "mean_per_cell": F.col("N") / F.col("cells"), "null_occupied_frac": F.col("null_occupied_mean") / F.col("cells"), "n_perm": F.lit(n_perm), "min_p_possible": F.lit(1 / (n_perm + 1))})
 
 
+_held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Lets go of the draws that maps made so far are worked out from; a map that is read again draws the same once more."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def occupancy(df: DataFrame, panel: Panel, id_column: str, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05, seed: int = 0, exact_draws: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cell table, summary) of one map. An empty set gives a grid of zeros and a summary of zeros."""
     kept = strata(complete(df, panel), taxon, min_size)
     null = permuted(kept, panel, n_perm, id_column, str(seed)) if exact_draws else permuted_counts(kept, panel, n_perm, seed)
-    null = null.persist()
+    _held.append(null.persist())  # read by the cells and by the summary
     cells = cell_table(complete(df, panel), panel, null, n_perm, taxon, min_size, min_expected, alpha)
     return cells, summary(cells, null, n_perm)
 
@@ -341,13 +350,20 @@ def carriers(df: DataFrame, cell: dict[str, str], taxon: str, child: str) -> Dat
 
 
 def capacity(subsets: dict[str, tuple[DataFrame, Panel]], min_expected: float = 3.0) -> DataFrame:
-    """For each named subset its rows, cells and the spread of its expected counts; no permutations."""
-    out = None
+    """For each named subset its rows, cells and the spread of its expected counts; no permutations. One pass over a subset's
+    rows gives the level counts of all its traits, from which the cells are spread."""
+    rows = []
     for name, (df, panel) in subsets.items():
-        full = grid(df.sparkSession, panel).join(expected(complete(df, panel).withColumn("stratum", F.lit("all")), panel), "cell_id", "left").fillna(0.0, ["expected"])
-        row = full.agg(F.lit(len(panel)).alias("size"), F.lit(name).alias("traits"), F.round(F.sum("expected")).cast("long").alias("N"), F.count("*").alias("cells"), F.min("expected").alias("expected_min"), F.expr("percentile(expected, 0.5)").alias("expected_median"), F.max("expected").alias("expected_max"), F.avg((F.col("expected") >= min_expected).cast("double")).alias("testable_cell_frac"))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("N_per_cell", F.col("N") / F.col("cells"))
+        counts = [F.array(*[F.count_if(level_code(t, v) == k) for k in range(len(v))]).alias(f"_{i}") for i, (t, v) in enumerate(panel.items())]
+        spread = complete(df, panel).agg(F.count("*").cast("double").alias("_n"), *counts).withColumn("cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells(panel) - 1).cast("long"))))
+        share = lambda i, n, s: F.element_at(f"_{i}", ((F.floor(F.col("cell_id") / s) % n) + 1).cast("int")) / F.col("_n")
+        product = reduce(lambda a, b: a * b, [share(i, n, s) for i, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))], F.col("_n"))
+        full = spread.select(F.col("_n"), F.when(F.col("_n") > 0, product).otherwise(0.0).alias("expected"))
+        rows.append(full.agg(
+            F.lit(len(panel)).alias("size"), F.lit(name).alias("traits"), F.max("_n").cast("long").alias("N"), F.count("*").alias("cells"), F.min("expected").alias("expected_min"), F.expr("percentile(expected, 0.5)").alias("expected_median"), F.max("expected").alias("expected_max"),
+            F.avg((F.col("expected") >= min_expected).cast("double")).alias("testable_cell_frac"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), rows).withColumn("N_per_cell", F.col("N") / F.col("cells"))
 
 
 def capacity_summary(table: DataFrame) -> DataFrame:
