@@ -47,14 +47,44 @@ class Ranks:
                 a, b = self.rank.get(token[:i]), self.rank.get(token[i:])
                 if a is not None and b is not None:
                     self.pair[a << 32 | b] = r
-        self.keys = np.array(sorted(self.pair), np.int64)
-        self.values = np.array([self.pair[k] for k in self.keys.tolist()], np.int64)
+        # ranks of pairs of bytes by both, and a hash table of all pairs that is probed in steps of one place
+        self.bytes = np.full(1 << 16, NONE)
+        for a in range(256):
+            for b in range(256):
+                if (r := self.rank.get(bytes([a, b]))) is not None:
+                    self.bytes[a << 8 | b] = r
+        bits = max(8, (4 * len(self.pair)).bit_length())
+        self.shift, self.keys, self.values = np.uint64(64 - bits), np.full((1 << bits) + 1, -1), np.full((1 << bits) + 1, NONE)
+        left, place = np.array(list(self.pair), np.int64), None
+        ranks_left = np.array(list(self.pair.values()), np.int64)
+        place = self.slot(left)
+        while len(left):
+            free = self.keys[place] < 0
+            _, first = np.unique(place, return_index=True)
+            own = np.zeros(len(left), bool)
+            own[first] = True
+            own &= free
+            self.keys[place[own]], self.values[place[own]] = left[own], ranks_left[own]
+            left, ranks_left, place = left[~own], ranks_left[~own], (place[~own] + 1) & ((1 << bits) - 1)
+        self.last = (1 << bits) - 1
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it has none; ids under 0 stand for no token."""
-        want = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where((self.keys[at] == want) & (a >= 0) & (b >= 0), self.values[at], NONE)
+        want = np.where((a < 0) | (b < 0), -2, a << 32 | b)
+        at = self.slot(want)
+        found = self.keys[at]
+        out = np.where(found == want, self.values[at], NONE)
+        rest = np.flatnonzero((found != want) & (found >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.last
+            found = self.keys[at[rest]]
+            hit = found == want[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
 
     def merge_one(self, piece: bytes) -> list[int]:
         n = len(piece)
@@ -103,8 +133,9 @@ class Ranks:
         before = np.tile(place - 1, (rows, 1))
         ids = np.hstack([ids, np.full((rows, 1), -1)])
         tree = np.full((rows, 2 * width), NONE)
-        r = self.look_up(ids[:, :-1], ids[:, 1:])
-        tree[:, width:] = np.where(r < NONE, r * width + place, NONE)
+        r = self.bytes[held[:, :-1].astype(np.int64) << 8 | held[:, 1:]]
+        r[place[1:] >= n[:, None]] = NONE
+        tree[:, width:-1] = np.where(r < NONE, r * width + place[:-1], NONE)
         level = width
         while level > 1:
             tree[:, level // 2 : level] = tree[:, level : 2 * level].reshape(rows, level // 2, 2).min(axis=2)
@@ -170,14 +201,25 @@ def _reclassed() -> dict[int, str]:
     return {ord(c): theirs.get(c, "!") for c in theirs.keys() | ours.keys() if theirs.get(c) != ours.get(c)}
 
 
+#: For texts of usual characters only (ASCII, Latin letters, marks and signs) the standard regular expressions say the same.
+_CLASSES = ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"))
+_UNUSUAL = re.compile("[^\\t\\n\\x20-\\x7e\\xa1-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u012f\\u0132-\\u017e]").search
+
+
 @lru_cache(4)
 def splitter(pattern: str):
     """text -> the pieces that the pattern finds, as the tiktoken library finds them."""
     find, table = regex.compile(pattern).finditer, _reclassed()
     plain = regex.compile(pattern).findall
     beyond = re.compile(f"[{chr(min(table, default=0x10FFFF))}-\U0010ffff]").search
+    simple = pattern
+    for theirs, ours in _CLASSES:
+        simple = simple.replace(theirs, ours)
+    usual = re.compile(simple).findall if r"\p" not in simple else None
 
     def split(text: str) -> list[str]:
+        if usual is not None and not _UNUSUAL(text):
+            return usual(text)
         if text.isascii() or not beyond(text) or table.keys().isdisjoint(map(ord, text)):
             return plain(text)
         return [text[slice(*m.span())] for m in find(text.translate(table))]
