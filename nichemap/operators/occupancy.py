@@ -94,15 +94,18 @@ def expected(df: DataFrame, panel: Panel, name: str = "expected") -> DataFrame:
     return expected_of(own, panel, name)
 
 
+def level_counts(statistics: DataFrame, panel: Panel) -> DataFrame:
+    """stratum, its rows _n, and for each trait an array _k of the rows of each level; statistics: stratum, cell_id, weight."""
+    level = lambda n, s: F.floor(F.col("cell_id") / s) % n
+    own = [F.array(*[F.coalesce(F.sum(F.when(level(n, s) == v, F.col("weight"))), F.lit(0)) for v in range(n)]).alias(f"_{k}") for k, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))]
+    return statistics.groupBy("stratum").agg(F.sum("weight").cast("double").alias("_n"), *own)
+
+
 def expected_of(statistics: DataFrame, panel: Panel, name: str = "expected") -> DataFrame:
     """The same from stratum, cell_id and weight: level counts of all traits by stratum, then the cells spread over them."""
-    level = lambda n, s: F.floor(F.col("cell_id") / s) % n
-    parts = list(enumerate(zip(sizes(panel), strides(panel), strict=True)))
-    level_counts = [F.array(*[F.coalesce(F.sum(F.when(level(n, s) == v, F.col("weight"))), F.lit(0)) for v in range(n)]).alias(f"_{k}") for k, (n, s) in parts]
-    by_stratum = statistics.groupBy("stratum").agg(F.sum("weight").cast("double").alias("_n"), *level_counts)
-    spread = by_stratum.withColumn("cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells(panel) - 1).cast("long"))))
-    share = lambda k, n, s: F.element_at(f"_{k}", (level(n, s) + 1).cast("int")) / F.col("_n")
-    product = reduce(lambda a, b: a * b, [share(k, n, s) for k, (n, s) in parts], F.col("_n"))
+    spread = level_counts(statistics, panel).withColumn("cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells(panel) - 1).cast("long"))))
+    share = lambda k, n, s: F.element_at(f"_{k}", ((F.floor(F.col("cell_id") / s) % n) + 1).cast("int")) / F.col("_n")
+    product = reduce(lambda a, b: a * b, [share(k, n, s) for k, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))], F.col("_n"))
     return spread.groupBy("cell_id").agg(F.sum(product).alias(name))
 
 
@@ -182,12 +185,16 @@ def permuted_counts(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, occ
     times permutations however many rows there are. A stratum's draws of a run of permutations have a generator of their
     own seed, so that partitioning changes nothing. With occupied_by_stratum, (perm, stratum, n): how many cells each
     stratum occupies."""
-    own = [F.array(*[F.count_if(level_code(t, v) == k) for k in range(len(v))]).alias(f"_{i}") for i, (t, v) in enumerate(panel.items())]
+    own = complete(df, panel).groupBy("stratum", cell_id(panel).alias("cell_id")).agg(F.count("*").alias("weight"))
+    return permuted_of(own, panel, n_perm, seed, occupied_by_stratum)
+
+
+def permuted_of(statistics: DataFrame, panel: Panel, n_perm: int, seed: int = 0, occupied_by_stratum: bool = False) -> DataFrame:
+    """The same from stratum, cell_id and weight."""
     cells = n_cells(panel)
     together = max(1, min(TOGETHER, NUMBERS // cells))
     blocks = math.ceil(n_perm / together)
-    held = complete(df, panel).groupBy("stratum").agg(*own)
-    dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = level_counts(statistics, panel).drop("_n").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["block"].iloc[0])
@@ -220,13 +227,24 @@ def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str
     return df.join(q, keys, "left").select(*df.columns, name)
 
 
+def kept_of(statistics: DataFrame, taxon: str | None, min_size: int) -> DataFrame:
+    """The statistics of strata with min_size rows or more; of all, where there is no taxon."""
+    if taxon is None:
+        return statistics
+    size = statistics.groupBy("stratum").agg(F.sum("weight").alias("_size")).filter(F.col("_size") >= min_size)
+    return statistics.join(size, "stratum").drop("_size")
+
+
 def cell_table(df: DataFrame, panel: Panel, null: DataFrame, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05) -> DataFrame:
     """Every cell: observed (kept strata and all rows), expected, the null's mean and p values, q over testable cells, flags.
     Cells that a permutation leaves empty have no row in `null`; the counts below allow for that."""
     every = cell_statistics(df, panel, taxon)
-    size = every.groupBy("stratum").agg(F.sum("weight").alias("_size"))
-    kept = every.join(size if taxon is None else size.filter(F.col("_size") >= min_size), "stratum").drop("_size")
-    base = grid(df.sparkSession, panel)
+    return cell_table_of(every, kept_of(every, taxon, min_size), panel, null, n_perm, min_expected, alpha)
+
+
+def cell_table_of(every: DataFrame, kept: DataFrame, panel: Panel, null: DataFrame, n_perm: int, min_expected: float = 3.0, alpha: float = 0.05) -> DataFrame:
+    """The same from the statistics of all strata and of those kept."""
+    base = grid(every.sparkSession, panel)
     for rows, name in ((kept, "observed"), (every, "observed_all_species")):
         base = base.join(rows.groupBy("cell_id").agg(F.sum("weight").alias(name)), "cell_id", "left").fillna(0, [name])
     base = base.join(expected_of(kept, panel), "cell_id", "left").fillna(0.0, ["expected"])
@@ -273,17 +291,23 @@ _held: list[DataFrame] = []
 
 
 def release() -> None:
-    """Lets go of the draws that maps made so far are worked out from; a map that is read again draws the same once more."""
+    """Lets go of what the maps made so far are worked out from; a map that is read again draws the same once more."""
     while _held:
         _held.pop().unpersist()
 
 
 def occupancy(df: DataFrame, panel: Panel, id_column: str, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05, seed: int = 0, exact_draws: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(cell table, summary) of one map. An empty set gives a grid of zeros and a summary of zeros."""
-    kept = strata(complete(df, panel), taxon, min_size)
-    null = permuted(kept, panel, n_perm, id_column, str(seed)) if exact_draws else permuted_counts(kept, panel, n_perm, seed)
-    _held.append(null.persist())  # read by the cells and by the summary
-    cells = cell_table(complete(df, panel), panel, null, n_perm, taxon, min_size, min_expected, alpha)
+    """(cell table, summary) of one map. An empty set gives a grid of zeros and a summary of zeros. The rows are read once,
+    for their statistics by stratum and cell; these, and the draws made from them, are cached until `release`."""
+    every = cell_statistics(df, panel, taxon).persist()
+    kept = kept_of(every, taxon, min_size)
+    if exact_draws:
+        null = permuted(strata(complete(df, panel), taxon, min_size), panel, n_perm, id_column, str(seed))
+    else:
+        null = permuted_of(kept, panel, n_perm, seed)
+    null = null.persist()
+    _held.extend((every, null))
+    cells = cell_table_of(every, kept, panel, null, n_perm, min_expected, alpha)
     return cells, summary(cells, null, n_perm)
 
 
