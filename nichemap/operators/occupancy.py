@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -296,9 +297,10 @@ def release() -> None:
         _held.pop().unpersist()
 
 
-def occupancy(df: DataFrame, panel: Panel, id_column: str, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05, seed: int = 0, exact_draws: bool = False) -> tuple[DataFrame, DataFrame]:
+def occupancy(df: DataFrame, panel: Panel, id_column: str, n_perm: int, taxon: str | None = None, min_size: int = 5, min_expected: float = 3.0, alpha: float = 0.05, seed: int = 0, exact_draws: bool = False, settle: Callable[[DataFrame], DataFrame] = lambda table: table) -> tuple[DataFrame, DataFrame]:
     """(cell table, summary) of one map. An empty set gives a grid of zeros and a summary of zeros. The rows are read once,
-    for their statistics by stratum and cell; these, and the draws made from them, are cached until `release`."""
+    for their statistics by stratum and cell; these, and the draws made from them, are cached until `release`. settle may work
+    a table out before the next is made from it."""
     every = cell_statistics(df, panel, taxon).persist()
     kept = kept_of(every, taxon, min_size)
     if exact_draws:
@@ -307,8 +309,8 @@ def occupancy(df: DataFrame, panel: Panel, id_column: str, n_perm: int, taxon: s
         null = permuted_of(kept, panel, n_perm, seed)
     null = null.persist()
     _held.extend((every, null))
-    cells = cell_table_of(every, kept, panel, null, n_perm, min_expected, alpha)
-    return cells, summary(cells, null, n_perm)
+    cells = settle(cell_table_of(every, kept, panel, null, n_perm, min_expected, alpha))
+    return cells, settle(summary(cells, null, n_perm))
 
 
 def detectable(cells: DataFrame, n_perm: int, alpha: float = 0.05, floor: float = 3.0) -> DataFrame:

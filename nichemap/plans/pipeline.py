@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..config import Config, load_config
 from ..functions.designations import Normaliser
-from ..operators import linkage, occupancy, records
+from ..operators import linkage, records
 from ..operators.selection import add_panel_flags, analysis_set
 from ..sources import batches, http, tables
 from . import crawl, reports, story
@@ -90,9 +90,8 @@ def report(spark: SparkSession, cfg: Config, n_perm: int | None = None, grid: bo
     log = tables.tsv(spark, str(interim / "unmatched_strains.tsv"))
     made = reports.tables(df, cfg, n_perm, grid) | {"unmatched_reasons": reports.reasons(log)}
     for name, table in made.items():
-        made[name] = table.persist()  # tables of a report are small; writing and showing one works it out once
+        made[name] = reports.settled(table)  # writing and showing it works it out once
         sinks.write_tsv(made[name], str(folder / "tables" / f"{name}.tsv"), single=True)
-    occupancy.release()
     for key in FLAGS:
         species, traits = analysis_set(df, cfg.panel(key)), cfg.panel(key)
         sinks.write_list(species, "ncbi_assembly_accession", str(final / f"assembly_accessions_{key}_panel_species.txt"))

@@ -67,12 +67,20 @@ def availability(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     return out
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """A report's table as a table of its own, with no plan behind it: such tables have as many rows as a grid has cells, or
+    as there are strata."""
+    return table.sparkSession.createDataFrame(table.toArrow(), table.schema)
+
+
 def occupancy_of(df: DataFrame, cfg: Config, traits: list[str], view: str = "primary", null: str | None = None, n_perm: int | None = None, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(cells, summary) of one map in one view under one null."""
+    """(cells, summary) of one map in one view under one null, worked out."""
     binning, level, temp = VIEWS[view]
     a = cfg["analysis"]
     sub = analysis_set(df, traits, binning, level, temp)
-    return occupancy.occupancy(sub, cfg.panel_levels(traits, binning), "bacdive_id", n_perm or a["n_perm_full"], f"gtdb_{null}" if null else None, a["min_stratum_size"], a["min_expected_for_test"], a["fdr_alpha"], a["seed"] + offset)
+    made = occupancy.occupancy(sub, cfg.panel_levels(traits, binning), "bacdive_id", n_perm or a["n_perm_full"], f"gtdb_{null}" if null else None, a["min_stratum_size"], a["min_expected_for_test"], a["fdr_alpha"], a["seed"] + offset, settle=settled)
+    occupancy.release()
+    return made
 
 
 def occupancy_grid(df: DataFrame, cfg: Config, nulls: tuple[str | None, ...] = NULLS, n_perm: int | None = None, view: str = "primary", sizes: tuple[int, ...] = (4, 5)) -> tuple[DataFrame, DataFrame]:
