@@ -97,9 +97,12 @@ def expected(df: DataFrame, panel: Panel, name: str = "expected") -> DataFrame:
 
 def level_counts(statistics: DataFrame, panel: Panel) -> DataFrame:
     """stratum, its rows _n, and for each trait an array _k of the rows of each level; statistics: stratum, cell_id, weight."""
+    return statistics.groupBy("stratum").agg(F.sum("weight").cast("double").alias("_n"), *_levels(panel))
+
+
+def _levels(panel: Panel) -> list[Column]:
     level = lambda n, s: F.floor(F.col("cell_id") / s) % n
-    own = [F.array(*[F.coalesce(F.sum(F.when(level(n, s) == v, F.col("weight"))), F.lit(0)) for v in range(n)]).alias(f"_{k}") for k, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))]
-    return statistics.groupBy("stratum").agg(F.sum("weight").cast("double").alias("_n"), *own)
+    return [F.array(*[F.coalesce(F.sum(F.when(level(n, s) == v, F.col("weight"))), F.lit(0)) for v in range(n)]).alias(f"_{k}") for k, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))]
 
 
 def expected_of(statistics: DataFrame, panel: Panel, name: str = "expected") -> DataFrame:
@@ -380,8 +383,9 @@ def capacity(subsets: dict[str, tuple[DataFrame, Panel]], min_expected: float =
     rows gives the level counts of all its traits, from which the cells are spread."""
     rows = []
     for name, (df, panel) in subsets.items():
-        counts = [F.array(*[F.count_if(level_code(t, v) == k) for k in range(len(v))]).alias(f"_{i}") for i, (t, v) in enumerate(panel.items())]
-        spread = complete(df, panel).agg(F.count("*").cast("double").alias("_n"), *counts).withColumn("cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells(panel) - 1).cast("long"))))
+        own = complete(df, panel).groupBy(cell_id(panel).alias("cell_id")).agg(F.count("*").alias("weight"))
+        counts = own.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("_n"), *_levels(panel))
+        spread = counts.withColumn("cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cells(panel) - 1).cast("long"))))
         share = lambda i, n, s: F.element_at(f"_{i}", ((F.floor(F.col("cell_id") / s) % n) + 1).cast("int")) / F.col("_n")
         product = reduce(lambda a, b: a * b, [share(i, n, s) for i, (n, s) in enumerate(zip(sizes(panel), strides(panel), strict=True))], F.col("_n"))
         full = spread.select(F.col("_n"), F.when(F.col("_n") > 0, product).otherwise(0.0).alias("expected"))
