@@ -38,11 +38,15 @@ def strides(panel: Panel) -> list[int]:
     return [math.prod(own[k + 1 :]) for k in range(len(own))]
 
 
+def level_columns(panel: Panel) -> list[Column]:
+    """The level of each trait, from cell_id."""
+    level = lambda v, s: F.element_at(F.array(*map(F.lit, v)), ((F.floor(F.col("cell_id") / s) % len(v)) + 1).cast("int"))
+    return [level(v, s).alias(t) for (t, v), s in zip(panel.items(), strides(panel), strict=True)]
+
+
 def grid(spark: SparkSession, panel: Panel) -> DataFrame:
     """cell_id and the level of each trait, a row a cell."""
-    cells = spark.range(n_cells(panel)).select(F.col("id").alias("cell_id"))
-    level = lambda v, s: F.element_at(F.array(*map(F.lit, v)), ((F.floor(F.col("cell_id") / s) % len(v)) + 1).cast("int"))
-    return cells.select("cell_id", *(level(v, s).alias(t) for (t, v), s in zip(panel.items(), strides(panel), strict=True)))
+    return spark.range(n_cells(panel)).select(F.col("id").alias("cell_id")).select("cell_id", *level_columns(panel))
 
 
 def level_code(trait: str, levels: list[str]) -> Column:
@@ -248,10 +252,12 @@ def cell_table(df: DataFrame, panel: Panel, null: DataFrame, n_perm: int, taxon:
 
 def cell_table_of(every: DataFrame, kept: DataFrame, panel: Panel, null: DataFrame, n_perm: int, min_expected: float = 3.0, alpha: float = 0.05) -> DataFrame:
     """The same from the statistics of all strata and of those kept."""
-    base = grid(every.sparkSession, panel)
-    for rows, name in ((kept, "observed"), (every, "observed_all_species")):
-        base = base.join(rows.groupBy("cell_id").agg(F.sum("weight").alias(name)), "cell_id", "left").fillna(0, [name])
-    base = base.join(expected_of(kept, panel), "cell_id", "left").fillna(0.0, ["expected"])
+    # counts of both sets and expectations meet in one aggregation, with a row of zeros for every cell
+    zero = {"observed": F.lit(0).cast("long"), "observed_all_species": F.lit(0).cast("long"), "expected": F.lit(0.0)}
+    parts = [every.sparkSession.range(n_cells(panel)).select(F.col("id").alias("cell_id"))]
+    parts += [rows.select("cell_id", F.col(value).alias(name)) for rows, value, name in ((kept, "weight", "observed"), (every, "weight", "observed_all_species"), (expected_of(kept, panel), "expected", "expected"))]
+    stacked = reduce(lambda a, b: a.unionByName(b), [p.select("cell_id", *[F.col(n) if n in p.columns else z.alias(n) for n, z in zero.items()]) for p in parts])
+    base = stacked.groupBy("cell_id").agg(*[F.sum(n).alias(n) for n in zero]).select("cell_id", *level_columns(panel), *zero)
     seen = null.join(F.broadcast(base.select("cell_id", "observed")), "cell_id").groupBy("cell_id").agg(F.sum("n").alias("_sum"), F.count("*").alias("_present"), F.count_if(F.col("n") > F.col("observed")).alias("_more"), F.count_if(F.col("n") >= F.col("observed")).alias("_reach"))
     own = base.join(seen, "cell_id", "left").fillna(0, ["_sum", "_present", "_more", "_reach"])
     reach = F.when(F.col("observed") == 0, F.lit(n_perm)).otherwise(F.col("_reach"))
