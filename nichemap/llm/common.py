@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,20 +78,44 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder that the cluster names in spark.checkpoint.dir. Where
-    that is unset, a local session writes to this machine's folder for temporary files; a cluster is refused, as its
-    executors would each write to a disk of their own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local session writes to this machine's
+    folder for temporary files; a cluster is refused, as its executors would each write to a disk of their own."""
     sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|\Z)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.match(r"local(\[|\Z)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+class Stored(NamedTuple):
+    """A table that was written in the shared folder: its rows as a frame, and where it lies."""
+
+    rows: DataFrame
+    path: str
+
+    def forget(self) -> None:
+        """Removes the table; nothing may read it any more."""
+        spark = self.rows.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame) -> Stored:
+    """df written as a table in the shared folder, so that lost executors cost no earlier work; it can be removed by itself."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text of df, and nothing that could clash with what an operator adds."""
     return df.select("doc_id", *extra, F.col("text"))

@@ -204,7 +204,8 @@ def test_against_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name_of in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{sf}/{name_of}.parquet'")
     wanted = con.execute(queries.SQL[name])
     df = queries.queries()[name](spark, sf)
     assert df.columns == [c[0] for c in wanted.description]
