@@ -1,12 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule rejects a text by a predicate on its statistics. On a sample of rows, by a hash of doc_id and text, the rules'
-verdicts are counted together, and each rule is timed inside the engine: the least of REPEATS runs over the sample in one
-task, less the same for a rule that needs nothing but the words. The first rule of the cascade is the one with most
-rejections per second, the next the one with most among the rows that are left, and so on. A statistic is worked out only
-where the cascade comes to a rule that needs it: a text that one rule rejects costs the others nothing, but for the
-statistics that `judge` is asked to report. The order changes the time only: a text is kept if no rule rejects it,
-whatever their order.
+Each rule rejects a text by a predicate on its statistics. On a sample of rows, by a hash of doc_id and text, one job finds
+all rules' verdicts and times each rule on each row: the engine's clock is read before and after it, REPEATS times a row, of
+which the least counts, so that neither the start of jobs nor what else the machine does is in the figure. What is at hand
+anyway, the words and the statistics that `judge` reports, is no rule's cost. The first rule of the cascade is the one with
+most rejections per cost, the next the one with most among the rows that are left, and so on; rules within a factor of TIE
+of the best are as good, and the one that is named first goes first. A statistic is worked out only where the cascade comes
+to a rule that needs it: a text that one rule rejects costs the others nothing, but for the statistics that `judge` is asked
+to report. The order changes the time only: a text is kept if no rule rejects it, whatever their order.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null and empty texts have no words, and are rejected for that; very long ones are judged
 whole. Repeated rows, and rows with a null or shared doc_id, are judged each in its own right; an empty table gives no rows;
@@ -16,16 +17,16 @@ three-word windows of a text are compared inside its row, by 64-bit hash, in n l
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that cost and selectivity are estimated on, about, and twice as many at most; runs of which the least time counts;
-#: and what a rule costs at least, in seconds for the sample, as less can't be told from none.
-SAMPLE_ROWS, REPEATS, LEAST_COST = 500, 3, 1e-3
+#: Rows that cost and selectivity are estimated on, about, and twice as many at most; times that a row is judged, and what
+#: a rule costs at least, in nanoseconds a row, as less can't be told from none; and gains that are no different.
+SAMPLE_ROWS, REPEATS, LEAST_COST, TIE = 500, 5, 500, 1.5
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,41 +104,57 @@ RULES = (
 
 
 def sampled(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text of about so many rows of df, chosen by a hash, in one partition."""
+    """About so many rows of df (doc_id, text and others), chosen by a hash, in one partition; of rows that are all alike, as
+    many as there are up to that."""
+    by = F.xxhash64("doc_id", "text")
     share = max(1, df.count() // rows)
-    return df.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").limit(2 * rows).coalesce(1)
-
-
-def seconds(sample: DataFrame, condition: Callable[[Column], Column], repeats: int = REPEATS) -> float:
-    """The least time that a condition on the words of a text takes over the sample."""
-    took = []
-    for _ in range(repeats):
-        began = time.perf_counter()
-        sample.agg(F.count_if(let(words(F.coalesce(F.col("text"), F.lit(""))), condition))).first()
-        took.append(time.perf_counter() - began)
-    return min(took)
-
-
-def judged_by(rule: Rule) -> Callable[[Column], Column]:
-    return lambda w: rule.rejects(statistics(F.col("text"), w))
+    chosen = df.filter(F.pmod(by, F.lit(share)) == 0).orderBy(by).limit(2 * rows).coalesce(1)
+    return chosen if share == 1 or chosen.limit(1).count() else df.limit(rows).coalesce(1)
+
+
+def measured(sample: DataFrame, rules: tuple[Rule, ...], at_hand: tuple[str, ...] = (), repeats: int = REPEATS) -> tuple[dict[tuple[bool, ...], int], list[float]]:
+    """(how many rows have which verdicts, nanoseconds a row of each rule); sample: text, and the statistics at hand."""
+    clock = lambda: F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+    def timed(w: Column) -> Column:
+        """The rules one after another, with the clock between them; fields of a struct are worked out in their order."""
+        stats = statistics(F.col("text"), w) | {k: F.col(k) for k in at_hand}
+        fields = [clock().alias("t")]
+        for k, rule in enumerate(rules):
+            fields += [F.coalesce(rule.rejects(stats), F.lit(False)).alias(f"v{k}"), clock().alias(f"t{k}")]
+        return F.struct(*fields)
+
+    rows = sample.withColumn("_row", F.monotonically_increasing_id()).withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    rows = rows.select("_row", let(words(F.coalesce(F.col("text"), F.lit(""))), timed).alias("_m"))
+    before = lambda k: F.col(f"_m.t{k - 1}" if k else "_m.t")
+    every = range(len(rules))
+    each = rows.groupBy("_row").agg(F.array(*[F.first(f"_m.v{k}") for k in every]).alias("v"), *[F.min(F.col(f"_m.t{k}") - before(k)).alias(f"c{k}") for k in every])
+    found = each.groupBy("v").agg(F.count("*").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in every]).collect()  # a row for each combination there is
+    n = max(1, sum(r["n"] for r in found))
+    return {tuple(r["v"]): r["n"] for r in found}, [max(LEAST_COST, sum(r[f"c{k}"] for r in found) / n) for k in every]
+
+
+def best_order(left: dict[tuple[bool, ...], int], cost: list[float]) -> list[int]:
+    """The numbers of the rules, each next one that with most rejections per cost among the rows that those before it leave."""
+    order: list[int] = []
+    while len(order) < len(cost):
+        gain = {k: (sum(n for v, n in left.items() if v[k]) + 0.5) / cost[k] for k in range(len(cost)) if k not in order}
+        order.append(next(k for k in gain if gain[k] * TIE >= max(gain.values())))
+        left = {v: n for v, n in left.items() if not v[order[-1]]}
+    return order
 
 
-def ordered(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules, each next one that with most rejections per cost among the sample's rows that those before it leave."""
-    sample = sampled(df, sample_rows).persist()
+def ordered(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, at_hand: tuple[str, ...] = (), given: Rule | None = None) -> list[Rule]:
+    """The rules in the order of the cascade; at_hand: statistics that are worked out in any case; given: what has rejected
+    rows before the cascade comes to them."""
+    sample = sampled(df.select("doc_id", "text"), sample_rows)
+    stats = statistics(F.col("text"))
+    sample = sample.select("text", *(stats[k].alias(k) for k in at_hand), *([given.rejects(stats).alias("_gone")] if given else [])).persist()
     try:
-        verdicts = F.array(*[F.coalesce(r.rejects(statistics(F.col("text"))), F.lit(False)) for r in rules])
-        left = {tuple(v): n for v, n in sample.groupBy(verdicts.alias("v")).count().collect()}  # a row for each combination there is
-        nothing = seconds(sample, lambda w: F.size(w) < 0)
-        cost = [max(LEAST_COST, seconds(sample, judged_by(rule)) - nothing) for rule in rules]
+        rest = sample.filter(~F.coalesce("_gone", F.lit(False))) if given else sample
+        return [rules[k] for k in best_order(*measured(rest, rules, at_hand))]
     finally:
         sample.unpersist()
-    order: list[int] = []
-    while len(order) < len(rules):
-        gain = {k: (sum(n for v, n in left.items() if v[k]) + 0.5) / cost[k] for k in range(len(rules)) if k not in order}
-        order.append(max(gain, key=lambda k: gain[k]))
-        left = {v: n for v, n in left.items() if not v[order[-1]]}
-    return [rules[k] for k in order]
 
 
 def cascade(rules: list[Rule], stats: dict[str, Column]) -> Column:
@@ -159,12 +176,10 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, reported: tuple[str, .
     made = statistics(F.col("text"))
     rows = own.select("doc_id", "text", *(made[k].alias(k) for k in reported))
     stats = made | {k: F.col(k) for k in reported}
-    failed = F.lit(False)
-    for rule in rules:
-        if rule.base:
-            failed = failed | rule.rejects(stats)
-    rows = rows.withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade([r for r in ordered(own, rules) if not r.base], stats))
+    base = Rule("base", lambda s: reduce(lambda a, b: a | b, (r.rejects(s) for r in rules if r.base), F.lit(False)))
+    rows = rows.withColumn("base_failed", base.rejects(stats))
+    order = ordered(own, tuple(r for r in rules if not r.base), at_hand=reported, given=base)
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order, stats))
     return rows.withColumn("kept", kept).drop("text")
 
 

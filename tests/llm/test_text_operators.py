@@ -302,6 +302,28 @@ def test_reduction_fixes_perfect_pairs():
     assert plan.sequences == 6 and plan.fixed >= 5
 
 
+CL100K = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
+P50K = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, CL100K, P50K, r"[\p{L}_]+|\s|[^\s]", r"\p{Lu}+|\P{L}|."])
+def test_splitter_takes_any_pattern(pattern):
+    """As the library for public patterns, properties inside classes among them, on random texts, plain and odd."""
+    import random
+
+    import regex
+
+    rng, find = random.Random(5), bpe.splitter(pattern)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    odd = "aZéß漢9٣ \n\t_-'.🙂ſ"
+    for k in range(10_000):
+        text = "".join(rng.choices("abcXYZ 0123\n  '_-.,!?" if k % 2 else odd, k=rng.randrange(25)))
+        assert find(text) == regex.findall(pattern, text), text
+        if k % 10 == 0:
+            assert "".join(find(text)) == bytes(own.encode_ordinary(text)).decode(), text
+    assert find("Hello, wor-ld 12345 it's (fine)") == regex.findall(pattern, "Hello, wor-ld 12345 it's (fine)")
+
+
 def test_bpe(docs):
     ranks = bpe.ranks(queries.BYTE_BPE)
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.rank, special_tokens={})
@@ -530,6 +552,25 @@ def test_cascade_order_follows_costs_and_rejections(spark):
         assert names[:2] == ["cheap", "other"] and names.index("dear") >= 2
 
 
+def test_cascade_order_is_the_same_every_time(spark, sf):
+    """Costs are least times by row, and near gains are ties, so that runs agree; base rules have gone before."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    orders = {tuple(r.name for r in quality.ordered(docs)) for _ in range(10)}
+    assert len(orders) == 1
+    assert next(iter(orders)).index("few words") < next(iter(orders)).index("repeated windows")
+
+
+def test_cascade_order_of_rows_that_are_alike(spark):
+    """Rows that are all alike have one hash, and are a sample nonetheless; base rules' rejections are no gain to others."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("one two three").alias("text"))
+    assert quality.sampled(df).count() >= 100
+    never, always = quality.Rule("never", lambda s: s["n_words"] > 9), quality.Rule("always", lambda s: s["n_words"] < 9)
+    assert [r.name for r in quality.ordered(df, (never, always))] == ["always", "never"]
+    assert [r.name for r in quality.ordered(df, (never, always), given=always)] == ["never", "always"]
+
+
 def test_cascade_skips_what_a_rule_has_rejected(spark):
     from pyspark.sql import functions as F
 
