@@ -30,8 +30,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply fn to each Arrow batch of df; a narrow step with no shuffle."""
+    """Apply fn to each Arrow batch of df; a narrow step with no shuffle. fn sees df's column names, whatever they are."""
     bounded_batches(df.sparkSession)
+    names = df.columns
+    if any("." in c or "`" in c for c in names):  # which can't be named to Spark one by one
+        df, fn = df.toDF(*(f"c{k}" for k in range(len(names)))), lambda batch, own=fn: own(batch.rename_columns(names))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -256,8 +256,10 @@ def keep_first(df: DataFrame) -> DataFrame:
     """Of each component of near-duplicates one row, with all columns of df: the one with the least doc_id, null last, then
     the least fingerprint and hash of the text. A row is known by doc_id and two hashes of its text, so that others with its
     doc_id stay or go by their own component; of rows that are alike in both, one stays."""
-    hashed = df.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit("second"), "text")})
-    fps = cut(fingerprints(hashed, "_h1", "_h2"))
+    names = [f"c{k}" for k in range(len(df.columns))]  # whatever df's columns are called
+    doc_id, text = (names[df.columns.index(c)] for c in ("doc_id", "text"))
+    hashed = df.toDF(*names).withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit("second"), text)})
+    fps = cut(fingerprints(hashed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "_h1", "_h2"), "_h1", "_h2"))
     copies = fps.groupBy("fp", "doc_id", "_h1", "_h2").agg(F.count("*").alias("_copies"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "fp", "_h1", "_h2", "_copies")).alias("_best")
     first = copies.groupBy("fp").agg(best)
@@ -266,6 +268,7 @@ def keep_first(df: DataFrame) -> DataFrame:
     # a component's key is its least fingerprint: names may be null, or shared by components
     named = first.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("_best").alias("_best"))
     kept = cut(named.select(F.col("_best.doc_id").alias("_kept"), F.col("_best._h1").alias("_k1"), F.col("_best._h2").alias("_k2"), F.col("_best._copies").alias("_copies")))
-    own = hashed["doc_id"].eqNullSafe(kept["_kept"]) & (hashed["_h1"] == kept["_k1"]) & (hashed["_h2"] == kept["_k2"])
+    own = hashed[doc_id].eqNullSafe(kept["_kept"]) & (hashed["_h1"] == kept["_k1"]) & (hashed["_h2"] == kept["_k2"])
     stay = hashed.join(kept.hint("shuffle_hash"), own, "left_semi")
-    return (stay.dropDuplicates(["doc_id", "_h1", "_h2"]) if kept.filter("_copies > 1").limit(1).count() else stay).drop("_h1", "_h2")
+    one = stay.dropDuplicates([doc_id, "_h1", "_h2"]) if kept.filter("_copies > 1").limit(1).count() else stay
+    return one.drop("_h1", "_h2").toDF(*df.columns)

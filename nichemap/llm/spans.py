@@ -93,4 +93,4 @@ def redact(df: DataFrame, find: Callable[[str], tuple[list[Span], list[Span]]],
         new = pa.array([None if x is None else masked(x, sum(find(x), [])) for x in batch.column(k).to_pylist()], batch.schema.field(k).type)
         return batch.set_column(k, batch.schema.field(k), new)
 
-    return map_arrow(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    return map_arrow(df, run, df.schema)

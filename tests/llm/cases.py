@@ -14,3 +14,15 @@ TEXTS = [
 
 def documents(spark, texts=None):
     return spark.createDataFrame([(i, t, None, "clash", 0, "x") for i, t in (TEXTS if texts is None else texts)], SCHEMA)
+
+
+#: Names that operators use inside, or that Spark can't be asked for one by one.
+CLASHING = ("_h1", "_h2", "_row", "_bucket", "_rank", "_before", "a.b", "c0", "root", "_best", "sequence", "n x")
+
+
+def with_names(spark, texts=None):
+    """The same with columns of clashing names, numbered in their order."""
+    from pyspark.sql import functions as F
+
+    df = documents(spark, texts).select("doc_id", "text")
+    return df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)))
