@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Memory, cut, map_arrow, texts_of
 
@@ -235,30 +236,31 @@ def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """df (pieces, with doc_id, piece and length) with sequence_id and offset added. The pieces, a few numbers each, are
     written to the shared checkpoint folder with a number of their row, from where both passes read them: a row keeps its
     bucket, and rows that are alike, or have no id, are spread like any others."""
-    spark = df.sparkSession
-    names = df.columns
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
-    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # as many rows as there are lengths
+    spark, names = df.sparkSession, [f"c{k}" for k in range(len(df.columns))]  # whatever df's columns are called
+    size = names[df.columns.index("length")]
+    rows = cut(df.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in rows.groupBy(size).count().collect()}  # as many rows as there are lengths
     plan = Plan(counts, capacity)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
     key, width = runs[:, 0] * (1 << 48) + runs[:, 1], 1 << 48
     sent = spark.sparkContext.broadcast((runs, key))
-    buckets = max(1, sum(counts.values()) // BUCKET)
-    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
-    before = spread.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    ranked = spread.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy("_row"))).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
+    # so many buckets that each has about BUCKET rows of its length
+    buckets = F.element_at(F.create_map(*[F.lit(x) for n, many in counts.items() for x in (n, max(1, many // BUCKET))] or [F.lit(0), F.lit(1)]), F.col(size))
+    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), buckets))
+    before = spread.groupBy(size, "_bucket").count().withColumn("_before", F.sum("count").over(W.partitionBy(size).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).select(size, "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
+    ranked = spread.withColumn("_rank", F.row_number().over(W.partitionBy(size, "_bucket").orderBy("_row"))).join(before, [size, "_bucket"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held, keys = sent.value
         get = lambda k: batch.column(batch.schema.get_field_index(k))
-        length, rank = get("length").to_numpy(zero_copy_only=False), get("_rank").to_numpy(zero_copy_only=False)
+        length, rank = get(size).to_numpy(zero_copy_only=False), get("_rank").to_numpy(zero_copy_only=False)
         own = held[np.searchsorted(keys, length * width + rank, "right") - 1]
         q = rank - own[:, 1]
         cols = [*(get(k) for k in names), pa.array(own[:, 4] + q // own[:, 3]), pa.array(own[:, 5] + q % own[:, 3] * length)]
         return pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
 
-    return map_arrow(ranked.select(*names, "_rank"), run, ", ".join(kinds) + ", sequence_id long, offset long")
+    made = StructType([*(StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return map_arrow(ranked.select(*names, "_rank"), run, made).toDF(*df.columns, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import documents
+from cases import CLASHING, documents, with_names
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -199,6 +199,20 @@ def test_pipeline_awkward(spark, empty):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Every stage gives back the columns that it was given, as they were, whatever they are called."""
+    docs = with_names(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count()
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(CLASHING)))}
+    pieces = packing.pieces(documents(spark).select("doc_id", "text"), queries.WORD_BPE, 4096, packing.END)
+    named = pieces.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)))
+    out, plain = packing.pack(named), packing.pack(pieces)
+    assert out.columns == [*named.columns, "sequence_id", "offset"] and {tuple(r)[len(pieces.columns) : -2] for r in out.collect()} == {tuple(range(len(CLASHING)))}
+    assert out.select("sequence_id").distinct().count() == plain.select("sequence_id").distinct().count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, sf, name):
     import duckdb
