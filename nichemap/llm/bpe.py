@@ -206,16 +206,31 @@ _CLASSES = ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"\p{L}", r"[^\W\d_]"), (r"
 _UNUSUAL = re.compile("[^\\t\\n\\x20-\\x7e\\xa1-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u012f\\u0132-\\u017e]").search
 
 
+_CLASS = re.compile(r"\[(?:\\.|[^\]\\])*\]")
+
+
+def usual_form(pattern: str):
+    """The pattern for the standard regular expressions, compiled; None if it has properties in a class of characters of
+    another form than _CLASSES has, or properties, or anything, that they don't know."""
+    whole, *single = _CLASSES
+    if any("\\p" in c.lower() and c != whole[0] for c in _CLASS.findall(pattern)):
+        return None
+    for theirs, ours in (whole, *single):
+        pattern = pattern.replace(theirs, ours)
+    try:
+        return None if "\\p" in pattern.lower() else re.compile(pattern)
+    except re.error:
+        return None
+
+
 @lru_cache(4)
 def splitter(pattern: str):
     """text -> the pieces that the pattern finds, as the tiktoken library finds them."""
     find, table = regex.compile(pattern).finditer, _reclassed()
     plain = regex.compile(pattern).findall
     beyond = re.compile(f"[{chr(min(table, default=0x10FFFF))}-\U0010ffff]").search
-    simple = pattern
-    for theirs, ours in _CLASSES:
-        simple = simple.replace(theirs, ours)
-    usual = re.compile(simple).findall if r"\p" not in simple else None
+    simple = usual_form(pattern)
+    usual = simple and simple.findall
 
     def split(text: str) -> list[str]:
         if usual is not None and not _UNUSUAL(text):
