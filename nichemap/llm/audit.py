@@ -55,8 +55,9 @@ def failed_bits(text: str) -> int:
 
 
 def documents_failing(docs: DataFrame, labels: DataFrame, part: Column) -> DataFrame:
-    """part, fails (bits), good and toxic (0 or 1) of every document. Texts are compared by 128 bits of a cryptographic hash,
-    those of one text by its least id; neither texts nor groups of them are shuffled."""
+    """part, fails (bits), good and toxic (0 or 1), and n, the documents that are so. Texts are compared by 128 bits of a
+    cryptographic hash. Copies of a text are counted by part and label, with the least id among them, before those of one
+    text meet: however many there are, they are a row a part and label, and no text is shuffled."""
     own = docs.select("doc_id", F.coalesce(part.cast("string"), F.lit("")).alias("part"), "text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -66,15 +67,20 @@ def documents_failing(docs: DataFrame, labels: DataFrame, part: Column) -> DataF
 
     narrow = map_arrow(own, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, fails int, print binary")
     told = labels.groupBy(F.col("doc_id").alias("_id")).agg(*[F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(to) for c, to in (("quality", "good"), ("toxic", "toxic"))])
-    narrow = stored(narrow.join(told, narrow["doc_id"] == told["_id"], "left").drop("_id").fillna(0, ["good", "toxic"])).rows
-    least = narrow.groupBy(F.col("print").alias("_print")).agg(F.min("doc_id").alias("_least"))
-    again = F.col("_least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_least")))
-    return narrow.join(least, narrow["print"] == least["_print"]).select("part", (F.col("fails") + F.when(again, 16).otherwise(0)).alias("fails"), "good", "toxic")
+    narrow = narrow.join(told, narrow["doc_id"] == told["_id"], "left").drop("_id").fillna(0, ["good", "toxic"])
+    kinds = ("print", "part", "fails", "good", "toxic")
+    by_id = narrow.groupBy(*kinds, "doc_id").agg(F.count("*").alias("n"))  # rows that share an id are no copies of each other
+    copies = stored(by_id.groupBy(*kinds).agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("firsts"))).rows
+    least = copies.groupBy(F.col("print").alias("_print")).agg(F.min("first").alias("least"))
+    alone = F.when(F.col("least").isNull(), F.col("n")).when(F.col("first") == F.col("least"), F.col("firsts")).otherwise(0)
+    kept = copies.join(least, copies["print"] == least["_print"]).withColumn("_alone", alone)
+    both = F.array(F.struct(F.col("fails").alias("fails"), F.col("_alone").alias("n")), F.struct((F.col("fails") + 16).alias("fails"), (F.col("n") - F.col("_alone")).alias("n")))
+    return kept.select("part", "good", "toxic", F.explode(both).alias("_of")).select("part", "_of.fails", "good", "toxic", "_of.n").filter("n > 0")
 
 
 def removals(failing: DataFrame) -> DataFrame:
     """(part, order_no, step, removed, good, toxic): documents that an order removes at a step, those that it keeps as step
-    5; rows of zeros are left out."""
+    5; rows of zeros are left out. failing: part, fails, good, toxic and n."""
     table, orders = first_failures(), len(ORDERS)
     shape = (orders, STEPS + 1, 4)
     # place of (set, order, label) in a part's array, without the label
@@ -96,7 +102,7 @@ def removals(failing: DataFrame) -> DataFrame:
             label = batch.column("good").to_numpy() + 2 * batch.column("toxic").to_numpy()
             sets = batch.column("fails").to_numpy()
             at, of = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            counts = np.bincount((at * len(table) + sets) * 4 + label, minlength=len(of) * len(table) * 4).reshape(len(of), len(table), 4)
+            counts = np.bincount((at * len(table) + sets) * 4 + label, batch.column("n").to_numpy(), len(of) * len(table) * 4).reshape(len(of), len(table), 4)
             for k, part in enumerate(of):
                 some, kind = np.nonzero(counts[k])
                 where = place[some] + kind[:, None]
