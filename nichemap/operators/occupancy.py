@@ -6,6 +6,7 @@ come from the panel alone, so their size is fixed however many rows there are.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Callable
@@ -16,15 +17,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 Panel = dict[str, list[str]]
 UNASSIGNED = "__unassigned__"
 #: Permutations that are drawn together at most, and numbers of their tables of cells.
 TOGETHER, NUMBERS = 250, 1 << 21
+#: Strata of a block that are drawn in one task, about.
+STRATA = 256
 #: Populations from which numpy draws no further; beyond, sums of ratios do it.
 POPULATION = 10**9
 
 
+def fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the settings' size, broadcast where it is joined; a literal, so that no job makes it."""
+
+    def plain(value, kind):
+        if isinstance(kind, StructType):
+            return {f.name: plain(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+        return [plain(v, kind.elementType) for v in value] if isinstance(kind, ArrayType) else value
+
+    kind = ArrayType(StructType.fromDDL(schema))
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(json.dumps(plain(rows, kind))), kind)).alias("r")).select("r.*"))
+
+
 def sizes(panel: Panel) -> list[int]:
     return [len(v) for v in panel.values()]
 
@@ -187,52 +203,128 @@ def shuffled(rng: np.random.Generator, counts: list[np.ndarray], perms: int) ->
     return cells, rows
 
 
+def shuffled_rows(rng: np.random.Generator, counts: list[np.ndarray], perms: int) -> np.ndarray:
+    """The same for a stratum of few rows, as the cell of each row in each permutation: its rows are written out and every trait
+    but the first is shuffled."""
+    cell = np.tile(np.repeat(np.arange(len(counts[0])), counts[0]), (perms, 1))
+    for own in counts[1:]:
+        level = np.tile(np.repeat(np.arange(len(own)), own), (perms, 1))
+        cell = cell * len(own) + rng.permuted(level, axis=1)
+    return cell
+
+
+def few_rows(counts: list[np.ndarray]) -> bool:
+    """Whether a stratum's rows are shuffled sooner than its combinations are drawn; a shuffled level costs about a fourteenth
+    of a draw. Told by the level counts alone, so that it is the same wherever the stratum is drawn."""
+    n, combinations, drawn = int(counts[0].sum()), 1, 0
+    for k, own in enumerate(counts):
+        levels = np.count_nonzero(own)
+        drawn += min(combinations, n) * (levels - 1) if k else 0
+        combinations *= levels
+    return n * (len(counts) - 1) < 14 * drawn
+
+
 def permuted_counts(df: DataFrame, panel: Panel, n_perm: int, seed: int = 0, occupied_by_stratum: bool = False) -> DataFrame:
     """(perm, cell_id, n) of cells that hold rows, each trait shuffled within strata. What a shuffle does to the counts depends
     on the level counts of each stratum only, so these are all that leaves the rows, and the work is strata times cells
-    times permutations however many rows there are. A stratum's draws of a run of permutations have a generator of their
-    own seed, so that partitioning changes nothing. With occupied_by_stratum, (perm, stratum, n): how many cells each
+    times permutations however many rows there are. With occupied_by_stratum, (perm, stratum, n): how many cells each
     stratum occupies."""
     own = complete(df, panel).groupBy("stratum", cell_id(panel).alias("cell_id")).agg(F.count("*").alias("weight"))
     return permuted_of(own, panel, n_perm, seed, occupied_by_stratum)
 
 
-def permuted_of(statistics: DataFrame, panel: Panel, n_perm: int, seed: int = 0, occupied_by_stratum: bool = False) -> DataFrame:
+def permuted_of(statistics: DataFrame, panel: Panel, n_perm: int, seed: int = 0, occupied_by_stratum: bool = False, strata_together: int | None = None) -> DataFrame:
     """The same from stratum, cell_id and weight."""
-    cells = n_cells(panel)
-    together = max(1, min(TOGETHER, NUMBERS // cells))
-    blocks = math.ceil(n_perm / together)
-    dealt = level_counts(statistics, panel).drop("_n").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    levels = level_counts(statistics, panel)
+    counts = F.array(*[F.col(f"_{k}") for k in range(len(panel))])
+    rows = levels.select(F.lit(0).alias("map"), "stratum", counts.alias("counts"))
+    made = drawn(rows, [(sizes(panel), n_perm, seed)], lambda _, c: [np.asarray(x, np.int64) for x in c], strata_together or STRATA, occupied_by_stratum)
+    return made.drop("map")
+
+
+def drawn(levels: DataFrame, shapes: list[tuple[list[int], int, int]], counts_of: Callable, together: int, occupied_by_stratum: bool = False) -> DataFrame:
+    """(map, perm, cell_id, n) for rows (map, stratum, counts); shapes has the sizes of each map's traits, its permutations and
+    seed. Draws are dealt twice: a run of permutations is a block, and a block's strata are dealt to buckets of about so many
+    by their hash; buckets send their tables of cells, which are added up. The draws of a stratum in a block have a
+    generator of their own seed, so that no dealing changes a figure."""
+    spark = levels.sparkSession
+    runs = [max(1, min(TOGETHER, NUMBERS // math.prod(own))) for own, _, _ in shapes]
+    blocks = [(m, b) for m, (_, n_perm, _) in enumerate(shapes) for b in range(math.ceil(n_perm / runs[m]))]
+    least = levels.groupBy("map").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / together)).alias("buckets"))
+    dealt = levels.join(F.broadcast(least), "map").join(fixed(spark, blocks, "map int, block int"), "map")  # a row a map, a row a block
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("stratum"), F.col("buckets"))).select("map", "block", "bucket", "stratum", "counts")
+    # groups are few bytes and much work: as many partitions as there can be tasks, which adaptive execution leaves alone
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(blocks), 4 * spark.sparkContext.defaultParallelism))
+    dealt = dealt.repartition(parts, "map", "block", "bucket")
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
-        block = int(group["block"].iloc[0])
-        perms = np.arange(block * together, min(n_perm, (block + 1) * together))
-        total = np.zeros((len(perms), cells), np.int64)
-        occupied = []
-        for name, *counts, _ in group.itertuples(index=False):
-            at, n = shuffled(np.random.default_rng([seed, block, zlib.crc32(name.encode())]), [np.array(c, np.int64) for c in counts], len(perms))
+        m, block = int(group["map"].iloc[0]), int(group["block"].iloc[0])
+        own, n_perm, seed = shapes[m]
+        cells = math.prod(own)
+        perms = np.arange(block * runs[m], min(n_perm, (block + 1) * runs[m]))
+        total, rows, waiting, occupied = np.zeros(len(perms) * cells, np.int64), [], 0, []
+        first = (np.arange(len(perms)) * cells)[:, None]
+        for name, given in zip(group["stratum"], group["counts"], strict=True):
+            counts, rng = counts_of(m, given), np.random.default_rng([seed, block, zlib.crc32(name.encode())])
+            if few_rows(counts):
+                at = (shuffled_rows(rng, counts, len(perms)) + first).ravel()
+                if occupied_by_stratum:
+                    occupied.append((name, np.bincount(np.unique(at) // cells, minlength=len(perms))))
+                    continue
+                rows.append(at)
+                waiting += len(at)
+                if waiting > NUMBERS:
+                    total += np.bincount(np.concatenate(rows), minlength=len(total))
+                    rows, waiting = [], 0
+                continue
+            at, n = shuffled(rng, counts, len(perms))
             if occupied_by_stratum:
-                occupied.append(pd.DataFrame({"perm": perms, "stratum": name, "n": np.count_nonzero(n, axis=1)}))
+                occupied.append((name, np.count_nonzero(n, axis=1)))
             else:
-                total[:, at] += n
+                total.reshape(len(perms), cells)[:, at] += n
         if occupied_by_stratum:
-            return pd.concat(occupied)
-        perm, cell = np.nonzero(total)
-        return pd.DataFrame({"perm": perms[perm], "cell_id": cell, "n": total[perm, cell]})
+            return pd.concat([pd.DataFrame({"map": m, "perm": perms, "stratum": name, "n": n}) for name, n in occupied])
+        if rows:
+            total += np.bincount(np.concatenate(rows), minlength=len(total))
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"map": m, "perm": perms[at // cells], "cell_id": at % cells, "n": total[at]})
+
+    if occupied_by_stratum:
+        return dealt.groupBy("map", "block", "bucket").applyInPandas(draw, "map int, perm long, stratum string, n long")
+    made = dealt.groupBy("map", "block", "bucket").applyInPandas(draw, "map int, perm long, cell_id long, n long")
+    return made.groupBy("map", "perm", "cell_id").agg(F.sum("n").alias("n"))
+
 
-    return dealt.groupBy("block").applyInPandas(draw, "perm long, stratum string, n long" if occupied_by_stratum else "perm long, cell_id long, n long")
+def p_bucket(p: Column) -> Column:
+    """A number that never falls as p rises: 64 to each factor of two, so that of p values spread over 0 to 1 less than a
+    hundredth has the same; at most 69,000 different ones."""
+    return F.when(p <= 0, -(1 << 20)).otherwise(F.floor(F.log2(p) * 64)).cast("int")
 
 
-def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
+def bh_qvalues(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "q", few: bool = False) -> DataFrame:
     """df with Benjamini-Hochberg q values of p, apart for each group of `by`; null p stay null. Equal p are counted first:
-    permutation p values are few, however many tests there are."""
-    distinct = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_k"))
-    up = W.partitionBy(*by).orderBy(p)
-    total = F.sum("_k").over(W.partitionBy(*by))
-    raw = distinct.withColumn("_raw", F.col(p) * total / F.sum("_k").over(up.rowsBetween(W.unboundedPreceding, 0)))
-    q = raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)))).select(*by, p, name)
+    permutation p values are few, however many tests there are. No task meets all the p of a group: they are scanned by
+    bucket, with what the buckets below hold and the least that the buckets above need carried over from a table of the
+    buckets; where they are few in any case, as those of a grid's cells are, one window a group does it."""
+    if few:
+        distinct = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_k"))
+        up = W.partitionBy(*by).orderBy(p)
+        raw = distinct.withColumn("_raw", F.col(p) * F.sum("_k").over(W.partitionBy(*by)) / F.sum("_k").over(up.rowsBetween(W.unboundedPreceding, 0)))
+        q = raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)))).select(*by, p, name)
+        return df.join(q, [*by, p], "left").select(*df.columns, name)
+    distinct = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_k")).withColumn("_b", p_bucket(F.col(p)))
+    up = W.partitionBy(*by, "_b").orderBy(p)
+    groups = W.partitionBy(*by).orderBy("_b")  # as many rows as there are buckets
+    held = distinct.groupBy(*by, "_b").agg(F.sum("_k").alias("_own"))
+    held = held.select(*by, "_b", F.coalesce(F.sum("_own").over(groups.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_below"), F.sum("_own").over(W.partitionBy(*by)).alias("_total"))
+    rank = F.col("_below") + F.sum("_k").over(up.rowsBetween(W.unboundedPreceding, 0))
+    raw = distinct.join(held, [*by, "_b"]).withColumn("_raw", F.col(p) * F.col("_total") / rank)
+    least = raw.groupBy(*by, "_b").agg(F.min("_raw").alias("_least"))
+    above = least.select(*by, "_b", F.min("_least").over(groups.rowsBetween(1, W.unboundedFollowing)).alias("_above"))
+    q = F.least(F.lit(1.0), F.min("_raw").over(up.rowsBetween(0, W.unboundedFollowing)), F.col("_above"))
     keys = [*by, p]
-    return df.join(q, keys, "left").select(*df.columns, name)
+    made = raw.join(above, [*by, "_b"]).select(*keys, q.alias(name))
+    return df.join(made, keys, "left").select(*df.columns, name)
 
 
 def kept_of(statistics: DataFrame, taxon: str | None, min_size: int) -> DataFrame:
@@ -269,7 +361,7 @@ def cell_table_of(every: DataFrame, kept: DataFrame, panel: Panel, null: DataFra
         "p_high": (1 + reach) / F.lit(n_perm + 1),
         "testable": F.col("expected") >= min_expected,
     })
-    own = bh_qvalues(own.withColumn("_p", F.when(F.col("testable"), F.col("p_low"))), "_p", name="q_low")
+    own = bh_qvalues(own.withColumn("_p", F.when(F.col("testable"), F.col("p_low"))), "_p", name="q_low", few=True)
     flagged = F.col("testable") & (F.col("q_low") < alpha) & (F.col("observed") < F.col("expected"))
     own = own.withColumn("emptier_than_chance", F.coalesce(flagged, F.lit(False)))
     own = own.withColumn("empty_beyond_chance", F.col("emptier_than_chance") & (F.col("observed_all_species") == 0))
@@ -351,18 +443,19 @@ def contributions(df: DataFrame, cell: dict[str, str], taxon: str, min_size: int
 
 
 def group_occupancy(df: DataFrame, panel: Panel, group: str) -> DataFrame:
-    """For each group, larger ones first: rows, cells, cells of its own, and cells of it and all larger ones together."""
+    """For each group, larger ones first: rows, cells, cells of its own, and cells of it and all larger ones together. However
+    many groups there are, they are not ordered against each other: a cell counts from the largest group that has it, and the
+    cells' largest groups, as many as the panel has cells, are all that a group is compared with."""
     rows = complete(df, panel).select(F.coalesce(F.col(group), F.lit(UNASSIGNED)).alias("grp"), cell_id(panel).alias("cell_id"))
     pairs = rows.groupBy("grp", "cell_id").agg(F.count("*").alias("n"))
     size = pairs.groupBy("grp").agg(F.sum("n").alias("N"), F.count("*").alias("cells_occupied"))
-    size = size.withColumn("place", F.row_number().over(W.orderBy(F.col("N").desc(), "grp")))
-    # a cell counts for the first group that has it
-    first = pairs.join(size.select("grp", "place"), "grp").groupBy("cell_id").agg(F.min("place").alias("place"), F.count("*").alias("owners"), F.min("grp").alias("grp"))
-    new = first.groupBy("place").agg(F.count("*").alias("_new"))
-    alone = first.filter("owners = 1").groupBy("grp").agg(F.count("*").alias("cells_only_here"))
-    out = size.join(new, "place", "left").join(alone, "grp", "left").fillna(0, ["_new", "cells_only_here"])
-    out = out.withColumn("cumulative_occupied", F.sum("_new").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)))
-    return out.withColumn("cumulative_share", F.col("cumulative_occupied") / F.sum("_new").over(W.partitionBy())).select("grp", "N", "cells_occupied", "cells_only_here", "cumulative_occupied", "cumulative_share")
+    place = F.struct((-F.col("N")).alias("size"), F.col("grp").alias("grp"))
+    first = pairs.join(size.select("grp", place.alias("place")), "grp").groupBy("cell_id").agg(F.min("place").alias("place"), F.count("*").alias("owners"))
+    alone = first.filter("owners = 1").groupBy(F.col("place.grp").alias("grp")).agg(F.count("*").alias("cells_only_here"))
+    every = first.agg(F.collect_list("place").alias("places"))  # one row, of an entry a cell
+    out = size.join(F.broadcast(alone), "grp", "left").fillna(0, ["cells_only_here"]).join(F.broadcast(every))
+    out = out.withColumn("cumulative_occupied", F.size(F.filter("places", lambda x: x <= place)).cast("long"))
+    return out.withColumn("cumulative_share", F.col("cumulative_occupied") / F.size("places")).select("grp", "N", "cells_occupied", "cells_only_here", "cumulative_occupied", "cumulative_share")
 
 
 def group_null(df: DataFrame, panel: Panel, group: str, n_perm: int, id_column: str, min_size: int = 5, seed: str = "0") -> DataFrame:

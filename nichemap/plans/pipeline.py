@@ -18,7 +18,7 @@ from ..functions.designations import Normaliser
 from ..operators import linkage, records
 from ..operators.selection import add_panel_flags, analysis_set
 from ..sources import batches, http, tables
-from . import crawl, reports, story
+from . import crawl, findings, reports, story
 
 #: Columns of the lists of a panel's species, before those of its traits.
 SPECIES = ("bacdive_id", "species", "gtdb_species", "gtdb_genus", "gtdb_order", "gtdb_class", "gtdb_phylum", "gtdb_accession", "ncbi_assembly_accession", "assembly_genbank", "assembly_refseq", "match_method", "type_strain_bacdive", "gtdb_is_type_strain_of_species")
@@ -88,9 +88,14 @@ def report(spark: SparkSession, cfg: Config, n_perm: int | None = None, grid: bo
     interim, folder, final = cfg.path("interim"), cfg.path("reports"), cfg.path("final")
     df = spark.read.parquet(str(interim / "strains.parquet"))
     log = tables.tsv(spark, str(interim / "unmatched_strains.tsv"))
-    made = reports.tables(df, cfg, n_perm, grid) | {"unmatched_reasons": reports.reasons(log)}
-    for name, table in made.items():
-        made[name] = reports.settled(table)  # writing and showing it works it out once
+    lazy, results = reports.tables(df, cfg, n_perm, grid)
+    made = {}
+    with results:
+        for name, table in (lazy | {"unmatched_reasons": reports.reasons(log)}).items():
+            if name != "findings":
+                made[name] = reports.settled(table)  # writing and showing it works it out once
+        made["findings"] = reports.settled(findings.table_of(df, made, cfg))  # from tables that are there
+    for name in made:
         sinks.write_tsv(made[name], str(folder / "tables" / f"{name}.tsv"), single=True)
     for key in FLAGS:
         species, traits = analysis_set(df, cfg.panel(key)), cfg.panel(key)

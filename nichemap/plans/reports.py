@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import coverage, occupancy
+from ..operators import coverage, maps, occupancy
+from ..operators.maps import Map
 from ..operators.selection import ALL_TRAITS, analysis_set
+from . import findings
 
 LABELS = {"gram": "gram stain", "shape": "cell shape", "motility": "motility", "spore": "spore formation", "oxygen": "oxygen tolerance", "temperature": "temperature", "ph": "pH", "halophily_level": "halophily (curated level)"}
 NULLS = (None, "phylum", "class", "order")
@@ -73,33 +75,51 @@ def settled(table: DataFrame) -> DataFrame:
     return table.sparkSession.createDataFrame(table.toArrow(), table.schema)
 
 
+def one_map(cfg: Config, name: str, traits: list[str], view: str = "primary", null: str | None = None, n_perm: int | None = None, offset: int = 0) -> Map:
+    """A map in a view under a null; offset tells its seed from others of the same settings."""
+    binning, level, temp = VIEWS[view]
+    return Map(name, tuple(traits), binning, level, temp, null, n_perm or cfg["analysis"]["n_perm_full"], cfg["analysis"]["seed"] + offset)
+
+
 def occupancy_of(df: DataFrame, cfg: Config, traits: list[str], view: str = "primary", null: str | None = None, n_perm: int | None = None, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """(cells, summary) of one map in one view under one null, worked out."""
-    binning, level, temp = VIEWS[view]
-    a = cfg["analysis"]
-    sub = analysis_set(df, traits, binning, level, temp)
-    made = occupancy.occupancy(sub, cfg.panel_levels(traits, binning), "bacdive_id", n_perm or a["n_perm_full"], f"gtdb_{null}" if null else None, a["min_stratum_size"], a["min_expected_for_test"], a["fdr_alpha"], a["seed"] + offset, settle=settled)
-    occupancy.release()
-    return made
+    with maps.occupy(df, cfg, [one_map(cfg, "own", traits, view, null, n_perm, offset)]) as made:
+        return settled(made.cells_of("own")), settled(made.summaries.drop("map"))
 
 
-def occupancy_grid(df: DataFrame, cfg: Config, nulls: tuple[str | None, ...] = NULLS, n_perm: int | None = None, view: str = "primary", sizes: tuple[int, ...] = (4, 5)) -> tuple[DataFrame, DataFrame]:
-    """(a row for each subset of the core panel and null; the cells of any map that survive the order-level shuffle, with
-    their q values there and under the global null)."""
-    out = found = None
-    for j, traits in enumerate(subsets(cfg, sizes)):
-        cells = {}
-        for i, null in enumerate(nulls):
-            cells[null], s = occupancy_of(df, cfg, traits, view, null, n_perm or cfg["analysis"]["n_perm_subset"], 100 * i + j)
-            row = s.select(F.lit(len(traits)).alias("size"), F.lit(" + ".join(traits)).alias("traits"), F.lit(name_of(null)).alias("null"), F.lit(traits == cfg.panel("morphology")).alias("morphology_map"), "*")
-            out = row if out is None else out.unionByName(row)
-        if "order" in cells and None in cells:
-            label = F.concat_ws(", ", *(F.concat(F.lit(f"{t}="), c) for t, c in zip(traits, cfg.panel_levels(traits, VIEWS[view][0]), strict=True)))
-            row = cells["order"].filter("empty_beyond_chance").join(cells[None].select("cell_id", F.col("q_low").alias("q_global")), "cell_id")
-            row = row.select(F.lit(" + ".join(traits)).alias("traits"), label.alias("cell"), "expected", F.col("q_low").alias("q_order"), "q_global")
-            found = row if found is None else found.unionByName(row)
+def grid_maps(cfg: Config, nulls: tuple[str | None, ...] = NULLS, n_perm: int | None = None, view: str = "primary", sizes: tuple[int, ...] = (4, 5)) -> list[Map]:
+    """Every subset of the core panel under every null."""
+    most = n_perm or cfg["analysis"]["n_perm_subset"]
+    return [one_map(cfg, f"grid_{j}_{name_of(null)}", traits, view, null, most, 100 * i + j) for j, traits in enumerate(subsets(cfg, sizes)) for i, null in enumerate(nulls)]
+
+
+def grid_tables(made: maps.Results, cfg: Config, own: list[Map]) -> tuple[DataFrame, DataFrame]:
+    """(a row for each subset and null, with the q value of its deficit among the maps of the null; the cells of any map that
+    survive the order-level shuffle, with their q values there and under the global null)."""
+    rows = made.summaries_of([m.name for m in own]).withColumn("morphology_map", F.col("traits") == " + ".join(cfg.panel("morphology")))
     # the deficits of one null over its maps are tests of one family
-    return occupancy.bh_qvalues(out, "p_fewer_occupied_than_null", ("null",), "q_deficit"), found
+    rows = occupancy.bh_qvalues(rows.drop("name", "binning", "level", "temp_source"), "p_fewer_occupied_than_null", ("null",), "q_deficit")
+    spark, pairs, labels = made.cells.sparkSession, [], []
+    for m in own:
+        if m.null == "order" and (other := m.name.removesuffix("order") + "global") in {x.name for x in own}:
+            pairs.append((made.number(m.name), made.number(other), " + ".join(m.traits)))
+            panel = made.lattice.panel(m)
+            label = F.concat_ws(", ", *(F.concat(F.lit(f"{t}="), c) for t, c in zip(m.traits, occupancy.level_columns(panel), strict=True)))
+            labels.append(F.when(F.col("map") == pairs[-1][0], label))
+    if not pairs:
+        return rows, spark.createDataFrame([], "traits string, cell string, expected double, q_order double, q_global double")
+    found = made.cells.filter("empty_beyond_chance").join(maps.fixed(spark, pairs, "map int, _other int, traits string"), "map")
+    other = made.cells.select(F.col("map").alias("_other"), "cell_id", F.col("q_low").alias("q_global"))
+    found = found.join(other, ["_other", "cell_id"])
+    return rows, found.select("traits", F.coalesce(*labels).alias("cell"), "expected", F.col("q_low").alias("q_order"), "q_global")
+
+
+def occupancy_grid(df: DataFrame, cfg: Config, nulls: tuple[str | None, ...] = NULLS, n_perm: int | None = None, view: str = "primary", sizes: tuple[int, ...] = (4, 5)) -> tuple[DataFrame, DataFrame]:
+    """The tables of `grid_tables`, of all subsets of the core panel in one plan."""
+    own = grid_maps(cfg, nulls, n_perm, view, sizes)
+    with maps.occupy(df, cfg, own) as made:
+        rows, found = grid_tables(made, cfg, own)
+        return settled(rows), settled(found)
 
 
 def reasons(log: DataFrame) -> DataFrame:
@@ -127,8 +147,7 @@ def side_by_side(maps: dict[str, DataFrame]) -> DataFrame:
 def capacity(df: DataFrame, cfg: Config, panel: list[str] | None = None) -> DataFrame:
     """Expected counts of every non-empty subset of the panel; each subset has an analysis set of its own."""
     panel = panel or cfg.panel("core")
-    own = [list(c) for k in range(1, len(panel) + 1) for c in combinations(panel, k)]
-    return occupancy.capacity({" + ".join(t): (analysis_set(df, t), cfg.panel_levels(t)) for t in own}, cfg["analysis"]["min_expected_for_test"])
+    return maps.capacity(df, cfg, [list(c) for k in range(1, len(panel) + 1) for c in combinations(panel, k)])
 
 
 def strata_bookkeeping(df: DataFrame, cfg: Config, traits: list[str], sizes: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
@@ -174,24 +193,30 @@ def positive_control(cells: dict[str, DataFrame], control: dict) -> DataFrame:
     return both.select(F.lit(control["name"]).alias("control"), "*", (F.col("fires_global") & ~F.col("fires_order")).alias("passes"))
 
 
-def panel_tables(df: DataFrame, cfg: Config, key: str, traits: list[str], n_perm: int | None = None) -> dict[str, DataFrame]:
-    """The tables of one panel: cells under each null, all nulls together, power, phyla, small strata and controls."""
-    a, out, cells, again = cfg["analysis"], {}, {}, {}
-    panel, sub = cfg.panel_levels(traits), analysis_set(df, traits)
-    maps, power = [], []
+def panel_maps(cfg: Config, key: str, n_perm: int | None = None) -> list[Map]:
+    """The maps of a panel: under each null, twice under the global and the finest, in every view, and within families."""
+    traits, own = cfg.panel(key), []
     for i, null in enumerate(NULLS):
-        name = name_of(null)
-        cells[name], s = occupancy_of(df, cfg, traits, "primary", null, n_perm, i)
-        out[f"cells_{key}_primary_{name}"] = cells[name]
-        maps.append(s.withColumns({"null": F.lit(name), "deficit": F.col("null_occupied_mean") - F.col("occupied")}))
-        least = occupancy.detectable(cells[name], n_perm or a["n_perm_full"], a["fdr_alpha"], a["min_expected_for_test"])
-        power.append(least.withColumn("null", F.lit(name)))
+        own.append(one_map(cfg, f"cells_{key}_primary_{name_of(null)}", traits, "primary", null, n_perm, i))
         if null in (None, "order"):
-            again[name] = occupancy_of(df, cfg, traits, "primary", null, n_perm, 777_777 + i)[0]
+            own.append(one_map(cfg, f"again_{key}_{name_of(null)}", traits, "primary", null, n_perm, 777_777 + i))
+    own += [one_map(cfg, f"cells_{key}_{view}_{name_of(null)}", traits, view, null, n_perm) for view in VIEWS if view != "primary" for null in (None, "order")]
+    return [*own, one_map(cfg, f"cells_{key}_primary_family", traits, "primary", "family", n_perm, 424_242)]
+
+
+def panel_tables(df: DataFrame, cfg: Config, key: str, made: maps.Results, n_perm: int | None = None) -> dict[str, DataFrame]:
+    """The tables of one panel: cells under each null, all nulls together, power, phyla, small strata and controls."""
+    a, traits = cfg["analysis"], cfg.panel(key)
+    panel, sub = cfg.panel_levels(traits), analysis_set(df, traits)
+    cells = {name_of(null): made.cells_of(f"cells_{key}_primary_{name_of(null)}") for null in NULLS}
+    again = {name: made.cells_of(f"again_{key}_{name}") for name in ("global", "order")}
+    own = made.summaries_of([f"cells_{key}_primary_{name}" for name in cells]).withColumn("deficit", F.col("null_occupied_mean") - F.col("occupied"))
+    power = [occupancy.detectable(table, n_perm or a["n_perm_full"], a["fdr_alpha"], a["min_expected_for_test"]).withColumn("null", F.lit(name)) for name, table in cells.items()]
     phyla = occupancy.group_null(sub, panel, "gtdb_phylum", n_perm or a["n_perm_phylum_occupancy"], "bacdive_id", a["min_stratum_size"])
+    out = {f"cells_{key}_primary_{name}": table for name, table in cells.items()}
     out |= {
         f"cells_{key}_all_nulls": occupancy.merge_nulls(cells, panel, "order", again),
-        f"occupied_vs_expected_{key}": stacked(maps),
+        f"occupied_vs_expected_{key}": own.drop("name", "binning", "level", "temp_source", "size", "traits"),
         f"minimum_detectable_constraint_{key}": stacked(power),
         f"power_expected_per_cell_{key}": capacity(df, cfg, traits),
         f"strata_{key}": strata_bookkeeping(df, cfg, traits),
@@ -203,35 +228,47 @@ def panel_tables(df: DataFrame, cfg: Config, key: str, traits: list[str], n_perm
     return out
 
 
+def view_summaries(cfg: Config, made: maps.Results, keys: tuple[str, ...]) -> DataFrame:
+    """The figures of every panel's map in every view and null, with the view's name."""
+    own = [(m.name, view, key) for key in keys for view in VIEWS for m in made.lattice.maps if m.name.startswith(f"cells_{key}_{view}_") and not m.name.endswith("_family")]
+    names = maps.fixed(made.cells.sparkSession, own, "name string, view string, panel string")
+    return made.summaries_of([n for n, _, _ in own]).join(names, "name").drop("name", "binning", "level", "temp_source", "size", "traits")
+
+
 def stacked(rows: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def survivors(df: DataFrame, cfg: Config, traits: list[str], order_cells: DataFrame, n_perm: int | None = None, key: str = "", views: dict[tuple[str, str], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """For cells that survive the finest shuffle: the orders that are expected to fill them, which of their families carry
-    which levels, the map under families, and the cell in each of the views (cells by view and null). The names of the tables
-    hold key, the panel's."""
-    found = order_cells.filter("empty_beyond_chance").select(*traits).collect()  # at most as many as the panel has cells
+def survivors(df: DataFrame, cfg: Config, key: str, made: maps.Results) -> dict[str, DataFrame]:
+    """For the cells of a panel that survive the finest shuffle, all together: the orders that are expected to fill them,
+    which of their families carry which levels, and the cells in each of the views; and the map under families. A part of
+    each table by itself for each cell."""
+    traits, order = cfg.panel(key), f"cells_{key}_primary_order"
+    found = maps.survivors(made, order)
     if not found:
         return {}
-    sub, least = analysis_set(df, traits), cfg["analysis"]["min_stratum_size"]
-    key = f"{key}_" if key else ""
-    family = occupancy_of(df, cfg, traits, "primary", "family", n_perm, 424_242)[0]
-    out = {f"cells_{key}primary_family": family}
-    every = (views or {}) | {("primary", "order"): order_cells, ("primary", "family"): family}
-    for r in found:
-        cell = r.asDict()
-        name = f"survivor_{key}" + "_".join(cell.values())
-        here = " and ".join(f"{k} = '{v}'" for k, v in cell.items())
-        out[name + "_order_contributions"] = occupancy.contributions(sub, cell, "gtdb_order", least, "gtdb_phylum")
-        out[name + "_family_carriers"] = occupancy.carriers(sub, cell, "gtdb_order", "gtdb_family")
-        seen = [t.filter(here).select(F.lit(view).alias("view"), F.lit(null).alias("null"), "observed_all_species", "expected", "testable", "q_low", "empty_beyond_chance") for (view, null), t in every.items() if not view.startswith("fine")]
-        out[name + "_views"] = stacked(seen)
+    panel = cfg.panel_levels(traits)
+    out = {f"cells_{key}_primary_family": made.cells_of(f"cells_{key}_primary_family")}
+    seen = [(made.number(m.name), view, name_of(m.null)) for view in VIEWS if not view.startswith("fine") for m in made.lattice.maps if m.name.startswith(f"cells_{key}_{view}_") and (m.null in (None, "order") or view == "primary" and m.null == "family")]
+    views = made.cells.join(maps.fixed(made.cells.sparkSession, seen, "map int, view string, null string"), "map").filter(F.col("cell_id").isin(found))
+    every = {
+        "order_contributions": maps.contributions(made, order, found, df),
+        "family_carriers": maps.carriers(df, made, order, found),
+        "views": views.select("cell_id", "view", "null", "observed_all_species", "expected", "testable", "q_low", "empty_beyond_chance"),
+    }
+    for what, table in every.items():
+        out[f"survivors_{key}_{what}"] = table.select("cell_id", *occupancy.level_columns(panel), *[c for c in table.columns if c != "cell_id"])
+    for cell in found:
+        levels = [v[cell // s % len(v)] for v, s in zip(panel.values(), occupancy.strides(panel), strict=True)]
+        for what, table in every.items():
+            own = table.filter(F.col("cell_id") == cell).drop("cell_id")
+            out["_".join(["survivor", key, *levels, what])] = own.orderBy(F.desc("expected_in_cell"), "stratum") if what == "order_contributions" else own
     return out
 
 
-def tables(df: DataFrame, cfg: Config, n_perm: int | None = None, grid: bool = True) -> dict[str, DataFrame]:
-    """Every table of the report."""
+def tables(df: DataFrame, cfg: Config, n_perm: int | None = None, grid: bool = True) -> tuple[dict[str, DataFrame], maps.Results]:
+    """(every table of the report, the maps' results). All maps are worked out in one plan and held until the results are
+    closed; tables read them."""
     from ..operators.linkage import stage_table
 
     usable = {LABELS[t]: F.col(f"{t}_usable") for t in ALL_TRAITS}
@@ -247,24 +284,21 @@ def tables(df: DataFrame, cfg: Config, n_perm: int | None = None, grid: bool = T
         "type_strains_core": type_strains(analysis_set(df, cfg.panel("core"))),
         "doi_dates": doi_dates(df),
     } | availability(df, cfg)
-    rows, trends = [], []
-    for key in ("core", "no_spore"):
-        out |= panel_tables(df, cfg, key, panels[key], n_perm)
-        maps = out[f"occupied_vs_expected_{key}"]
-        trends.append(deficit_trend(maps, key))
-        rows.append(maps.drop("deficit").withColumns({"view": F.lit("primary"), "panel": F.lit(key)}))
-        views = {("primary", "global"): out[f"cells_{key}_primary_global"]}
-        for view in [v for v in VIEWS if v != "primary"]:
-            for null in (None, "order"):
-                cells, s = occupancy_of(df, cfg, panels[key], view, null, n_perm)
-                out[f"cells_{key}_{view}_{name_of(null)}"] = views[view, name_of(null)] = cells
-                rows.append(s.withColumns({"view": F.lit(view), "null": F.lit(name_of(null)), "panel": F.lit(key)}))
-        out |= survivors(df, cfg, panels[key], out[f"cells_{key}_primary_order"], n_perm, key, views)
+    keys = ("core", "no_spore")
+    subsets_of = grid_maps(cfg, n_perm=n_perm) if grid else []
+    made = maps.occupy(df, cfg, [m for k in keys for m in panel_maps(cfg, k, n_perm)] + subsets_of)
+    trends = []
+    for key in keys:
+        out |= panel_tables(df, cfg, key, made, n_perm)
+        trends.append(deficit_trend(out[f"occupied_vs_expected_{key}"], key))
+        out |= {m.name: made.cells_of(m.name) for m in panel_maps(cfg, key) if m.name.startswith("cells_") and "_primary_" not in m.name}
+        out |= survivors(df, cfg, key, made)
         out[f"crosstab_{key}"] = marked(out[f"cells_{key}_all_nulls"], cfg, panels[key])
-    out["views_summary"], out["deficit_trend"] = stacked(rows), stacked(trends)
-    out["panels_side_by_side"] = side_by_side({k: out[f"occupied_vs_expected_{k}"] for k in ("core", "no_spore")})
+    out["views_summary"], out["deficit_trend"] = view_summaries(cfg, made, keys), stacked(trends)
+    out["panels_side_by_side"] = side_by_side({k: out[f"occupied_vs_expected_{k}"] for k in keys})
     if grid:
-        out["occupancy_subsets_all_nulls"], out["order_level_survivors_all_maps"] = occupancy_grid(df, cfg, n_perm=n_perm)
+        out["occupancy_subsets_all_nulls"], out["order_level_survivors_all_maps"] = grid_tables(made, cfg, subsets_of)
         order = out["occupancy_subsets_all_nulls"].filter(F.col("null") == "order")
         out["order_level_deficit_across_maps"] = order.select("traits", "occupied", "null_occupied_mean", "p_fewer_occupied_than_null", "q_deficit")
-    return out
+    out["findings"] = findings.table_of(df, out, cfg, keys)
+    return out, made

@@ -19,13 +19,6 @@ def shown(name: str, table: DataFrame) -> str:
     return text
 
 
-def _row(table: DataFrame, **where: str) -> dict:
-    for k, v in where.items():
-        table = table.filter(table[k] == v)
-    found = table.limit(1).collect()
-    return found[0].asDict() if found else {}
-
-
 def _funnel(made: dict[str, DataFrame], cfg: Config, held: dict) -> list[str]:
     c = held["counts"]
     lines = [f"Of {sinks.fmt(c['strains'])} strains {sinks.fmt(c['matched'])} ({sinks.pct(c['matched'], c['strains'])}) have a genome in the catalogue" + (f", release {held['catalogue']['release']}." if held["catalogue"].get("release") else ".")]
@@ -43,13 +36,6 @@ def _panel(made: dict[str, DataFrame], cfg: Config, key: str) -> list[str]:
     maps = {r["null"]: r for r in made[f"occupied_vs_expected_{key}"].collect()}  # a row a null
     whole, finest = maps["global"], maps["order"]
     lines = [f"The panel {' x '.join(cfg.panel(key))} has {sinks.fmt(whole['cells'])} cells; {sinks.fmt(whole['occupied'])} are occupied by {sinks.fmt(whole['N'])} species, where independence over all species would fill {sinks.fmt(float(whole['null_occupied_mean']), 1)} and shuffles within orders {sinks.fmt(float(finest['null_occupied_mean']), 1)}."]
-    trend = _row(made["deficit_trend"], panel=key)
-    if trend["strict"]:
-        lines.append("The deficit falls at every step from the global shuffle to shuffles within orders: the finer the taxonomy, the more of the emptiness it accounts for.")
-    elif trend["nonincreasing"]:
-        lines.append("The deficit never rises from the global shuffle to shuffles within orders, though not every step lowers it.")
-    else:
-        lines.append("The deficit does not fall steadily with finer taxonomy, so that taxonomy alone doesn't order the nulls here.")
     fired, left = whole["empty_beyond_chance_cells"], finest["empty_beyond_chance_cells"]
     if left:
         lines.append(f"{sinks.fmt(left)} of the {sinks.fmt(fired)} cells that are emptier than chance under the global shuffle stay so within orders; their orders and families are in the survivors' tables.")
@@ -57,16 +43,13 @@ def _panel(made: dict[str, DataFrame], cfg: Config, key: str) -> list[str]:
         lines.append(f"{sinks.fmt(fired)} cells are emptier than chance under the global shuffle, and none within orders: what looks like a gap is where lineages are.")
     else:
         lines.append("No cell is emptier than chance under any shuffle.")
-    small = made[f"small_strata_false_positives_{key}"].collect()  # cells of one panel
-    if small:
-        flagged = sum(bool(r["would_be_flagged"]) for r in small)
-        lines.append(f"{len(small)} testable cells are held by small orders alone, which the shuffles leave out; counted as empty, {flagged} of them would have been flagged.")
-    power = _row(made[f"minimum_detectable_constraint_{key}"], null="order")
-    if power.get("minimum_detectable") is not None:
-        lines.append(f"A cell has to expect {sinks.fmt(float(power['minimum_detectable']), 1)} species within orders for its emptiness to be found; {sinks.fmt(power['cells_above'])} cells do.")
     for name in (n for n in made if n.startswith(f"positive_control_{key}")):
         r = made[name].first()
         lines.append(f"Control {r['control']}: " + ("it fires globally and not within orders, as it should." if r["passes"] else "IT FAILS. A known gap is not found globally, or is found within orders; the figures of this panel can't be trusted."))
+    found = sorted((r for r in made["findings"].collect() if r["panel"] == key), key=lambda r: (r["cell"] or "", r["place"]))  # rules times subjects
+    lines += [r["sentence"] for r in found if r["cell"] is None and not r["rule"].startswith("control")]
+    for cell in dict.fromkeys(r["cell"] for r in found if r["cell"] is not None):
+        lines += [f"### Cell {cell}", " ".join(r["sentence"] for r in found if r["cell"] == cell)]
     return lines
 
 

@@ -534,4 +534,4 @@ def null_categories_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occupancy.merge_nulls(runs[0], CUSTOMERS, "nation", runs[1]).select("cell_id", "observed_all", "category")
 
 
-from . import queries_stages  # noqa: E402, F401 - adds the queries of the stages
+from . import queries_maps, queries_stages  # noqa: E402, F401 - add the queries of the maps and of the stages

@@ -3,6 +3,7 @@ its nation and key decide what the sections hold, and SQL decides the same from
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from functools import reduce
@@ -11,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks
+from .sinks import shared_folder
 from .config import Config, load_config
 from .functions import designations as D
 from .functions import values as V
-from .operators import linkage, occupancy, records, selection
+from .operators import linkage, maps, occupancy, records, selection
 from .plans import crawl, reports
 from .queries import CUSTOMERS, MIN_STRATUM, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, sql_grid, table
 from .sources import batches, tables
-from .streaming.ingest import shared_folder
 
 CFG = load_config()
 
@@ -104,8 +105,8 @@ def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.violations(odd.union(df.filter(F.col("bacdive_id") % 40 == 0)))
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The joined table: typed records with a genome each for seven in ten, written and read again as the stages do."""
+def world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined table: typed records with a genome each for seven in ten."""
     df = records.trait_table(raw_records(spark, sf_dir), CFG).withColumnRenamed("bacdive_id", "c_custkey")
     nation = F.regexp_extract("genus", "[0-9]+", 0).cast("long")
     has = K() % 10 < 7
@@ -114,9 +115,20 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
         "genome_matched": has, "gtdb_accession": at("acc", K()), "ncbi_assembly_accession": at("acc", K()), "gtdb_species": F.when(K() % 11 > 0, at("sp", K() % 900)), "gtdb_genus": at("g", K() % 90), "gtdb_family": at("f", nation), "gtdb_order": at("o", nation % 11), "gtdb_class": at("c", nation % 5), "gtdb_phylum": at("p", nation % 3),
         "pref_order": F.when(has, K() * 7 % 1009), "gtdb_is_type_strain_of_species": has & (K() % 13 == 0), "bacdive_lists_assembly": K() % 4 < 2, "bacdive_assembly_in_gtdb": has & (K() % 4 < 2), "designation_route_hit": has & (K() % 4 >= 2), "match_method": F.when(has & (K() % 4 < 2), "accession").when(has, "designation").otherwise("none"), "match_token_kind": F.when(has & (K() % 4 == 2), "collection").when(has & (K() % 4 == 3), "bare").when(has, "accession"),
     }
-    place = f"{shared_folder(spark)}/joined/{uuid.uuid4().hex}"
-    sinks.write_parquet(selection.add_panel_flags(df.withColumns(made).withColumnRenamed("c_custkey", "bacdive_id"), CFG), place)
-    return tables.parquet(spark, place)
+    return selection.add_panel_flags(df.withColumns(made).withColumnRenamed("c_custkey", "bacdive_id"), CFG)
+
+
+_joined: dict[tuple[str, str], DataFrame] = {}
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined table, of which a session makes one for each folder of tables; it goes when the driver's program ends."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _joined:
+        made = sinks.kept(world(spark, sf_dir))
+        _joined[key] = made.rows
+        atexit.register(lambda: spark.sparkContext._jsc and made.remove())
+    return _joined[key]
 
 
 @query(f"""WITH {SQL_WORLD} SELECT k AS bacdive_id, gram_n > 0 AS gram_populated, k % 4 < 3 AS spore_populated, temp_n > 0 AS temperature_populated, halo_n > 0 AS halophily_level_populated, gram IS NOT NULL AS gram_usable, temperature IS NOT NULL AS temperature_usable, ph IS NOT NULL AS ph_usable, salt_n > 0 AS nacl_tests_populated, true AS any_trait_populated,
@@ -242,12 +254,10 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_WORLD} " + " UNION ALL ".join(f"SELECT * EXCLUDE (size, traits) FROM {sql_map(SMALL.panel('core'), n, v)}" for v in reports.VIEWS if v != "optimum-only" for n in ("global", "order")))
 def report_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel's map in every view, globally and within orders."""
-    df, rows = joined(spark, sf_dir), []
-    for view in (v for v in reports.VIEWS if v != "optimum-only"):
-        for null in (None, "order"):
-            s = reports.occupancy_of(df, SMALL, SMALL.panel("core"), view, null)[1]
-            rows.append(s.withColumns({"view": F.lit(view), "null": F.lit(reports.name_of(null))}).select(*FIGURES[2:]))
-    return reports.stacked(rows)
+    views = [v for v in reports.VIEWS if v != "optimum-only"]
+    own = [reports.one_map(SMALL, f"cells_core_{view}_{reports.name_of(null)}", SMALL.panel("core"), view, null) for view in views for null in (None, "order")]
+    with maps.occupy(joined(spark, sf_dir), SMALL, own) as made:
+        return reports.settled(reports.view_summaries(SMALL, made, ("core",)).select(*FIGURES[2:]))
 
 
 SIDES = [("global", "'all'"), ("order", "coalesce(ord, '__unassigned__')")]
@@ -257,8 +267,10 @@ SIDES = [("global", "'all'"), ("order", "coalesce(ord, '__unassigned__')")]
 def report_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two panels' figures beside each other."""
     df = joined(spark, sf_dir)
-    maps = {key: reports.stacked([reports.occupancy_of(df, SMALL, SMALL.panel(key), "primary", None if n == "global" else n)[1].withColumn("null", F.lit(n)) for n, _ in SIDES]) for key in ("core", "no_spore")}
-    return reports.side_by_side(maps).filter(F.col("figure").isin("N", "cells", "occupied", "testable_cells"))
+    own = [reports.one_map(SMALL, f"{key}_{n}", SMALL.panel(key), "primary", None if n == "global" else n) for key in ("core", "no_spore") for n, _ in SIDES]
+    with maps.occupy(df, SMALL, own) as made:
+        sides = {key: made.summaries_of([f"{key}_{n}" for n, _ in SIDES]) for key in ("core", "no_spore")}
+        return reports.settled(reports.side_by_side(sides).filter(F.col("figure").isin("N", "cells", "occupied", "testable_cells")))
 
 
 # A cell that only strata too small to count hold, one that no stratum holds, and one that lineages explain

@@ -6,15 +6,46 @@ import hashlib
 import json
 import os
 import subprocess
+import tempfile
+import uuid
 from collections.abc import Iterable
 from datetime import datetime, timezone
 from pathlib import Path
-from typing import Any
+from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where drivers and executors both write: the folder of spark.checkpoint.dir. Where that is unset, a local session writes
+    to this machine's folder for temporary files, and a cluster is refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+class Kept(NamedTuple):
+    """A table in the shared folder: its rows, read from there, and its place."""
+
+    rows: DataFrame
+    path: str
+
+    def remove(self) -> None:
+        """Nothing may read the rows any more."""
+        spark = self.rows.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def kept(df: DataFrame) -> Kept:
+    """df worked out and written in the shared folder, so that what is made of it has no plan of its own behind it."""
+    path = f"{shared_folder(df.sparkSession)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

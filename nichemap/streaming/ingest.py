@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks import shared_folder
+
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of event_id and the k of its props; an id that comes again is dropped."""
@@ -27,15 +27,6 @@ def trait_rows(spark: SparkSession, folder: str, cfg) -> DataFrame:
     return records.trait_table(rows.select(F.col("id").cast("long").alias("bacdive_id"), "record", "fetched_at").dropDuplicates(["bacdive_id"]), cfg)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where drivers and executors both write: the folder of spark.checkpoint.dir. Where that is unset, a local session writes
-    to this machine's folder for temporary files, and a cluster is refused."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return shared or os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
 def drain(stream: DataFrame) -> DataFrame:
     """All that the stream holds now, written as Parquet to the shared folder and read from there. The stream's own state goes
     when it has ended; the rows stay for who reads them."""

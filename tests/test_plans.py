@@ -10,6 +10,7 @@ import pytest
 
 from nichemap import sinks
 from nichemap.config import DEFAULT, Config, column, load_config
+from nichemap.operators import maps
 from nichemap.plans import pipeline, reports
 from nichemap.sources import http
 from nichemap.streaming import ingest
@@ -66,8 +67,7 @@ def test_stages(spark, world, monkeypatch):
     assert page.startswith("# Occupancy") and "35 (87.5%) have a genome" in page and "No cell is emptier than chance" in page and "Control x: IT FAILS" in page
     assert {"deficit_trend", "order_level_deficit_across_maps", "small_strata_false_positives_core", "doi_dates"} <= set(made)
     assert len("".join(p.read_text() for p in Path(world / "data/final/assembly_accessions_all.txt").glob("part-*")).split()) == 35
-    cells = made["cells_core_primary_order"].withColumn("empty_beyond_chance", made["cells_core_primary_order"]["observed"] == 0)
-    assert reports.survivors(spark.read.parquet(str(world / "data/interim/strains.parquet")), cfg, cfg.panel("core"), cells, 5).keys() >= {"cells_primary_family"}
+    assert {r["rule"] for r in made["findings"].collect()} >= {"no_survivor", "control_fails"} and "No cell stays empty beyond chance within orders." in page
 
 
 def test_incomplete_sweeps_are_refused(spark, world):
@@ -189,15 +189,12 @@ def test_long_tables_say_so(spark):
 
 def test_report_has_every_panel(spark, world, monkeypatch):
     """Views with their cells, survivors' tables and coverage, for both panels; here the first cell counts as a survivor."""
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(reports, "VIEWS", {k: reports.VIEWS[k] for k in ("primary", "genus-level")})
     cfg = load_config(world / "config.toml")
     pipeline.extract(spark, cfg)
     pipeline.join(spark, cfg, str(world / "catalogue.tsv.gz"))
-    real = reports.survivors
-    monkeypatch.setattr(reports, "survivors", lambda df, cfg, traits, cells, *rest: real(df, cfg, traits, cells.withColumn("empty_beyond_chance", F.col("cell_id") == 0), *rest))
-    made = reports.tables(spark.read.parquet(str(world / "data/interim/strains.parquet")), cfg, 5, grid=False)
+    monkeypatch.setattr(maps, "survivors", lambda made, name: [0])
+    made, results = reports.tables(spark.read.parquet(str(world / "data/interim/strains.parquet")), cfg, 5, grid=False)
     for key in ("core", "no_spore"):
         assert {f"cells_{key}_genus-level_global", f"cells_{key}_genus-level_order", f"cells_{key}_primary_family"} <= set(made)
         assert any(n.startswith(f"survivor_{key}_") and n.endswith("_order_contributions") for n in made) and any(n.startswith(f"survivor_{key}_") and n.endswith("_family_carriers") for n in made)
@@ -206,3 +203,8 @@ def test_report_has_every_panel(spark, world, monkeypatch):
     rows = {(r["panel"], r["view"], r["null"]) for r in made["views_summary"].select("panel", "view", "null").collect()}
     assert rows == {(p, v, n) for p in ("core", "no_spore") for v, n in [("primary", n) for n in ("global", "phylum", "class", "order")] + [("genus-level", n) for n in ("global", "order")]}
     assert {r["panel"] for r in made["coverage_vs_independence"].collect()} == {"core", "no_spore", "morphology", "core_ph", "original_8"}
+    assert all(f"survivors_{key}_{what}" in made and made[f"survivors_{key}_{what}"].count() for key in ("core", "no_spore") for what in ("views", "order_contributions"))
+    held = [Path(t.path.removeprefix("file:")) for t in results.held]
+    assert all(p.exists() for p in held)
+    results.close()
+    assert not any(p.exists() for p in held)
