@@ -4,15 +4,20 @@ A page is read into blocks: runs of text between block-level tags, each with its
 Inline tags leave the path alone, so that markup left open does not split one kind of block into many. By path the text
 length, the punctuation and the share of text inside links are summed over all its blocks and divided by their number; the
 ratios are smoothed along the page with a Gaussian kernel and fused. Paths whose fused ratio reaches SHARE of its mean over
-the page's characters are content. The content's container is the element with the largest sum over its blocks, counted as
-their length where their path is content and against it where not; an article or main element that holds the container is
-it. In the container a block comes out if its path's ratio reaches LEAST of that of the content: link lists, teasers and
-what else has little text of its own stay behind whatever its tag. Headings right before the container come with it.
-
-Tags and names are evidence only: a path is told apart by them, and its ratio multiplied, up for article and main, down
-for names of boilerplate; an article or main is not judged by its names, but for those of comments. Only what the contract
-names by itself is left out by tag: menus, headers outside the article, footers, sidebars, forms and their controls, scripts,
-styles, and what browsers don't show (where that leaves nothing, these are read too).
+the page's characters are content. The content's container is the innermost element with nearly all (PART) of the largest sum
+over its blocks, counted as their length where their path is content and against it where not; an article or main element
+that holds the container is it. In the container a block comes out if its path's ratio reaches LEAST of that of the content:
+lists of links, teasers and what else has little text of its own stay behind whatever its tag. A heading comes with the block
+that it stands over, one right before the container with that. Links weigh against length and punctuation and no more: a
+linked sentence is one still, and one or two links are no list of them. What buttons alone say is no text, what they say in a
+sentence is.
+
+Tags and names are evidence only: whole words of names, of which the worst along a path counts once, multiply ratios within
+bounds, up for article and main where the container is chosen, down for names of boilerplate; in the container against what
+its text has itself, so that an article with such a name loses nothing. Without all evidence the ratios find the same blocks
+but for prose that only its name tells from the text, of which reader comments are most: their names weigh more. Left out by tag
+is only what the contract names by itself: menus, headers outside the article, footers, sidebars, forms and their controls,
+scripts, styles, and what browsers don't show (where that leaves nothing, these are read too).
 
 Null and empty pages, and pages without text, have empty text. Tags that are never closed end with what they stand in; a
 tag, comment or script that the page ends in is dropped, as browsers do. Time is in proportion to the page, however
@@ -44,34 +49,37 @@ RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noembed", "nofr
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"))
 BLOCKS = frozenset(("address", "article", "aside", "audio", "blockquote", "body", "canvas", "caption", "center", "colgroup", "datalist", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "noscript", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "template", "tfoot", "th", "thead", "tr", "ul", "video"))
 LEFT_OUT = frozenset(("head", "nav", "menu", "footer", "aside", "form", "header", "noscript", "template", "audio", "canvas", "datalist", "video"))
-CONTROLS = frozenset(("button", "select"))
+CONTROLS = frozenset(("select",))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LEAVES = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "pre", "figcaption", "caption", "summary"}
 MAIN = frozenset(("article", "main"))
 # What an end of these elements a new one of the second brings. Each kind ends itself, so that few are open.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}} | dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot"}) | dict.fromkeys(HEADINGS, HEADINGS)
 SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "html"))
-# Words in a class, id or role of elements that are seldom the article; those that begin as in STRONG hardly ever.
+# Words in a class, id or role of elements that are seldom the article; those of STRONG hardly ever. Whole words.
 WEAK = frozenset("toolbar popup modal overlay login search share sharing social related recommended recommendations discussion pagination pager widget widgets tags tag skip copyright disclaimer alert alerts notice notices signup teaser teasers more".split())
-STRONG = re.compile(r"nav|menu|topbar|masthead|breadcrumb|sidebar|footer|contentinfo|complementary|advert|ads?\Z|adv\Z|adbox|adsense|banner|sponsor|promo|cookie|consent|gdpr|newsletter|subscri|disqus")
-COMMENTS = re.compile(r"comment|repl(?:y|ies)\Z|respond\Z")
+STRONG = frozenset("nav navbar navigation menu menus menubar topbar masthead breadcrumb breadcrumbs sidebar sidebars footer contentinfo complementary advert adverts advertisement advertisements ad ads adv adbox adsense banner banners sponsor sponsors sponsored promo promos cookie cookies consent gdpr newsletter newsletters subscribe subscription disqus".split())
+COMMENTS = frozenset("comment comments commentlist commentary commenting reply replies respond".split())
 #: A name that begins like this says what a page has, not what the element is.
 ABOUT = frozenset("has with without no is show hide".split())
 #: Width of the smoothing kernel in blocks; the share of the mean that the ratio of a content path has to reach, and the
-#: share of the content's that a path in its container has to reach; what evidence multiplies a ratio by.
-SIGMA, SHARE, LEAST = 1.0, 0.5, 0.05
-FACTORS = {"main": 3.0, "weak": 0.3, "strong": 0.02, "": 1.0}
+#: share of the content's that a path in its container has to reach; what the ratio of a path of links alone is multiplied by
+#: at least, and where it has one or two blocks only; and the share of a container's worth that makes a part of it the container.
+SIGMA, SHARE, LEAST, LINKS, FEW_LINKS, PART = 1.0, 0.5, 0.05, 0.1, 0.3, 0.97
+#: What names and tags multiply a ratio by where the container is chosen, and where blocks in it are. Comments are prose like
+#: the text, and nothing but their names tells them from it.
+FACTORS = {"main": (3.0, 1.0), "weak": (0.6, 0.25), "strong": (0.35, 0.05), "comments": (0.02, 0.001), "": (1.0, 1.0)}
 
 
 class Node:
     """A block-level element: its place in the order of their starts, its path as a number, the evidence along the path,
     whether it is left out, whether it is in an article or main, and the nearest open element at or above it that a start
-    tag can end."""
+    tag can end. Of the evidence along a path the worst counts, once."""
 
-    __slots__ = ("tag", "parent", "index", "path", "evidence", "out", "main", "ends")
+    __slots__ = ("tag", "parent", "index", "path", "kind", "out", "main", "ends")
 
-    def __init__(self, tag: str, parent: Node | None, index: int, path: int, evidence: float, out: bool, main: Node | None):
-        self.tag, self.parent, self.index, self.path, self.evidence, self.out, self.main = tag, parent, index, path, evidence, out, main
+    def __init__(self, tag: str, parent: Node | None, index: int, path: int, kind: str, out: bool, main: Node | None):
+        self.tag, self.parent, self.index, self.path, self.kind, self.out, self.main = tag, parent, index, path, kind, out, main
         self.ends: Node | None = self if tag in CLOSED_BY or tag == "p" else parent.ends if parent is not None and tag not in SCOPES else None
 
 
@@ -95,8 +103,8 @@ def names(attributes: str) -> tuple[bool, str, bool]:
             for own in value.split():
                 parts = [x.lower() for x in _NAME_PART.findall(own)]
                 if parts and parts[0] not in ABOUT:
-                    comments |= any(map(COMMENTS.match, parts))
-                    kind = "strong" if kind == "strong" or any(map(STRONG.match, parts)) else "weak" if kind or not WEAK.isdisjoint(parts) else ""
+                    comments |= not COMMENTS.isdisjoint(parts)
+                    kind = "strong" if kind == "strong" or not STRONG.isdisjoint(parts) else "weak" if kind or not WEAK.isdisjoint(parts) else ""
     return hidden, kind, comments
 
 
@@ -106,11 +114,12 @@ class Reader:
     def __init__(self, page: str):
         self.blocks: list[Block] = []
         self.paths: dict[tuple[int, str, str], int] = {}
-        root = self.top = Node("", None, 0, 0, 1.0, False, None)
+        root = self.top = Node("", None, 0, 0, "", False, None)
         self.nodes = [root]
         self.opened: Counter[str] = Counter()
         self.parts: list[str] = []
-        self.linked = self.hidden = 0
+        self.linked = self.hidden = self.pressed = 0
+        self.button = False
         self.link_in: Node | None = None
         self.hidden_in = root
         self.read(page)
@@ -165,14 +174,17 @@ class Reader:
             self.parts.append(text)
             if self.link_in is not None:
                 self.linked += len(text)
+            if self.button:
+                self.pressed += len(text)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
-            if text:
+            if text and self.pressed < len(text):  # what buttons alone say is no text
                 self.blocks.append(Block(self.top, text, min(self.linked, len(text))))
-        self.linked = 0
+        self.linked = self.pressed = 0
+        self.button = False
 
     def inline(self, tag: str, closing: bool, attributes: str) -> None:
         if tag == "br":
@@ -182,6 +194,8 @@ class Reader:
         elif tag not in VOID:
             if tag == "a":
                 self.link_in = None if closing else self.top
+            elif tag == "button":
+                self.button = not closing
             if self.hidden:
                 self.hidden = max(0, self.hidden + (-1 if closing else 1))
             elif not closing and (tag in CONTROLS or attributes and names(attributes)[0]):
@@ -222,12 +236,16 @@ class Reader:
         hidden, kind, comments = names(attributes) if attributes and tag not in ("html", "body") else (False, "", False)
         main = top.main
         if comments:
-            kind = "strong"
+            kind = "comments"
         elif tag in MAIN:
             kind = "" if main is not None else "main"
         path = self.paths.setdefault((top.path, tag, kind), len(self.paths) + 1)
         out = top.out or hidden or tag in LEFT_OUT and not (tag == "header" and main is not None)
-        node = Node(tag, top, len(self.nodes), path, max(1e-4, top.evidence * FACTORS[kind]), out, main or None)
+        if kind == "main":
+            kind = top.kind if top.kind == "comments" else "main"
+        elif not kind or top.kind and FACTORS[top.kind] < FACTORS[kind]:
+            kind = top.kind
+        node = Node(tag, top, len(self.nodes), path, kind, out, main or None)
         if tag in MAIN and main is None and not comments:
             node.main = node
         self.nodes.append(node)
@@ -248,10 +266,10 @@ def ratios(blocks: list[Block]) -> np.ndarray:
     length, marks, linked = (np.array(x, float) for x in ([len(b.text) for b in blocks], [len(_PUNCTUATION.findall(b.text)) for b in blocks], [b.linked for b in blocks]))
     total = np.bincount(path, length)
     chars, marks = (total / n)[path], (np.bincount(path, marks) / n)[path]
-    plain = np.maximum(0, 1 - np.bincount(path, linked) / total)[path]
-    plain *= np.minimum(1, 2 * plain)  # mostly links is worse than half
+    plain = np.maximum(0, 1 - np.bincount(path, linked) / total)
+    plain = np.maximum(plain * np.minimum(1, 2 * plain), np.where(n <= 2, FEW_LINKS, LINKS))[path]  # mostly links is worse than half
     chars, marks = np.sqrt(chars * smoothed(chars)), np.sqrt(marks * smoothed(marks))
-    fused = np.log1p(chars) * (1 + np.log1p(marks)) * plain * np.array([b.node.evidence for b in blocks])
+    fused = np.log1p(chars) * (1 + np.log1p(marks)) * plain
     return (np.bincount(path, fused) / n)[path]
 
 
@@ -262,16 +280,28 @@ def container(nodes: list[Node], blocks: list[Block], worth: np.ndarray) -> Node
     for node in reversed(nodes):  # children come after their parents
         if node.parent is not None:
             total[node.parent.index] += total[node.index]
-    node = nodes[len(nodes) - 1 - int(np.argmax(total[::-1]))]
+    best = len(nodes) - 1 - int(np.argmax(total[::-1]))
+    most = total[best]
+    for node in nodes[best + 1 :]:  # of what is inside, the innermost that holds nearly all of it
+        if node.parent.index == best and total[node.index] >= PART * most:
+            best = node.index
+    node = nodes[best]
     while node.tag in LEAVES and node.parent is not None:
         node = node.parent
     return node.main or node
 
 
+def evidence(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """What a block's ratio is multiplied by where the container is chosen, and in the container."""
+    both = np.array([FACTORS[b.node.kind] for b in blocks])
+    return both[:, 0], both[:, 1]
+
+
 def selected(nodes: list[Node], blocks: list[Block]) -> list[Block]:
     """The content's blocks, in order."""
-    ratio, length = ratios(blocks), np.array([len(b.text) for b in blocks], float)
-    weight = length * np.minimum(1, [b.node.evidence for b in blocks])
+    plain, length = ratios(blocks), np.array([len(b.text) for b in blocks], float)
+    outer, inner = evidence(blocks)
+    ratio, weight = plain * outer, length * np.minimum(1, outer)
     content = ratio >= SHARE * (ratio * weight).sum() / weight.sum()
     holder = container(nodes, blocks, np.where(content, length, -np.maximum(length, 10)))
     last = holder.index
@@ -281,9 +311,14 @@ def selected(nodes: list[Node], blocks: list[Block]) -> list[Block]:
         last = node.index
     inside = np.array([holder.index <= b.node.index <= last for b in blocks])
     here = inside & content
-    chosen = inside & (ratio >= LEAST * np.average(ratio[here], weights=length[here])) if here.any() else inside
+    own = plain * inner
+    # against the container's text as it is named itself: names that all of it has tell nothing
+    chosen = inside & (own >= LEAST * np.average(plain[here], weights=length[here]) * np.average(inner[here], weights=length[here])) if here.any() else inside
+    for k in range(len(blocks) - 2, -1, -1):  # a heading goes with what it stands over
+        if inside[k] and chosen[k + 1] and blocks[k].node.tag in HEADINGS and not blocks[k].linked and blocks[k].node.parent is blocks[k + 1].node.parent:
+            chosen[k] = True
     k = int(np.argmax(inside))
-    while k and blocks[k - 1].node.tag in HEADINGS and not blocks[k - 1].linked and blocks[k - 1].node.evidence >= 1:
+    while k and blocks[k - 1].node.tag in HEADINGS and not blocks[k - 1].linked and outer[k - 1] >= 1:
         chosen[k := k - 1] = True
     return [b for b, x in zip(blocks, chosen, strict=True) if x]
 
