@@ -3,13 +3,17 @@ one combination of levels is left out, so that what the nulls say of it can be t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .config import Config
 from .operators import exact, maps, occupancy
 from .plans import findings, reports
 from .queries import BALANCES, CUSTOMERS, MIN_STRATUM, SEGMENTS, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, sql_grid, table
+from .streaming import merging
 
 LEVELS = {"segment": SEGMENTS, "balance": BALANCES, "parity": ["even", "odd"], "temperature": ["high", "low"]}
 GAP = {"segment": "BUILDING", "balance": "b1"}
@@ -238,3 +242,21 @@ def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables["cells_no_spore_all_nulls"] = occupancy.merge_nulls(cells, CFG.panel_levels([*GAP]), "order", again)
         own = {k: reports.settled(t) for k, t in tables.items() if k.startswith(("survivors_", "cells_no_spore_all"))}
         return reports.settled(findings.findings(findings.cell_figures(df, own, CFG, ("no_spore",)), "cell").drop("place"))
+
+
+# A table of records that grows by batches
+SQL_VERSIONS = """v AS (SELECT c_custkey AS id, 1 AS version, c_name || '/1' AS body FROM customer UNION ALL SELECT c_custkey, 3, c_name || '/3' FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 2, c_name || '/2' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, NULL, c_name || '/0' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 10000000, 9, 'new' FROM customer WHERE c_custkey % 7 = 0)"""
+
+
+@query(f"WITH {SQL_VERSIONS} SELECT id, version::INT AS version, body FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC NULLS LAST) = 1")
+def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four drops of versions of the same ids, late and stale ones among them, merged into one table: of each id the latest."""
+    own, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    drop = lambda where, version, body, key=k: own.filter(where).select(key.alias("id"), F.lit(version).cast("int").alias("version"), body.alias("body"))
+    name = lambda n: F.concat("c_name", F.lit(f"/{n}"))
+    drops = [drop(F.lit(True), 1, name(1)), drop(k % 3 == 0, 3, name(3)), drop(k % 2 == 0, 2, name(2)).unionByName(drop(k % 5 == 0, None, name(0))), drop(k % 7 == 0, 9, F.lit("new"), k + 10_000_000)]
+    place = f"{sinks.shared_folder(spark)}/merged/{uuid.uuid4().hex}"
+    for new in drops:
+        merging.merge(new, place, "id", "version", 16)
+    return merging.read(spark, place)
