@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.book import Book
 from ..functions.designations import Normaliser
 
 # Columns that a catalogue must have, and those a match takes from it.
@@ -107,8 +108,9 @@ def best_of(by_accession: DataFrame, by_name: DataFrame) -> DataFrame:
     )
 
 
-def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need_taxon: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(a row a record with its match, the log of records without). strains: bacdive_id, genus, species, the two raw
+def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need_taxon: bool = True, book: Book | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a row a record with its match, the log of records without). With a book, only tokens that it lacks are parsed, and it
+    learns them. strains: bacdive_id, genus, species, the two raw
     designations, dsm_number, bacdive_gca and ncbi_tax_ids_raw; the catalogue comes from `prepare_catalogue`. What both
     results need more than once is cached; whoever writes them clears the cache."""
     s = strains.select(KEY, "genus", "species", *SOURCES, "dsm_number", "bacdive_gca", "ncbi_tax_ids_raw").withColumn("_ids", V.tax_ids(F.col("ncbi_tax_ids_raw"))).persist()
@@ -118,7 +120,12 @@ def match(strains: DataFrame, catalogue: DataFrame, normaliser: Normaliser, need
     # designations, first writing of each key; a trailing DSM number comes last. Every distinct token of either side is parsed once.
     dsm = F.when(F.coalesce(F.col("dsm_number"), F.lit("")) != "", F.concat(F.lit("DSM "), F.col("dsm_number")))
     ours, ids = [F.col(SOURCES[0]), F.col(SOURCES[1]), dsm], [F.col("ncbi_strain_identifiers")]
-    parsed = normaliser.dictionary(normaliser.tokens(s, [], ours).select("token").union(normaliser.tokens(named, [], ids).select("token"))).persist()
+    tokens = normaliser.tokens(s, [], ours).select("token").union(normaliser.tokens(named, [], ids).select("token"))
+    if book is None:
+        parsed = normaliser.dictionary(tokens).persist()
+    else:
+        book.learn(tokens)
+        parsed = book.rows(s.sparkSession).drop("version")
     own = normaliser.parse(s, [KEY, "genus", "_ids"], ours, parsed).filter("kind <> 'unusable'").persist()
     theirs = normaliser.parse(named, list(LIGHT), ids, parsed).filter("kind <> 'unusable'").select("canonical", *LIGHT)
     by_name = designation_hits(own, theirs, need_taxon)

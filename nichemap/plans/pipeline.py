@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..config import Config, load_config
+from ..functions.book import Book
 from ..functions.designations import Normaliser
 from ..operators import linkage, records
 from ..operators.selection import add_panel_flags, analysis_set
@@ -53,7 +54,7 @@ def join(spark: SparkSession, cfg: Config, catalogue_path: str | None = None) ->
     traits = spark.read.parquet(str(out / "traits.parquet"))
     m, normaliser = cfg["matching"], Normaliser.from_config(cfg)
     genomes = linkage.pref_order(linkage.prepare_catalogue(tables.catalogue(spark, info["metadata_path"]), m["assembly_level_rank"]))
-    found, log = linkage.match(traits, genomes, normaliser, m["bare_requires_taxon_agreement"])
+    found, log = linkage.match(traits, genomes, normaliser, m["bare_requires_taxon_agreement"], Book(str(out / "designations"), normaliser))
     joined = add_panel_flags(linkage.one_to_one(traits, found), cfg).withColumn("gtdb_release", F.lit(info["release"]).cast("string"))
     sinks.write_parquet(joined.orderBy("bacdive_id"), str(out / "strains.parquet"))
     sinks.write_tsv(log, str(out / "unmatched_strains.tsv"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from . import sinks
 from .config import Config
+from .functions import designations as D
+from .functions.book import Book
 from .operators import exact, maps, occupancy
 from .plans import findings, reports
-from .queries import BALANCES, CUSTOMERS, MIN_STRATUM, SEGMENTS, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, sql_grid, table
+from .queries import BALANCES, CUSTOMERS, MIN_STRATUM, SEGMENTS, SQL_CUSTOMERS, SQL_EXPECTED, SQL_PARSED, SQL_STRATA, SQL_TOKENS, customers, query, sql_grid, table, tokens
 from .streaming import merging
 
 LEVELS = {"segment": SEGMENTS, "balance": BALANCES, "parity": ["even", "odd"], "temperature": ["high", "low"]}
@@ -260,3 +262,13 @@ def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     for new in drops:
         merging.merge(new, place, "id", "version", 16)
     return merging.read(spark, place)
+
+
+@query(f"WITH t AS (SELECT token, CASE WHEN bool_or(id % 2 = 0) THEN 1 ELSE 2 END AS version FROM ({SQL_TOKENS}) GROUP BY 1), {SQL_PARSED} SELECT token, version, canonical, kind, CASE WHEN known THEN code END AS collection FROM parsed")
+def designation_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary that two runs learn: every token with its parse and the run that first met it."""
+    book = Book(f"{sinks.shared_folder(spark)}/books/{uuid.uuid4().hex}", D.Normaliser())
+    every = tokens(spark, sf_dir)
+    book.learn(every.filter("id % 2 = 0"))
+    book.learn(every)
+    return book.rows(spark).select("token", "version", "canonical", "kind", "collection")

@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def there(spark: SparkSession, place: str) -> bool:
+    """Whether anything lies at a place, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Kept(NamedTuple):
     """A table in the shared folder: its rows, read from there, and its place."""
 

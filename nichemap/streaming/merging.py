@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sinks import kept
+from ..sinks import kept, there
 
 #: Buckets of a table; the same for all merges into it. A bucket should be a task's worth of rows.
 BUCKETS = 64
@@ -28,11 +28,6 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, order).alias("_row")).select("_row.*")
 
 
-def there(spark: SparkSession, place: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(place)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def merge(new: DataFrame, place: str, key: str = "bacdive_id", version: str = "fetched_at", buckets: int = BUCKETS) -> list[int]:
     """Puts the rows of `new` into the table at this place, which needn't exist yet; the buckets that were rewritten."""
     spark = new.sparkSession
