@@ -152,3 +152,23 @@ def test_groups_are_counted_without_an_order_of_all(spark):
         seen |= own[g]
         alone = sum(all(c not in own[o] for o in own if o != g) for c in own[g])
         assert tuple(got[g]) == (g, size[g], len(own[g]), alone, len(seen), len(seen) / len(every))
+
+
+def test_laws_of_many_rows():
+    """A chain over a hundred thousand rows: the closed form of its mean, an empty cell beyond a double, no square of the rows."""
+    n, counts = 100_000, [20_000, 25_000, 50_000]
+    first, law = exact.chain(n, counts)
+    assert first > 1000 and len(law) < 5000 and law.sum() == pytest.approx(1, abs=1e-12)
+    assert (np.arange(first, first + len(law)) * law).sum() == pytest.approx(2500, abs=1e-8)
+    assert exact.log_empty(n, counts, exact.log_factorials(n)) < -2500
+    assert exact.log_empty(9, [3, 2, 4], exact.log_factorials(9)) == pytest.approx(math.log(exact.chain_law(9, [3, 2, 4])[0]))
+    assert exact.log_empty(9, [3, 6, 5, 4], exact.log_factorials(9)) == pytest.approx(math.log(exact.chain_law(9, [3, 6, 5, 4])[0]))
+    assert exact.log_empty(5, [5, 5], exact.log_factorials(5)) == -math.inf
+
+
+def test_empty_cells_beyond_doubles(spark):
+    """Strata of thousands of rows: p_empty is 0 as a double, its logarithm isn't."""
+    panel = {"a": ["x", "y"], "b": ["u", "v"]}
+    rows = spark.range(8000).selectExpr("if(id % 2 = 0, 'x', 'y') as a", "if(floor(id / 2) % 2 = 0, 'u', 'v') as b", "concat('o', id % 4) as t")
+    for r in exact.p_values(rows, panel, "t", 5).collect():
+        assert r["p_empty"] == 0 and r["log_p_empty"] < -1000 and r["expected"] == pytest.approx(2000) and 0 <= r["p_low"] <= 1
