@@ -6,8 +6,6 @@ on such an array, so that one projection makes the whole row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,12 +188,12 @@ def check(records: DataFrame) -> None:
 
 def unbinned(records: DataFrame, cfg: Config) -> DataFrame:
     """kind (unmapped, unparsed), trait, value and how often, most frequent first: values that got no bin of their own."""
-    df = with_observations(records)
-    rows = []
+    df, found = with_observations(records), []
+    said = lambda kind, t, obs: F.transform(obs, lambda o: F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("trait"), o["value"].alias("value")))
+    unmapped = lambda pairs: lambda o: V.mapping(pairs)[F.lower(o["value"])].isNull()
     for t in CATEGORICAL:
-        missing = V.mapping(cfg["traits"][t]["fine_map"])[F.lower(F.col("o.value"))].isNull()
-        rows.append(df.select(F.explode(f"obs_{t}").alias("o")).filter(missing).select(F.lit("unmapped").alias("kind"), F.lit(t).alias("trait"), F.col("o.value").alias("value")))
+        found.append(said("unmapped", t, F.filter(f"obs_{t}", unmapped(cfg["traits"][t]["fine_map"]))))
     for t in NUMERIC:
-        rows.append(df.select(F.explode(f"obs_{t}").alias("o")).filter("o.value is not null and o.span is null").select(F.lit("unparsed").alias("kind"), F.lit(t).alias("trait"), F.col("o.value").alias("value")))
-    every = reduce(lambda a, b: a.unionByName(b), rows)
+        found.append(said("unparsed", t, F.filter(f"obs_{t}", lambda o: o["value"].isNotNull() & o["span"].isNull())))
+    every = df.select(F.explode(F.concat(*found)).alias("o")).select("o.*")  # one reading of a record
     return every.groupBy("kind", "trait", "value").count().orderBy("kind", F.col("count").desc(), "trait", "value")
