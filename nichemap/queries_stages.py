@@ -18,7 +18,7 @@ from .functions import designations as D
 from .functions import values as V
 from .operators import linkage, maps, occupancy, records, selection
 from .plans import crawl, reports
-from .queries import CUSTOMERS, MIN_STRATUM, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, sql_grid, table
+from .queries import CUSTOMERS, MIN_STRATUM, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, spread, sql_grid, table
 from .sources import batches, tables
 
 CFG = load_config()
@@ -65,7 +65,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         part("Culture and growth conditions", section(part("culture temp", warmth), part("culture pH", F.when(K() % 9 == 0, F.to_json(test("optimum", "positive", "pH 7", "pH")))))), part("Physiology and metabolism", section(part("spore formation", F.when(K() % 4 < 3, F.lit('{"spore formation": "no"}'))), part("oxygen tolerance", oxygen), part("halophily", salt))),
         part("Sequence information", section(part("Genome sequences", pick(K() % 4, listed, F.concat(F.lit('{"INSDC accession": "'), gca, F.lit('.7"}')), None)))),
     )
-    return table(spark, sf_dir, "customer").select(K().alias("bacdive_id"), record.alias("record"), F.concat(F.lit("2024-01-0"), K() % 9 + 1).alias("fetched_at"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))  # a record is a hundred times its row
+    return rows.select(K().alias("bacdive_id"), record.alias("record"), F.concat(F.lit("2024-01-0"), K() % 9 + 1).alias("fetched_at"))
 
 
 #: Customers as SQL sees the same records: w has what the records say, g the genomes, m the flags of both.
