@@ -26,7 +26,7 @@ def all_starts(spark: SparkSession, first: int, most: int, size: int) -> DataFra
 
 def cached(spark: SparkSession, folder: str) -> DataFrame:
     """start, n and path of each batch in the folder, from the names alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", ALL).load(folder).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", ALL).load(folder).select("path").coalesce(spark.sparkContext.defaultParallelism)
     get = lambda k: F.regexp_extract("path", NAME, k).cast("long")
     return files.filter(F.col("path").rlike(NAME)).select(get(1).alias("start"), get(2).alias("n"), "path")
 

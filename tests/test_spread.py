@@ -1,7 +1,10 @@
 """Tables in one small file, with much work a row, are no task's alone."""
 
 from nichemap import queries, queries_stages
+from nichemap.config import Config
 from nichemap.operators import records
+from nichemap.plans import crawl
+from nichemap.sources import batches
 
 
 def sources(df):
@@ -17,3 +20,12 @@ def test_records_are_dealt(spark, sf):
 
 def test_values_without_bins_read_a_record_once(spark, sf):
     assert sources(records.unbinned(queries_stages.raw_records(spark, sf), queries_stages.CFG)) == 1
+
+
+def test_a_crawl_lists_its_folder_seldom(spark, tmp_path, monkeypatch):
+    listed, cached = [], batches.cached
+    monkeypatch.setattr(batches, "cached", lambda *a: listed.append(a) or cached(*a))
+    cfg = Config(f"[paths]\nraw = '{tmp_path}'\n[bacdive]\nbase_url = 'x'\nbatch_size = 7\nstart_id = 1\nmax_id = 700\nwarn_if_max_found_within = 0\nworkers = 2\ndelay_seconds = 0\ntimeout_seconds = 1\nmax_retries = 1\nbackoff_seconds = 0\n")
+    out = crawl.crawl(spark, cfg, None, queries_stages.answered)
+    assert (out["fetched"], out["cached"], out["missing"], out["max_id_found"]) == (100, 100, 0, 699)
+    assert len(listed) <= 3 and batches.records(spark, str(tmp_path / "bacdive")).count() == 600
