@@ -17,8 +17,9 @@ from .config import Config, load_config
 from .functions import designations as D
 from .functions import values as V
 from .operators import linkage, maps, occupancy, records, selection
+from .operators.occupancy import spread
 from .plans import crawl, reports
-from .queries import CUSTOMERS, MIN_STRATUM, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, spread, sql_grid, table
+from .queries import CUSTOMERS, MIN_STRATUM, SQL_CUSTOMERS, SQL_EXPECTED, SQL_STRATA, customers, query, sql_grid, table
 from .sources import batches, tables
 
 CFG = load_config()
