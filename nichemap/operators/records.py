@@ -1,11 +1,15 @@
 """Typed rows from nested JSON records whose sections may be missing, an object, or a list of objects.
 
-A record stays JSON text; each section is read by its path into an array of its objects, and every trait is an expression
-on such an array, so that one projection makes the whole row.
+A record is JSON text; it is parsed once, into the texts of its sections, each of these once into an array of its objects, and
+every trait is an expression on such an array. No step needs more than its own row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +32,12 @@ NUMERIC = {
 HALOPHILY = ("Physiology and metabolism", "halophily")
 GENOMES = ("Sequence information", "Genome sequences")
 PREDICTIONS = "Genome-based predictions"
+NAMES = "Name and taxonomic classification"
+CULTURE_NUMBERS = ("Literature", "culture collection no.")
+NAMED = ("species", "genus", "full scientific name", "phylum", "strain designation", "type strain")
+
+#: All that is read of a record, but for its predictions.
+PATHS = list(dict.fromkeys([p for p, _ in CATEGORICAL.values()] + [p for p, _ in NUMERIC.values()] + [HALOPHILY, GENOMES, CULTURE_NUMBERS, *((NAMES, k) for k in NAMED), (NAMES, "LPSN", "phylum"), ("General", "DSM-Number"), ("General", "doi"), ("General", "NCBI tax id")]))
 
 
 def json_path(*path: str) -> str:
@@ -40,9 +50,47 @@ def at(record: Column, *path: str) -> Column:
 
 def entries(record: Column, *path: str) -> Column:
     """The objects of the section, as JSON texts: those of a list, a lone one, or none. Anything else in a list is dropped."""
-    found = at(record, *path)
-    listed = F.when(found.startswith("["), F.from_json(found, "array<string>")).when(found.startswith("{"), F.array(found))
-    return F.coalesce(F.filter(listed, lambda x: x.startswith("{")), F.array().cast("array<string>"))
+    return objects(at(record, *path))
+
+
+def objects(section: Column) -> Column:
+    """The same of the section's text, which is worked out once."""
+
+    def listed(found: Column) -> Column:
+        every = F.when(found.startswith("["), F.from_json(found, "array<string>")).when(found.startswith("{"), F.array(found))
+        return F.coalesce(F.filter(every, lambda x: x.startswith("{")), F.array().cast("array<string>"))
+
+    return V.let(section, listed)
+
+
+def nested(paths: list[tuple[str, ...]], leaf: Callable[[tuple[str, ...]], Any], node: Callable[[str, dict], Any], above: tuple[str, ...] = ()) -> dict[str, Any]:
+    """What leaf makes of each path, put together by node wherever paths share their beginning."""
+    out = {}
+    for name in dict.fromkeys(p[0] for p in paths):
+        below = [p[1:] for p in paths if p[0] == name and len(p) > 1]
+        out[name] = node(name, nested(below, leaf, node, (*above, name))) if below else leaf((*above, name))
+    return out
+
+
+def sections(record: Column) -> Column:
+    """The texts at PATHS as a struct of structs, out of one reading of the record: strings without quotes, everything else as
+    JSON without white space, as `at` gives them. To be a column of its own. A text that can't be read to its end is read
+    path by path, for what comes before its fault."""
+    fields = lambda own: T.StructType([T.StructField(k, t) for k, t in own.items()])
+    schema = fields(nested(PATHS, lambda _: T.StringType(), lambda _, own: fields(own)))
+    struct = lambda own: F.struct(*[c.alias(k) for k, c in own.items()])
+    apart = struct(nested(PATHS, lambda p: at(record, *p), lambda _, own: struct(own)))
+    return V.let(F.get_json_object(record, "$"), lambda whole: F.when(whole.startswith("{"), F.from_json(whole, schema)).otherwise(apart))
+
+
+def text(path: tuple[str, ...]) -> Column:
+    """The text at one of PATHS, of a row with a column of sections."""
+    return reduce(lambda c, k: c.getField(k), path, F.col("sections"))
+
+
+def read(path: tuple[str, ...]) -> Column:
+    """The column that holds a section's objects, as structs of the fields that are read of them."""
+    return F.col(f"`read {path[-1]}`")
 
 
 def field(entry: Column, key: str) -> Column:
@@ -54,21 +102,32 @@ def fields(entry: Column, *keys: str) -> Column:
     return F.from_json(entry, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
 
 
-def observations(record: Column, path: tuple[str, ...], key: str) -> Column:
-    """array of (ref, value) with a value."""
-    read = F.transform(entries(record, *path), lambda e: fields(e, "@ref", key))
-    rows = F.transform(read, lambda o: F.struct(o["@ref"].alias("ref"), V.clean(o[key]).alias("value")))
+def parsed(entries: Column, *keys: str) -> Column:
+    return F.transform(entries, lambda e: fields(e, *keys))
+
+
+def observations(entries: Column, key: str) -> Column:
+    """array of (ref, value) with a value, of a section's objects."""
+    rows = F.transform(entries, lambda o: F.struct(o["@ref"].alias("ref"), V.clean(o[key]).alias("value")))
     return F.filter(rows, lambda o: o["value"].isNotNull())
 
 
 def numeric_observations(record: Column, path: tuple[str, ...], key: str) -> Column:
     """array of (ref, type, result, value, span); span is the parsed interval."""
-    read = F.transform(entries(record, *path), lambda e: fields(e, "@ref", "type", "growth", "ability", key))
+    return measured(parsed(entries(record, *path), *_measures(key)), key)
+
+
+def _measures(key: str) -> tuple[str, ...]:
+    return "@ref", "type", "growth", "ability", key
+
+
+def measured(entries: Column, key: str) -> Column:
+    """The same of a section's objects."""
 
     def observed(o: Column) -> Column:
         return F.struct(o["@ref"].alias("ref"), F.lower(V.clean(o["type"])).alias("type"), V.test_result(o["growth"], o["ability"]).alias("result"), V.clean(o[key]).alias("value"), V.parse_interval(o[key]).alias("span"))
 
-    return F.transform(read, observed)
+    return F.transform(entries, observed)
 
 
 def fine_value(value: Column, settings: dict) -> Column:
@@ -90,12 +149,18 @@ def categorical(trait: str, obs: Column, settings: dict) -> dict[str, Column]:
 def numeric_parts(obs: Column) -> Column:
     """struct(optima, positive, negative) of numeric observations: midpoints of optima, ends of spans with growth, and spans
     without. To be a column of its own, so that it is worked out once for all that `numeric` makes of it."""
-    read = F.filter(obs, lambda o: o["span"].isNotNull())
-    optima = F.transform(F.filter(read, lambda o: (o["type"] == "optimum") & (o["result"].isNull() | (o["result"] == "pos"))), lambda o: (o["span"]["lo"] + o["span"]["hi"]) / 2)
-    grown = F.filter(read, lambda o: o["type"].isin("growth", "minimum", "maximum"))
-    spans = lambda r: F.transform(F.filter(grown, lambda o: o["result"] == r), lambda o: o["span"])
-    positive = F.flatten(F.transform(spans("pos"), lambda s: F.array(s["lo"], s["hi"])))
-    return F.struct(optima.alias("optima"), positive.alias("positive"), spans("neg").alias("negative"))
+
+    def of(read: Column) -> Column:
+        optima = F.transform(F.filter(read, lambda o: (o["type"] == "optimum") & (o["result"].isNull() | (o["result"] == "pos"))), lambda o: (o["span"]["lo"] + o["span"]["hi"]) / 2)
+        return V.let(F.filter(read, lambda o: o["type"].isin("growth", "minimum", "maximum")), lambda grown: F.struct(optima.alias("optima"), ends(grown).alias("positive"), spans(grown, "neg").alias("negative")))
+
+    def spans(grown: Column, result: str) -> Column:
+        return F.transform(F.filter(grown, lambda o: o["result"] == result), lambda o: o["span"])
+
+    def ends(grown: Column) -> Column:
+        return F.flatten(F.transform(spans(grown, "pos"), lambda s: F.array(s["lo"], s["hi"])))
+
+    return V.let(F.filter(obs, lambda o: o["span"].isNotNull()), of)
 
 
 def contradicted(parts: Column) -> Column:
@@ -127,46 +192,54 @@ def numeric(trait: str, obs: Column, parts: Column, settings: dict) -> dict[str,
     }
 
 
-def halophily(record: Column) -> dict[str, Column]:
-    said = ("salt", "growth", "tested relation", "concentration")
-    own = F.transform(entries(record, *HALOPHILY), lambda e: fields(e, "@ref", "halophily level", *said))
+SAID = ("salt", "growth", "tested relation", "concentration")
+
+
+def halophily() -> dict[str, Column]:
+    own, said = read(HALOPHILY), SAID
     levels = F.filter(F.transform(own, lambda o: F.struct(o["@ref"].alias("ref"), V.clean(o["halophily level"]).alias("value"))), lambda o: o["value"].isNotNull())
     tests = F.filter(F.transform(own, lambda o: F.struct(o["@ref"].alias("ref"), *(V.clean(o[k]).alias(k.replace(" ", "_")) for k in said))), lambda t: t["salt"].isNotNull() | t["concentration"].isNotNull())
     value, conflict = V.resolve(F.transform(levels, lambda o: F.lower(o["value"])))
     return {"halophily_level_raw": F.when(F.size(levels) > 0, F.to_json(levels)), "halophily_level_n_obs": F.size(levels).cast("long"), "halophily_level": value, "halophily_level_conflict": conflict, "nacl_tests_raw": F.when(F.size(tests) > 0, F.to_json(tests, {"ignoreNullFields": "false"})), "nacl_tests_n": F.size(tests).cast("long")}
 
 
-def identity(bacdive_id: Column, record: Column, fetched_at: Column) -> dict[str, Column]:
-    tax, general = (lambda *k: at(record, "Name and taxonomic classification", *k)), (lambda *k: at(record, "General", *k))
-    genomes = entries(record, *GENOMES)
-    accession = lambda e: field(e, "INSDC accession")
+def identity(bacdive_id: Column, fetched_at: Column) -> dict[str, Column]:
+    tax, general = (lambda *k: text((NAMES, *k))), (lambda *k: text(("General", *k)))
+    genomes = read(GENOMES)
+    accession = lambda o: V.clean(o["INSDC accession"])
     bases = F.array_distinct(F.filter(F.transform(genomes, lambda e: V.matched(accession(e), V.GENOME_ACCESSION)), lambda x: x.isNotNull()))
-    shown = F.transform(genomes, lambda e: F.struct(accession(e).alias("insdc_accession"), field(e, "assembly level").alias("assembly_level"), F.get_json_object(e, json_path("score")).alias("score"), field(e, "description").alias("description")))
+    shown = F.transform(genomes, lambda e: F.struct(accession(e).alias("insdc_accession"), V.clean(e["assembly level"]).alias("assembly_level"), e["score"].alias("score"), V.clean(e["description"]).alias("description")))
     doi, is_type, ids = V.clean(general("doi")), V.clean(tax("type strain")), general("NCBI tax id")
     return {
         "bacdive_id": bacdive_id.cast("long"), "species": V.clean(tax("species")), "genus": V.clean(tax("genus")), "full_scientific_name": V.clean(tax("full scientific name")), "bacdive_phylum": V.clean(tax("phylum")), "lpsn_phylum": V.clean(tax("LPSN", "phylum")),
-        "strain_designation_raw": V.joined(tax("strain designation")), "culture_collection_no_raw": V.joined(at(record, "Literature", "culture collection no.")), "dsm_number": V.clean(general("DSM-Number")), "type_strain_bacdive": F.lower(is_type) == "yes",
+        "strain_designation_raw": V.joined(tax("strain designation")), "culture_collection_no_raw": V.joined(text(CULTURE_NUMBERS)), "dsm_number": V.clean(general("DSM-Number")), "type_strain_bacdive": F.lower(is_type) == "yes",
         "ncbi_tax_ids_raw": F.when(ids.isNotNull() & ~ids.isin("", "0", "[]", "{}", "false"), F.when(ids.startswith("["), ids).otherwise(F.concat(F.lit("["), ids, F.lit("]")))), "doi": doi, "doi_date": V.doi_date(doi), "fetched_at": fetched_at,
         "bacdive_gca": F.nullif(F.array_join(bases, "|"), F.lit("")), "bacdive_gca_n": F.size(bases).cast("long"), "genome_candidates_raw": F.when(F.size(genomes) > 0, F.to_json(shown, {"ignoreNullFields": "false"})),
     }
 
 
 def with_observations(records: DataFrame) -> DataFrame:
-    """records (bacdive_id, record, fetched_at) with an array of observations for each trait; sections are parsed once."""
-    own = {f"obs_{t}": observations(F.col("record"), *spec) for t, spec in CATEGORICAL.items()}
-    read = records.withColumns(own | {f"obs_{t}": numeric_observations(F.col("record"), *spec) for t, spec in NUMERIC.items()})
-    return read.withColumns({f"parts_{t}": numeric_parts(F.col(f"obs_{t}")) for t in NUMERIC})
+    """records (bacdive_id, record, fetched_at) with the objects of each section and an array of observations for each trait;
+    records and sections are parsed once."""
+    wanted = {p: _measures(key) for p, key in NUMERIC.values()} | {HALOPHILY: ("@ref", "halophily level", *SAID), GENOMES: ("INSDC accession", "assembly level", "score", "description")}
+    for path, key in CATEGORICAL.values():
+        wanted[path] = (*wanted.get(path, ("@ref",)), key)
+    whole = records.withColumn("sections", sections(F.col("record")))
+    split = whole.withColumns({f"read {p[-1]}": parsed(objects(text(p)), *keys) for p, keys in wanted.items()})
+    own = {f"obs_{t}": observations(read(p), key) for t, (p, key) in CATEGORICAL.items()}
+    seen = split.withColumns(own | {f"obs_{t}": measured(read(p), key) for t, (p, key) in NUMERIC.items()})
+    return seen.withColumns({f"parts_{t}": numeric_parts(F.col(f"obs_{t}")) for t in NUMERIC})
 
 
 def trait_table(records: DataFrame, cfg: Config) -> DataFrame:
     """One typed row a record. Records that hold predictions, and ids that occur twice, are refused by `check`."""
     df = with_observations(records)
-    columns = identity(F.col("bacdive_id"), F.col("record"), F.col("fetched_at"))
+    columns = identity(F.col("bacdive_id"), F.col("fetched_at"))
     for t in CATEGORICAL:
         columns |= categorical(t, F.col(f"obs_{t}"), cfg["traits"][t])
     for t in NUMERIC:
         columns |= numeric(t, F.col(f"obs_{t}"), F.col(f"parts_{t}"), cfg["traits"][t])
-    return df.select(*(c.alias(n) for n, c in (columns | halophily(F.col("record"))).items()))
+    return df.select(*(c.alias(n) for n, c in (columns | halophily()).items()))
 
 
 def violations(records: DataFrame) -> DataFrame:

@@ -29,3 +29,18 @@ def test_a_crawl_lists_its_folder_seldom(spark, tmp_path, monkeypatch):
     out = crawl.crawl(spark, cfg, None, queries_stages.answered)
     assert (out["fetched"], out["cached"], out["missing"], out["max_id_found"]) == (100, 100, 0, 699)
     assert len(listed) <= 3 and batches.records(spark, str(tmp_path / "bacdive")).count() == 600
+
+
+def test_a_record_is_read_once_for_its_row(spark, sf):
+    plan = records.trait_table(queries_stages.raw_records(spark, sf), queries_stages.CFG)._jdf.queryExecution().optimizedPlan().toString()
+    rows = plan.split("\n", 1)[0]
+    assert "get_json_object(record" not in rows and "sections" in rows
+
+
+def test_sections_are_what_their_paths_hold(spark):
+    whole = '{"General": {"doi": 1.50, "DSM-Number": "a\\u00e9 \\"", "NCBI tax id": [1, { "x" : 2}]}, "Morphology": [], "Name and taxonomic classification": {"LPSN": {"phylum": "P"}, "genus": null}, "Literature": "x"}'
+    texts = [whole, whole[:60], whole[:95], whole + " x", "[1]", "{}", "", None, '{"General": 7, "Sequence information": {"Genome sequences": {"score": 1e3, "y": [ ]}}}']
+    df = spark.createDataFrame([(t,) for t in texts], "record string").withColumn("sections", records.sections(queries.F.col("record")))
+    for path in records.PATHS:
+        own = df.select(records.text(path).alias("a"), records.at(queries.F.col("record"), *path).alias("b")).collect()
+        assert [r["a"] for r in own] == [r["b"] for r in own], path
