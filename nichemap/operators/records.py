@@ -40,6 +40,9 @@ NAMED = ("species", "genus", "full scientific name", "phylum", "strain designati
 PATHS = list(dict.fromkeys([p for p, _ in CATEGORICAL.values()] + [p for p, _ in NUMERIC.values()] + [HALOPHILY, GENOMES, CULTURE_NUMBERS, *((NAMES, k) for k in NAMED), (NAMES, "LPSN", "phylum"), ("General", "DSM-Number"), ("General", "doi"), ("General", "NCBI tax id")]))
 
 
+UNREAD = "_unread"  # a field of sections, set where a record can't be read to its end
+
+
 def json_path(*path: str) -> str:
     return "$" + "".join(f"['{p}']" for p in path)
 
@@ -80,7 +83,8 @@ def sections(record: Column) -> Column:
     schema = fields(nested(PATHS, lambda _: T.StringType(), lambda _, own: fields(own)))
     struct = lambda own: F.struct(*[c.alias(k) for k, c in own.items()])
     apart = struct(nested(PATHS, lambda p: at(record, *p), lambda _, own: struct(own)))
-    return V.let(F.get_json_object(record, "$"), lambda whole: F.when(whole.startswith("{"), F.from_json(whole, schema)).otherwise(apart))
+    schema, apart = schema.add(UNREAD, T.StringType()), apart.withField(UNREAD, F.lit(None).cast("string"))
+    return V.let(F.from_json(record, schema, {"columnNameOfCorruptRecord": UNREAD}), lambda own: F.when(own.isNotNull() & own[UNREAD].isNull(), own).otherwise(apart))
 
 
 def text(path: tuple[str, ...]) -> Column:
@@ -97,13 +101,18 @@ def field(entry: Column, key: str) -> Column:
     return V.clean(F.get_json_object(entry, json_path(key)))
 
 
-def fields(entry: Column, *keys: str) -> Column:
-    """The named fields of an object, as texts, out of one reading of it."""
-    return F.from_json(entry, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+def parsed(section: Column, *keys: str) -> Column:
+    """The objects of the section's text, each as a struct of the named fields. A list of objects alone is read at once; one
+    that may hold anything else is read into its elements' texts first, as it would be no list of objects at all."""
+    one = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    mixed = lambda found: ~found.startswith("[{") | found.rlike(r"\},[^{]")  # the first element is no object, or what follows one; other texts may match too
 
+    def listed(found: Column) -> Column:
+        each = F.transform(objects(found), lambda e: F.from_json(e, one))
+        every = F.when(found.startswith("{"), F.array(F.from_json(found, one))).when(~found.startswith("["), None).when(mixed(found), each).otherwise(F.from_json(found, T.ArrayType(one)))
+        return F.coalesce(every, F.array().cast(T.ArrayType(one)))
 
-def parsed(entries: Column, *keys: str) -> Column:
-    return F.transform(entries, lambda e: fields(e, *keys))
+    return V.let(section, listed)
 
 
 def observations(entries: Column, key: str) -> Column:
@@ -114,7 +123,7 @@ def observations(entries: Column, key: str) -> Column:
 
 def numeric_observations(record: Column, path: tuple[str, ...], key: str) -> Column:
     """array of (ref, type, result, value, span); span is the parsed interval."""
-    return measured(parsed(entries(record, *path), *_measures(key)), key)
+    return measured(parsed(at(record, *path), *_measures(key)), key)
 
 
 def _measures(key: str) -> tuple[str, ...]:
@@ -135,20 +144,35 @@ def fine_value(value: Column, settings: dict) -> Column:
     return F.coalesce(found, F.lit("other")) if settings.get("unmapped") == "other" else found
 
 
-def categorical(trait: str, obs: Column, settings: dict) -> dict[str, Column]:
+def distinct(values: Column) -> Column:
+    return F.array_distinct(F.filter(values, lambda x: x.isNotNull()))
+
+
+def with_coarse(fine: Column, coarse_map: dict[str, str]) -> Column:
+    """struct(fine, coarse): the distinct values of both levels of detail."""
+    return V.let(distinct(fine), lambda own: F.struct(own.alias("fine"), distinct(F.transform(own, lambda x: V.mapping(coarse_map)[x])).alias("coarse")))
+
+
+def categorical_parts(obs: Column, settings: dict) -> Column:
+    """struct(fine, coarse) of observations. To be a column of its own, so that it is worked out once for all that
+    `categorical` makes of it."""
+    return with_coarse(F.transform(obs, lambda o: fine_value(o["value"], settings)), settings["coarse_map"])
+
+
+def categorical(trait: str, obs: Column, parts: Column, settings: dict) -> dict[str, Column]:
     """The trait's columns from its observations. Values without a bin are no conflict; they count as observations."""
-    fine = F.filter(F.transform(obs, lambda o: fine_value(o["value"], settings)), lambda x: x.isNotNull())
-    coarse = F.transform(fine, lambda x: V.mapping(settings["coarse_map"])[x])
-    (f, f_conflict), (c, c_conflict) = V.resolve(fine), V.resolve(coarse)
+    (f, f_conflict), (c, c_conflict) = V.settled(parts["fine"]), V.settled(parts["coarse"])
     out = {f"{trait}_raw": F.when(F.size(obs) > 0, F.to_json(obs)), f"{trait}_n_obs": F.size(obs).cast("long"), f"{trait}_fine": f, trait: c, f"{trait}_fine_conflict": f_conflict, f"{trait}_conflict": c_conflict}
     if "folded_flag_fine" in settings:
         out[f"{trait}_microaerophile_folded"] = c.isNotNull() & F.coalesce(f == settings["folded_flag_fine"], F.lit(False))
     return out
 
 
-def numeric_parts(obs: Column) -> Column:
+def numeric_parts(obs: Column, settings: dict | None = None) -> Column:
     """struct(optima, positive, negative) of numeric observations: midpoints of optima, ends of spans with growth, and spans
-    without. To be a column of its own, so that it is worked out once for all that `numeric` makes of it."""
+    without; with settings also lo, hi (of growth), against (whether a span without growth overlaps it), middle (its bin, if
+    none does) and bins (struct(fine, coarse) of the optima). To be a column of its own, so that it is worked out once for
+    all that `numeric` makes of it."""
 
     def of(read: Column) -> Column:
         optima = F.transform(F.filter(read, lambda o: (o["type"] == "optimum") & (o["result"].isNull() | (o["result"] == "pos"))), lambda o: (o["span"]["lo"] + o["span"]["hi"]) / 2)
@@ -160,7 +184,21 @@ def numeric_parts(obs: Column) -> Column:
     def ends(grown: Column) -> Column:
         return F.flatten(F.transform(spans(grown, "pos"), lambda s: F.array(s["lo"], s["hi"])))
 
-    return V.let(F.filter(obs, lambda o: o["span"].isNotNull()), of)
+    seen = V.let(F.filter(obs, lambda o: o["span"].isNotNull()), of)
+    return seen if settings is None else V.let(seen, lambda parts: _binned(parts, settings))
+
+
+def _binned(parts: Column, settings: dict) -> Column:
+    bins = lambda x: V.bin_value(x, settings["fine_edges"], settings["fine_levels"])
+
+    def of(grown: Column) -> Column:
+        lo, hi = grown["lo"], grown["hi"]
+        against = F.exists(parts["negative"], lambda s: (s["lo"] <= hi) & (s["hi"] >= lo))
+        middle = F.when(~against, V.let((lo + hi) / 2, bins))
+        fine = with_coarse(F.transform(parts["optima"], bins), settings["coarse_map"])
+        return F.struct(*(parts[k].alias(k) for k in ("optima", "positive", "negative")), lo.alias("lo"), hi.alias("hi"), against.alias("against"), middle.alias("middle"), fine.alias("bins"))
+
+    return V.let(F.struct(F.array_min(parts["positive"]).alias("lo"), F.array_max(parts["positive"]).alias("hi")), of)
 
 
 def contradicted(parts: Column) -> Column:
@@ -171,15 +209,12 @@ def contradicted(parts: Column) -> Column:
 def numeric(trait: str, obs: Column, parts: Column, settings: dict) -> dict[str, Column]:
     """Bins from the optima, else from the span of growth, else from its one value. A conflict of optima stays one, whatever
     the growth says; growth that a test without growth overlaps is a conflict too."""
-    edges, levels, coarse_map = settings["fine_edges"], settings["fine_levels"], settings["coarse_map"]
-    optima, positive = parts["optima"], parts["positive"]
-    lo, hi = F.array_min(positive), F.array_max(positive)
+    coarse_map = settings["coarse_map"]
+    optima, positive, lo, hi = (parts[k] for k in ("optima", "positive", "lo", "hi"))
     has_optimum, has_growth = F.size(optima) > 0, F.size(positive) > 0
     optimum = F.when(has_optimum, F.aggregate(optima, F.lit(0.0), lambda a, x: a + x) / F.size(optima))
-    fine_bins = F.transform(optima, lambda x: V.bin_value(x, edges, levels))
-    (f, f_conflict), (c, c_conflict) = V.resolve(fine_bins), V.resolve(F.transform(fine_bins, lambda x: V.mapping(coarse_map)[x]))
-    against = contradicted(parts)
-    grown_fine = F.when(~against, V.bin_value((lo + hi) / 2, edges, levels))
+    (f, f_conflict), (c, c_conflict) = V.settled(parts["bins"]["fine"]), V.settled(parts["bins"]["coarse"])
+    against, grown_fine = parts["against"], parts["middle"]
     pick = lambda a, b, none: F.when(has_optimum, a).when(has_growth, b).otherwise(none)
     null = F.lit(None)
     source = F.when(F.size(F.array_distinct(positive)) >= 2, "growth_range").otherwise("growth_single_point")
@@ -225,18 +260,20 @@ def with_observations(records: DataFrame) -> DataFrame:
     for path, key in CATEGORICAL.values():
         wanted[path] = (*wanted.get(path, ("@ref",)), key)
     whole = records.withColumn("sections", sections(F.col("record")))
-    split = whole.withColumns({f"read {p[-1]}": parsed(objects(text(p)), *keys) for p, keys in wanted.items()})
+    split = whole.withColumns({f"read {p[-1]}": parsed(text(p), *keys) for p, keys in wanted.items()})
     own = {f"obs_{t}": observations(read(p), key) for t, (p, key) in CATEGORICAL.items()}
     seen = split.withColumns(own | {f"obs_{t}": measured(read(p), key) for t, (p, key) in NUMERIC.items()})
-    return seen.withColumns({f"parts_{t}": numeric_parts(F.col(f"obs_{t}")) for t in NUMERIC})
+    return seen
 
 
 def trait_table(records: DataFrame, cfg: Config) -> DataFrame:
     """One typed row a record. Records that hold predictions, and ids that occur twice, are refused by `check`."""
     df = with_observations(records)
+    parts = {t: categorical_parts(F.col(f"obs_{t}"), cfg["traits"][t]) for t in CATEGORICAL} | {t: numeric_parts(F.col(f"obs_{t}"), cfg["traits"][t]) for t in NUMERIC}
+    df = df.withColumns({f"parts_{t}": c for t, c in parts.items()})
     columns = identity(F.col("bacdive_id"), F.col("fetched_at"))
     for t in CATEGORICAL:
-        columns |= categorical(t, F.col(f"obs_{t}"), cfg["traits"][t])
+        columns |= categorical(t, F.col(f"obs_{t}"), F.col(f"parts_{t}"), cfg["traits"][t])
     for t in NUMERIC:
         columns |= numeric(t, F.col(f"obs_{t}"), F.col(f"parts_{t}"), cfg["traits"][t])
     return df.select(*(c.alias(n) for n, c in (columns | halophily()).items()))

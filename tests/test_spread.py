@@ -44,3 +44,24 @@ def test_sections_are_what_their_paths_hold(spark):
     for path in records.PATHS:
         own = df.select(records.text(path).alias("a"), records.at(queries.F.col("record"), *path).alias("b")).collect()
         assert [r["a"] for r in own] == [r["b"] for r in own], path
+
+
+def test_a_record_is_not_read_to_be_read_again(spark, sf):
+    df = queries_stages.raw_records(spark, sf)
+    plan = df.select(records.sections(queries.F.col("record")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert "$['General']" in plan and ", $)" not in plan  # paths for records with a fault; no copy of the whole
+
+
+def test_bins_are_worked_out_once_for_a_row(spark, sf):
+    made = records.trait_table(queries_stages.raw_records(spark, sf), queries_stages.CFG)
+    for t in (*records.CATEGORICAL, *records.NUMERIC):
+        plan = made.select(t, f"{t}_fine", f"{t}_conflict", f"{t}_fine_conflict")._jdf.queryExecution().optimizedPlan().toString()
+        rows = plan.split("+- Project")[0]
+        assert f"parts_{t}#" in rows and "lambda" not in rows  # no list is gone through once more
+
+
+def test_lists_of_objects_and_of_other_things(spark):
+    texts = [None, "5", "[]", "{}", '{"a":1}', '[{"a":1},{"b":"x,"}]', '[7,{"a":1}]', '[{"a":1},7,"x",{"a":[2,{"c":3}]}]', '[{"a":{"c":1},"b":2},null]', '[{"a":"},7"},{"b":"[{"}]', '[[{"a":1}],{"a":2}]', '["x"]']
+    wanted = [[], [], [], [(None, None)], [("1", None)], [("1", None), (None, "x,")], [("1", None)], [("1", None), ('[2,{"c":3}]', None)], [('{"c":1}', "2")], [("},7", None), (None, "[{")], [("2", None)], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", records.parsed(queries.F.col("t"), "a", "b").alias("got"))
+    assert [[tuple(x) for x in r["got"]] for r in df.orderBy("i").collect()] == wanted
