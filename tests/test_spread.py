@@ -18,6 +18,12 @@ def test_records_are_dealt(spark, sf):
     assert df.count() == queries.table(spark, sf, "customer").count()
 
 
+def test_the_joined_table_of_the_reports_is_made_by_all_tasks(spark, sf):
+    rows = queries_stages.joined(spark, sf).select("_metadata.file_path").groupBy("file_path").count().collect()
+    sizes = [r["count"] for r in rows]  # a task writes a file
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_values_without_bins_read_a_record_once(spark, sf):
     assert sources(records.unbinned(queries_stages.raw_records(spark, sf), queries_stages.CFG)) == 1
 
